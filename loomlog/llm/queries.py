@@ -31,7 +31,31 @@ def op7_token_counts(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op7_token_counts)}
+def op5_quality(spark, sf_dir):
+    """Grades: 0 for low quality, 1 for good but toxic, 2 for good and clean; selected: probably better than 0."""
+    from .quality_ordinal import fit_quality, rate
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic")).alias("grade"))
+    return rate(docs, fit_quality(docs, ratings))
+
+
+def op9_language_id(spark, sf_dir):
+    from .language_id import fit_language_model, identify
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, fit_language_model(docs, tokenizer_path("piece_bpe_32k.model")))
+
+
+def op10_toxicity(spark, sf_dir):
+    from .toxicity_crf import fit_toxicity, score
+
+    docs = documents(spark, sf_dir)
+    return score(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op5_quality, op7_token_counts, op9_language_id, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
