@@ -41,6 +41,12 @@ def op5_quality(spark, sf_dir):
     return rate(docs, fit_quality(docs, ratings))
 
 
+def op8_decontamination(spark, sf_dir):
+    from .decontamination import find_leaks
+
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_language_id(spark, sf_dir):
     from .language_id import fit_language_model, identify
 
@@ -55,7 +61,7 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op5_quality, op7_token_counts, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op5_quality, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
