@@ -31,6 +31,12 @@ def op7_token_counts(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_secrets(spark, sf_dir):
+    from .secrets import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op5_quality(spark, sf_dir):
     """Grades: 0 for low quality, 1 for good but toxic, 2 for good and clean; selected: probably better than 0."""
     from .quality_ordinal import fit_quality, rate
@@ -61,7 +67,7 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op5_quality, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
