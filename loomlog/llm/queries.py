@@ -13,6 +13,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark, sf_dir, key="example key: production passes its own"):
+    from .pii_surrogates import pseudonymise
+
+    return pseudonymise(documents(spark, sf_dir), key)
+
+
 def op2_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_groups
 
@@ -67,7 +73,7 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
