@@ -172,6 +172,17 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return first, last
 
 
+def _blocks(benchmark: DataFrame, item: str, item_text: str, block_chars: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(benchmark[item].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("item_text")).where("trim(item_text) <> ''")
+    return items, max(1, -(-items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] // block_chars))
+
+
+def _sent(items: DataFrame, blocks: int, b: int):
+    """Block b of the items, which holds about block_chars characters, on every executor."""
+    block = items.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == b).collect()
+    return items.sparkSession.sparkContext.broadcast([(r[0], normalise(r[1])) for r in block])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", q: int = 12, max_error: float = 0.05, block_chars: int = 8_000_000) -> DataFrame:
     """One row per document: key, contaminated, leaks (item_id, edits, start, end in code points of the text).
 
@@ -180,15 +191,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     blocks of about block_chars characters, so its size has no bound, only one pass over the documents per block; no
     document is shuffled. An empty benchmark leaves every document clean; other columns are ignored.
     """
-    items = benchmark.select(benchmark[item].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("item_text")).where("trim(item_text) <> ''")
-    total = items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
+    items, blocks = _blocks(benchmark, item, item_text, block_chars)
     span = "array<struct<item_id:" + items.schema["item_id"].dataType.simpleString() + ",edits:int,start:int,end:int>>"
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.lit(None).cast(span).alias("leaks"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == b).collect()
-        index = docs.sparkSession.sparkContext.broadcast([(r[0], normalise(r[1])) for r in block])
+        index = _sent(items, blocks, b)
 
         def run(batches, index=index, last=b == blocks - 1):
             known = BenchmarkIndex([i for i, _ in index.value], [t for _, t in index.value], q, max_error)
@@ -208,3 +216,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
         rows = rows.mapInArrow(run, f"doc_id {kind}, text string, leaks {span}")
     leaks = F.coalesce("leaks", F.array().cast(span))
     return rows.select("doc_id", (F.size(leaks) > 0).alias("contaminated"), leaks.alias("leaks"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = 12, max_error: float = 0.05, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of docs in which no item leaks, with all their columns."""
+    items, blocks = _blocks(benchmark, item, item_text, block_chars)
+    at = docs.columns.index(text)
+    for b in range(blocks):
+        index = _sent(items, blocks, b)
+
+        def run(batches, index=index):
+            known = BenchmarkIndex([i for i, _ in index.value], [t for _, t in index.value], q, max_error)
+            for batch in batches:
+                texts = [normalise(t) for t in batch.column(at).to_pylist()]
+                size = max(1, 4_000_000 * len(texts) // max(1, sum(map(len, texts))))
+                hit = set()
+                for first in range(0, len(texts), size):
+                    hit |= {first + d for d in known.hits(texts[first : first + size])}
+                yield batch.filter(pa.array([d not in hit for d in range(len(texts))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

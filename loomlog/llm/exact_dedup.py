@@ -18,17 +18,11 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, materialize
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 32, digest=lambda sha: sha) -> DataFrame:
-    """One row per document, dropped ones too: doc_id, keep_id (largest key among equal texts), group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts form one group.
-    Rows that repeat a key are each counted and each returned. A null key is never kept while its group has another key.
-    An empty table gives an empty result; other columns of docs are ignored, whatever their names. `digest` maps the
-    SHA-256 of the text to the value that is merged on; a weaker one only costs time, never correctness.
-    """
-    norm = lower_ascii(F.coalesce(F.col(text), F.lit("")))
+def _merged(docs: DataFrame, text: str, key: str, salts: int, digest):
+    """Rows with their digests; contents with their winners (a lazy table); winners by digest (written)."""
+    norm = lower_ascii(F.coalesce(docs[text], F.lit("")))
     rows = (
-        docs.select(F.col(key).alias("doc_id"), norm.alias("norm"))
+        docs.select(docs[key].alias("doc_id"), norm.alias("norm"))
         .withColumn("sha", F.unhex(F.sha2(F.col("norm"), 256)))
         .withColumn("digest", digest(F.col("sha")))
     )
@@ -45,12 +39,23 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts
         ),
         "winners",
     )
+    return rows, contents, winners
+
+
+def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 32, digest=lambda sha: sha) -> DataFrame:
+    """One row per document, dropped ones too: doc_id, keep_id (largest key among equal texts), group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts form one group.
+    Rows that repeat a key are each counted and each returned. A null key is never kept while its group has another key.
+    An empty table gives an empty result; other columns of docs are ignored, whatever their names. `digest` maps the
+    SHA-256 of the text to the value that is merged on; a weaker one only costs time, never correctness.
+    """
+    rows, contents, winners = _merged(docs, text, key, salts, digest)
     found = rows.select("doc_id", "sha", "digest").join(winners.where("contents = 1"), "digest")
+    found = found.select("doc_id", "sha", "keep_id", "group_size")
     if not winners.where("contents > 1").isEmpty():
         several = contents.join(winners.where("contents > 1").select("digest"), "digest", "left_semi")
-        found = found.select("doc_id", "sha", "keep_id", "group_size").unionByName(
-            rows.join(several, ["digest", "norm"]).select("doc_id", "sha", "keep_id", "group_size")
-        )
+        found = found.unionByName(rows.join(several, ["digest", "norm"]).select("doc_id", "sha", "keep_id", "group_size"))
     return found.select(
         "doc_id",
         "keep_id",
@@ -60,8 +65,12 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts
     )
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Where rows repeat a kept key, those with equal text all stay."""
-    kept = exact_groups(docs, text, key, **options).where("kept").select(F.col("doc_id").alias("__kept"), "text_sha256").distinct()
-    sha = F.sha2(lower_ascii(F.coalesce(docs[text], F.lit(""))), 256)
-    return docs.join(kept, docs[key].eqNullSafe(kept["__kept"]) & (sha == kept["text_sha256"]), "left_semi")
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 32, digest=lambda sha: sha) -> DataFrame:
+    """The rows of docs that stay, with all their columns. Where rows repeat a kept key with equal text, all of them stay."""
+    rows, contents, winners = _merged(docs, text, key, salts, digest)
+    sha = F.unhex(F.sha2(lower_ascii(F.coalesce(docs[text], F.lit(""))), 256))
+    stay = winners.where("contents = 1").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    if not winners.where("contents > 1").isEmpty():
+        several = contents.join(winners.where("contents > 1").select("digest"), "digest", "left_semi")
+        stay = stay.unionByName(several.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")))
+    return docs.join(stay, (digest(sha) == F.col("__digest")) & docs[key].eqNullSafe(F.col("__keep")), "left_semi")

@@ -31,6 +31,12 @@ def op3_sentencepiece(spark, sf_dir):
     return encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op6_ngram_join(spark, sf_dir):
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
@@ -73,7 +79,7 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op6_ngram_join, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""

@@ -268,3 +268,16 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, span_th
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,marginal:double>>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        rows = model.worker()
+        for batch in batches:
+            marginals, sizes = model.marginals(rows, batch.column(at).to_pylist())
+            yield batch.filter(pa.array(model.scores(marginals, sizes) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
