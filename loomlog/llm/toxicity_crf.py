@@ -202,14 +202,16 @@ def fit_toxicity(
     Without both labels among them every score is the share of toxic ones (0 without any)."""
     ids = stratified_ids(labels, label, {1: toxic_docs, 0: other_docs}, key)
     rows = labelled_texts(docs, ids, text, key).select(key, text, label).orderBy(key).toPandas()
-    texts, y = [words_of(t) for t in rows[text]], [int(v) for v in rows[label]]
+    one: dict[str, str] = {}  # equal words share one object
+    texts, y = [[one.setdefault(w, w) for w in words_of(t)] for t in rows[text]], [int(v) for v in rows[label]]
     if len(set(y)) < 2:
         return ToxicityModel({}, np.zeros(2 * BUCKETS + 1), np.ones((2, 2)), np.zeros(3), float(np.mean(y)) if y else 0.0)
     bad = toxic_words(texts, y)
     rng = np.random.default_rng(seed)
     windows, marks = [], []
+    cleaner = {w: clean(w) for w in one}
     for words, label_ in zip(texts, y):
-        cleaned = [clean(w) for w in words]
+        cleaned = [cleaner[w] for w in words]
         at = [t for t, w in enumerate(cleaned) if w in bad] if label_ else []
         if label_ and not at:
             continue  # toxic by its label, but nothing says which words
