@@ -6,6 +6,8 @@
 3. The matrix has a row for every token and group in whose members' prefixes it occurs. A set of n tokens can only be
    linked with one that shares a token of the n - ceil(t n) + 1 rarest of both, so groups that share none with a query
    are never opened, and every other pair of query and group is.
+   The tokens that a query's prefix shares with those of a group bound the overlap further: a linked pair's overlap lies in
+   both prefixes, or beyond the one that ends first, so too few shared tokens rule a group out before it is opened.
 4. An opened group knows the union of its members' tokens. A query with fewer than t n tokens in the union is linked with
    none of them; otherwise its overlap with all members is counted exactly, from the group's token-to-member lists.
 5. Links become components. What an opened group returns are at most as many edges as it has documents.
@@ -71,7 +73,7 @@ def statistics(docs: DataFrame, width: int) -> DataFrame:
 
         def frequent():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts >= 3
+            often = counts >= 2
             return tokens[often], counts[often]
 
         def emit(ids, n, sig, mins, tokens, counts):
@@ -95,7 +97,7 @@ def statistics(docs: DataFrame, width: int) -> DataFrame:
                     size += len(tokens)
             none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
             found = none
-            if size >= 2 * WINDOW:
+            if size >= 4 * WINDOW:
                 found, held, seen, size = frequent(), [], set(), 0
             yield emit(ids, n, sig, mins, *found)
         yield emit([], [], [], [], *frequent())
@@ -200,7 +202,8 @@ def shared_tokens(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidates(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """(query, block) of documents and groups that share a token of the bucket and whose sizes allow a link.
+    """(query, block, shared): how many tokens of the bucket a document's prefix shares with those of a group, where sizes
+    allow a link.
 
     Of two blocks, the one of the larger family is opened, so many small queries meet one large group in one place."""
     frame = frame.sort_values("token", kind="stable")
@@ -224,9 +227,25 @@ def candidates(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             queries.append(doc[s:e][i])
             targets.append(groups[j])
     if not queries:
-        return pd.DataFrame({"query": np.zeros(0, np.int64), "block": np.zeros(0, np.int64)})
-    pairs = np.unique(np.stack([np.concatenate(queries), np.concatenate(targets)], axis=1), axis=0)
-    return pd.DataFrame({"query": pairs[:, 0], "block": pairs[:, 1]})
+        return pd.DataFrame({"query": np.zeros(0, np.int64), "block": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64)})
+    pairs, shared = np.unique(np.stack([np.concatenate(queries), np.concatenate(targets)], axis=1), axis=0, return_counts=True)
+    return pd.DataFrame({"query": pairs[:, 0], "block": pairs[:, 1], "shared": shared.astype(np.int64)})
+
+
+def fewest_shared(n, low, high, percent: int):
+    """Column: tokens that a set of n must share, between prefixes, with a member of low to high tokens to be linked with it.
+
+    The overlap must be at least percent * (n + m) / (100 + percent), and beyond a prefix lie least_overlap - 1 tokens. The
+    difference falls with the distance of m from n, so one of the ends of what sizes allow has the least."""
+
+    def at(m):
+        whole = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+        beyond = F.floor((F.lit(percent) * F.greatest(n, m) + 99) / 100) - 1
+        return whole - beyond
+
+    a = F.greatest(low, F.ceil(F.lit(percent) * n / 100))
+    b = F.least(high, F.floor(F.lit(100) * n / F.lit(percent)))
+    return F.least(at(a), at(b)) - 1  # for what rounding may take within
 
 
 class Forest:
@@ -297,8 +316,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     groups = materialize(grouped(sets), "groups")
     shared = prefix_postings(rows, width, percent, heavy, buckets).groupBy("bucket").applyInPandas(shared_tokens, "token long, doc long")
     matrix = shared.join(groups, "doc").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    pairs = matrix.groupBy("bucket").applyInPandas(lambda f: candidates(f, percent), "query long, block long").distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = matrix.groupBy("bucket").applyInPandas(lambda f: candidates(f, percent), "query long, block long, shared long")
+    pairs = pairs.groupBy("query", "block").agg(F.sum("shared").alias("shared"))
+    sizes = groups.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    pairs = pairs.join(groups.groupBy(F.col("doc").alias("query")).agg(F.max("n").alias("n")), "query").join(sizes, "block")
+    pairs = materialize(pairs.where(F.col("shared") >= fewest_shared(F.col("n"), F.col("low"), F.col("high"), percent)).select("query", "block"), "pairs")
     wanted = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     several = groups.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("block")
     chunks = wanted.join(several, "block", "full").select("block", F.coalesce("chunks", F.lit(1)).cast("int").alias("chunks"))
