@@ -15,10 +15,12 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Memo
+from .vocabulary import batches_of_texts
 
 SPACE = "▁"
 
@@ -70,7 +72,7 @@ class BacktrackingEncoder:
             self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.unit = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.memo = Memo(self._unit_strings, 1 << 19)
+        self.memo = Memo(self._unit, 1 << 19)
 
     def merge(self, text: str) -> list[int]:
         """The plain way: merge the best adjacent pair until none is left. For pieces, pairs of pieces and tests."""
@@ -152,9 +154,9 @@ class BacktrackingEncoder:
             out += self.search(unit[start:])
         return out
 
-    def _unit_strings(self, unit: str) -> tuple[str, int]:
+    def _unit(self, unit: str) -> tuple[str, int, bytes]:
         ids = self.encode_unit(unit)
-        return ",".join(map(str, ids)), len(ids)
+        return ",".join(map(str, ids)), len(ids), b"".join(map(self.outputs.__getitem__, ids))
 
     def units(self, text: str | None) -> list[str]:
         return self.unit.findall(self.prefix + text.replace(" ", SPACE)) if text else []
@@ -162,17 +164,19 @@ class BacktrackingEncoder:
     def encode(self, text: str | None) -> list[int]:
         return [i for unit in self.units(text) for i in self.encode_unit(unit)]
 
-    def encode_joined(self, text: str | None) -> tuple[str, int]:
-        """The ids as decimal numbers joined by commas, and their count."""
+    def encode_decode(self, text: str | None) -> tuple[str, int, str]:
+        """The ids as decimal numbers joined by commas, their count, and the text they decode to."""
         got = list(map(self.memo.__getitem__, self.units(text)))
-        return ",".join([s for s, _ in got]), sum([n for _, n in got])
+        return ",".join([s for s, _, _ in got]), sum([n for _, n, _ in got]), self._text(b"".join([d for _, _, d in got]))
 
-    def decode(self, ids) -> str:
-        data = b"".join(map(self.outputs.__getitem__, ids))
-        if self.prefix and data.startswith(b" ") and not (self.unknown == next(iter(ids))):
+    def _text(self, data: bytes) -> str:
+        if self.prefix and data.startswith(b" "):
             data = data[1:]
         return data.decode("utf-8", "replace")
 
+    def decode(self, ids) -> str:
+        return self._text(b"".join(map(self.outputs.__getitem__, ids)))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> BacktrackingEncoder:
@@ -191,21 +195,18 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
     def run(batches):
         enc = encoder(model)
         for batch in batches:
-            keys, counts, first, second = batch.column(0), [], [], []
-            for value in batch.column(1):
-                joined, n = enc.encode_joined(value.as_py())
-                ids = list(map(int, joined.split(","))) if n else []
-                decoded = enc.decode(ids)
-                counts.append(n)
+            kind = batch.column(0).type
+            for keys, texts in batches_of_texts(batch, 2_000_000):
+                joined, counts, decoded = zip(*map(enc.encode_decode, texts))
                 if digests:
-                    first.append(hashlib.sha256(joined.encode()).hexdigest())
-                    second.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    sha = lambda values: pa.array([hashlib.sha256(v.encode()).hexdigest() for v in values], pa.string())
+                    columns = [sha(joined), sha(decoded)]
                 else:
-                    first.append(ids)
-                    second.append(decoded)
-            kinds = [keys.type, pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string()]
-            names = ["doc_id", "n_tokens", *[f.split()[0] for f in fields.split(", ")]]
-            yield pa.RecordBatch.from_arrays([keys] + [pa.array(v, t) for v, t in zip([counts, first, second], kinds[1:])], names)
+                    flat = np.fromstring(",".join(filter(None, joined)), dtype=np.int32, sep=",")
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", *[f.split()[0] for f in fields.split(", ")]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int64()), *columns], names)
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, {fields}")

@@ -1,0 +1,58 @@
+from loomlog.llm.decontamination import BenchmarkIndex, banded_distance, codes, drop_contaminated, find_leaks, normalise
+
+
+def edit(rng, text, n):
+    s = list(text)
+    for _ in range(n):
+        at, kind = rng.randrange(len(s)), rng.random()
+        if kind < 0.4:
+            s[at] = rng.choice("abcdef")
+        elif kind < 0.7:
+            del s[at]
+        else:
+            s.insert(at, rng.choice("xyz "))
+    return "".join(s)
+
+
+def plain_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_alignment_is_the_edit_distance(rng):
+    for _ in range(60):
+        item, text = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 25))), "".join(rng.choice("abc ") for _ in range(rng.randint(1, 40)))
+        edits, a, b = banded_distance(codes(item), codes(text), 99)
+        assert edits == plain_distance(item, text) == plain_distance(item, text[a:b])
+
+
+def test_filter_loses_nothing(rng):
+    words = ["tion", "the", "and", "ere", "of", "shing", "ä", "on"]
+    items = [normalise(" ".join(rng.choice(words) + rng.choice(words) for _ in range(rng.randint(4, 40)))) for _ in range(20)] + ["short"]
+    index = BenchmarkIndex(list(range(len(items))), items)
+    docs = []
+    for _ in range(150):
+        i = rng.randrange(len(items))
+        docs.append(normalise("head of it " + edit(rng, items[i], rng.randint(0, int(index.budget[i]) + 2)) + " tail of it"))
+    hits = index.hits(docs)
+    for d, text in enumerate(docs):
+        want = {i for i, item in enumerate(items) if plain_distance(item, text) <= index.budget[i]}
+        assert {x[0] for x in hits.get(d, [])} == want
+
+
+def test_operator(spark, odd_docs, no_docs):
+    item = "Lorem ipsum dolor sit amet lorem IPSUM dolor sit amet lorem"
+    bench = spark.createDataFrame([(1, item), (2, None), (3, " "), (None, "Hello  World é"), (5, "one"), (5, "one")], "item_id long, text string")
+    rows = {r.doc_id: r for r in find_leaks(odd_docs, bench, block_chars=40).collect() if r.doc_id is not None}
+    assert rows[8].contaminated and rows[9].contaminated and rows[7].leaks[0].item_id is None and rows[12].contaminated
+    assert not any(rows[k].contaminated for k in (0, 1, 2, 3, 4, 10)) and len(rows) == 13
+    span = rows[7].leaks[0]
+    assert "hello world É"[span.start : span.end] == "hello world É"
+    kept = drop_contaminated(odd_docs, bench)
+    assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {None, 0, 1, 2, 3, 4, 5, 10}
+    assert find_leaks(no_docs, bench).count() == 0 and drop_contaminated(odd_docs, bench.limit(0)).count() == odd_docs.count()
