@@ -52,13 +52,13 @@ def test_odd_tables(rows, odd_docs, no_docs):
 
 
 def test_collisions_draw_again(spark, monkeypatch):
-    """With a single digit to draw, every entity but a few collides at first; the results are still distinct and stable."""
+    """With octets of one or two values to draw, every entity but a few collides at first; the results are still distinct and stable."""
     monkeypatch.setattr(pii_surrogates, "MAX_DRAWS", 60)
     real = pii_surrogates.drawn
-    monkeypatch.setattr(pii_surrogates, "drawn", lambda key, kind, canon, draw: F.transform(real(key, kind, canon, draw), lambda v: v % 3))
-    docs = spark.createDataFrame([(k, f"from 10.0.0.{k} to 10.0.0.{(k * 7) % 6}") for k in range(6)], "doc_id long, text string")
+    monkeypatch.setattr(pii_surrogates, "drawn", lambda key, kind, canon, draw: F.transform(real(key, kind, canon, draw), lambda v: v % 2))
+    docs = spark.createDataFrame([(k, f"from 10.0.0.{k} to 10.0.0.{(k * 7) % 10}") for k in range(10)], "doc_id long, text string")
     table = entity_table(docs, "key").collect()
-    assert len({t.surrogate for t in table}) == len(table) == 6 and max(t.draw for t in table) > 0
+    assert len({t.surrogate for t in table}) == len(table) == 10 and max(t.draw for t in table) > 0
     lookup = {t.canon: t.surrogate for t in table}
     for r in pseudonymise(docs, "key").collect():
-        assert r.text == f"from {lookup[f'10.0.0.{r.doc_id}']} to {lookup[f'10.0.0.{(r.doc_id * 7) % 6}']}"
+        assert r.text == f"from {lookup[f'10.0.0.{r.doc_id}']} to {lookup[f'10.0.0.{(r.doc_id * 7) % 10}']}"
