@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -52,22 +53,20 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(mean[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def train_ordinal(texts: list[list[str]], grade: np.ndarray, classes: int, rounds: int = 120, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+def train_ordinal(texts: Iterable[list[str]], grade: np.ndarray, classes: int, rounds: int = 120, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam. Thresholds are a first one and positive steps, so they stay in order."""
-    n = len(texts)
-    cells: dict[str, tuple] = {}
-    columns, docs, values = [], [], []
+    n = len(grade)
+    place: dict[str, int] = {}  # words as numbers, so that a document is two small arrays
+    owners, words_, shares = [], [], []
     for d, words in enumerate(texts):
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-        for w, k in counts.items():
-            if w not in cells:
-                cells[w] = features(w)
-            columns += cells[w]
-            docs += (d, d, d)
-            values += (k / len(words),) * 3
-    col, row, val = np.array(columns, dtype=np.int64), np.array(docs, dtype=np.int64), np.array(values)
+        at, counts = np.unique([place.setdefault(w, len(place)) for w in words], return_counts=True)
+        owners.append(np.full(len(at), d, dtype=np.int32))
+        words_.append(at.astype(np.int32))
+        shares.append((counts / max(len(words), 1)).astype(np.float32))
+    cells = np.array([features(w) for w in place], dtype=np.int32).reshape(-1, 3)
+    col = cells[np.concatenate(words_)].ravel()
+    row, val = np.repeat(np.concatenate(owners), 3), np.repeat(np.concatenate(shares), 3)
+    del owners, words_, shares, cells, place
     used, col = np.unique(col, return_inverse=True)
     theta = np.zeros(len(used) + classes - 1)
     cumulative = np.array([(grade > k).mean() for k in range(classes - 1)]).clip(1e-3, 1 - 1e-3)
@@ -106,7 +105,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, grade: str = "grade", text:
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros(BUCKETS), np.zeros(0))
     place = {g: k for k, g in enumerate(grades)}
-    weights, thresholds = train_ordinal([words_of(t) for t in rows[text]], rows[grade].map(place).to_numpy(), len(grades))
+    weights, thresholds = train_ordinal(map(words_of, rows[text]), rows[grade].map(place).to_numpy(), len(grades))
     return OrdinalModel(grades, weights, thresholds)
 
 
