@@ -8,7 +8,6 @@ piece probabilities come from expectation-maximisation over the same lattices on
 from __future__ import annotations
 
 import itertools
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -118,9 +117,6 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().replace(SPACE, "_").split() if text else []
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 class LanguageModel:
     def __init__(self, languages: list[str], p: np.ndarray, model: str):
         self.languages, self.p, self.model = languages, p, model
@@ -136,7 +132,7 @@ class LanguageModel:
         posterior = np.exp(tempered - tempered.max(axis=1, keepdims=True))
         posterior /= posterior.sum(axis=1, keepdims=True)
         best = posterior.argmax(axis=1)
-        has = np.array([bool(t and _LETTER.search(t)) for t in texts], dtype=bool)
+        has = np.array([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
         names = [self.languages[b] if h else "und" for b, h in zip(best, has)]
         return names, np.where(has, posterior[np.arange(len(texts)), best], 0.0)
 
