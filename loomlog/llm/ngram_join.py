@@ -32,6 +32,7 @@ _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 HEAVY = 1 << 17  # most tokens whose frequency is kept for the order
 WINDOW = 1_000_000  # tokens that a task holds before it passes them on
 BLOCK = 256
+PART = 2_000_000  # tokens of a family's sets whose prefixes are compared in one task
 CHUNK = 512
 
 
@@ -106,8 +107,27 @@ def statistics(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, sig binary, m1 long, m2 long, m3 long, token long, df long")
 
 
+def frequent_tokens(counts: DataFrame) -> np.ndarray:
+    """The most frequent tokens, rarest first: those from the lowest frequency on for which at most HEAVY are left.
+
+    A histogram of frequencies on a log scale finds that frequency, so the driver gets a few hundred rows and then HEAVY."""
+    totals = counts.groupBy("token").agg(F.sum("df").alias("df")).withColumn("level", F.floor(8 * F.log2("df")))
+    totals = materialize(totals, "frequencies")
+    left, least = HEAVY, None
+    for level, n in sorted(totals.groupBy("level").count().collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = level
+    if least is None:
+        return np.zeros(0, dtype=np.uint64)
+    rows = totals.where(F.col("level") >= least).select("token", "df").toPandas().sort_values(["df", "token"])
+    return rows["token"].to_numpy(dtype=np.int64).view(np.uint64).copy()
+
+
 def grouped(sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """(doc, n, block, family): families by shared min-hashes, blocks of about BLOCK members of a family."""
+    """(doc, n, label, block, family, parts): families by shared min-hashes, blocks of about BLOCK members of a family, and
+    into how many parts the family's tokens are cut where its members are compared."""
     label = sets.select("doc", "n", F.array("m1", "m2", "m3").alias("m"), F.least("m1", "m2", "m3").alias("label"))
     values = sets.select("doc", F.explode(F.array("m1", "m2", "m3")).alias("value"))
     labels = label.select("doc", "label")
@@ -116,9 +136,10 @@ def grouped(sets: DataFrame, rounds: int = 2) -> DataFrame:
         least = held.groupBy("value").agg(F.min("label").alias("least"))
         labels = values.join(least, "value").groupBy("doc").agg(F.min("least").alias("label"))
     labels = materialize(labels, "labels")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("family"))
+    labels = sets.select("doc", "n").join(labels, "doc")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("family"), F.ceil(F.sum("n") / PART).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("family") / BLOCK).cast("long"))
-    return sets.select("doc", "n").join(labels.join(sizes, "label"), "doc").select("doc", "n", F.xxhash64("label", part).alias("block"), "family")
+    return labels.join(sizes, "label").select("doc", "n", "label", F.xxhash64("label", part).alias("block"), "family", "parts")
 
 
 def prefix_postings(docs: DataFrame, width: int, percent: int, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -201,33 +222,39 @@ def shared_tokens(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": tokens[keep], "doc": owners[keep]})
 
 
-def candidates(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """(query, block, shared): how many tokens of the bucket a document's prefix shares with those of a group, where sizes
-    allow a link.
+NO_PAIRS = {"query": np.zeros(0, np.int64), "block": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64)}
+
+
+def candidates(frame: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
+    """(query, block, shared): how many of the frame's tokens a document's prefix shares with those of others in a group,
+    where sizes allow a link; between members of one family (its own block among the groups), or between families.
 
     Of two blocks, the one of the larger family is opened, so many small queries meet one large group in one place."""
     frame = frame.sort_values("token", kind="stable")
-    token, doc, n, block, family = (frame[c].to_numpy() for c in ("token", "doc", "n", "block", "family"))
+    token, doc, n, label, block, family = (frame[c].to_numpy() for c in ("token", "doc", "n", "label", "block", "family"))
     cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
     queries, targets = [], []
     for a, b in zip(cuts, cuts[1:]):
-        if b - a < 2 or (block[a:b] == block[a]).all():
+        if b - a < 2 or (not inside and (label[a:b] == label[a]).all()):
             continue
-        groups, first, inverse = np.unique(block[a:b], return_index=True, return_inverse=True)
+        groups, first, inverse, members = np.unique(block[a:b], return_index=True, return_inverse=True, return_counts=True)
         low, high = np.full(len(groups), np.iinfo(np.int64).max), np.zeros(len(groups), dtype=np.int64)
         np.minimum.at(low, inverse, n[a:b])
         np.maximum.at(high, inverse, n[a:b])
-        size = family[a:b][first]
+        size, names = family[a:b][first], label[a:b][first]
         for s in range(a, b, 4096):
             e = min(b, s + 4096)
-            q, qf, qb = n[s:e, None], family[s:e, None], block[s:e, None]
-            ok = (size > qf) | ((size == qf) & (groups > qb))
-            ok &= (groups != qb) & (100 * high >= percent * q) & (percent * low <= 100 * q)
+            q, qf, qb, ql = n[s:e, None], family[s:e, None], block[s:e, None], label[s:e, None]
+            if inside:
+                ok = (groups > qb) | ((groups == qb) & (members > 1))
+            else:
+                ok = (names != ql) & ((size > qf) | ((size == qf) & (groups > qb)))
+            ok &= (100 * high >= percent * q) & (percent * low <= 100 * q)
             i, j = np.nonzero(ok)
             queries.append(doc[s:e][i])
             targets.append(groups[j])
     if not queries:
-        return pd.DataFrame({"query": np.zeros(0, np.int64), "block": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64)})
+        return pd.DataFrame(NO_PAIRS)
     pairs, shared = np.unique(np.stack([np.concatenate(queries), np.concatenate(targets)], axis=1), axis=0, return_counts=True)
     return pd.DataFrame({"query": pairs[:, 0], "block": pairs[:, 1], "shared": shared.astype(np.int64)})
 
@@ -309,24 +336,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     own = stats.where("n is not null").select("doc_id", "n", "sig", "m1", "m2", "m3")
     sets = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in ("n", "m1", "m2", "m3")])
     sets = materialize(sets.where("doc is not null"), "sets")
-    heavy = stats.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(HEAVY).toPandas()
-    heavy = heavy["token"].to_numpy(dtype=np.int64)[::-1].view(np.uint64).copy()
+    heavy = frequent_tokens(stats.where("token is not null"))
     total = sets.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, int(total // 300_000) + 1)
     groups = materialize(grouped(sets), "groups")
     shared = prefix_postings(rows, width, percent, heavy, buckets).groupBy("bucket").applyInPandas(shared_tokens, "token long, doc long")
-    matrix = shared.join(groups, "doc").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-    pairs = matrix.groupBy("bucket").applyInPandas(lambda f: candidates(f, percent), "query long, block long, shared long")
-    pairs = pairs.groupBy("query", "block").agg(F.sum("shared").alias("shared"))
+    # Both ways of grouping read the one written matrix: by family and part of its tokens, and by tokens.
+    matrix = materialize(shared.join(groups, "doc"), "matrix")
+    part = F.pmod(F.xxhash64("token"), F.col("parts"))
+    kind = "query long, block long, shared long"
+    within = matrix.where("family > 1").withColumn("part", part).groupBy("label", "part").applyInPandas(lambda f: candidates(f, percent, True), kind)
+    across = matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda f: candidates(f, percent, False), kind)
+    pairs = within.unionByName(across).groupBy("query", "block").agg(F.sum("shared").alias("shared"))
     sizes = groups.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    pairs = pairs.join(groups.groupBy(F.col("doc").alias("query")).agg(F.max("n").alias("n")), "query").join(sizes, "block")
-    pairs = materialize(pairs.where(F.col("shared") >= fewest_shared(F.col("n"), F.col("low"), F.col("high"), percent)).select("query", "block"), "pairs")
-    wanted = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    several = groups.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("block")
-    chunks = wanted.join(several, "block", "full").select("block", F.coalesce("chunks", F.lit(1)).cast("int").alias("chunks"))
-    members = groups.join(chunks, "block").select("doc", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    queries = pairs.join(chunks, "block").select(F.col("query").alias("doc"), "block", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
-    roles = materialize(members.unionByName(queries), "roles")
+    own_group = groups.groupBy(F.col("doc").alias("query")).agg(F.max("n").alias("n"), F.max("block").alias("own"))
+    pairs = pairs.join(own_group, "query").join(sizes, "block").where(F.col("shared") >= fewest_shared(F.col("n"), F.col("low"), F.col("high"), percent))
+    pairs = materialize(pairs.select("query", "block", (F.col("own") == F.col("block")).alias("home")), "pairs")
+    # A group with queries from elsewhere is opened whole; one without, for those members that pass the bound themselves.
+    chunks = pairs.where("not home").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    whole = groups.join(chunks, "block").select("doc", "block", each, F.lit(0).alias("role"))
+    alone = pairs.where("home").join(chunks, "block", "left_anti").select(F.col("query").alias("doc"), "block", F.lit(0).alias("chunk"), F.lit(0).alias("role"))
+    queries = pairs.where("not home").join(chunks, "block").select(F.col("query").alias("doc"), "block", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
+    roles = materialize(whole.unionByName(alone).unionByName(queries), "roles")
 
     def tokens_of(batches):
         last, held = None, b""
@@ -339,7 +371,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
                 out.append(held)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(out, pa.binary())], ["doc", "block", "chunk", "role", "tokens"])
 
-    placed = rows.withColumnRenamed("doc_id", "doc").join(roles, "doc").select("doc", "block", "chunk", "role", "text")
+    # The one move of whole texts. Merged at every size, so that what a run needs follows from its input.
+    placed = rows.withColumnRenamed("doc_id", "doc").hint("merge").join(roles, "doc").select("doc", "block", "chunk", "role", "text")
     placed = placed.mapInArrow(tokens_of, "doc long, block long, chunk int, role int, tokens binary")
     edges = placed.groupBy("block", "chunk").applyInPandas(lambda f: opened(f, percent), "u long, v long")
     found = components(edges)
