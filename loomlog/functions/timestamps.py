@@ -80,5 +80,5 @@ def custom(regex: str) -> Pattern:
     pattern = translate(regex)
     missing = [g for g in ("y", "m", "d", "H", "M", "S") if pattern.number(g) is None]
     if missing:
-        raise ValueError(f"missing named group(s) {', '.join(missing)}")
+        raise ValueError(f"lacks the groups {', '.join(missing)}")
     return pattern

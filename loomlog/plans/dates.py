@@ -33,9 +33,9 @@ def picked_to_utc(picked: dt.datetime, zone: str = "UTC", end: bool = False) ->
 def time_window(days: tuple[dt.date, dt.date], time_from: dt.datetime | None, time_to: dt.datetime | None, zone: str = "UTC") -> tuple[dt.datetime, dt.datetime]:
     """The picked window, cut to the days; naive UTC. ValueError says which way a window is empty."""
     if time_from and time_to and time_from > time_to:
-        raise ValueError('"from" is after "to"')
+        raise ValueError("the window ends before it begins")
     low, high = dt.datetime.combine(days[0], dt.time.min), dt.datetime.combine(days[1], dt.time(23, 59))
     low, high = max(low, time_from or low), min(high, time_to or high)
     if low > high:
-        raise ValueError("outside the selected date range")
+        raise ValueError("the window lies outside the chosen days")
     return picked_to_utc(low, zone), picked_to_utc(high, zone, True)

@@ -97,7 +97,7 @@ def _locations(m: dict, check) -> list[Location]:
         only(item, KEYS["logLocations"], f"logLocations[{k}]")
         p = pattern_of(item.get("file"), f"logLocations[{k}].file", check)
         missing = [g for g in "ymd" if p.number(g) is None] if item.get("dated", True) else []
-        need(not missing, f"logLocations[{k}].file: missing named group(s) {', '.join(missing)}; files without a date need \"dated\": false")
+        need(not missing, f"logLocations[{k}].file: lacks the groups {', '.join(missing)}, which date a file; for others say \"dated\": false")
         out.append(Location(item["id"], item.get("label", item["id"]), item.get("dir", ""), p, item.get("dated", True)))
     return out
 
@@ -119,14 +119,14 @@ def _timestamps(m: dict) -> list:
 
 def _fields(m: dict, check) -> list[Field]:
     items = m.get("fields", [])
-    need(len(items) <= MOST_FIELDS, f"fields: {len(items)} declared, at most {MOST_FIELDS} are supported")
+    need(len(items) <= MOST_FIELDS, f"fields: {len(items)} are more than the {MOST_FIELDS} a pack may have")
     distinct(items, "key", "fields", KEY)
     out = []
     for k, item in enumerate(items):
         only(item, KEYS["fields"], f"fields[{k}]")
         p = pattern_of(item.get("regex"), f"fields[{k}].regex", check)
-        need(p.groups > 0, f"fields[{k}].regex: needs a group for the value, (?<v>...) or a first plain one")
-        need(item.get("gate") != "", f"fields[{k}].gate: cannot be empty")
+        need(p.groups > 0, f"fields[{k}].regex: has no group to take the value from")
+        need(item.get("gate") != "", f"fields[{k}].gate: may not be empty")
         kind = item.get("type", "string")
         need(kind in ("string", "number", "guid"), f"fields[{k}].type: \"{kind}\" is not a type")
         out.append(Field(f"{m['id']}.{item['key']}", item.get("label", item["key"]), kind, p, item.get("gate")))
@@ -137,21 +137,21 @@ def _discovery(m: dict, locations: list[Location], environments: set[str], check
     d = m.get("discovery", {"type": "none"})
     need(d.get("type") in DISCOVERY, f"discovery.type: \"{d.get('type')}\" is not one of {', '.join(DISCOVERY)}")
     only(d, DISCOVERY[d["type"]], "discovery")
-    known = lambda env, where: need(env in environments, f"{where}: \"{env}\" is not a declared environment")
+    known = lambda env, where: need(env in environments, f"{where}: \"{env}\" names no environment of this pack")
     for k, s in enumerate(d.get("services", [])):
         only(s, KEYS["services"], f"discovery.services[{k}]")
-        need(bool(s.get("name", "").strip()), f"discovery.services[{k}].name: cannot be empty")
+        need(bool(s.get("name", "").strip()), f"discovery.services[{k}].name: may not be empty")
         known(s.get("environment"), f"discovery.services[{k}].environment")
-        need(s.get("location") in {None, *(x.id for x in locations)}, f"discovery.services[{k}].location: \"{s.get('location')}\" is not a declared log location")
+        need(s.get("location") in {None, *(x.id for x in locations)}, f"discovery.services[{k}].location: \"{s.get('location')}\" names no log location of this pack")
     if d["type"] == "scrape":
         need(re.match("https?://", d.get("url", "")) is not None, "discovery.url: must be an http(s) URL")
         container = pattern_of(d.get("container"), "discovery.container", check)
-        need(container.number("name") is not None, "discovery.container: needs a (?<name>...) group for the service name")
-        need(not d.get("environments") or container.number("section") is not None, "discovery.environments: needs a (?<section>...) group in discovery.container")
+        need(container.number("name") is not None, "discovery.container: has no group called name")
+        need(not d.get("environments") or container.number("section") is not None, "discovery.environments: rules look at the group section, which the container lacks")
         for part in ("endpoint", "logDir"):
             if d.get(part) is not None:
                 pattern_of(d[part], f"discovery.{part}", check)
-        need(d.get("logDir") is None or bool(locations), "discovery.logDir: there are no logLocations to select")
+        need(d.get("logDir") is None or bool(locations), "discovery.logDir: the pack has no logLocations to choose from")
         for k, rule in enumerate(d.get("environments", [])):
             known(rule.get("environment"), f"discovery.environments[{k}].environment")
         if d.get("defaultEnvironment") is not None:
@@ -163,7 +163,7 @@ def _charts(m: dict, fields: list[Field], check) -> None:
     for k, c in enumerate(m.get("charts", [])):
         where = f"charts[{k}]"
         only(c, KEYS["charts"], where)
-        need(bool(c.get("name", "").strip()), f"{where}.name: cannot be empty")
+        need(bool(c.get("name", "").strip()), f"{where}.name: may not be empty")
         group, metric, value = c.get("groupBy", "none"), c.get("metric", "count"), c.get("value")
         for name, got, allowed in (("mode", c.get("mode", "timeline"), ("timeline", "category")), ("bucket", c.get("bucket", "auto"), ("auto", *BUCKETS)), ("metric", metric, METRICS)):
             need(got in allowed, f"{where}.{name}: \"{got}\" is not one of {', '.join(allowed)}")
@@ -172,12 +172,12 @@ def _charts(m: dict, fields: list[Field], check) -> None:
         else:
             need(group in ("none", "service", "file", "matchedGroup", "custom"), f"{where}.groupBy: \"{group}\" is not known")
         if value not in (None, "custom"):
-            need(value.startswith("field:"), f"{where}.value: \"{value}\" must be field:<key> or custom")
+            need(value.startswith("field:"), f"{where}.value: \"{value}\" is neither custom nor a field:<key>")
             need(value[6:] in kinds, f"{where}.value: no field \"{value[6:]}\" in this pack")
-            need(kinds[value[6:]] == "number", f"{where}.value: field \"{value[6:]}\" is not a number field")
-        need(metric == "count" or value is not None, f"{where}.value: metric \"{metric}\" needs a number to aggregate")
+            need(kinds[value[6:]] == "number", f"{where}.value: field \"{value[6:]}\" holds no numbers")
+        need(metric == "count" or value is not None, f"{where}.value: \"{metric}\" works on a number; say which")
         if "custom" in (group, value):
-            need(c.get("customRegex") is not None, f"{where}.customRegex: required by \"custom\"")
+            need(c.get("customRegex") is not None, f"{where}.customRegex: \"custom\" needs one")
         if c.get("customRegex") is not None:
             pattern_of(c["customRegex"], f"{where}.customRegex", check)
 
@@ -190,8 +190,8 @@ def compile_pack(text: str, origin: str = "user", check: Callable[[Pattern], obj
         raise PackError(f"Invalid pack JSON: {e}") from None
     need(isinstance(m, dict), "Invalid pack JSON: an object is needed")
     only(m, KEYS[""], "")
-    need(bool(SLUG.fullmatch(m.get("id", ""))), f"id: \"{m.get('id', '')}\" must be lowercase letters, digits and hyphens")
-    need(bool(m.get("name", "").strip()), "name: cannot be empty")
+    need(bool(SLUG.fullmatch(m.get("id", ""))), f"id: \"{m.get('id', '')}\" is not made of a-z, 0-9 and -")
+    need(bool(m.get("name", "").strip()), "name: may not be empty")
     source = m.get("source")
     need(isinstance(source, dict) and source.get("type") in SOURCES, f"source: a type of {', '.join(SOURCES)} is needed")
     only(source, SOURCES[source["type"]], "source")

@@ -29,20 +29,20 @@ def pack(**more):
         ({"name": " "}, "name"),
         ({"source": None}, "source"),
         ({"extra": 1}, "unknown key extra"),
-        ({"logLocations": [{"id": "a", "dir": "x", "file": r"(?<y>\d+)"}]}, "missing named group"),
-        ({"timestamps": [{"regex": r"(?<y>\d+)"}]}, "missing named group"),
+        ({"logLocations": [{"id": "a", "dir": "x", "file": r"(?<y>\d+)"}]}, "lacks the groups"),
+        ({"timestamps": [{"regex": r"(?<y>\d+)"}]}, "lacks the groups"),
         ({"timestamps": ["nope"]}, "not one of"),
-        ({"fields": [{"key": "a", "regex": "x"}]}, "needs a group"),
+        ({"fields": [{"key": "a", "regex": "x"}]}, "no group"),
         ({"fields": [{"key": "a", "regex": "(x)", "gate": ""}]}, "gate"),
         ({"fields": [{"key": "a", "regex": "(x)"}, {"key": "a", "regex": "(y)"}]}, "duplicate"),
-        ({"fields": [{"key": f"k{i}", "regex": "(x)"} for i in range(33)]}, "at most 32"),
-        ({"charts": [{"name": "c", "metric": "avg"}]}, "needs a number"),
+        ({"fields": [{"key": f"k{i}", "regex": "(x)"} for i in range(33)]}, "more than the 32"),
+        ({"charts": [{"name": "c", "metric": "avg"}]}, "works on a number"),
         ({"charts": [{"name": "c", "groupBy": "field:none"}]}, "no field"),
-        ({"charts": [{"name": "c", "metric": "sum", "value": "field:a"}], "fields": [{"key": "a", "regex": "(x)"}]}, "not a number field"),
+        ({"charts": [{"name": "c", "metric": "sum", "value": "field:a"}], "fields": [{"key": "a", "regex": "(x)"}]}, "holds no numbers"),
         ({"charts": [{"name": "c", "groupBy": "custom"}]}, "customRegex"),
         ({"discovery": {"type": "scrape", "url": "ftp://x", "container": "(?<name>x)"}}, "http"),
         ({"discovery": {"type": "scrape", "url": "http://x", "container": "x"}}, "name"),
-        ({"discovery": {"type": "static", "services": [{"name": "a", "environment": "zz"}]}}, "not a declared environment"),
+        ({"discovery": {"type": "static", "services": [{"name": "a", "environment": "zz"}]}}, "names no environment"),
     ],
 )
 def test_packs_are_checked(more, message):
