@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import batches_of_texts
+from .vocabulary import batches_of_texts, runs_of_texts
 
 _WORD = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -229,10 +229,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             known = BenchmarkIndex([i for i, _ in index.value], [t for _, t in index.value], q, max_error)
             for batch in batches:
                 texts = [normalise(t) for t in batch.column(at).to_pylist()]
-                size = max(1, 4_000_000 * len(texts) // max(1, sum(map(len, texts))))
-                hit = set()
-                for first in range(0, len(texts), size):
-                    hit |= {first + d for d in known.hits(texts[first : first + size])}
+                hit = {a + d for a, b in runs_of_texts(texts) for d in known.hits(texts[a:b])}
                 yield batch.filter(pa.array([d not in hit for d in range(len(texts))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .samples import labelled_texts, stratified_ids
-from .vocabulary import WordRows, batches_of_texts
+from .vocabulary import WordRows, batches_of_texts, runs_of_texts
 
 _JUNK = re.compile(r"[\W_]+")
 _WORD = re.compile(r"\S+")
@@ -279,7 +279,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, te
     def run(batches):
         rows = model.worker()
         for batch in batches:
-            marginals, sizes = model.marginals(rows, batch.column(at).to_pylist())
-            yield batch.filter(pa.array(model.scores(marginals, sizes) < threshold, pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            clean_ = [model.scores(*model.marginals(rows, texts[a:b])) < threshold for a, b in runs_of_texts(texts)]
+            yield batch.filter(pa.array(np.concatenate(clean_) if clean_ else [], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -60,15 +60,20 @@ class WordRows:
         return out, sizes
 
 
-def batches_of_texts(batch, most: int = 4_000_000):
-    """Cut an Arrow batch of (id, text) into runs of at most about `most` characters: (ids, texts) lists."""
-    ids, texts, size = [], [], 0
-    for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        ids.append(key)
-        texts.append(value)
+def runs_of_texts(texts: list, most: int = 4_000_000):
+    """(first, last) places of runs of at most about `most` characters, or of one longer text."""
+    first, size = 0, 0
+    for k, value in enumerate(texts):
         size += len(value or "")
         if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def batches_of_texts(batch, most: int = 4_000_000):
+    """Cut an Arrow batch of (id, text) into runs of at most about `most` characters: (ids, texts) lists."""
+    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for a, b in runs_of_texts(texts, most):
+        yield ids[a:b], texts[a:b]
