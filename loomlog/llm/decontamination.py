@@ -10,6 +10,7 @@ space. Hits of a batch of documents come from array arithmetic on rolling hashes
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,8 +144,8 @@ class BenchmarkIndex:
             last = found.setdefault(d, [])
             low = max(0, b * (k + 1) - k)
             high = (b + 2) * (k + 1) + len(item_text) + k
-            if any(x[0] == i and x[2] >= low and x[3] <= high for x in last):
-                continue
+            if last and last[-1][0] == i and last[-1][2] >= low and last[-1][3] <= high:
+                continue  # bands come in order, so this is the hit that the band before gave
             region = texts[d][low:high]
             spot_ = region.find(item_text)
             if spot_ >= 0:
@@ -156,20 +157,21 @@ class BenchmarkIndex:
         return {d: x for d, x in found.items() if x}
 
 
-def original_span(text: str, start: int, end: int) -> tuple[int, int]:
-    """Where [start, end) of the normalised text lies in the text itself (whole characters; exact but for letters whose
-    lower case has another length)."""
-    at, first, last = 0, 0, 0
+def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where stretches of the normalised text lie in the text itself (exact but for letters whose lower case has another
+    length). The words are walked once, however many stretches there are."""
+    places, starts, sizes, at = [], [], [], 0
     for m in _WORD.finditer(text):
-        size = len(m[0].lower())
-        if start >= at:
-            first = m.start() + min(start - at, size)
-        if end > at:
-            last = m.start() + min(end - at, size)
-        else:
-            break
-        at += size + 1
-    return first, last
+        places.append(at)
+        starts.append(m.start())
+        sizes.append(len(m[0].lower()))
+        at += sizes[-1] + 1
+
+    def place(x: int) -> int:
+        k = bisect_right(places, x) - 1
+        return starts[k] + min(x - places[k], sizes[k])
+
+    return [(place(a), place(b - 1) + 1) for a, b in spans]
 
 
 def _blocks(benchmark: DataFrame, item: str, item_text: str, block_chars: int) -> tuple[DataFrame, int]:
@@ -207,7 +209,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
                     hits = known.hits([normalise(t) for t in texts])
                     leaks = done[at : at + len(ids)]
                     for d, found in hits.items():
-                        spans = [(known.ids[i], e, *original_span(texts[d], s, t)) for i, e, s, t in sorted(found, key=lambda x: x[2:])]
+                        found = sorted(found, key=lambda x: x[2:])
+                        where = original_spans(texts[d], [x[2:] for x in found])
+                        spans = [(known.ids[i], e, *w) for (i, e, _, _), w in zip(found, where)]
                         leaks[d] = (leaks[d] or []) + [{"item_id": i, "edits": e, "start": s, "end": t} for i, e, s, t in spans]
                     at += len(ids)
                     kept = pa.array([None] * len(ids) if last else texts, pa.string())
