@@ -27,6 +27,8 @@ NAME = r"(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 KINDS = {"email": EMAIL, "ip": IPV4, "card": CARD, "phone": PHONE, "name": NAME}
 # An entity begins where no letter or digit precedes; nothing is tried elsewhere.
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+# Country codes in use; which digits of an international number are its country's follows from the digits alone.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[7-9][0-9]|8[035789][0-9]|9[679][0-9]"
 # Letters and syllables from which surrogates are built, by script; names of men and women end differently.
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 SYLLABLES = {
@@ -49,9 +51,11 @@ def kind_of(entity: Column) -> Column:
 
 def parts_of(entity: Column) -> Column:
     """array<struct<kind, canon>> of what gets a surrogate of its own: the entity itself, or each word of a name. A word
-    that stands alone after its title is a surname; the first of two is a given name of the title's gender."""
+    that stands alone after its title is a surname; the first of two is a given name of the title's gender. A telephone
+    number's country code stands apart, as "+1 4155550123"; its surrogate keeps it."""
     plain = F.struct(kind_of(entity).alias("kind"), F.when(entity.contains("@"), F.lower(entity)).otherwise(F.regexp_replace(entity, r"[^0-9.]|(?<![0-9])\.|\.(?![0-9])", "")).alias("canon"))
-    digits = F.struct(kind_of(entity).alias("kind"), F.regexp_replace(entity, "[^0-9]", "").alias("canon"))
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    digits = F.struct(kind_of(entity).alias("kind"), F.when(entity.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(digits, f"^({COUNTRY}|)", "$1 "))).otherwise(digits).alias("canon"))
 
     def name(words: Column) -> Column:
         title = F.rtrim(F.element_at(words, 1), F.lit("."))
@@ -123,7 +127,9 @@ def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
         syllable = lambda i: F.element_at(F.split(pick(SYLLABLES), " "), (F.element_at(numbers, i) % 32 + 1).cast("int"))
         ending = F.when(kind == "given:male", pick({k: v["male"] for k, v in ENDINGS.items()})).when(kind == "given:female", pick({k: v["female"] for k, v in ENDINGS.items()})).otherwise(pick({k: v["sur"] for k, v in ENDINGS.items()}))
         name = F.concat(syllable(1), syllable(2), syllable(3), ending)
-        return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", card_like(canon, numbers)).when(kind == "phone", like(canon, numbers)).otherwise(name)
+        country = F.regexp_extract(canon, r"^\+[0-9]* ", 0)
+        phone = F.concat(country, like(F.substring(canon, F.length(country) + 1, F.length(canon)), numbers))
+        return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", card_like(canon, numbers)).when(kind == "phone", phone).otherwise(name)
 
     return let(drawn(key, kind, canon, draw), make)
 
@@ -152,9 +158,7 @@ def rewritten(key: str, entity: Column, draws: Column | None) -> Column:
     def fill(made: Column) -> Column:
         first = F.element_at(made, 1)
         kind = kind_of(entity)
-        country = F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-        digits_of_country = F.length(F.regexp_replace(country, "[^0-9]", ""))
-        phone = F.concat(country, poured(F.substring(entity, F.length(country) + 1, F.length(entity)), F.substring(first, digits_of_country + 1, F.length(first))))
+        phone = poured(entity, F.regexp_replace(first, "[^0-9]", ""))
         name = F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), F.array_join(F.transform(made, lambda m: F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))), " "))
         return F.when(kind == "email", cased(entity, first)).when(kind == "ip", first).when(kind == "card", poured(entity, first)).when(kind == "phone", phone).otherwise(name)
 

@@ -62,3 +62,14 @@ def test_collisions_draw_again(spark, monkeypatch):
     lookup = {t.canon: t.surrogate for t in table}
     for r in pseudonymise(docs, "key").collect():
         assert r.text == f"from {lookup[f'10.0.0.{r.doc_id}']} to {lookup[f'10.0.0.{(r.doc_id * 7) % 10}']}"
+
+
+def test_what_is_written_for_numbers_with_a_country_code_is_distinct(spark, monkeypatch):
+    """With two digits to draw, surrogates that differ in the country's digits alone would be written as one number."""
+    real = pii_surrogates.drawn
+    monkeypatch.setattr(pii_surrogates, "MAX_DRAWS", 60)
+    monkeypatch.setattr(pii_surrogates, "drawn", lambda key, kind, canon, draw: F.transform(real(key, kind, canon, draw), lambda v: v % 2))
+    texts = [f"+1 20 3{k}" for k in range(8)] + ["+1 10 10", "+1 01 01", "+1 11 11"]
+    out = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
+    new = {r.text for r in out}
+    assert len(new) == len(texts) and not new & set(texts) and all(re.fullmatch(r"\+1 \d\d \d\d", x) for x in new)
