@@ -3,13 +3,15 @@
 Detected are mail addresses, telephone numbers, payment card numbers, IPv4 addresses and names after a title. What an
 entity's surrogate is depends only on the key and the entity in canonical form, so all mentions of one entity, in any
 document and spelling, get one surrogate. Whether two entities share a surrogate, or a surrogate is itself a real entity
-of the corpus, is checked over the table of distinct entities; losers draw again until none is left. Only those that drew
-again are looked up when texts are rewritten, so without a collision no text is shuffled.
+of the corpus, is checked over the table of distinct entities; losers draw again, names with one syllable more each time.
+After MAX_DRAWS draws, losers of a fixed format get its free values in order; mail addresses and telephone numbers of a
+format without free values become longer, so any number of entities is settled. Only those that drew again are looked up
+when texts are rewritten, so without a collision no text is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -41,7 +43,9 @@ ENDINGS = {
     "cyrillic": {"male": "н", "female": "нна", "sur": "рт"},
     "greek": {"male": "ς", "female": "ννα", "sur": "ρτης"},
 }
-MAX_DRAWS = 16
+MAX_DRAWS = 16  # after so many draws, what has a fixed format gets the free values of its format in order
+FORMAT = ["kind", "head", "body", "tail"]
+BLOCK = 4096
 
 
 def kind_of(entity: Column) -> Column:
@@ -104,56 +108,76 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(digits, value), F.lit(0), lambda acc, v: acc + v)
 
 
+def closed(body: Column, off: Column) -> Column:
+    """With a last digit that is `off` from the check digit."""
+    return let(body, lambda b: F.concat(b, ((10 - luhn_sum(chars(F.concat(b, F.lit("0")))) % 10 + off) % 10).cast("string")))
+
+
 def card_like(canon: Column, numbers: Column) -> Column:
     """As many digits, with a valid check digit exactly if the original has one."""
     body = like(F.substring(canon, F.lit(1), F.length(canon) - 1), numbers)
-    off = F.when(luhn_sum(chars(canon)) % 10 == 0, 0).otherwise(1 + F.element_at(numbers, 64) % 9)
+    return closed(body, F.when(luhn_sum(chars(canon)) % 10 == 0, 0).otherwise(1 + F.element_at(numbers, 64) % 9))
+
 
-    def close(b: Column) -> Column:
-        return F.concat(b, ((10 - luhn_sum(chars(F.concat(b, F.lit("0")))) % 10 + off) % 10).cast("string"))
+def country_of(canon: Column) -> Column:
+    return F.regexp_extract(canon, r"^\+[0-9]* ", 0)
 
-    return let(body, close)
 
+def domain_of(canon: Column) -> Column:
+    return F.regexp_extract(canon, r"\.[a-z]{2,}$", 0)
 
-def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
-    """The surrogate of a part in canonical form."""
+
+def surrogate(key: str, kind: Column, canon: Column, draw: int) -> Column:
+    """The surrogate of a part in canonical form. Names grow by a syllable with each draw, mail addresses by a letter and
+    telephone numbers by a digit with each draw after MAX_DRAWS."""
+    longer = max(0, draw - MAX_DRAWS)
 
     def make(numbers: Column) -> Column:
         octets = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(1, 5)]), lambda i: (1 + F.element_at(numbers, i) % 254).cast("string")), ".")
-        domain = F.regexp_extract(canon, r"\.[a-z]{2,}$", 0)
-        mail = F.concat(like(F.substring(canon, F.lit(1), F.length(canon) - F.length(domain)), numbers), domain)
+        more = F.slice(F.reverse(numbers), 1, longer)
+        letters = F.array_join(F.transform(more, lambda v: F.substring(F.lit(LETTERS["latin"]), v % 26 + 1, F.lit(1))), "")
+        domain = domain_of(canon)
+        mail = F.concat(letters, like(F.substring(canon, F.lit(1), F.length(canon) - F.length(domain)), numbers), domain)
         script = script_of(canon)
         pick = lambda table: F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), script)
-        syllable = lambda i: F.element_at(F.split(pick(SYLLABLES), " "), (F.element_at(numbers, i) % 32 + 1).cast("int"))
+        syllable = lambda v: F.element_at(F.split(pick(SYLLABLES), " "), (v % 32 + 1).cast("int"))
         ending = F.when(kind == "given:male", pick({k: v["male"] for k, v in ENDINGS.items()})).when(kind == "given:female", pick({k: v["female"] for k, v in ENDINGS.items()})).otherwise(pick({k: v["sur"] for k, v in ENDINGS.items()}))
-        name = F.concat(syllable(1), syllable(2), syllable(3), ending)
-        country = F.regexp_extract(canon, r"^\+[0-9]* ", 0)
-        phone = F.concat(country, like(F.substring(canon, F.length(country) + 1, F.length(canon)), numbers))
+        name = F.concat(F.array_join(F.transform(F.slice(numbers, 1, 3 + draw), syllable), ""), ending)
+        country = country_of(canon)
+        digits = F.array_join(F.transform(more, lambda v: (v % 10).cast("string")), "")
+        phone = F.concat(country, like(F.substring(canon, F.length(country) + 1, F.length(canon)), numbers), digits)
         return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", card_like(canon, numbers)).when(kind == "phone", phone).otherwise(name)
 
-    return let(drawn(key, kind, canon, draw), make)
+    return let(drawn(key, kind, canon, F.lit(draw)), make)
 
 
 def poured(template: Column, content: Column) -> Column:
-    """content's digits in the places of template's digits."""
+    """content's digits in the places of template's digits, those beyond them at the end."""
 
     def one(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(template, F.lit(1), i + 1), "[^0-9]", ""))
         return F.when(c.rlike("[0-9]"), F.substring(content, before, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(chars(template), one), "")
+    places = F.length(F.regexp_replace(template, "[^0-9]", ""))
+    return F.concat(F.array_join(F.transform(chars(template), one), ""), F.substring(content, places + 1, F.length(content)))
 
 
 def cased(template: Column, content: Column) -> Column:
-    """Upper case where a mail address has it."""
-    return F.array_join(F.zip_with(chars(template), chars(content), lambda a, b: F.when(a.rlike(r"\p{Lu}"), F.upper(b)).otherwise(b)), "")
+    """Upper case where a mail address has it; of a longer content, at its end."""
+
+    def over(more: Column) -> Column:
+        rest = F.substring(content, more + 1, F.length(content))
+        return F.concat(F.substring(content, F.lit(1), more), F.array_join(F.zip_with(chars(template), chars(rest), lambda a, b: F.when(a.rlike(r"\p{Lu}"), F.upper(b)).otherwise(b)), ""))
 
+    return let(F.length(content) - F.length(template), over)
 
-def rewritten(key: str, entity: Column, draws: Column | None) -> Column:
-    """An entity's mention with its surrogate, in the mention's own format."""
 
-    def draw(p: Column) -> Column:
-        return F.lit(0) if draws is None else F.coalesce(F.element_at(draws, F.concat_ws("\u0001", p["kind"], p["canon"])), F.lit(0))
+def rewritten(key: str, entity: Column, again: Column | None) -> Column:
+    """An entity's mention with its surrogate, in the mention's own format; again has surrogates that are no first draws."""
+
+    def settled(p: Column) -> Column:
+        first = surrogate(key, p["kind"], p["canon"], 0)
+        return first if again is None else F.coalesce(F.element_at(again, F.concat_ws("\u0001", p["kind"], p["canon"])), first)
 
     def fill(made: Column) -> Column:
         first = F.element_at(made, 1)
@@ -162,19 +186,83 @@ def rewritten(key: str, entity: Column, draws: Column | None) -> Column:
         name = F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), F.array_join(F.transform(made, lambda m: F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))), " "))
         return F.when(kind == "email", cased(entity, first)).when(kind == "ip", first).when(kind == "card", poured(entity, first)).when(kind == "phone", phone).otherwise(name)
 
-    return let(F.transform(parts_of(entity), lambda p: surrogate(key, p["kind"], p["canon"], draw(p))), fill)
+    return let(F.transform(parts_of(entity), settled), fill)
+
+
+def base_of(c: Column, letters: Column) -> Column:
+    return F.when(c.rlike("[0-9]"), 10).when(c.rlike(r"\p{L}"), F.length(letters)).otherwise(1)
+
+
+def letters_of(body: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (k, v)]), script_of(body))
+
+
+def nth_value(n: Column) -> Column:
+    """The n-th value of the format in head, body and tail: the body's places count like those of a number."""
+    kind, head, body, tail = (F.col(c) for c in FORMAT)
+
+    def step(acc: Column, c: Column) -> Column:
+        base = base_of(c, letters_of(body))
+        v = acc["rest"] % base
+        symbol = F.when(c.rlike("[0-9]"), v.cast("string")).when(c.rlike(r"\p{L}"), F.substring(letters_of(body), (v + 1).cast("int"), F.lit(1))).otherwise(c)
+        return F.struct(F.floor(acc["rest"] / base).cast("long").alias("rest"), F.concat(symbol, acc["out"]).alias("out"))
+
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("out"))
+    filled = F.aggregate(F.reverse(chars(body)), start, step, lambda acc: acc["out"])
+    octets = F.concat_ws(".", *[(1 + F.floor(n / 254**k) % 254).cast("string") for k in (3, 2, 1, 0)])
+    return F.when(kind == "ip", octets).when(kind == "card", closed(filled, tail.cast("int"))).otherwise(F.concat(head, filled, tail))
+
+
+def with_format(parts: DataFrame) -> DataFrame:
+    """The parts whose surrogates keep a format, with it: head and tail stay (a card's tail says whether it is valid)."""
+    kind, canon = F.col("kind"), F.col("canon")
+    head = F.when(kind == "phone", country_of(canon)).otherwise("")
+    tail = F.when(kind == "email", domain_of(canon)).when(kind == "card", F.when(luhn_sum(chars(canon)) % 10 == 0, "0").otherwise("1")).otherwise("")
+    rows = parts.where(kind.isin("email", "phone", "card", "ip")).withColumn("head", head).withColumn("tail", tail)
+    cut = F.when(kind == "card", 1).otherwise(F.length("tail"))
+    plain = F.regexp_replace(F.substring(canon, F.length("head") + 1, F.length(canon) - F.length("head") - cut), "[0-9]", "0")
+    return rows.withColumn("body", F.when(kind == "ip", "").otherwise(F.regexp_replace(plain, r"\p{L}", F.substring(letters_of(plain), 1, 1))))
+
+
+def numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """rows with nth, from 0 on within each format. Each format is numbered in 256 parts, so no task gets all of one."""
+    rows = rows.withColumn("order", order).withColumn("part", F.pmod(F.xxhash64("order"), F.lit(256)))
+    before = F.sum("count").over(Window.partitionBy(*FORMAT).orderBy("part")) - F.col("count")
+    parts = rows.groupBy(*FORMAT, "part").count().withColumn("before", before).drop("count")
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*FORMAT, "part").orderBy("order")) - 1)
+    return rows.join(parts, [*FORMAT, "part"]).withColumn("nth", F.col("before") + F.col("at")).drop("order", "part", "at", "before")
+
+
+def in_order(key: str, pending: DataFrame, settled: DataFrame, originals: DataFrame) -> DataFrame:
+    """kind, canon, draw, surrogate of pending: values of the part's format that are neither surrogates nor originals; null
+    where no such value is left, and for names. Among as many values as there are losers and values in use, enough are
+    free, so no more are looked at."""
+    losers = numbered(with_format(pending), F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "canon"), 256))
+    used = originals.unionByName(settled.select("kind", F.col("surrogate").alias("canon"))).distinct()
+    forms = F.when(F.col("kind") == "ip", 254.0**4).otherwise(F.aggregate(chars(F.col("body")), F.lit(1.0), lambda acc, c: acc * base_of(c, letters_of(F.col("body")))))
+    wanted = losers.select(*FORMAT).unionByName(with_format(used).select(*FORMAT)).groupBy(*FORMAT).agg(F.count(F.lit(1)).alias("n"))
+    wanted = wanted.join(losers.select(*FORMAT).distinct(), FORMAT, "left_semi").withColumn("n", F.least(F.col("n").cast("double"), forms).cast("long"))
+    blocks = wanted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))).repartition(*FORMAT, "block")
+    values = blocks.withColumn("v", F.explode(F.sequence(F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1)))
+    values = values.select(*FORMAT, nth_value(F.col("v")).alias("surrogate"))
+    free = numbered(values.join(used.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti"), F.col("surrogate"))
+    given = losers.join(free, [*FORMAT, "nth"], "left").select("kind", "canon", "surrogate")
+    names = pending.where("kind not in ('email', 'phone', 'card', 'ip')").withColumn("surrogate", F.lit(None).cast("string"))
+    return given.unionByName(names).select("kind", "canon", F.lit(MAX_DRAWS).alias("draw"), "surrogate")
 
 
 def entity_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """kind, canon, draw, surrogate of the corpus's distinct parts; surrogates are distinct within a kind and no originals.
 
     A part loses a draw if its surrogate is some part's original, or a smaller part of the kind has it. Draws repeat for
-    the losers alone, at most MAX_DRAWS times; a space too small to hold all parts raises an error."""
+    the losers alone; after MAX_DRAWS of them, values are given out in order (see in_order), and what gets none draws on
+    with longer surrogates. Only more cards or IPv4 addresses than there are at all raise an error."""
     mentions = docs.where(F.col(text).rlike(ANY)).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("entity")).distinct()
     originals = materialize(mentions.select(F.explode(parts_of(F.col("entity"))).alias("p")).select("p.*").distinct(), "entities")
     pending, settled = originals, None
-    for draw in range(MAX_DRAWS):
-        made = pending.withColumn("draw", F.lit(draw)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.col("draw")))
+    draw = 0
+    while True:
+        made = pending.withColumn("draw", F.lit(draw)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), draw))
         everything = made if settled is None else made.unionByName(settled)
         # Settled parts win over pending ones, then the smallest part does.
         owner = everything.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "canon")).alias("owner"))
@@ -184,9 +272,16 @@ def entity_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         table = materialize(judged.select("kind", "canon", "draw", "surrogate", good.alias("good")), "draws")
         settled = table.where("good").drop("good")
         pending = table.where("not good").select("kind", "canon")
+        draw += 1
+        if draw == MAX_DRAWS and not pending.isEmpty():
+            given = materialize(in_order(key, pending, settled, originals), "in-order")
+            settled = settled.unionByName(given.where("surrogate is not null"))
+            pending = given.where("surrogate is null").select("kind", "canon")
+            draw += 1
+            if not pending.where("kind in ('card', 'ip')").isEmpty():
+                raise ValueError("there are more cards or addresses than their format can hold")
         if pending.isEmpty():
             return settled
-    raise ValueError("surrogates collide too often: some kind has more parts than its format can hold")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "doc_id") -> DataFrame:
@@ -198,16 +293,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "
     table = entity_table(docs, key, text)
     rows = docs.select(docs[doc_key].alias("doc_id"), docs[text].alias("text"))
     again = table.where("draw > 0")
-    draws = None
+    lookups = None
     if not again.isEmpty():
         entry = F.concat_ws("\u0001", "kind", "canon")
         held = rows.where(F.col("text").rlike(ANY)).select(F.sha2("text", 256).alias("sha"), F.explode(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), parts_of))).alias("p")).select("sha", "p.*").distinct()
-        lookup = held.join(again.select("kind", "canon", "draw"), ["kind", "canon"]).groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct(entry, "draw"))).alias("draws"))
+        lookup = held.join(again.select("kind", "canon", "surrogate"), ["kind", "canon"]).groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct(entry, "surrogate"))).alias("again"))
         rows = rows.withColumn("sha", F.sha2("text", 256)).join(lookup, "sha", "left").drop("sha")
-        draws = F.coalesce("draws", F.create_map().cast("map<string,int>"))
+        lookups = F.coalesce("again", F.create_map().cast("map<string,string>"))
     t = F.col("text")
     gaps, found = F.split(t, ANY, -1), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda e: rewritten(key, e, draws)), lambda g, e: F.concat(g, e)), ""), F.element_at(gaps, -1))
+    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda e: rewritten(key, e, lookups)), lambda g, e: F.concat(g, e)), ""), F.element_at(gaps, -1))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     placed = F.aggregate(
         F.zip_with(F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(found)), found, lambda g, e: F.struct(g.alias("gap"), e.alias("entity"))),

@@ -73,3 +73,17 @@ def test_what_is_written_for_numbers_with_a_country_code_is_distinct(spark, monk
     out = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
     new = {r.text for r in out}
     assert len(new) == len(texts) and not new & set(texts) and all(re.fullmatch(r"\+1 \d\d \d\d", x) for x in new)
+
+
+def test_more_entities_than_a_format_or_the_draws_can_hold(spark, monkeypatch):
+    """One draw only; 400 addresses in a format of 676 leave 276 free values, 30 surnames meet 8 names of three syllables."""
+    monkeypatch.setattr(pii_surrogates, "MAX_DRAWS", 1)
+    real = pii_surrogates.drawn
+    monkeypatch.setattr(pii_surrogates, "drawn", lambda key, kind, canon, draw: F.transform(real(key, kind, canon, draw), lambda v: v % F.when(kind == "surname", 2).otherwise(65536)))
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{abc[k // 20]}@{abc[k % 20]}.com" for k in range(400)]
+    texts = mails + [f"Dr Sm{abc[k % 26]}th{abc[k // 26]}" for k in range(30)]
+    new = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert len(set(new.values())) == len(texts) and not set(new.values()) & set(texts)
+    short = [x for x in new.values() if re.fullmatch(r"[a-z]@[a-z]\.com", x)]
+    assert len(short) == 276 and all(re.fullmatch(r"[a-z]+@[a-z]\.com", new[k]) for k in range(400))
