@@ -1,12 +1,13 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format. DataFrame functions only.
 
-Detected are mail addresses, telephone numbers, payment card numbers, IPv4 addresses and names after a title. What an
+Detected are mail addresses, telephone numbers, payment card numbers, IPv4 addresses, names after a title, and the words of
+such names wherever else the same document has them. What an
 entity's surrogate is depends only on the key and the entity in canonical form, so all mentions of one entity, in any
 document and spelling, get one surrogate. Whether two entities share a surrogate, or a surrogate is itself a real entity
 of the corpus, is checked over the table of distinct entities; losers draw again, names with one syllable more each time.
 After MAX_DRAWS draws, losers of a fixed format get its free values in order; mail addresses and telephone numbers of a
 format without free values become longer, so any number of entities is settled. Only those that drew again are looked up
-when texts are rewritten, so without a collision no text is shuffled.
+when texts are rewritten, so without many collisions no text is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,17 @@ from .secrets import let
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9.]*[0-9])"
 CARD = r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9])"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+_END = r"(?![0-9]|[ .-][0-9]{2,4}(?![0-9]))"
+PHONE = "|".join(
+    (
+        r"\+[0-9]{10,15}(?![0-9])",
+        r"\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)(?:[ .-]?[0-9]){4,13}" + _END,
+        r"\+(?=[0-9]{1,3}[ .-]?[0-9]?[ .-]?[0-9]{2})[0-9](?:[ .-]?[0-9]){6,14}" + _END,
+        r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])",
+        r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+        r"(?<![0-9][ .-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9]|[ .-][0-9])",
+    )
+)
 MALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "Госпожа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
@@ -46,17 +57,19 @@ ENDINGS = {
 MAX_DRAWS = 16  # after so many draws, what has a fixed format gets the free values of its format in order
 FORMAT = ["kind", "head", "body", "tail"]
 BLOCK = 4096
+SENT = 100_000  # so many entries of later draws at most are sent to every executor; for more, texts with entities are shuffled
 
 
 def kind_of(entity: Column) -> Column:
-    out = F.when(entity.contains("@"), "email").when(entity.rlike("^[0-9.]+$") & entity.contains("."), "ip").when(entity.rlike(f"^(?:{CARD})$"), "card")
-    return out.when(entity.rlike("^[+(]"), "phone").otherwise("name")
+    out = F.when(entity.contains("@"), "email").when(entity.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(entity.rlike(f"^(?:{CARD})$"), "card")
+    return out.when(entity.rlike("^[+(0-9]"), "phone").otherwise("name")
 
 
-def parts_of(entity: Column) -> Column:
+def parts_of(entity: Column, known: Column | None = None) -> Column:
     """array<struct<kind, canon>> of what gets a surrogate of its own: the entity itself, or each word of a name. A word
     that stands alone after its title is a surname; the first of two is a given name of the title's gender. A telephone
-    number's country code stands apart, as "+1 4155550123"; its surrogate keeps it."""
+    number's country code stands apart, as "+1 4155550123"; its surrogate keeps it. A word without a title is what known (the parts
+    of the document's titled names) has it as, a surname before a given name."""
     plain = F.struct(kind_of(entity).alias("kind"), F.when(entity.contains("@"), F.lower(entity)).otherwise(F.regexp_replace(entity, r"[^0-9.]|(?<![0-9])\.|\.(?![0-9])", "")).alias("canon"))
     digits = F.regexp_replace(entity, "[^0-9]", "")
     digits = F.struct(kind_of(entity).alias("kind"), F.when(entity.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(digits, f"^({COUNTRY}|)", "$1 "))).otherwise(digits).alias("canon"))
@@ -69,7 +82,18 @@ def parts_of(entity: Column) -> Column:
         return F.when(F.size(words) > 2, F.array(given, last)).otherwise(F.array(last))
 
     kind = kind_of(entity)
-    return F.when(kind == "name", let(F.split(entity, " "), name)).when(kind.isin("card", "phone"), F.array(digits)).otherwise(F.array(plain))
+    titled = let(F.split(entity, " "), name)
+    if known is not None:
+        titled = F.when(entity.contains(" "), titled).otherwise(F.array(F.array_max(F.filter(known, lambda p: p["canon"] == F.lower(entity)))))
+    return F.when(kind == "name", titled).when(kind.isin("card", "phone"), F.array(digits)).otherwise(F.array(plain))
+
+
+def names_of(found: Column) -> tuple[Column, Column]:
+    """Parts of the titled names among the entities found, and the pattern that finds those names' words besides ANY."""
+    names = F.filter(found, lambda e: kind_of(e) == "name")
+    words = F.array_distinct(F.flatten(F.transform(names, lambda e: F.slice(F.split(e, " "), 2, 2))))
+    bare = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.array_distinct(F.flatten(F.transform(names, lambda e: parts_of(e)))), F.when(F.size(names) > 0, bare).otherwise(ANY)
 
 
 def script_of(text: Column) -> Column:
@@ -172,7 +196,7 @@ def cased(template: Column, content: Column) -> Column:
     return let(F.length(content) - F.length(template), over)
 
 
-def rewritten(key: str, entity: Column, again: Column | None) -> Column:
+def rewritten(key: str, entity: Column, known: Column, again: Column | None) -> Column:
     """An entity's mention with its surrogate, in the mention's own format; again has surrogates that are no first draws."""
 
     def settled(p: Column) -> Column:
@@ -183,10 +207,10 @@ def rewritten(key: str, entity: Column, again: Column | None) -> Column:
         first = F.element_at(made, 1)
         kind = kind_of(entity)
         phone = poured(entity, F.regexp_replace(first, "[^0-9]", ""))
-        name = F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), F.array_join(F.transform(made, lambda m: F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))), " "))
+        name = F.concat(F.regexp_extract(entity, r"^(?:\S+ )?", 0), F.array_join(F.transform(made, lambda m: F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))), " "))
         return F.when(kind == "email", cased(entity, first)).when(kind == "ip", first).when(kind == "card", poured(entity, first)).when(kind == "phone", phone).otherwise(name)
 
-    return let(F.transform(parts_of(entity), settled), fill)
+    return let(F.transform(parts_of(entity, known), settled), fill)
 
 
 def base_of(c: Column, letters: Column) -> Column:
@@ -296,13 +320,22 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "
     lookups = None
     if not again.isEmpty():
         entry = F.concat_ws("\u0001", "kind", "canon")
-        held = rows.where(F.col("text").rlike(ANY)).select(F.sha2("text", 256).alias("sha"), F.explode(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), parts_of))).alias("p")).select("sha", "p.*").distinct()
+        held = rows.where(F.col("text").rlike(ANY)).select(F.sha2("text", 256).alias("sha"), F.explode(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda e: parts_of(e)))).alias("p")).select("sha", "p.*").distinct()
         lookup = held.join(again.select("kind", "canon", "surrogate"), ["kind", "canon"]).groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct(entry, "surrogate"))).alias("again"))
-        rows = rows.withColumn("sha", F.sha2("text", 256)).join(lookup, "sha", "left").drop("sha")
+        lookup = materialize(lookup, "lookup")
+        has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+        if (lookup.agg(F.sum(F.size("again"))).first()[0] or 0) <= SENT:
+            rows = rows.withColumn("sha", F.sha2("text", 256)).join(F.broadcast(lookup), "sha", "left").drop("sha")
+        else:
+            with_entities = rows.where(has).withColumn("sha", F.sha2("text", 256)).join(lookup, "sha", "left").drop("sha")
+            rows = with_entities.unionByName(rows.where(~has), allowMissingColumns=True)
         lookups = F.coalesce("again", F.create_map().cast("map<string,string>"))
     t = F.col("text")
-    gaps, found = F.split(t, ANY, -1), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda e: rewritten(key, e, lookups)), lambda g, e: F.concat(g, e)), ""), F.element_at(gaps, -1))
+    known, pattern = names_of(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    rows = rows.withColumn("known", F.when(t.rlike(ANY), F.struct(known.alias("parts"), pattern.alias("pattern"))))
+    known, pattern = F.col("known.parts"), F.col("known.pattern")
+    gaps, found = F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0))
+    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda e: rewritten(key, e, known, lookups)), lambda g, e: F.concat(g, e)), ""), F.element_at(gaps, -1))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     placed = F.aggregate(
         F.zip_with(F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(found)), found, lambda g, e: F.struct(g.alias("gap"), e.alias("entity"))),
@@ -313,6 +346,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "
         ),
         lambda acc: acc["out"],
     )
-    has = t.rlike(ANY)
+    has = F.col("known").isNotNull()
     rows = rows.select("doc_id", F.when(has, new).otherwise(t).alias("text"), F.when(has, placed).otherwise(none).alias("entities"))
     return rows.select("doc_id", "text", "entities", F.size("entities").cast("long").alias("n_entities"))

@@ -87,3 +87,32 @@ def test_more_entities_than_a_format_or_the_draws_can_hold(spark, monkeypatch):
     assert len(set(new.values())) == len(texts) and not set(new.values()) & set(texts)
     short = [x for x in new.values() if re.fullmatch(r"[a-z]@[a-z]\.com", x)]
     assert len(short) == 276 and all(re.fullmatch(r"[a-z]+@[a-z]\.com", new[k]) for k in range(400))
+
+
+def test_spellings_of_numbers_and_bare_names(spark):
+    texts = [
+        "+14155550123; +1 415 555 0123; 415-555-0123, (415) 555-0123 and 415.555.0123",
+        "+44 20 79460958; +442079460958; +49 30 12345678; +33 1 23 45 67 89; +4930123456789.",
+        "Mr. John Smith came. John Smith said that Smith's Smithson is John.",
+        "John Smith and Smithson; 100-200-3000-4, 1.415.555.0123",
+    ]
+    rows = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    us = [re.sub(r"\D", "", x) for x in re.findall(r"[+(]?[\d ().-]*\d", rows[0].text)]
+    assert len(us) == 5 and us[0] == us[1] and us[0][0] == "1" and len({*us[2:]}) == 1 and "5550123" not in "".join(us)
+    assert re.fullmatch(r"\+1\d{10}; \+1 \d{3} \d{3} \d{4}; \d{3}-\d{3}-\d{4}, \(\d{3}\) \d{3}-\d{4} and \d{3}\.\d{3}\.\d{4}", rows[0].text)
+    parts = re.fullmatch(r"\+44 (\d\d) (\d{8}); \+44(\d{10}); \+49 \d\d \d{8}; \+33 \d \d\d \d\d \d\d \d\d; \+49\d{11}\.", rows[1].text)
+    assert parts and parts[1] + parts[2] == parts[3] != "2079460958" and [e.kind for e in rows[1].entities] == ["phone"] * 5
+    first, last = rows[2].text.split()[1:3]
+    assert rows[2].text == f"Mr. {first} {last} came. {first} {last} said that {last}'s Smithson is {first}." != texts[2]
+    assert [texts[2][e.start : e.end] for e in rows[2].entities] == ["Mr. John Smith", "John", "Smith", "Smith", "John"]
+    assert rows[3].text == texts[3] and rows[3].n_entities == 0
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_later_draws_reach_the_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii_surrogates, "SENT", sent, raising=False)
+    real = pii_surrogates.drawn
+    monkeypatch.setattr(pii_surrogates, "drawn", lambda key, kind, canon, draw: F.transform(real(key, kind, canon, draw), lambda v: v % 2))
+    texts = [f"Dr Smith{'abcdefghij'[k]}" for k in range(10)] + ["none", None]
+    new = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()]
+    assert len(new) == 12 == len(set(new)) and {"none", None} == set(new) & set(texts)
