@@ -142,7 +142,7 @@ def fit_language_model(
 ) -> LanguageModel:
     """Piece probabilities from about `docs_per_language` documents of each language that are not held out, of whose words
     the `words_per_language` most frequent count; both bound what comes to the driver. Languages are the values of lang."""
-    ids = stratified_ids(docs, lang, docs_per_language, key)
+    ids, _ = stratified_ids(docs, lang, docs_per_language, key)
     sample = labelled_texts(docs, ids, text, key)
     words = sample.select(lang, F.explode(F.split(F.lower(F.translate(text, SPACE, "_")), r"\s+")).alias("word")).where("length(word) between 1 and 39")
     counts = words.groupBy(lang, "word").count()

@@ -53,9 +53,11 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(mean[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def train_ordinal(texts: Iterable[list[str]], grade: np.ndarray, classes: int, rounds: int = 120, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood by Adam. Thresholds are a first one and positive steps, so they stay in order."""
+def train_ordinal(texts: Iterable[list[str]], grade: np.ndarray, classes: int, rounds: int = 120, penalty: float = 1e-6, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood by Adam, each text counted at its weight. Thresholds are a first one and positive steps, so they
+    stay in order."""
     n = len(grade)
+    share = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     place: dict[str, int] = {}  # words as numbers, so that a document is two small arrays
     owners, words_, shares = [], [], []
     for d, words in enumerate(texts):
@@ -69,7 +71,7 @@ def train_ordinal(texts: Iterable[list[str]], grade: np.ndarray, classes: int, r
     del owners, words_, shares, cells, place
     used, col = np.unique(col, return_inverse=True)
     theta = np.zeros(len(used) + classes - 1)
-    cumulative = np.array([(grade > k).mean() for k in range(classes - 1)]).clip(1e-3, 1 - 1e-3)
+    cumulative = np.array([share[grade > k].sum() for k in range(classes - 1)]).clip(1e-3, 1 - 1e-3)
     cut = -np.log(cumulative / (1 - cumulative))
     theta[len(used)] = cut[0]
     theta[len(used) + 1 :] = np.log(np.maximum(np.diff(cut), 1e-2))
@@ -82,7 +84,7 @@ def train_ordinal(texts: Iterable[list[str]], grade: np.ndarray, classes: int, r
         at = np.arange(n)
         upper, lower = above[at, grade], above[at, grade + 1]
         p = np.maximum(upper - lower, 1e-9)
-        d_upper, d_lower = upper * (1 - upper) / p / n, lower * (1 - lower) / p / n  # of log p by the two link arguments
+        d_upper, d_lower = upper * (1 - upper) / p * share, lower * (1 - lower) / p * share  # of log p by the two link arguments
         d_score = d_upper - d_lower
         g_cut = np.bincount(grade, weights=-d_upper, minlength=classes)[1:] + np.bincount(grade, weights=d_lower, minlength=classes)[:-1]
         later = g_cut[::-1].cumsum()[::-1]
@@ -99,13 +101,13 @@ def train_ordinal(texts: Iterable[list[str]], grade: np.ndarray, classes: int, r
 def fit_quality(docs: DataFrame, ratings: DataFrame, grade: str = "grade", text: str = "text", key: str = "doc_id", docs_per_grade: int = 1500) -> OrdinalModel:
     """Learn from about `docs_per_grade` rated documents of each grade that are not held out; that bounds the sample.
     Grades are the distinct values of the column, in their order. With one grade, every tail is that of the sample."""
-    ids = stratified_ids(ratings, grade, docs_per_grade, key)
+    ids, stands_for = stratified_ids(ratings, grade, docs_per_grade, key)
     rows = labelled_texts(docs, ids, text, key).select(key, text, grade).orderBy(key).toPandas()
     grades = sorted(rows[grade].unique().tolist())
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros(BUCKETS), np.zeros(0))
     place = {g: k for k, g in enumerate(grades)}
-    weights, thresholds = train_ordinal(map(words_of, rows[text]), rows[grade].map(place).to_numpy(), len(grades))
+    weights, thresholds = train_ordinal(map(words_of, rows[text]), rows[grade].map(place).to_numpy(), len(grades), weight=rows[grade].map(stands_for).to_numpy(dtype=float))
     return OrdinalModel(grades, weights, thresholds)
 
 

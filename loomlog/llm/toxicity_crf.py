@@ -200,7 +200,7 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn from about toxic_docs + other_docs labelled documents that are not held out; these numbers bound the sample.
     Without both labels among them every score is the share of toxic ones (0 without any)."""
-    ids = stratified_ids(labels, label, {1: toxic_docs, 0: other_docs}, key)
+    ids, stands_for = stratified_ids(labels, label, {1: toxic_docs, 0: other_docs}, key)
     rows = labelled_texts(docs, ids, text, key).select(key, text, label).orderBy(key).toPandas()
     one: dict[str, str] = {}  # equal words share one object
     texts, y = [[one.setdefault(w, w) for w in words_of(t)] for t in rows[text]], [int(v) for v in rows[label]]
@@ -234,13 +234,19 @@ def fit_toxicity(
     # Calibrate on the documents' labels; the sample's classes are weighted as the labelled rows have them.
     table = model.worker()
     parts = [model.evidence(*model.marginals(table, rows[text].tolist()[k : k + 500])) for k in range(0, len(y), 500)]
-    x, target, beta = np.concatenate(parts), np.array(y, dtype=float), np.zeros(3)
+    each = np.array([stands_for[v] for v in rows[label]], dtype=float)
+    model.calibration = calibrate(np.concatenate(parts), np.array(y, dtype=float), each / each.mean())
+    return model
+
+
+def calibrate(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression (with a small penalty) by Newton steps, each row counted at its weight."""
+    beta = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -CLIP, CLIP)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-        beta -= np.linalg.solve(hessian, x.T @ (p - target) + 1e-2 * beta)
-    model.calibration = beta
-    return model
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
+        beta -= np.linalg.solve(hessian, x.T @ (weight * (p - target)) + 1e-2 * beta)
+    return beta
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, span_threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -110,3 +110,15 @@ def test_quality_held_out(spark, odd_docs, no_docs):
     assert len(rate(odd_docs, model, at_least=2).collect()) == odd_docs.count() and rate(no_docs, model).count() == 0
     one = fit_quality(odd_docs, odd_docs.select("doc_id", F.lit(1).alias("grade")))
     assert {r.expected_grade for r in rate(odd_docs, one).collect()} == {1.0}
+
+
+def test_scores_do_not_depend_on_the_classes_limits(spark):
+    """Three in ten rows with the same word are toxic: that is the score, also where few other rows are taken."""
+    rows = [(k, "some odd words here" if k % 10 else "some vile words here") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0 or k % 10 in (1, 2))) for k in range(3000)], "doc_id long, toxic int")
+    wanted = [score(docs.limit(2), fit_toxicity(docs, labels, other_docs=n)).orderBy("doc_id").collect()[1].score for n in (6000, 150)]
+    assert abs(wanted[0] - 2 / 9) < 0.05 and abs(wanted[1] - wanted[0]) < 0.05
+    grades = labels.select("doc_id", (1 - F.col("toxic")).alias("grade"))
+    tails = [rate(docs.limit(2), fit_quality(docs, grades, docs_per_grade=n)).orderBy("doc_id").collect()[1].tail_probability for n in (6000, 150)]
+    assert abs(tails[1] - tails[0]) < 0.07
