@@ -13,9 +13,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests on one machine), a folder of our own."""
+    """The folder named in spark.checkpoint.dir. Where that is unset on a single machine (tests), a folder of our own; on a
+    cluster, whose machines do not share their temporary folders, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="loomlog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -51,7 +54,7 @@ class Memo(dict):
     """word -> value, computed once per Python worker; emptied when it holds `limit` words, so memory stays bounded.
     Words of more than 256 characters are computed each time."""
 
-    def __init__(self, compute, limit: int = 1 << 20):
+    def __init__(self, compute, limit: int = 1 << 17):
         self.compute, self.limit = compute, limit
 
     def __missing__(self, word):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .samples import labelled_texts, stratified_ids
-from .vocabulary import WordRows, batches_of_texts
+from .vocabulary import WordRows, runs_of_rows
 
 SPACE = "▁"
 LONG = 40  # words up to this length need no rescaling: 40 steps of at least FLOOR stay above the smallest double
@@ -123,11 +123,11 @@ class LanguageModel:
 
     def worker(self) -> WordRows:
         lat = lattice(self.model)
-        return WordRows(lambda words: lat.scores(words, self.p), len(self.languages))
+        return WordRows(lambda words: lat.scores(words, self.p), len(self.languages), words_of)
 
     def predict(self, rows: WordRows, texts: list) -> tuple[list[str], np.ndarray]:
         """Language and its posterior. Evidence of long texts is tempered, or every posterior would be 0 or 1."""
-        sums, sizes = rows.sums([words_of(t) for t in texts])
+        sums, sizes = rows.sums(texts)
         tempered = sums / (1 + sizes[:, None] / 20)
         posterior = np.exp(tempered - tempered.max(axis=1, keepdims=True))
         posterior /= posterior.sum(axis=1, keepdims=True)
@@ -175,9 +175,9 @@ def identify(docs: DataFrame, fitted: LanguageModel, text: str = "text", key: st
     def run(batches):
         rows = fitted.worker()
         for batch in batches:
-            for ids, texts in batches_of_texts(batch):
-                names, scores = fitted.predict(rows, texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            for part in runs_of_rows(batch, 1):
+                names, scores = fitted.predict(rows, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

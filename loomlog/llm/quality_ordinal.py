@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .samples import labelled_texts, stratified_ids
-from .vocabulary import WordRows, batches_of_texts
+from .vocabulary import WordRows, runs_of_rows
 
 BUCKETS = 1 << 16
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
@@ -44,11 +44,11 @@ class OrdinalModel:
 
     def worker(self) -> WordRows:
         w = self.weights
-        return WordRows(lambda words: w[np.array([features(x) for x in words])].sum(axis=1)[:, None], 1)
+        return WordRows(lambda words: w[np.array([features(x) for x in words])].sum(axis=1)[:, None], 1, words_of)
 
     def tails(self, rows: WordRows, texts: list) -> np.ndarray:
         """P(grade > k) of each text for k = 0 .. K - 2."""
-        sums, sizes = rows.sums([words_of(t) for t in texts])
+        sums, sizes = rows.sums(texts)
         mean = sums[:, 0] / np.maximum(sizes, 1)
         return 1 / (1 + np.exp(-np.clip(mean[:, None] - self.thresholds[None, :], -30, 30)))
 
@@ -125,11 +125,11 @@ def rate(docs: DataFrame, model: OrdinalModel, at_least=None, select_from: float
         rows = model.worker()
         steps = np.diff(np.array(grades, dtype=float))
         for batch in batches:
-            for ids, texts in batches_of_texts(batch):
-                tails = model.tails(rows, texts)
+            for part in runs_of_rows(batch, 1):
+                tails = model.tails(rows, part.column(1).to_pylist())
                 expected = grades[0] + tails @ steps
-                tail = tails[:, cut] if 0 <= cut < tails.shape[1] else np.ones(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], ["doc_id", "expected_grade", "tail_probability"])
+                tail = tails[:, cut] if 0 <= cut < tails.shape[1] else np.ones(len(tails))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64())], ["doc_id", "expected_grade", "tail_probability"])
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

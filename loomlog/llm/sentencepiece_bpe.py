@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Memo
-from .vocabulary import batches_of_texts
+from .vocabulary import runs_of_rows
 
 SPACE = "▁"
 
@@ -72,7 +72,7 @@ class BacktrackingEncoder:
             self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.unit = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.memo = Memo(self._unit, 1 << 19)
+        self.memo = Memo(self._unit, 1 << 17)
 
     def merge(self, text: str) -> list[int]:
         """The plain way: merge the best adjacent pair until none is left. For pieces, pairs of pieces and tests."""
@@ -195,9 +195,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
     def run(batches):
         enc = encoder(model)
         for batch in batches:
-            kind = batch.column(0).type
-            for keys, texts in batches_of_texts(batch, 2_000_000):
-                joined, counts, decoded = zip(*map(enc.encode_decode, texts))
+            for part in runs_of_rows(batch, 1):
+                joined, counts, decoded = zip(*map(enc.encode_decode, part.column(1).to_pylist()))
                 if digests:
                     sha = lambda values: pa.array([hashlib.sha256(v.encode()).hexdigest() for v in values], pa.string())
                     columns = [sha(joined), sha(decoded)]
@@ -206,7 +205,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                     columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", *[f.split()[0] for f in fields.split(", ")]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int64()), *columns], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *columns], names)
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, {fields}")

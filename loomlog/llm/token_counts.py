@@ -13,10 +13,12 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import Memo
+from .vocabulary import runs_of_rows
 
 
 def byte_alphabet() -> list[str]:
@@ -47,7 +49,7 @@ class HeapCounter:
         self.special_mark = "<|" if all(t["content"].startswith("<|") for t in spec["added_tokens"]) else ""
         # White space to Python that is none to the tokenizer: such texts are cut by the pattern itself.
         self.odd = re.compile("[\x1c-\x1f]")
-        self.memo = Memo(self.chunk)
+        self.memo = Memo(self.chunk, 1 << 18)
 
     def merged(self, symbols: list[str]) -> int:
         """Symbols that remain after all merges."""
@@ -122,13 +124,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
     def run(batches):
         count = counter(tokenizer).count
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts = list(map(count, texts))
-            sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            for part in runs_of_rows(batch, 1):
+                counts = pa.array(map(count, part.column(1).to_pylist()), pa.int64())
+                sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, counts, pc.greater(counts, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 from .samples import labelled_texts, stratified_ids
-from .vocabulary import WordRows, batches_of_texts, runs_of_texts
+from .vocabulary import WordRows, runs_of_rows
 
 _JUNK = re.compile(r"[\W_]+")
 _WORD = re.compile(r"\S+")
@@ -80,12 +80,12 @@ class ToxicityModel:
         return np.exp(np.clip(out, -CLIP, CLIP))
 
     def worker(self) -> WordRows:
-        return WordRows(self.emissions, 1)
+        return WordRows(self.emissions, 1, words_of)
 
     def marginals(self, rows: WordRows, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """The probability of state 1 of all words of all texts, one after another, and the texts' counts of words."""
-        flat, sizes = rows.rows([words_of(t) for t in texts])
-        gains, out = rows.table[flat, 0], np.zeros(len(flat))
+        gains, sizes = rows.values(texts)
+        gains, out = gains[:, 0], np.zeros(len(gains))
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         order = np.argsort(-sizes, kind="stable")
         order = order[sizes[order] > 0]
@@ -258,7 +258,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, span_th
         rows = model.worker()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
-            for ids, texts in batches_of_texts(batch):
+            for part in runs_of_rows(batch, 1):
+                texts = part.column(1).to_pylist()
                 marginals, sizes = model.marginals(rows, texts)
                 scores = model.scores(marginals, sizes)
                 ends = np.cumsum(sizes)
@@ -270,7 +271,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, span_th
                     # lower() can change a text's length, never the number or order of its words
                     where = [m.span() for m in _WORD.finditer(texts[d])] if len(texts[d].split()) == sizes[d] else []
                     spans[d] = [{"start": where[t][0], "end": where[t][1], "marginal": float(own[t])} for t in np.flatnonzero(own >= span_threshold) if t < len(where)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -285,8 +286,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, te
     def run(batches):
         rows = model.worker()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            clean_ = [model.scores(*model.marginals(rows, texts[a:b])) < threshold for a, b in runs_of_texts(texts)]
-            yield batch.filter(pa.array(np.concatenate(clean_) if clean_ else [], pa.bool_()))
+            for part in runs_of_rows(batch, at):
+                scores = model.scores(*model.marginals(rows, part.column(at).to_pylist()))
+                yield part.filter(pa.array(scores < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
