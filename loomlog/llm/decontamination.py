@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .vocabulary import batches_of_texts, runs_of_texts
+from .common import materialize
+from .vocabulary import runs_of_rows
 
 _WORD = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,108 +56,127 @@ def rolling(x: np.ndarray, q: int) -> np.ndarray:
     return have
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int]:
-    """Least edits (if at most k) between the item and any stretch of text, and that stretch; (k + 1, 0, 0) if more."""
+def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int]:
+    """Least edits (if at most k) between the item and a stretch of text, and that stretch; (k + 1, 0, 0) if more.
+
+    Only alignments on the diagonals low to high count (place in the text less place in the item), so time is item length
+    times high - low and memory high - low. An alignment of at most k edits changes its diagonal at most k times."""
     m, n = len(item), len(text)
-    row, origin = np.zeros(n + 1, dtype=np.int64), np.arange(n + 1)
-    steps = np.arange(n + 1)
+    diagonals = np.arange(low, high + 1)
+    far = k + 1
+    cost = np.where((diagonals >= 0) & (diagonals <= n), 0, far)
+    origin = np.clip(diagonals, 0, n)
+    padded = np.full(m + len(diagonals) + 1, -1, dtype=np.int64)  # text[low], text[low + 1], ... with -1 outside of the text
+    first, last = max(0, low), min(n, low + len(padded))
+    if last > first:
+        padded[first - low : last - low] = text[first:last]
+    steps = np.arange(len(diagonals))
     for i in range(1, m + 1):
-        diagonal = row[:-1] + (text != item[i - 1])
-        up = row[1:] + 1
-        best = np.minimum(diagonal, up)
-        source = np.where(diagonal <= up, origin[:-1], origin[1:])
-        fresh, from_ = np.concatenate([[i], best]), np.concatenate([[origin[0]], source])
-        # Insertions: the smallest of fresh[j] + (place - j) over j to the left.
-        shifted = fresh - steps
+        fresh = padded[i - 1 : i - 1 + len(diagonals)]
+        straight = cost + (fresh != item[i - 1])
+        skipped = np.append(cost[1:], far) + 1  # the item's character is missing from the text
+        best = np.minimum(straight, skipped)
+        source = np.where(straight <= skipped, origin, np.append(origin[1:], 0))
+        ends = diagonals + i
+        best[(ends < 0) | (ends > n)] = far
+        # Characters that the text has more: the smallest of best[d] + (place - d) over diagonals d to the left.
+        shifted = best - steps
         least = np.minimum.accumulate(shifted)
         at = np.maximum.accumulate(np.where(shifted == least, steps, 0))
-        row, origin = least + steps, from_[at]
-        if row.min() > k:
+        cost, origin = np.minimum(least + steps, far), source[at]
+        cost[(ends < 0) | (ends > n)] = far
+        if cost.min() > k:
             return k + 1, 0, 0
-    end = int(row.argmin())
-    return int(row[end]), int(origin[end]), end
+    d = int(cost.argmin())
+    return int(cost[d]), int(origin[d]), m + low + d
 
 
-@dataclass
-class BenchmarkIndex:
-    """q-grams of some items. Items shorter than q are looked for as they are."""
+class GramTable:
+    """The q-grams of the items of one q: their hashes in order, and for each its items and places."""
 
-    ids: list
-    texts: list[str]
-    q: int = 12
-    max_error: float = 0.05
-
-    def __post_init__(self):
-        hashes, items, places = [], [], []
-        self.budget, self.need = [], []
-        for i, text in enumerate(self.texts):
-            m = len(text)
-            k = max(0, min(int(self.max_error * m), (m - self.q) // self.q))
-            self.budget.append(k)
-            self.need.append(m - self.q + 1 - k * self.q)
-            h = rolling(codes(text), self.q)
-            hashes.append(h)
-            items.append(np.full(len(h), i, dtype=np.int64))
-            places.append(np.arange(len(h), dtype=np.int64))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+    def __init__(self, texts: list[str], items: list[int], q: int):
+        self.q = q
+        each = [rolling(codes(texts[i]), q) for i in items]
+        sizes = [len(h) for h in each]
+        h = np.concatenate(each)
         order = np.argsort(h, kind="stable")
         self.hashes, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        self.items = (np.concatenate(items) if items else np.zeros(0, dtype=np.int64))[order]
-        self.places = (np.concatenate(places) if places else np.zeros(0, dtype=np.int64))[order]
+        self.items = np.repeat(np.array(items, dtype=np.int64), sizes)[order]
+        self.places = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])[order]
         self.filter = np.zeros(1 << _BITS, dtype=bool)
         self.filter[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < self.q]
-        self.budget, self.need = np.array(self.budget, dtype=np.int64), np.array(self.need, dtype=np.int64)
 
-    def hits(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, int]]]:
-        """Document -> (item, edits, start, end) in its normalised text."""
-        found: dict[int, list] = {}
-        for d, text in enumerate(texts):
-            for i in self.short:
-                at = text.find(self.texts[i])
-                if at >= 0:
-                    found.setdefault(d, []).append((i, 0, at, at + len(self.texts[i])))
-        gap = "\0" * self.q  # no q-gram of an item crosses from one document to the next
-        big = codes(gap.join(texts))
-        starts = np.concatenate([[0], np.cumsum([len(t) + self.q for t in texts])[:-1]]).astype(np.int64)
+    def found(self, big: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, item and place in the item of every q-gram of big that an item has."""
+        none = np.zeros(0, dtype=np.int64)
         h = rolling(big, self.q)
-        if not len(h) or not len(self.hashes):
-            return found
         place = np.flatnonzero(self.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        if not len(place):
+            return none, none, none
         at = np.minimum(np.searchsorted(self.hashes, h[place]), len(self.hashes) - 1)
         real = self.hashes[at] == h[place]
         place, at = place[real], at[real]
         count = self.count[at]
-        if not len(place):
-            return found
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         entry = np.repeat(self.first[at], count) + within
-        place, item, spot = np.repeat(place, count), self.items[entry], self.places[entry]
-        doc = np.searchsorted(starts, place, side="right") - 1
-        step = self.budget[item] + 1
-        diagonal = place - starts[doc] - spot
-        band = diagonal // step
-        key = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([band, band - 1]), np.concatenate([spot, spot])], axis=1)
-        key = np.unique(key, axis=0)  # each q-gram of the item counts once in a band
-        groups, sizes = np.unique(key[:, :3], axis=0, return_counts=True)
-        groups = groups[sizes >= self.need[groups[:, 1]]]
-        for d, i, b in groups.tolist():
-            k, item_text = int(self.budget[i]), self.texts[i]
-            last = found.setdefault(d, [])
-            low = max(0, b * (k + 1) - k)
-            high = (b + 2) * (k + 1) + len(item_text) + k
-            if last and last[-1][0] == i and last[-1][2] >= low and last[-1][3] <= high:
-                continue  # bands come in order, so this is the hit that the band before gave
-            region = texts[d][low:high]
-            spot_ = region.find(item_text)
-            if spot_ >= 0:
-                last.append((i, 0, low + spot_, low + spot_ + len(item_text)))
+        return np.repeat(place, count), self.items[entry], self.places[entry]
+
+
+@dataclass
+class BenchmarkIndex:
+    """Items of m characters are found with up to k = max_error * m edits. Each has the largest q up to `q` for which the
+    lemma leaves at least one q-gram, m // (k + 1). Items under `q` characters without edits count as whole words only."""
+
+    ids: list
+    texts: list[str]
+    q: int = 12
+    max_error: float = 0.05
+
+    def __post_init__(self):
+        self.texts = list(self.texts)
+        sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.budget = np.floor(self.max_error * sizes + 1e-9).astype(np.int64)
+        grams = np.minimum(self.q, sizes // (self.budget + 1))
+        self.need = sizes - grams + 1 - self.budget * grams
+        self.whole_words = (sizes < self.q) & (self.budget == 0)
+        self.tables = [GramTable(self.texts, np.flatnonzero(grams == g).tolist(), int(g)) for g in np.unique(grams) if g > 0]
+
+    def hits(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Document -> (item, edits, start, end) in its normalised text."""
+        big = codes(("\0" * self.q).join(texts))  # no q-gram of an item crosses from one document to the next
+        starts = np.concatenate([[0], np.cumsum([len(t) + self.q for t in texts])[:-1]]).astype(np.int64)
+        found: dict[int, list] = {}
+        for table in self.tables:
+            place, item, spot = table.found(big)
+            if not len(place):
                 continue
-            edits, a, e = banded_distance(codes(item_text), codes(region), k)
-            if edits <= k:
-                last.append((i, edits, low + a, low + e))
+            doc = np.searchsorted(starts, place, side="right") - 1
+            diagonal = place - starts[doc] - spot
+            band = diagonal // (self.budget[item] + 1)
+            key = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(spot, 2)], axis=1)
+            key = np.unique(key, axis=0)  # each q-gram of the item counts once in a band
+            groups, sizes = np.unique(key[:, :3], axis=0, return_counts=True)
+            for d, i, b in groups[sizes >= self.need[groups[:, 1]]].tolist():
+                self._verify(texts[d], i, b, found.setdefault(d, []))
         return {d: x for d, x in found.items() if x}
 
+    def _verify(self, text: str, i: int, b: int, hits: list) -> None:
+        """Add to hits what the band b of item i holds, if it is within the budget. Bands of an item come in order."""
+        k, item = int(self.budget[i]), self.texts[i]
+        lowest, highest = b * (k + 1) - k, (b + 2) * (k + 1) - 1 + k  # diagonals of alignments that the band may count for
+        low, high = max(0, lowest), min(len(text), highest + len(item) + 1)
+        if hits and hits[-1][0] == i and hits[-1][2] >= low and hits[-1][3] <= high:
+            return  # the band before gave this hit
+        at = text.find(item, low, high)
+        if at >= 0:
+            ends = (text[at - 1 : at], text[at + len(item) : at + len(item) + 1])
+            if not (self.whole_words[i] and any(c.isalnum() for c in ends)):
+                hits.append((i, 0, at, at + len(item)))
+        elif k:
+            edits, a, e = banded_distance(codes(item), codes(text[low:high]), lowest - low, highest - low, k)
+            if edits <= k:
+                hits.append((i, edits, low + a, low + e))
+
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Where stretches of the normalised text lie in the text itself (exact but for letters whose lower case has another
@@ -175,66 +196,72 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 
 def _blocks(benchmark: DataFrame, item: str, item_text: str, block_chars: int) -> tuple[DataFrame, int]:
-    items = benchmark.select(benchmark[item].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("item_text")).where("trim(item_text) <> ''")
+    items = benchmark.select(benchmark[item].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("item_text")).where("trim(item_text) <> ''").distinct()
     return items, max(1, -(-items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0] // block_chars))
 
 
 def _sent(items: DataFrame, blocks: int, b: int):
     """Block b of the items, which holds about block_chars characters, on every executor."""
-    block = items.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == b).collect()
-    return items.sparkSession.sparkContext.broadcast([(r[0], normalise(r[1])) for r in block])
+    block = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == b).collect()
+    return items.sparkSession.sparkContext.broadcast([(r[0], t) for r in block if (t := normalise(r[1]))])
+
+
+def _per_block(docs: DataFrame, items: DataFrame, blocks: int, run, schema: str | StructType) -> DataFrame:
+    """docs after run(batches, index, last) for each block of items in turn. All but the last result are written, so that
+    one block's index at a time lives on the executors and in the driver."""
+    for b in range(blocks):
+        sent, last = _sent(items, blocks, b), b == blocks - 1
+        docs = docs.mapInArrow(lambda batches, sent=sent, last=last: run(batches, sent.value, last), schema)
+        if not last:
+            docs = materialize(docs, "after-block")
+            sent.destroy()
+    return docs
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", q: int = 12, max_error: float = 0.05, block_chars: int = 8_000_000) -> DataFrame:
     """One row per document: key, contaminated, leaks (item_id, edits, start, end in code points of the text).
 
-    An item leaks where a stretch of the document is within max_error * length edits of it. Items and documents that are
-    null or blank match nothing; repeated items and items with a null id are looked for too. The benchmark is taken in
-    blocks of about block_chars characters, so its size has no bound, only one pass over the documents per block; no
-    document is shuffled. An empty benchmark leaves every document clean; other columns are ignored.
+    An item leaks where a stretch of the document is within max_error * length edits of it; items of fewer than q
+    characters leak as whole words. Items count as a whole: a document that quotes a part of a long item is clean unless
+    the part is an item of its own. Items and documents that are null or blank match nothing; items with a null id are
+    looked for too; an item that repeats with its id is one. The benchmark is taken in blocks of about block_chars
+    characters, one after another, each with a pass over the documents; no document is shuffled. Texts of any length are
+    taken whole; time is proportional to their length and to the hits. An empty benchmark leaves every document clean;
+    rows may repeat; other columns are ignored.
     """
     items, blocks = _blocks(benchmark, item, item_text, block_chars)
     span = "array<struct<item_id:" + items.schema["item_id"].dataType.simpleString() + ",edits:int,start:int,end:int>>"
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.lit(None).cast(span).alias("leaks"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    for b in range(blocks):
-        index = _sent(items, blocks, b)
-
-        def run(batches, index=index, last=b == blocks - 1):
-            known = BenchmarkIndex([i for i, _ in index.value], [t for _, t in index.value], q, max_error)
-            for batch in batches:
-                done = batch.column(2).to_pylist()
-                at = 0
-                for ids, texts in batches_of_texts(batch):
-                    hits = known.hits([normalise(t) for t in texts])
-                    leaks = done[at : at + len(ids)]
-                    for d, found in hits.items():
-                        found = sorted(found, key=lambda x: x[2:])
-                        where = original_spans(texts[d], [x[2:] for x in found])
-                        spans = [(known.ids[i], e, *w) for (i, e, _, _), w in zip(found, where)]
-                        leaks[d] = (leaks[d] or []) + [{"item_id": i, "edits": e, "start": s, "end": t} for i, e, s, t in spans]
-                    at += len(ids)
-                    kept = pa.array([None] * len(ids) if last else texts, pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), kept, pa.array(leaks, batch.column(2).type)], ["doc_id", "text", "leaks"])
-
-        rows = rows.mapInArrow(run, f"doc_id {kind}, text string, leaks {span}")
+
+    def run(batches, block, last):
+        known = BenchmarkIndex([i for i, _ in block], [t for _, t in block], q, max_error)
+        for batch in batches:
+            for part in runs_of_rows(batch, 1):
+                texts, leaks = part.column(1).to_pylist(), part.column(2).to_pylist()
+                for d, found in known.hits([normalise(t) for t in texts]).items():
+                    found = sorted(found, key=lambda x: x[2:])
+                    where = original_spans(texts[d], [x[2:] for x in found])
+                    new = [{"item_id": known.ids[i], "edits": e, "start": a, "end": b} for (i, e, _, _), (a, b) in zip(found, where)]
+                    leaks[d] = (leaks[d] or []) + new
+                kept = pa.nulls(len(texts), pa.string()) if last else part.column(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), kept, pa.array(leaks, batch.column(2).type)], ["doc_id", "text", "leaks"])
+
+    rows = _per_block(rows, items, blocks, run, f"doc_id {kind}, text string, leaks {span}")
     leaks = F.coalesce("leaks", F.array().cast(span))
     return rows.select("doc_id", (F.size(leaks) > 0).alias("contaminated"), leaks.alias("leaks"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = 12, max_error: float = 0.05, block_chars: int = 8_000_000) -> DataFrame:
-    """The rows of docs in which no item leaks, with all their columns."""
+    """The rows of docs in which no item leaks, with all their columns; for the rest see find_leaks."""
     items, blocks = _blocks(benchmark, item, item_text, block_chars)
     at = docs.columns.index(text)
-    for b in range(blocks):
-        index = _sent(items, blocks, b)
 
-        def run(batches, index=index):
-            known = BenchmarkIndex([i for i, _ in index.value], [t for _, t in index.value], q, max_error)
-            for batch in batches:
-                texts = [normalise(t) for t in batch.column(at).to_pylist()]
-                hit = {a + d for a, b in runs_of_texts(texts) for d in known.hits(texts[a:b])}
-                yield batch.filter(pa.array([d not in hit for d in range(len(texts))], pa.bool_()))
+    def run(batches, block, last):
+        known = BenchmarkIndex([i for i, _ in block], [t for _, t in block], q, max_error)
+        for batch in batches:
+            for part in runs_of_rows(batch, at):
+                hit = known.hits([normalise(t) for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array([d not in hit for d in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return _per_block(docs, items, blocks, run, docs.schema)

@@ -1,3 +1,5 @@
+import time
+
 from loomlog.llm.decontamination import BenchmarkIndex, banded_distance, codes, drop_contaminated, find_leaks, normalise
 
 
@@ -27,22 +29,67 @@ def plain_distance(item, text):
 def test_alignment_is_the_edit_distance(rng):
     for _ in range(60):
         item, text = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 25))), "".join(rng.choice("abc ") for _ in range(rng.randint(1, 40)))
-        edits, a, b = banded_distance(codes(item), codes(text), 99)
+        edits, a, b = banded_distance(codes(item), codes(text), -len(item), len(text), 99)
         assert edits == plain_distance(item, text) == plain_distance(item, text[a:b])
 
 
+def test_alignment_within_a_band(rng):
+    """Copies with k edits are found on the diagonals within k of where they lie, at a cost that no text length changes."""
+    for _ in range(60):
+        item, k = "".join(rng.choice("abcd ") for _ in range(rng.randint(20, 60))), rng.randint(0, 4)
+        at = rng.randint(0, 30)
+        text = "z" * at + edit(rng, item, k) + "z" * 10
+        edits, a, b = banded_distance(codes(item), codes(text), at - k, at + k, k)
+        assert edits <= k and plain_distance(item, text[a:b]) <= edits
+
+
+def test_cost_is_linear_in_item_length(rng):
+    def seconds(m):
+        item = "".join(rng.choice("abcdefgh ") for _ in range(m))
+        text = codes(edit(rng, item, 3))
+        begin = time.perf_counter()
+        assert banded_distance(codes(item), text, -3, 3, 3)[0] <= 3
+        return time.perf_counter() - begin
+
+    assert min(seconds(16_000) for _ in range(3)) < 30 * min(seconds(1_000) for _ in range(3))
+
+
 def test_filter_loses_nothing(rng):
     words = ["tion", "the", "and", "ere", "of", "shing", "ä", "on"]
-    items = [normalise(" ".join(rng.choice(words) + rng.choice(words) for _ in range(rng.randint(4, 40)))) for _ in range(20)] + ["short"]
+    items = [normalise(" ".join(rng.choice(words) + rng.choice(words) for _ in range(rng.randint(4, 40)))) for _ in range(20)]
+    items += ["".join(rng.choice("abcdefghij ") for _ in range(n)).strip("  ").ljust(n, "q") for n in range(12, 41)] + ["short"]
     index = BenchmarkIndex(list(range(len(items))), items)
     docs = []
-    for _ in range(150):
+    for _ in range(300):
         i = rng.randrange(len(items))
         docs.append(normalise("head of it " + edit(rng, items[i], rng.randint(0, int(index.budget[i]) + 2)) + " tail of it"))
     hits = index.hits(docs)
     for d, text in enumerate(docs):
-        want = {i for i, item in enumerate(items) if plain_distance(item, text) <= index.budget[i]}
-        assert {x[0] for x in hits.get(d, [])} == want
+        want = {i for i, item in enumerate(items[:-1]) if plain_distance(item, text) <= index.budget[i]}
+        assert {x[0] for x in hits.get(d, [])} - {len(items) - 1} == want
+
+
+def test_spans_over_several_blocks(spark, rng):
+    """Five blocks, items of 12 to 40 characters, against the plain distance; spans hold what was found."""
+    items = [(k, "".join(rng.choice("abcdefghijklmnop") for _ in range(12 + k))) for k in range(29)]
+    docs = []
+    for n in range(60):
+        k, item = rng.choice(items)
+        docs.append((n, f"Some  words {edit(rng, item.upper(), rng.randint(0, 2))}\t and more"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    rows = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_chars=size // 5 + 1).collect()
+    for r in rows:
+        text = dict(docs)[r.doc_id]
+        want = {k for k, item in items if plain_distance(item, normalise(text)) <= len(item) // 20}
+        assert {x.item_id for x in r.leaks} == want and r.contaminated == bool(want)
+        for x in r.leaks:
+            assert plain_distance(items[x.item_id][1], normalise(text[x.start : x.end])) == x.edits
+
+
+def test_short_items_are_whole_words():
+    index = BenchmarkIndex([1], ["one"])
+    assert index.hits(["a stone", "two one two", "one", "one-two", "ones"]).keys() == {1, 2, 3}
 
 
 def test_operator(spark, odd_docs, no_docs):
