@@ -1,18 +1,21 @@
 """Documents whose sets of word shingles have a Jaccard similarity of at least a threshold, by a token-group matrix.
 
 1. Documents with one and the same set are one from here on (a signature of the whole set).
-2. Similar sets are put into groups: sets that share one of three min-hashes, and sets those share one with, form a
-   family, and families are cut into blocks of bounded size. Groups steer cost only; no link depends on them.
-3. The matrix has a row for every token and group in whose members' prefixes it occurs. A set of n tokens can only be
-   linked with one that shares a token of the n - ceil(t n) + 1 rarest of both, so groups that share none with a query
-   are never opened, and every other pair of query and group is.
-   The tokens that a query's prefix shares with those of a group bound the overlap further: a linked pair's overlap lies in
-   both prefixes, or beyond the one that ends first, so too few shared tokens rule a group out before it is opened.
-4. An opened group knows the union of its members' tokens. A query with fewer than t n tokens in the union is linked with
-   none of them; otherwise its overlap with all members is counted exactly, from the group's token-to-member lists.
+2. Similar sets are put into groups: sets that share one of three min-hashes form families, each cut into blocks of
+   bounded size. A block is compared exactly, among its members and with the pivots (smallest members) of the min-hash
+   values that its members have. That joins most near copies into clusters, at a cost in proportion to their number.
+3. The matrix: members of a large cluster form groups of their own, other members of a family form groups together, a set
+   without a family is a group of one. A set of n tokens can only be linked with one that shares one of its prefix, the
+   n - ceil(t n) + 1 rarest tokens of both, so each group's union of prefixes is stored, and a token's row has the groups
+   in whose unions it is. Two groups that share no token there are never compared, nor are two of one cluster. The number
+   of tokens shared bounds every overlap between members, since a linked pair's overlap lies in both prefixes, or beyond
+   the one that ends first; too few rule the pair of groups out before any set is moved.
+4. For the groups left, the union of the members' whole sets is stored. A query with fewer than ceil(t n) tokens in it is
+   turned away; a group is opened for the queries that remain, whose overlap with each member is counted exactly.
 5. Links become components. What an opened group returns are at most as many edges as it has documents.
 
-The rarity order counts tokens over all documents, exactly enough to put frequent ones last; any order gives right results.
+Groups steer cost only; no link depends on them. The rarity order counts tokens over all documents, exactly enough to put
+frequent ones last; any order gives right results.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_keys, join_dealt, materialize
 from .connected import components
 
 _B, _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 HEAVY = 1 << 17  # most tokens whose frequency is kept for the order
-WINDOW = 1_000_000  # tokens that a task holds before it passes them on
-BLOCK = 256
-PART = 2_000_000  # tokens of a family's sets whose prefixes are compared in one task
-CHUNK = 512
+WINDOW = 500_000  # tokens that a task holds before it passes them on
+BLOCK = 256  # most members of a group, in the mean
+PART = 2_000_000  # most tokens of a group's sets, in the mean
+CHUNK = 512  # queries that meet a group in one task, in the mean
+SPLIT = 1024  # groups of a token's row that ask in one task
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -125,27 +129,47 @@ def frequent_tokens(counts: DataFrame) -> np.ndarray:
     return rows["token"].to_numpy(dtype=np.int64).view(np.uint64).copy()
 
 
-def grouped(sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """(doc, n, label, block, family, parts): families by shared min-hashes, blocks of about BLOCK members of a family, and
-    into how many parts the family's tokens are cut where its members are compared."""
-    label = sets.select("doc", "n", F.array("m1", "m2", "m3").alias("m"), F.least("m1", "m2", "m3").alias("label"))
-    values = sets.select("doc", F.explode(F.array("m1", "m2", "m3")).alias("value"))
-    labels = label.select("doc", "label")
-    for _ in range(rounds):
-        held = values.join(labels, "doc")
-        least = held.groupBy("value").agg(F.min("label").alias("least"))
-        labels = values.join(least, "value").groupBy("doc").agg(F.min("least").alias("label"))
-    labels = materialize(labels, "labels")
-    labels = sets.select("doc", "n").join(labels, "doc")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("family"), F.ceil(F.sum("n") / PART).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("family") / BLOCK).cast("long"))
-    return labels.join(sizes, "label").select("doc", "n", "label", F.xxhash64("label", part).alias("block"), "family", "parts")
+def families(sets: DataFrame) -> DataFrame:
+    """(doc, family, parts, block, pivots) of the sets that share a min-hash with another: their family is named after the
+    smallest of the pivots (smallest sets' ids) of those values, and cut into `parts` blocks."""
+    values = sets.select("doc", "n", F.explode(F.array_distinct(F.array("m1", "m2", "m3"))).alias("value"))
+    shared = values.groupBy("value").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = materialize(shared, "values")
+    held = join_dealt(values, shared, "value", hot_keys(shared, "value", "many", _total(shared, "many")), ["doc"])
+    placed = materialize(held.groupBy("doc").agg(F.max("n").alias("n"), F.min("pivot").alias("family"), F.collect_set("pivot").alias("pivots")), "families")
+    sizes = materialize(placed.groupBy("family").agg(F.count(F.lit(1)).alias("many"), _parts("n").alias("parts")), "family-sizes")
+    placed = join_dealt(placed, sizes, "family", hot_keys(sizes, "family", "many", _total(sizes, "many")), ["doc"])
+    block = F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    return materialize(placed.select("doc", "family", "parts", block.alias("block"), "pivots"), "blocks")
 
 
-def prefix_postings(docs: DataFrame, width: int, percent: int, heavy: np.ndarray, buckets: int) -> DataFrame:
-    """Per task, window and bucket of tokens one row: the tokens of prefixes there, and their documents.
+def _total(counted: DataFrame, size: str) -> int:
+    return counted.agg(F.sum(size)).first()[0] or 0
 
-    heavy: frequent tokens, rarest first; they come after all others in the order. Copies within a window appear once."""
+
+def _parts(n: str):
+    """Into how many groups so many sets of n tokens each are cut."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(n) / PART)).cast("long")
+
+
+def grouped(sets: DataFrame, placed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(doc, cluster, group, alone) of all sets."""
+    own = sets.groupBy("doc").agg(F.max("n").alias("n")).join(placed.select("doc", "family", "parts"), "doc", "left")
+    own = own.join(clusters.withColumnRenamed("node", "doc").withColumnRenamed("component", "cluster"), "doc", "left")
+    own = materialize(own.withColumn("cluster", F.coalesce("cluster", "doc")), "clusters")
+    sizes = materialize(own.where("family is not null").groupBy("cluster").agg(F.count(F.lit(1)).alias("many"), _parts("n").alias("pieces")), "cluster-sizes")
+    large = sizes.where(F.col("many") >= BLOCK // 2)
+    own = join_dealt(own, large, "cluster", hot_keys(large, "cluster", "many", _total(large, "many")), ["doc"], "left")
+    of_cluster = F.xxhash64(F.lit("cluster"), "cluster", F.pmod(F.xxhash64("doc"), F.col("pieces")))
+    of_family = F.xxhash64(F.lit("family"), "family", F.pmod(F.xxhash64("cluster"), F.col("parts")))
+    group = F.when(F.col("pieces").isNotNull(), of_cluster).when(F.col("family").isNotNull(), of_family).otherwise(F.xxhash64(F.lit("alone"), "doc"))
+    return materialize(own.select("doc", "cluster", group.alias("group"), F.col("family").isNull().alias("alone")), "groups")
+
+
+def prefixes(rows: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
+    """(doc, n, tokens): each set's prefix, rarest tokens first. Copies within a window of a task appear once.
+
+    heavy: frequent tokens, rarest first; they come after all others in the order."""
     by_token = np.argsort(heavy, kind="stable")
     known, rank = heavy[by_token], by_token  # rank[i]: place of known[i] in heavy
 
@@ -166,22 +190,8 @@ def prefix_postings(docs: DataFrame, width: int, percent: int, heavy: np.ndarray
         size = 0
 
         def flush():
-            if not held:
-                return None
-            tokens = np.concatenate([t for _, t in held.values()])
-            owners = np.repeat(np.array([d for d, _ in held.values()], dtype=np.int64), [len(t) for _, t in held.values()])
-            bucket = ((tokens >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            tokens, owners, bucket = tokens[order], owners[order], bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[cuts[:-1]], pa.int64()),
-                    pa.array([tokens[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                    pa.array([owners[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                ],
-                ["bucket", "tokens", "owners"],
-            )
+            docs, n, tokens = zip(*held.values())
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["doc", "n", "tokens"])
 
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -193,21 +203,76 @@ def prefix_postings(docs: DataFrame, width: int, percent: int, heavy: np.ndarray
                     held[sig][0] = min(held[sig][0], key)
                     continue
                 first = prefix(tokens)
-                held[sig] = [key, first]
+                held[sig] = [key, len(tokens), first.tobytes()]
                 size += len(first)
                 if size >= WINDOW:
                     yield flush()
                     held, size = {}, 0
-        last = flush()
-        if last is not None:
-            yield last
+        if held:
+            yield flush()
 
-    rows = docs.select(docs["doc_id"].cast("long"), docs["text"])
-    return rows.mapInArrow(run, "bucket long, tokens binary, owners binary")
+    return rows.mapInArrow(run, "doc long, n long, tokens binary")
+
+
+def united(frame: pd.DataFrame) -> pd.DataFrame:
+    """The row of a group in the matrix: sizes of its members' sets, their cluster if they are of one, whether members of
+    different clusters share a token of their prefixes, and the union of the prefixes."""
+    sets = [np.frombuffer(x, dtype=np.int64) for x in frame["tokens"]]
+    tokens = np.unique(np.concatenate(sets))
+    clusters, n = frame["cluster"].to_numpy(), frame["n"]
+    several = bool((clusters != clusters[0]).any())
+    home = False
+    if several:
+        pairs = np.stack([np.concatenate(sets), np.repeat(clusters, [len(x) for x in sets])], axis=1)
+        pairs = np.unique(pairs, axis=0)
+        home = bool((pairs[1:, 0] == pairs[:-1, 0]).any())
+    one = {"group": frame["group"].iloc[0], "low": n.min(), "high": n.max(), "members": frame["doc"].nunique(), "cluster": clusters.min(), "several": several, "home": home, "tokens": tokens.tobytes()}
+    return pd.DataFrame([one])
+
+
+UNITED = "group long, low long, high long, members long, cluster long, several boolean, home boolean, tokens binary"
+
+
+def group_rows(prefixed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The matrix by groups; a group of one is not moved for it."""
+    placed = prefixed.join(groups, "doc")
+    alone = placed.where("alone").select("group", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(1).cast("long").alias("members"), "cluster", F.lit(False).alias("several"), F.lit(False).alias("home"), "tokens")
+    more = placed.where("not alone").select("group", "doc", "n", "cluster", "tokens").groupBy("group").applyInPandas(united, UNITED)
+    return materialize(alone.unionByName(more), "matrix")
+
+
+def by_token(matrix: DataFrame, buckets: int) -> DataFrame:
+    """(token, group, many): the matrix by tokens, for those that at least two groups have; many: how many do."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            tokens = np.concatenate([t for _, t in held])
+            owners = np.repeat(np.array([g for g, _ in held], dtype=np.int64), [len(t) for _, t in held])
+            bucket = ((tokens >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            tokens, owners, bucket = tokens[order], owners[order], bucket[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (tokens, owners)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int64()), *packed], ["bucket", "tokens", "owners"])
+
+        for batch in batches:
+            for group, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append((group, np.frombuffer(value.as_py(), dtype=np.uint64)))
+                size += len(held[-1][1])
+                if size >= WINDOW:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    packed = matrix.select("group", "tokens").mapInArrow(run, "bucket long, tokens binary, owners binary")
+    return packed.groupBy("bucket").applyInPandas(shared_tokens, "token long, group long, many long")
 
 
 def shared_tokens(frame: pd.DataFrame) -> pd.DataFrame:
-    """(token, doc) of the bucket's tokens that at least two documents have."""
+    """(token, group, many) of the bucket's tokens that at least two groups have."""
     tokens = np.frombuffer(b"".join(frame["tokens"]), dtype=np.int64)
     owners = np.frombuffer(b"".join(frame["owners"]), dtype=np.int64)
     order = np.lexsort((owners, tokens))
@@ -215,64 +280,68 @@ def shared_tokens(frame: pd.DataFrame) -> pd.DataFrame:
     fresh = np.ones(len(tokens), dtype=bool)
     fresh[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
     tokens, owners = tokens[fresh], owners[fresh]
-    same = tokens[1:] == tokens[:-1]
-    keep = np.zeros(len(tokens), dtype=bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    return pd.DataFrame({"token": tokens[keep], "doc": owners[keep]})
+    cuts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]])
+    many = np.repeat(np.diff(cuts), np.diff(cuts))
+    return pd.DataFrame({"token": tokens[many > 1], "group": owners[many > 1], "many": many[many > 1]})
 
 
-NO_PAIRS = {"query": np.zeros(0, np.int64), "block": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64)}
+PAIR = ("query", "target", "shared", "members", "low", "high", "target_low", "target_high")
 
 
-def candidates(frame: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
-    """(query, block, shared): how many of the frame's tokens a document's prefix shares with those of others in a group,
-    where sizes allow a link; between members of one family (its own block among the groups), or between families.
+def candidates(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of groups of different clusters that share some of the frame's tokens, and how many, where sizes allow a link.
 
-    Of two blocks, the one of the larger family is opened, so many small queries meet one large group in one place."""
-    frame = frame.sort_values("token", kind="stable")
-    token, doc, n, label, block, family = (frame[c].to_numpy() for c in ("token", "doc", "n", "label", "block", "family"))
-    cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+    The larger group is the target. Rows that `ask` are held against all rows of their token and part."""
+    frame = frame.sort_values(["token", "part"], kind="stable")
+    token, part, group, low, high, members, cluster, several, ask = (frame[c].to_numpy() for c in ("token", "part", "group", "low", "high", "members", "cluster", "several", "ask"))
+    cuts = np.concatenate([[0], np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1, [len(token)]])
     queries, targets = [], []
     for a, b in zip(cuts, cuts[1:]):
-        if b - a < 2 or (not inside and (label[a:b] == label[a]).all()):
-            continue
-        groups, first, inverse, members = np.unique(block[a:b], return_index=True, return_inverse=True, return_counts=True)
-        low, high = np.full(len(groups), np.iinfo(np.int64).max), np.zeros(len(groups), dtype=np.int64)
-        np.minimum.at(low, inverse, n[a:b])
-        np.maximum.at(high, inverse, n[a:b])
-        size, names = family[a:b][first], label[a:b][first]
-        for s in range(a, b, 4096):
-            e = min(b, s + 4096)
-            q, qf, qb, ql = n[s:e, None], family[s:e, None], block[s:e, None], label[s:e, None]
-            if inside:
-                ok = (groups > qb) | ((groups == qb) & (members > 1))
-            else:
-                ok = (names != ql) & ((size > qf) | ((size == qf) & (groups > qb)))
-            ok &= (100 * high >= percent * q) & (percent * low <= 100 * q)
+        asking = a + np.flatnonzero(ask[a:b])
+        step = max(1, 4_000_000 // (b - a))
+        for s in range(0, len(asking), step):
+            q = asking[s : s + step, None]
+            ok = (cluster[a:b] != cluster[q]) | several[a:b] | several[q]
+            ok &= (members[a:b] > members[q]) | ((members[a:b] == members[q]) & (group[a:b] > group[q]))
+            ok &= (100 * high[a:b] >= percent * low[q]) & (percent * low[a:b] <= 100 * high[q])
             i, j = np.nonzero(ok)
-            queries.append(doc[s:e][i])
-            targets.append(groups[j])
+            queries.append(q[i, 0])
+            targets.append(a + j)
     if not queries:
-        return pd.DataFrame(NO_PAIRS)
-    pairs, shared = np.unique(np.stack([np.concatenate(queries), np.concatenate(targets)], axis=1), axis=0, return_counts=True)
-    return pd.DataFrame({"query": pairs[:, 0], "block": pairs[:, 1], "shared": shared.astype(np.int64)})
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in PAIR})
+    q, t = np.concatenate(queries), np.concatenate(targets)
+    _, first, shared = np.unique(np.stack([group[q], group[t]], axis=1), axis=0, return_index=True, return_counts=True)
+    q, t = q[first], t[first]
+    return pd.DataFrame(dict(zip(PAIR, (group[q], group[t], shared.astype(np.int64), members[q], low[q], high[q], low[t], high[t]))))
+
 
+def fewest_shared(low, high, target_low, target_high, percent: int):
+    """Column: tokens that prefixes of a set of low to high tokens and one of target_low to target_high share if the two
+    are linked.
 
-def fewest_shared(n, low, high, percent: int):
-    """Column: tokens that a set of n must share, between prefixes, with a member of low to high tokens to be linked with it.
+    The overlap of sets of n <= m tokens is at least percent * (n + m) / (100 + percent), and beyond a prefix lie at most
+    least_overlap(m) - 1 tokens. The difference grows with n and falls with m, so it is least for the smallest n and the
+    largest m that is not beyond what a link allows."""
 
-    The overlap must be at least percent * (n + m) / (100 + percent), and beyond a prefix lie least_overlap - 1 tokens. The
-    difference falls with the distance of m from n, so one of the ends of what sizes allow has the least."""
+    def at(n, largest):
+        m = F.greatest(n, F.least(largest, F.floor(F.lit(100) * n / F.lit(percent))))
+        return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent)) - F.floor((F.lit(percent) * m + 99) / 100)
 
-    def at(m):
-        whole = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-        beyond = F.floor((F.lit(percent) * F.greatest(n, m) + 99) / 100) - 1
-        return whole - beyond
+    return F.least(at(low, target_high), at(target_low, high))  # one less than that, for what rounding may take within
 
-    a = F.greatest(low, F.ceil(F.lit(percent) * n / 100))
-    b = F.least(high, F.floor(F.lit(100) * n / F.lit(percent)))
-    return F.least(at(a), at(b)) - 1  # for what rounding may take within
+
+def group_pairs(matrix: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(query, target, members): pairs of groups that pass the bound on the tokens their unions share."""
+    heads = matrix.groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("members").alias("members"), F.min("cluster").alias("cluster"), F.max("several").alias("several"))
+    shared = by_token(matrix, buckets).join(heads, "group")
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("many") - 1) / SPLIT).cast("int")))
+    shared = shared.withColumn("part", part).withColumn("ask", F.pmod(F.xxhash64("group"), F.floor((F.col("many") - 1) / SPLIT) + 1) == F.col("part"))
+    kind = ", ".join(f"{c} long" for c in PAIR)
+    pairs = shared.withColumn("bucket", F.pmod(F.xxhash64("token", "part"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda f: candidates(f, percent), kind)
+    same = [F.max(c).alias(c) for c in PAIR if c not in ("query", "target", "shared")]
+    pairs = pairs.groupBy("query", "target").agg(F.sum("shared").alias("shared"), *same)
+    least = fewest_shared(F.col("low"), F.col("high"), F.col("target_low"), F.col("target_high"), percent)
+    return materialize(pairs.where(F.col("shared") >= least).select("query", "target", "members"), "pairs")
 
 
 class Forest:
@@ -284,19 +353,21 @@ class Forest:
             self.parent[x] = x = self.parent[self.parent[x]]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
         a, b = self.find(a), self.find(b)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
+        return a != b
 
 
 def opened(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Edges (u, v) that connect what the links between an opened group's members, and with its queries, connect."""
+    """Edges (u, v) that connect what the links of an opened group's members (role 0) with its queries (role 1) connect,
+    and, where `inside` says so, the links among the members."""
     frame = frame.sort_values(["role", "doc"], kind="stable")
     sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]]
-    docs, roles = frame["doc"].to_numpy(), frame["role"].to_numpy()
+    docs = frame["doc"].to_numpy()
     sizes = np.array([len(x) for x in sets])
-    m = int((roles == 0).sum())
+    m = int((frame["role"] == 0).sum())
     if not m or len(docs) < 2:
         return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
     flat = np.concatenate(sets[:m])
@@ -304,84 +375,134 @@ def opened(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     union, token = np.unique(flat, return_inverse=True)
     order = np.argsort(token, kind="stable")
     holders, start = member[order], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(union)))])
-    forest = Forest(len(docs))
-    inside = bool((frame["chunk"].iloc[0]) == 0)  # one chunk of queries also links the members among themselves
-    for q in range(0 if inside else m, len(docs)):
+    forest, left = Forest(len(docs)), m
+    for q in range(0 if frame["inside"].any() else m, len(docs)):
+        if q < m and left == 1:
+            continue  # all members are connected
         at = np.minimum(np.searchsorted(union, sets[q]), len(union) - 1)
         hit = at[union[at] == sets[q]]
-        if len(hit) < least_overlap(sizes[q], percent):
-            continue  # the bound: no member can share more than the union does
         lengths = start[hit + 1] - start[hit]
         places = np.arange(lengths.sum()) + np.repeat(start[hit] - (np.cumsum(lengths) - lengths), lengths)
         overlap = np.bincount(holders[places], minlength=m)
         for k in np.flatnonzero(100 * overlap >= percent * (sizes[q] + sizes[:m] - overlap)):
-            if k != q:
-                forest.join(int(k), q)
+            if k != q and forest.join(int(k), q) and q < m:
+                left -= 1
     roots = np.array([forest.find(k) for k in range(len(docs))])
     linked = roots != np.arange(len(docs))
     return pd.DataFrame({"u": docs[linked], "v": docs[roots[linked]]})
 
 
+def whole_union(frame: pd.DataFrame) -> pd.DataFrame:
+    tokens = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]]))
+    return pd.DataFrame([{"group": frame["group"].iloc[0], "tokens": tokens.tobytes()}])
+
+
+def may_link(queries: pd.DataFrame, unions: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The queries that share enough tokens with the union of a group to be linked with one of its members."""
+    if unions.empty:
+        return queries.iloc[:0]
+    union = np.frombuffer(unions["tokens"].iloc[0], dtype=np.uint64)
+
+    def enough(x):
+        tokens = np.frombuffer(x, dtype=np.uint64)
+        at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+        return int((union[at] == tokens).sum()) >= least_overlap(len(tokens), percent)
+
+    return queries[[enough(x) for x in queries["tokens"]]]
+
+
+def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted (doc and other columns) with each document's tokens, in place of its text."""
+    names = wanted.columns
+    at = len(names)
+    docs = wanted.groupBy("doc").agg(F.count(F.lit(1)).alias("many"))
+    placed = join_dealt(wanted, rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc", hot_keys(docs, "doc", "many", wanted.count()), names)
+
+    def run(batches):
+        last, held = None, b""
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part, out = batch.slice(a, 512), []
+                for value in part.column(at):
+                    words = value.as_py()
+                    if words != last:
+                        last, held = words, shingles(words, width).tobytes()
+                    out.append(held)
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(out, pa.binary())], [*names, "tokens"])
+
+    kinds = ", ".join(f"{c} {k}" for c, k in wanted.dtypes)
+    return placed.select(*names, "text").mapInArrow(run, f"{kinds}, tokens binary")
+
+
+EDGES = "u long, v long"
+
+
+def links_within(rows: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges of the links among the members of each block, and between them and their pivots."""
+    role = lambda r: [F.lit(r == 0).alias("inside"), F.lit(r).alias("role")]
+    pivots = placed.select(F.explode("pivots").alias("doc"), "block").distinct().join(placed.select("doc", "block"), ["doc", "block"], "left_anti")
+    roles = materialize(placed.select("doc", "block", *role(0)).unionByName(pivots.select("doc", "block", *role(1))), "roles")
+    return sets_of(rows, roles, width).groupBy("block").applyInPandas(lambda f: opened(f, percent), EDGES)
+
+
+def links_between(rows: DataFrame, matrix: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges of the links between the groups of each pair, and within groups of several clusters."""
+    home = matrix.where("home").select("group").distinct()
+    wanted = home.unionByName(pairs.select(F.col("query").alias("group"))).unionByName(pairs.select(F.col("target").alias("group"))).distinct()
+    tokens = materialize(sets_of(rows, groups.join(wanted, "group").select("doc", "group"), width), "sets")
+    chunks = pairs.groupBy("target").agg(F.ceil(F.sum("members") / CHUNK).cast("int").alias("chunks")).withColumnRenamed("target", "group")
+    chunks = materialize(chunks, "chunks")
+    unions = tokens.join(chunks, "group").groupBy("group").applyInPandas(whole_union, "group long, tokens binary")
+    unions = materialize(unions, "unions")
+    each = unions.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", "chunk", "tokens")
+    asking = pairs.join(chunks.withColumnRenamed("group", "target"), "target").select(F.col("query").alias("group"), "target", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"))
+    busy = asking.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
+    asking = join_dealt(asking, tokens, "group", hot_keys(busy, "group", "many", pairs.count()), ["target"]).select("doc", F.col("target").alias("group"), "chunk", "tokens")
+    kind = "doc long, group long, chunk int, tokens binary"
+    asked = asking.groupBy("group", "chunk").cogroup(each.groupBy("group", "chunk")).applyInPandas(lambda a, b: may_link(a, b, percent), kind)
+    asked = materialize(asked, "queries")
+    open_ = asked.select("group", "chunk", F.lit(False).alias("inside")).unionByName(home.select("group", F.lit(0).alias("chunk"), F.lit(True).alias("inside")))
+    open_ = open_.groupBy("group", "chunk").agg(F.max("inside").alias("inside"))
+    members = open_.join(tokens, "group").select("doc", "group", "chunk", "inside", F.lit(0).alias("role"), "tokens")
+    queries = asked.select("doc", "group", "chunk", F.lit(False).alias("inside"), F.lit(1).alias("role"), "tokens")
+    return members.unionByName(queries).groupBy("group", "chunk").applyInPandas(lambda f: opened(f, percent), EDGES)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set) and component_id (smallest id reachable by links).
 
     A set is the distinct shingles of `width` words; with fewer words, the whole sequence as one; null, empty and blank
     texts have none and are linked with nothing. Two documents are linked when 100 * intersection >= percent * union.
     Sets are held as 64-bit hashes. Ids are whole numbers; a row without one gets the component of its equals. Repeated
-    rows are each returned; an empty table gives an empty result; other columns are ignored.
+    rows are each returned; an id that repeats with another text is one document, linked as either text is. Texts of any
+    length are taken whole: a task holds its group's sets, about PART tokens, or one longer set. An empty table gives an
+    empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     stats = materialize(statistics(rows, width), "shingles")
     own = stats.where("n is not null").select("doc_id", "n", "sig", "m1", "m2", "m3")
-    sets = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), *[F.max(c).alias(c) for c in ("n", "m1", "m2", "m3")])
+    sets = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n", "m1", "m2", "m3")])
     sets = materialize(sets.where("doc is not null"), "sets")
     heavy = frequent_tokens(stats.where("token is not null"))
-    total = sets.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()[0]
+    copies, total = sets.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, int(total // 300_000) + 1)
-    groups = materialize(grouped(sets), "groups")
-    shared = prefix_postings(rows, width, percent, heavy, buckets).groupBy("bucket").applyInPandas(shared_tokens, "token long, doc long")
-    # Both ways of grouping read the one written matrix: by family and part of its tokens, and by tokens.
-    matrix = materialize(shared.join(groups, "doc"), "matrix")
-    part = F.pmod(F.xxhash64("token"), F.col("parts"))
-    kind = "query long, block long, shared long"
-    within = matrix.where("family > 1").withColumn("part", part).groupBy("label", "part").applyInPandas(lambda f: candidates(f, percent, True), kind)
-    across = matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda f: candidates(f, percent, False), kind)
-    pairs = within.unionByName(across).groupBy("query", "block").agg(F.sum("shared").alias("shared"))
-    sizes = groups.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    own_group = groups.groupBy(F.col("doc").alias("query")).agg(F.max("n").alias("n"), F.max("block").alias("own"))
-    pairs = pairs.join(own_group, "query").join(sizes, "block").where(F.col("shared") >= fewest_shared(F.col("n"), F.col("low"), F.col("high"), percent))
-    pairs = materialize(pairs.select("query", "block", (F.col("own") == F.col("block")).alias("home")), "pairs")
-    # A group with queries from elsewhere is opened whole; one without, for those members that pass the bound themselves.
-    chunks = pairs.where("not home").groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    whole = groups.join(chunks, "block").select("doc", "block", each, F.lit(0).alias("role"))
-    alone = pairs.where("home").join(chunks, "block", "left_anti").select(F.col("query").alias("doc"), "block", F.lit(0).alias("chunk"), F.lit(0).alias("role"))
-    queries = pairs.where("not home").join(chunks, "block").select(F.col("query").alias("doc"), "block", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
-    roles = materialize(whole.unionByName(alone).unionByName(queries), "roles")
-
-    def tokens_of(batches):
-        last, held = None, b""
-        for batch in batches:
-            out = []
-            for value in batch.column(4):
-                words = value.as_py()
-                if words != last:
-                    last, held = words, shingles(words, width).tobytes()
-                out.append(held)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(out, pa.binary())], ["doc", "block", "chunk", "role", "tokens"])
-
-    # The one move of whole texts. Merged at every size, so that what a run needs follows from its input.
-    placed = rows.withColumnRenamed("doc_id", "doc").hint("merge").join(roles, "doc").select("doc", "block", "chunk", "role", "text")
-    placed = placed.mapInArrow(tokens_of, "doc long, block long, chunk int, role int, tokens binary")
-    edges = placed.groupBy("block", "chunk").applyInPandas(lambda f: opened(f, percent), "u long, v long")
-    found = components(edges)
-    classes = sets.select("sig", "doc").join(found, sets["doc"] == found["node"], "left").select("sig", F.coalesce("component", "doc").alias("class"))
-    out = own.select("doc_id", "n", "sig").join(classes, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    placed = families(sets)
+    near = components(links_within(rows, placed, width, percent))
+    groups = grouped(sets, placed, near)
+    matrix = group_rows(prefixes(rows, width, percent, heavy), groups)
+    pairs = group_pairs(matrix, percent, buckets)
+    far = links_between(rows, matrix, groups, pairs, width, percent)
+    found = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(far))
+    classes = sets.select("sig", "doc", "copies").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    classes = materialize(classes.select("sig", F.coalesce("component", "doc").alias("class"), "copies"), "classes")
+    full = join_dealt(own.where("n > 0").select("doc_id", "n", "sig"), classes.drop("copies"), "sig", hot_keys(classes, "sig", "copies", copies), ["doc_id"], "left")
+    full = full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    return full.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns; ids should not repeat."""
-    first = near_duplicates(docs, text, key, **options).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__first"))
-    return docs.join(first.where("__first is not null").distinct(), F.col(key).cast("long") == F.col("__first"), "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    """The rows of docs whose id is the smallest of their component, with all their columns; ids should not repeat. Rows
+    without an id stay. For null, empty and very long texts see near_duplicates."""
+    first = near_duplicates(docs, text, key, **options).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, docs[key].cast("long") == first["doc_id"], "left_semi").unionByName(docs.where(docs[key].isNull()))

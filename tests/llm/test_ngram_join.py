@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomlog.llm import ngram_join
@@ -48,14 +49,33 @@ def corpus(rng, families=12, copies=14, words=60):
     return list(enumerate(out))
 
 
-def test_equals_brute_force(spark, rng, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+SMALL = {"BLOCK": 4, "CHUNK": 3, "WINDOW": 50, "HEAVY": 40, "PART": 300, "SPLIT": 2}
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 4, "CHUNK": 3}, SMALL])
+def test_equals_brute_force(spark, rng, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(rng)
     got = {r[0]: (r[1], r[2]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
     assert got == brute(rows)
 
 
+def test_family_of_similar_texts_at_the_threshold(spark, rng, monkeypatch):
+    """Variants of one template, many of them linked with some and not with others."""
+    for name, value in SMALL.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    base = [f"w{rng.randrange(1000)}" for _ in range(60)]
+    rows = []
+    for k in range(120):
+        doc = list(base)
+        for _ in range(rng.randint(1, 3)):
+            doc[rng.randrange(60)] = f"v{rng.randrange(40)}"
+        rows.append((k, " ".join(doc)))
+    got = {r[0]: (r[1], r[2]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_tables(spark, odd_docs, no_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -95,5 +115,5 @@ def test_bound_on_shared_tokens_never_loses_a_link(spark):
         a, b = set(both[:n]), set(both[n - need : n - need + m])
         cut = lambda s: set(sorted(s)[: len(s) - (75 * len(s) + 99) // 100 + 1])
         cases.append((int(n), int(m), len(cut(a) & cut(b))))
-    rows = spark.createDataFrame(cases, "n long, m long, shared long").withColumn("least", ngram_join.fewest_shared(F.col("n"), F.col("m"), F.col("m"), 75))
+    rows = spark.createDataFrame(cases, "n long, m long, shared long").withColumn("least", ngram_join.fewest_shared(F.col("n"), F.col("n"), F.col("m"), F.col("m"), 75))
     assert rows.where("shared < least").count() == 0
