@@ -15,17 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import hot_keys, join_dealt, lower_ascii, materialize
 
 
 def _merged(docs: DataFrame, text: str, key: str, salts: int, digest):
-    """Rows with their digests; contents with their winners (a lazy table); winners by digest (written)."""
+    """Rows with their digests; contents with their winners (a lazy table); winners by digest (written); digests that very
+    many rows have."""
     norm = lower_ascii(F.coalesce(docs[text], F.lit("")))
-    rows = (
-        docs.select(docs[key].alias("doc_id"), norm.alias("norm"))
-        .withColumn("sha", F.unhex(F.sha2(F.col("norm"), 256)))
-        .withColumn("digest", digest(F.col("sha")))
-    )
+    rows = docs.select(docs[key].alias("doc_id"), norm.alias("norm")).withColumn("digest", digest(F.unhex(F.sha2(F.col("norm"), 256))))
     local = rows.select("doc_id", "norm", "digest", (F.spark_partition_id() % salts).alias("salt"))
     salted = local.groupBy("digest", "norm", "salt").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     contents = (
@@ -35,42 +32,45 @@ def _merged(docs: DataFrame, text: str, key: str, salts: int, digest):
     )
     winners = materialize(
         contents.groupBy("digest").agg(
-            F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents")
+            F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.sum("group_size").alias("rows"), F.count(F.lit(1)).alias("contents")
         ),
         "winners",
     )
-    return rows, contents, winners
+    total = winners.agg(F.sum("rows")).first()[0] or 0
+    return rows, contents, winners, hot_keys(winners, "digest", "rows", total)
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 32, digest=lambda sha: sha) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 32, digest=None) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id (largest key among equal texts), group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts form one group.
     Rows that repeat a key are each counted and each returned. A null key is never kept while its group has another key.
-    An empty table gives an empty result; other columns of docs are ignored, whatever their names. `digest` maps the
-    SHA-256 of the text to the value that is merged on; a weaker one only costs time, never correctness.
+    An empty table gives an empty result; other columns of docs are ignored, whatever their names. Texts of any length are
+    compared whole; after the merges only ids and digests move. `digest` maps the SHA-256 of the text to the value that
+    is merged on, by default itself; a weaker one only costs time, never correctness.
     """
-    rows, contents, winners = _merged(docs, text, key, salts, digest)
-    found = rows.select("doc_id", "sha", "digest").join(winners.where("contents = 1"), "digest")
-    found = found.select("doc_id", "sha", "keep_id", "group_size")
+    rows, contents, winners, hot = _merged(docs, text, key, salts, digest or (lambda sha: sha))
+    sha = F.sha2("norm", 256) if digest else F.lower(F.hex("digest"))
+    some = rows.select("doc_id", "digest", sha.alias("text_sha256")) if digest else rows.select("doc_id", "digest")
+    found = join_dealt(some, winners.where("contents = 1").select("digest", "keep_id", "group_size"), "digest", hot, ["doc_id"])
+    if not digest:
+        found = found.withColumn("text_sha256", sha)
+    found = found.select("doc_id", "keep_id", "group_size", "text_sha256")
     if not winners.where("contents > 1").isEmpty():
         several = contents.join(winners.where("contents > 1").select("digest"), "digest", "left_semi")
-        found = found.unionByName(rows.join(several, ["digest", "norm"]).select("doc_id", "sha", "keep_id", "group_size"))
-    return found.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+        by_content = rows.join(several, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
+        found = found.unionByName(by_content)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 32, digest=lambda sha: sha) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Where rows repeat a kept key with equal text, all of them stay."""
-    rows, contents, winners = _merged(docs, text, key, salts, digest)
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 32, digest=None) -> DataFrame:
+    """The rows of docs that stay, with all their columns; for nulls, empty and long texts see exact_groups. Where rows
+    repeat a kept key with equal text, all of them stay; a winner is met by those rows alone, so no key is hot here."""
+    digest = digest or (lambda sha: sha)
+    rows, contents, winners, _ = _merged(docs, text, key, salts, digest)
     sha = F.unhex(F.sha2(lower_ascii(F.coalesce(docs[text], F.lit(""))), 256))
-    stay = winners.where("contents = 1").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    stay = winners.where("contents = 1").select(F.col("digest").alias("digest"), F.col("keep_id").alias("keep_id"))
     if not winners.where("contents > 1").isEmpty():
         several = contents.join(winners.where("contents > 1").select("digest"), "digest", "left_semi")
-        stay = stay.unionByName(several.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")))
-    return docs.join(stay, (digest(sha) == F.col("__digest")) & docs[key].eqNullSafe(F.col("__keep")), "left_semi")
+        stay = stay.unionByName(several.select("digest", "keep_id"))
+    return docs.join(stay, (digest(sha) == stay["digest"]) & docs[key].eqNullSafe(stay["keep_id"]), "left_semi")
