@@ -4,8 +4,10 @@ The fixed patterns give the base spans. Beside them, every other long run of tok
 is inferred from its characters, and three tests ask whether its symbols could be random over that encoding's alphabet:
 chi-squared uniformity, runs above and below the middle of the alphabet, and lag-one serial correlation. A candidate's
 p-value is three times the smallest of the three. Rejections ("not random") are controlled for false discoveries by the
-Benjamini-Hochberg step-up within each class of lengths, over the candidates of all documents; what is not rejected is a
-secret. A class in which random strings could not be told from words, for want of symbols, yields no spans at all.
+Benjamini-Hochberg step-up within each class of lengths, over the candidates of all documents: of the strings discarded as
+no secrets, at most a share of alpha are expected to be random ones. What is not rejected is reported. So the control is
+on secrets lost; how many reported strings are none has no such bound, and only the demands on a candidate keep it low
+(its length, at least `least_bits` bits, and a digit where an alphabet has letters of one case).
 """
 
 from __future__ import annotations
@@ -18,11 +20,17 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that have 24 characters
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+# A whole run of the alphabet of URLs or else of base64, or what of the former precedes other characters; runs of more than
+# 4,096 characters are taken in stretches of so many.
+CANDIDATE = r"[A-Za-z0-9_-]{20,4096}+(?![+/])|[A-Za-z0-9+/]{20,4096}+={0,2}|[A-Za-z0-9_-]{20,4096}+"
+MASK = "\u0001"  # stands for the characters of base spans where candidates are looked for
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32low": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
@@ -31,42 +39,70 @@ CLASSES = (20, 24, 32, 40, 64, 128)
 GRID = 60  # p-values are told apart down to exp(-GRID / 2), in steps of half a natural log
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once: inside a lambda, Spark would compute a repeated expression each time."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(values: Column, block: int = 512) -> Column:
+    """Sums of an array of numbers up to and with each place. An array that grows by one element is copied each time, so
+    sums are taken in blocks, then over the blocks: a million values cost some 10^8 copied elements, not 10^12."""
+    none = F.array().cast("array<bigint>")
+
+    def sums(part: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+
+    def blocks(whole: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / block).cast("int"))
+        return F.transform(places, lambda i: sums(F.slice(whole, i * block + 1, F.lit(block))))
+
+    def shifted(within: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), sums(F.transform(within, lambda w: F.element_at(w, -1))))
+        return F.flatten(F.zip_with(within, F.slice(before, F.lit(1), F.size(within)), lambda w, o: F.transform(w, lambda v: v + o)))
+
+    return let(values, lambda whole: F.when(F.size(whole) > block, let(blocks(whole), shifted)).otherwise(sums(whole)))
+
+
 def spans(text: Column, pattern: str, kind: str, at_least: int = 0, group: int = 0) -> Column:
     """array<start, end, rank, kind, found> of the matches, leftmost first and not overlapping; matches whose `group` is
     shorter than at_least are dropped. Places follow from the lengths of the matches and of what lies between."""
     rank = KINDS.index(kind)
     p = F.lit(pattern)
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     found = F.regexp_extract_all(text, p, F.lit(0))
     counted = F.regexp_extract_all(text, p, F.lit(group)) if group else found
     empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,found:string>>")
     rows = F.zip_with(found, counted, lambda a, b: F.struct(a.alias("found"), (F.length(b) >= at_least).alias("ok")))
-    placed = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), rows, lambda g, r: F.struct(g.alias("gap"), r["found"].alias("found"), r["ok"].alias("ok"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["found"])).alias("at"),
-            F.when(
-                x["ok"],
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            (acc["at"] + x["gap"] + F.length(x["found"])).alias("end"),
-                            F.lit(rank).alias("rank"),
-                            F.lit(kind).alias("kind"),
-                            x["found"].alias("found"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), placed).otherwise(empty)
+    rows = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), rows, lambda g, r: F.struct(F.length(g).alias("gap"), r["found"].alias("found"), r["ok"].alias("ok")))
+
+    def placed(matches: Column) -> Column:
+        ends = running(F.transform(matches, lambda x: (x["gap"] + F.length(x["found"])).cast("bigint")))
+        span = lambda x, end: F.struct((end - F.length(x["found"])).cast("int").alias("start"), end.cast("int").alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["found"].alias("found"), x["ok"].alias("ok"))
+        kept = F.filter(F.zip_with(matches, ends, span), lambda x: x["ok"])
+        return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "rank", "kind", "found")]))
+
+    return F.when(text.rlike(pattern), let(rows, placed)).otherwise(empty)
+
+
+def masked(text: Column, pattern: str, at_least: int = 0, group: int = 0) -> Column:
+    """text with the characters of the matches that count (see spans) replaced by MASK, so that places stay."""
+    p = F.lit(pattern)
+    found = F.regexp_extract_all(text, p, F.lit(0))
+    blank = lambda f: F.repeat(F.lit(MASK), F.length(f))
+    if group:
+        counted = F.regexp_extract_all(text, p, F.lit(group))
+        blanks = F.zip_with(found, counted, lambda f, c: F.when(F.length(c) >= at_least, blank(f)).otherwise(f))
+    else:
+        blanks = F.transform(found, blank)
+    whole = let(F.split(text, pattern, -1), lambda gaps: F.array_join(F.zip_with(gaps, blanks, lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), ""))
+    return F.when(text.rlike(pattern), whole).otherwise(text)
+
+
+def without_base(text: Column) -> Column:
+    """text with its base spans masked. A run that ends in a masked key (as "api" may end one) is as long as it was."""
+    assigned = masked(text, ASSIGN, 6, 2)
+    return let(assigned, lambda t: masked(t, f"AKIA[A-Z0-9]{{13,}}+(?={MASK})|AKIA[A-Z0-9]{{16,}}+|[0-9a-f]{{23}}+(?={MASK})|{HEX}"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -81,17 +117,15 @@ def upper_tail(z: Column) -> Column:
 
 
 def encoding(s: Column) -> Column:
-    """The smallest alphabet that holds all characters; null where none does."""
+    """The smallest alphabet that holds all characters; null where none does. One with letters of one case only is taken
+    for strings with a digit and a letter, as words have its letters too."""
     bare = F.rtrim(s, F.lit("="))
-    out = F.when(bare.rlike("^[0-9a-f]+$"), "hex").when(bare.rlike("^[0-9A-F]+$"), "HEX").when(bare.rlike("^[A-Z2-7]+$"), "base32")
+    mixed = lambda pattern: bare.rlike(pattern) & bare.rlike("[0-9]") & bare.rlike("[A-Za-z]")
+    out = F.when(bare.rlike("^[0-9a-f]+$"), "hex").when(bare.rlike("^[0-9A-F]+$"), "HEX")
+    out = out.when(mixed("^[A-Z2-7]+$"), "base32").when(mixed("^[a-z2-7]+$"), "base32low").when(mixed("^[a-z0-9]+$"), "base36").when(bare.rlike("^[A-Za-z0-9]+$"), "base62")
     return out.when(bare.rlike("^[A-Za-z0-9+/]+$"), "base64").when(bare.rlike("^[A-Za-z0-9_-]+$"), "base64url")
 
 
-def let(value: Column, then) -> Column:
-    """then(value) with value computed once: inside a lambda, Spark would compute a repeated expression each time."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def battery(s: Column) -> Column:
     """struct<encoding, n, p_chi2, p_runs, p_serial, p> of a candidate; p is null where no encoding fits."""
     names = F.create_map(*[F.lit(x) for k, v in ALPHABETS.items() for x in (k, v)])
@@ -190,30 +224,32 @@ def scan(docs: DataFrame, alpha: float = 0.01, least_bits: int = 80, text: str =
     """One row per document: key, counts of the base kinds, base_sha256, spans (text) and found (array of spans).
 
     Ends are exclusive and count code points. Null counts as empty; documents without spans have counts 0, empty spans
-    and the digest of the empty text. A candidate that overlaps a base span is left out, as is one of fewer than
-    least_bits bits (symbols times bits a symbol), of which too few symbols are there to test. The cost of a document
-    with many matches grows with the square of their number, at array speed. Rows may repeat; an empty table gives an
-    empty result; other columns are ignored.
+    and the digest of the empty text. Candidates are looked for outside of the base spans; one of fewer than
+    least_bits bits (symbols times bits a symbol) is left out, as too few symbols are there to test; a run of more than 4,096
+    candidate characters is tested in stretches of that many. Texts of any length are searched whole; the cost grows
+    little more than in proportion to a text's length and matches. Rows may repeat; an empty table gives an empty result;
+    other columns are ignored.
     """
     rows = docs.select(docs[key].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     t = F.col("text")
-    tested = F.transform(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), battery)
-    cuts = thresholds(rows.where(t.rlike(CANDIDATE)).select(F.explode(tested).alias("t")).select("t.n", "t.p"), alpha)
+    rest = F.when(t.rlike(CANDIDATE), without_base(t)).otherwise(F.lit(""))
+    tested = F.transform(F.regexp_extract_all("rest", F.lit(CANDIDATE), F.lit(0)), battery)
+    candidates = rows.where(t.rlike(CANDIDATE)).select(rest.alias("rest")).where(F.col("rest").rlike(CANDIDATE))
+    cuts = thresholds(candidates.select(F.explode(tested).alias("t")).select("t.n", "t.p"), alpha)
     base = F.sort_array(F.concat(spans(t, ASSIGN, "assign", 6, 2), spans(t, ACCESS, "access", 20), spans(t, HEX, "hex")))
-    rows = rows.select("doc_id", base.alias("base"), spans(t, CANDIDATE, "random").alias("candidates"))
+    rows = rows.select("doc_id", base.alias("base"), let(rest, lambda r: spans(r, CANDIDATE, "random")).alias("candidates"))
 
     def random(c: Column) -> Column:
         def decide(test: Column) -> Column:
             limit = F.lit(1.0)
             for low, edge in sorted(cuts.items()):
                 limit = F.when(test["n"] >= low, F.lit(edge)).otherwise(limit)
-            bits = F.when(test["encoding"].isin("hex", "HEX"), 4).when(test["encoding"] == "base32", 5).otherwise(6) * test["n"]
+            bits = F.when(test["encoding"].isin("hex", "HEX"), 4).when(test["encoding"].startswith("base3"), 5).otherwise(6) * test["n"]
             return F.coalesce((test["p"] > limit) & (bits >= least_bits), F.lit(False))
 
         return let(battery(c["found"]), decide)
 
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("found", F.when(F.size("candidates") > 0, F.sort_array(F.concat("base", F.filter(free, random)))).otherwise(F.col("base")))
+    rows = rows.withColumn("found", F.when(F.size("candidates") > 0, F.sort_array(F.concat("base", F.filter("candidates", random)))).otherwise(F.col("base")))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return rows.select(

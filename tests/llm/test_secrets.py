@@ -1,10 +1,13 @@
 import hashlib
+import math
 import re
 import string
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomlog.llm.secrets import battery, scan
+from loomlog.llm.secrets import battery, running, scan, thresholds
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(?ai:", "(?i:"), re.ASCII)
 PARTS = ["password", "Token", "api_key", "APIKEY", "secret", '"', "'", " ", "=", ":", "AKIA", "ABCDEF1234567890", "0123456789abcdef", "é", "😀", "x", "abcdefgh", "-", "_", "token=token:abcdefg", "\n", "passwd = ", "deadbeef" * 3]
@@ -43,3 +46,73 @@ def test_battery_tells_random_strings_from_words(spark, rng):
     rows = scan(docs).collect()
     found, by_tests = {r.doc_id for r in rows if r.spans}, {r.doc_id for r in rows if "random" in r.spans}
     assert len([k for k in found if k < len(random_)]) >= 0.9 * len(random_) and by_tests and max(by_tests) < len(random_)
+
+
+def plain_battery(s):
+    """The three statistics, the plain way."""
+    alphabets = {"hex": "0123456789abcdef", "base62": string.ascii_uppercase + string.ascii_lowercase + string.digits, "base64": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"}
+    name = next(k for k, v in alphabets.items() if set(s) <= set(v))
+    a, n = alphabets[name], len(s)
+    phi = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    x = [a.index(c) for c in s]
+    df = len(a) - 1
+    chi2 = sum((s.count(c) - n / len(a)) ** 2 / (n / len(a)) for c in a)
+    p_chi2 = phi(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    bits = [v >= len(a) / 2 for v in x]
+    n1 = sum(bits)
+    runs = 1 + sum(u != v for u, v in zip(bits, bits[1:]))
+    mean = 2 * n1 * (n - n1) / n + 1
+    p_runs = min(1, 2 * phi(abs(runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))))
+    average = sum(x) / n
+    r = sum((u - average) * (v - average) for u, v in zip(x, x[1:])) / sum((u - average) ** 2 for u in x)
+    p_serial = min(1, 2 * phi(abs(r + 1 / n) * math.sqrt(n)))
+    return name, n, p_chi2, p_runs, p_serial
+
+
+def test_battery_equals_the_plain_statistics(spark, rng):
+    kinds = ("0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/")
+    texts = ["A9z" + "".join(rng.choice(rng.choice(kinds[:2]) if k % 3 else kinds[k % 2 + 1]) for _ in range(rng.randint(25, 90))) for k in range(40)]
+    texts += ["0a1f" + "".join(rng.choice(kinds[0]) for _ in range(rng.randint(25, 90))) for _ in range(20)]
+    for r in spark.createDataFrame([(t,) for t in texts], "s string").select("s", battery(F.col("s")).alias("b")).collect():
+        name, n, *p = plain_battery(r.s)
+        assert (r.b.encoding, r.b.n) == (name, n)
+        assert all(abs(x - y) < 1e-5 for x, y in zip(p, (r.b.p_chi2, r.b.p_runs, r.b.p_serial))) and abs(r.b.p - min(1, 3 * min(p))) < 1e-4
+
+
+def test_cuts_are_those_of_the_step_up(spark, rng):
+    """The cut is the largest cell edge e with total * e / (p-values up to e) <= alpha; without any, nothing is discarded."""
+    rows = [(24, rng.random() ** 8) for _ in range(300)] + [(70, 0.5 + rng.random() / 2) for _ in range(50)]
+    cuts = thresholds(spark.createDataFrame(rows, "n int, p double"), 0.05)
+    p = [x for n, x in rows if n == 24]
+    edges = [math.exp(-c / 2) for c in range(61)]
+    assert cuts[24] == pytest.approx(max(e for e in edges if len(p) * e / max(1, sum(x <= e for x in p)) <= 0.05)) and cuts[64] == 0.0
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 4, 5, 17):
+        got = spark.range(1).select(running(F.sequence(F.lit(1), F.lit(17)).cast("array<bigint>") if n == 17 else F.slice(F.sequence(F.lit(1), F.lit(17)).cast("array<bigint>"), 1, n), block=4)).first()[0]
+        assert got == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
+def test_candidates_beside_other_characters(spark, rng):
+    """Keys in paths, with characters of both alphabets around them, beside base spans, and of letters of one case."""
+    draw = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    found = 0
+    for _ in range(20):
+        key, low = draw(40, string.ascii_letters + string.digits), draw(48, string.ascii_lowercase + string.digits)
+        docs = [(0, f"see v1/user-list/{key}_x"), (1, f"token=abcdef01 {low}"), (2, "a long word: internationalizationsandmore and some/path/of/many-parts/in/it")]
+        rows = {r.doc_id: [s for s in r.found if s.kind == "random"] for r in scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        found += sum(any(s.start <= docs[k][1].index(x) + 1 and s.end >= docs[k][1].index(x) + len(x) - 1 for s in rows[k]) for k, x in ((0, key), (1, low)))
+        assert not rows[2]
+        if found >= 4:
+            break
+    assert found >= 4
+
+
+def test_long_texts_with_many_matches(spark):
+    """A long text with 60,000 matches and a run of 300,000 characters: whole results in seconds."""
+    texts = ["token=abcdefgh " * 30_000 + "AKIA" + "B" * 20 + " " + "0a" * 20 + " k" * 10_000 + " ", "Ab9/" * 75_000]
+    begin = time.perf_counter()
+    rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (rows[0].n_assign, rows[0].n_access, rows[0].n_hex) == (30_000, 1, 1) and rows[0].base_sha256 == brute(texts[0])[0][3]
+    assert not rows[1].found and time.perf_counter() - begin < 60
