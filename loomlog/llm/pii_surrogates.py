@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .secrets import let
+from .common import hot_keys, join_dealt, materialize
+from .secrets import let, running
 
-# What is detected, most specific first.
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9.]*[0-9])"
+# What is detected, most specific first. All repetitions of groups are bounded (those of a mail address as its
+# standards have it), since Java matches them by recursion; no pattern looks far from where it begins.
+EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,63}"
+IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])"
 CARD = r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9])"
 _END = r"(?![0-9]|[ .-][0-9]{2,4}(?![0-9]))"
 PHONE = "|".join(
@@ -36,7 +37,7 @@ PHONE = "|".join(
 MALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "Госпожа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
-NAME = r"(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+NAME = r"(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}{1,63}+(?: \p{Lu}\p{Ll}{1,63}+)?"
 KINDS = {"email": EMAIL, "ip": IPV4, "card": CARD, "phone": PHONE, "name": NAME}
 # An entity begins where no letter or digit precedes; nothing is tried elsewhere.
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
@@ -50,9 +51,9 @@ SYLLABLES = {
     "greek": "βα βε βι βο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι σο",
 }
 ENDINGS = {
-    "latin": {"male": "n", "female": "nna", "sur": "rt"},
-    "cyrillic": {"male": "н", "female": "нна", "sur": "рт"},
-    "greek": {"male": "ς", "female": "ννα", "sur": "ρτης"},
+    "latin": {"any": "l", "male": "n", "female": "nna", "sur": "rt"},
+    "cyrillic": {"any": "л", "male": "н", "female": "нна", "sur": "рт"},
+    "greek": {"any": "λ", "male": "ς", "female": "ννα", "sur": "ρτης"},
 }
 MAX_DRAWS = 16  # after so many draws, what has a fixed format gets the free values of its format in order
 FORMAT = ["kind", "head", "body", "tail"]
@@ -67,17 +68,21 @@ def kind_of(entity: Column) -> Column:
 
 def parts_of(entity: Column, known: Column | None = None) -> Column:
     """array<struct<kind, canon>> of what gets a surrogate of its own: the entity itself, or each word of a name. A word
-    that stands alone after its title is a surname; the first of two is a given name of the title's gender. A telephone
-    number's country code stands apart, as "+1 4155550123"; its surrogate keeps it. A word without a title is what known (the parts
-    of the document's titled names) has it as, a surname before a given name."""
+    that stands alone after its title is a surname; the first of two is a given name of the title's gender. After a title of
+    no gender, a given name has the gender that known (the parts of the document's titled names) has for it, or else none
+    ("given:any"). A telephone number's country code stands apart, as "+1 4155550123"; its surrogate keeps it. A word
+    without a title is what known has it as, a surname before a given name."""
     plain = F.struct(kind_of(entity).alias("kind"), F.when(entity.contains("@"), F.lower(entity)).otherwise(F.regexp_replace(entity, r"[^0-9.]|(?<![0-9])\.|\.(?![0-9])", "")).alias("canon"))
     digits = F.regexp_replace(entity, "[^0-9]", "")
     digits = F.struct(kind_of(entity).alias("kind"), F.when(entity.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(digits, f"^({COUNTRY}|)", "$1 "))).otherwise(digits).alias("canon"))
 
     def name(words: Column) -> Column:
         title = F.rtrim(F.element_at(words, 1), F.lit("."))
-        gender = F.when(title.isin(*FEMALE), "female").otherwise("male")
+        gender = F.when(title.isin(*FEMALE), "female").when(title.isin(*MALE), "male").otherwise("any")
         given = F.struct(F.concat(F.lit("given:"), gender).alias("kind"), F.lower(F.element_at(words, 2)).alias("canon"))
+        if known is not None:  # "any" comes first in the order of kinds, so the largest is one with a gender, if there is one
+            same = F.filter(known, lambda p: p["kind"].startswith("given:") & (p["canon"] == F.lower(F.element_at(words, 2))))
+            given = F.when(title.isin(*NEUTRAL), F.array_max(same)).otherwise(given)
         last = F.struct(F.lit("surname").alias("kind"), F.lower(F.element_at(words, -1)).alias("canon"))
         return F.when(F.size(words) > 2, F.array(given, last)).otherwise(F.array(last))
 
@@ -165,7 +170,9 @@ def surrogate(key: str, kind: Column, canon: Column, draw: int) -> Column:
         script = script_of(canon)
         pick = lambda table: F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), script)
         syllable = lambda v: F.element_at(F.split(pick(SYLLABLES), " "), (v % 32 + 1).cast("int"))
-        ending = F.when(kind == "given:male", pick({k: v["male"] for k, v in ENDINGS.items()})).when(kind == "given:female", pick({k: v["female"] for k, v in ENDINGS.items()})).otherwise(pick({k: v["sur"] for k, v in ENDINGS.items()}))
+        ending = pick({k: v["sur"] for k, v in ENDINGS.items()})
+        for gender in ("any", "male", "female"):
+            ending = F.when(kind == f"given:{gender}", pick({k: v[gender] for k, v in ENDINGS.items()})).otherwise(ending)
         name = F.concat(F.array_join(F.transform(F.slice(numbers, 1, 3 + draw), syllable), ""), ending)
         country = country_of(canon)
         digits = F.array_join(F.transform(more, lambda v: (v % 10).cast("string")), "")
@@ -281,12 +288,16 @@ def entity_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     A part loses a draw if its surrogate is some part's original, or a smaller part of the kind has it. Draws repeat for
     the losers alone; after MAX_DRAWS of them, values are given out in order (see in_order), and what gets none draws on
     with longer surrogates. Only more cards or IPv4 addresses than there are at all raise an error."""
+    spark = docs.sparkSession
+    # Surrogates cost time, not bytes, so a table that is small in bytes must not end up in one task.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     mentions = docs.where(F.col(text).rlike(ANY)).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("entity")).distinct()
     originals = materialize(mentions.select(F.explode(parts_of(F.col("entity"))).alias("p")).select("p.*").distinct(), "entities")
     pending, settled = originals, None
     draw = 0
     while True:
-        made = pending.withColumn("draw", F.lit(draw)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), draw))
+        made = pending.repartition(tasks, "kind", "canon").withColumn("draw", F.lit(draw)).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), draw))
+        made = materialize(made, "made")
         everything = made if settled is None else made.unionByName(settled)
         # Settled parts win over pending ones, then the smallest part does.
         owner = everything.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "canon")).alias("owner"))
@@ -312,7 +323,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "
     """One row per document: key, text with surrogates, entities (kind, start and end in the original text), n_entities.
 
     The telephone country code, a mail address's top-level domain, separators and case stay. Null texts stay null and
-    have no entities. Rows may repeat; an empty table gives an empty result; other columns are ignored.
+    have no entities. Texts of any length are taken whole; their cost grows with their length and the entities in them.
+    Equal entities get equal surrogates wherever they are; rows may repeat; an empty table gives an empty result; other
+    columns are ignored. The key is part of the query plan: whoever may read plans and event logs can undo a surrogate.
     """
     table = entity_table(docs, key, text)
     rows = docs.select(docs[doc_key].alias("doc_id"), docs[text].alias("text"))
@@ -320,15 +333,19 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "
     lookups = None
     if not again.isEmpty():
         entry = F.concat_ws("\u0001", "kind", "canon")
-        held = rows.where(F.col("text").rlike(ANY)).select(F.sha2("text", 256).alias("sha"), F.explode(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda e: parts_of(e)))).alias("p")).select("sha", "p.*").distinct()
-        lookup = held.join(again.select("kind", "canon", "surrogate"), ["kind", "canon"]).groupBy("sha").agg(F.map_from_entries(F.collect_list(F.struct(entry, "surrogate"))).alias("again"))
-        lookup = materialize(lookup, "lookup")
         has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-        if (lookup.agg(F.sum(F.size("again"))).first()[0] or 0) <= SENT:
-            rows = rows.withColumn("sha", F.sha2("text", 256)).join(F.broadcast(lookup), "sha", "left").drop("sha")
+        with_entities = rows.where(has).withColumn("sha", F.sha2("text", 256))
+        # Every reading of a mention that the document's other names may decide.
+        readings = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda e: parts_of(e)))
+        held = with_entities.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.first(readings).alias("p")).select("sha", "copies", F.explode("p").alias("p")).select("sha", "copies", "p.*").distinct()
+        lookup = held.join(again.select("kind", "canon", "surrogate"), ["kind", "canon"]).groupBy("sha", "copies").agg(F.map_from_entries(F.collect_list(F.struct(entry, "surrogate"))).alias("again"))
+        lookup = materialize(lookup, "lookup")
+        entries, copies = lookup.agg(F.coalesce(F.sum(F.size("again")), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+        if entries <= SENT:
+            rows = rows.withColumn("sha", F.sha2("text", 256)).join(F.broadcast(lookup.drop("copies")), "sha", "left").drop("sha")
         else:
-            with_entities = rows.where(has).withColumn("sha", F.sha2("text", 256)).join(lookup, "sha", "left").drop("sha")
-            rows = with_entities.unionByName(rows.where(~has), allowMissingColumns=True)
+            found = join_dealt(with_entities, lookup.drop("copies"), "sha", hot_keys(lookup, "sha", "copies", copies), ["doc_id"], "left").drop("sha")
+            rows = found.unionByName(rows.where(~has), allowMissingColumns=True)
         lookups = F.coalesce("again", F.create_map().cast("map<string,string>"))
     t = F.col("text")
     known, pattern = names_of(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
@@ -337,15 +354,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "
     gaps, found = F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0))
     new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda e: rewritten(key, e, known, lookups)), lambda g, e: F.concat(g, e)), ""), F.element_at(gaps, -1))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    placed = F.aggregate(
-        F.zip_with(F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(found)), found, lambda g, e: F.struct(g.alias("gap"), e.alias("entity"))),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["entity"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(kind_of(x["entity"]).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["entity"])).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    gap_sizes = F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(found))
+    ends = running(F.zip_with(gap_sizes, found, lambda g, e: (g + F.length(e)).cast("bigint")))
+    span = lambda e, end: F.struct(kind_of(e).alias("kind"), (end - F.length(e)).cast("int").alias("start"), end.cast("int").alias("end"))
+    placed = F.zip_with(found, ends, span)
     has = F.col("known").isNotNull()
     rows = rows.select("doc_id", F.when(has, new).otherwise(t).alias("text"), F.when(has, placed).otherwise(none).alias("entities"))
     return rows.select("doc_id", "text", "entities", F.size("entities").cast("long").alias("n_entities"))

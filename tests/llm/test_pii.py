@@ -1,6 +1,8 @@
 import re
+import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loomlog.llm import pii_surrogates
@@ -116,3 +118,109 @@ def test_later_draws_reach_the_texts(spark, monkeypatch, sent):
     texts = [f"Dr Smith{'abcdefghij'[k]}" for k in range(10)] + ["none", None]
     new = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()]
     assert len(new) == 12 == len(set(new)) and {"none", None} == set(new) & set(texts)
+
+
+def test_hostile_texts(spark):
+    """A million characters that invite recursion or backtracking: no crash, whole results, in seconds."""
+    texts = ["a@" + "b." * 500_000 + "com", "a." * 500_000 + " x@y.com", "1." * 500_000, "+1 2 " * 200_000, "Mr A" + "b" * 1_000_000, "a@b" * 300_000, "x@y.com " * 50_000]
+    begin = time.perf_counter()
+    out = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert len(out) == len(texts) and out[1].text.startswith("a." * 500_000) and not out[1].text.endswith("x@y.com")
+    assert out[6].n_entities == 50_000 and "x@y.com" not in out[6].text and time.perf_counter() - begin < 240
+
+
+def test_titles_without_gender(spark):
+    texts = ["Dr Anna Smith wrote. Mrs Anna Smith agreed, Anna left.", "Dr Anna Smith alone.", "Prof Anna Jones and Mr Anna Brown."]
+    new = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "key").collect()]
+    dr, mrs, bare = re.fullmatch(r"Dr (\w+) \w+ wrote\. Mrs (\w+) \w+ agreed, (\w+) left\.", new[0]).groups()
+    assert dr == mrs == bare and dr.endswith("nna")
+    assert re.fullmatch(r"Dr \w+l \w+rt alone\.", new[1])
+    prof, mr = re.fullmatch(r"Prof (\w+) \w+ and Mr (\w+) \w+\.", new[2]).groups()
+    assert prof == mr and mr.endswith("n")
+
+
+def plain_kind(e):
+    if "@" in e:
+        return "email"
+    if re.fullmatch(r"\d+(?:\.\d+){3}", e):
+        return "ip"
+    return "card" if regex.fullmatch(pii_surrogates.CARD, e) else "phone" if e[0] in "+(0123456789" else "name"
+
+
+def plain_parts(e, known):
+    kind, digits = plain_kind(e), re.sub(r"\D", "", e)
+    if kind == "email":
+        return [(kind, e.lower())]
+    if kind in ("card", "phone"):
+        return [(kind, "+" + re.sub(f"^({pii_surrogates.COUNTRY}|)", r"\1 ", digits) if e[0] == "+" else digits)]
+    if kind == "ip":
+        return [(kind, e)]
+    words = e.split(" ")
+    if len(words) == 1:
+        return [max(p for p in known if p[1] == e.lower())]
+    title = words[0].rstrip(".")
+    given = ("given:" + ("female" if title in pii_surrogates.FEMALE else "male" if title in pii_surrogates.MALE else "any"), words[1].lower())
+    if title in pii_surrogates.NEUTRAL:
+        given = max([p for p in known if p[0].startswith("given:") and p[1] == given[1]], default=given)
+    last = ("surname", words[-1].lower())
+    return [given, last] if len(words) > 2 else [last]
+
+
+def plain_rewrite(text, table):
+    entities = [m[0] for m in regex.finditer(pii_surrogates.ANY, text)]
+    names = [e for e in entities if plain_kind(e) == "name"]
+    known = {p for e in names for p in plain_parts(e, [])}
+    bare = "|".join(dict.fromkeys(w for e in names for w in e.split(" ")[1:]))
+    pattern = pii_surrogates.ANY + (r"|(?<![\p{L}\p{N}])(?:" + bare + r")(?![\p{L}\p{N}])" if names else "")
+    spans = []
+
+    def new(m):
+        e, kind = m[0], plain_kind(m[0])
+        spans.append((kind, m.start(), m.end()))
+        made = [table[p] for p in plain_parts(e, known)]
+        if kind == "name":
+            return re.match(r"(?:\S+ )?", e)[0] + " ".join(x[0].upper() + x[1:] for x in made)
+        if kind == "email":
+            more = len(made[0]) - len(e)
+            return made[0][:more] + "".join(b.upper() if a.isupper() else b for a, b in zip(e, made[0][more:]))
+        if kind == "ip":
+            return made[0]
+        digits = iter(re.sub(r"\D", "", made[0]))
+        return "".join(next(digits) if c.isdigit() else c for c in e) + "".join(digits)
+
+    return regex.sub(pattern, new, text), spans
+
+
+def test_random_texts_equal_a_plain_version(spark, rng):
+    given, sur = ["Anna", "Jon", "Maria", "Иван", "Νίκος", "Élise"], ["Smith", "Jones", "Iron", "Петров", "Παππάς"]
+
+    def entity():
+        d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+        name = rng.choice(["Mr", "Mrs.", "Dr", "Prof.", "Frau", "Господин", "Κυρία"])
+        return rng.choice(
+            [
+                lambda: f"{name} {rng.choice(given)} {rng.choice(sur)}",
+                lambda: f"{name} {rng.choice(sur)}",
+                lambda: rng.choice(given + sur),
+                lambda: f"{rng.choice(['a.b', 'Jo', 'x_1'])}{d(1)}@{rng.choice(['mail', 'Web'])}.{rng.choice(['com', 'co.uk'])}",
+                lambda: f"{rng.randint(1, 300)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
+                lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}",
+                lambda: f"+{rng.choice(['1', '44', '49', '420'])} {d(3)} {d(3)} {d(4)}",
+                lambda: f"({d(3)}) {d(3)}-{d(4)}",
+                lambda: f"+44{d(10)}",
+            ]
+        )()
+
+    texts = ["".join(rng.choice([" ", ", ", ". ", " said ", "\n", "é", "(", "12 "]) + entity() for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = {(t.kind, t.canon): t.surrogate for t in entity_table(docs, "key").collect()}
+    assert len({(k, s) for (k, _), s in table.items()}) == len(table) and not {(k, s) for (k, _), s in table.items()} & set(table)
+    for r in pseudonymise(docs, "key").collect():
+        want, spans = plain_rewrite(texts[r.doc_id], table)
+        assert r.text == want and [(e.kind, e.start, e.end) for e in r.entities] == spans
+
+
+def test_ten_thousand_numbers_of_one_country_code(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.format_string("+44 %07d", F.col("id") * 997).alias("text"))
+    new = pseudonymise(docs, "key").select("text").distinct().collect()
+    assert len(new) == 10_000 and not {r.text for r in new} & {r.text for r in docs.collect()}
