@@ -32,16 +32,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(counted: DataFrame, key: str, size: str, total: int, share: int = 1000, least: int = 1000) -> DataFrame:
-    """The keys that more than a thousandth of all rows have, from counted (one row per key, `size` rows each; `total` in
-    all). There are fewer than `share` of them, whatever the data, so they may be broadcast."""
-    return counted.where(F.col(size) > max(total / share, least)).select(key)
+def hot_keys(counted: DataFrame, key: str, size: str, total: int, share: int = 1000, least: int = 1000) -> DataFrame | None:
+    """The keys that more than a thousandth of all rows, and more than `least` rows, have, from counted (one row per key,
+    `size` rows each; `total` in all); None where there can be none. There are fewer than `share` of them, whatever the
+    data, so they may be broadcast."""
+    return counted.where(F.col(size) > max(total / share, least)).select(key) if total > least else None
 
 
-def join_dealt(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+def join_dealt(many: DataFrame, few: DataFrame, key: str, hot: DataFrame | None, spread: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
     """many.join(few, key, how), where no task gets all rows of a hot key: those of many are dealt over `salts` by the
     columns `spread`, and those of few are repeated for each. hot: see hot_keys. Keys are never null."""
-    # Merged at every size but for the hot keys, so that what a run needs follows from its input.
+    if hot is None:
+        return many.join(few, key, how)
     hot = F.broadcast(hot.select(key, F.lit(True).alias("__hot")))
     dealt = many.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")).drop("__hot")
     each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

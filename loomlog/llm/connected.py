@@ -25,10 +25,10 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds if mark[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("links"))
-        hubs = hot_keys(least, "u", "links", 2 * mark[0])
+        hubs = hot_keys(least, "u", "links", 2 * mark[0], least=100_000)
         large = join_dealt(both, least.drop("links"), "u", hubs, ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
-        hubs = hot_keys(least, "u", "links", 2 * mark[0])
+        hubs = hot_keys(least, "u", "links", 2 * mark[0], least=100_000)
         small = join_dealt(large, least.drop("links"), "u", hubs, ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         before, mark = mark, _mark(now)

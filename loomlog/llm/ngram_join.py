@@ -36,6 +36,7 @@ HEAVY = 1 << 17  # most tokens whose frequency is kept for the order
 WINDOW = 500_000  # tokens that a task holds before it passes them on
 BLOCK = 256  # most members of a group, in the mean
 PART = 2_000_000  # most tokens of a group's sets, in the mean
+SMALL = 32  # families of fewer members share blocks
 CHUNK = 512  # queries that meet a group in one task, in the mean
 SPLIT = 1024  # groups of a token's row that ask in one task
 
@@ -139,7 +140,9 @@ def families(sets: DataFrame) -> DataFrame:
     placed = materialize(held.groupBy("doc").agg(F.max("n").alias("n"), F.min("pivot").alias("family"), F.collect_set("pivot").alias("pivots")), "families")
     sizes = materialize(placed.groupBy("family").agg(F.count(F.lit(1)).alias("many"), _parts("n").alias("parts")), "family-sizes")
     placed = join_dealt(placed, sizes, "family", hot_keys(sizes, "family", "many", _total(sizes, "many")), ["doc"])
-    block = F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    # Small families share blocks: comparing sets that have no token in common costs next to nothing.
+    few = max(1, -(-_total(sizes.where(F.col("many") < SMALL), "many") // BLOCK))
+    block = F.when(F.col("many") < SMALL, F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("family"), F.lit(few)))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("parts"))))
     return materialize(placed.select("doc", "family", "parts", block.alias("block"), "pivots"), "blocks")
 
 
@@ -152,22 +155,63 @@ def _parts(n: str):
     return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(n) / PART)).cast("long")
 
 
-def grouped(sets: DataFrame, placed: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(doc, cluster, group, alone) of all sets."""
-    own = sets.groupBy("doc").agg(F.max("n").alias("n")).join(placed.select("doc", "family", "parts"), "doc", "left")
+def grouped(placed: DataFrame, tokens: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(doc, cluster, group) of the sets that have a family."""
+    sizes = tokens.where("block is not null").groupBy("doc").agg(F.max("n").alias("n"))
+    own = placed.select("doc", "family", "parts").join(sizes, "doc")
     own = own.join(clusters.withColumnRenamed("node", "doc").withColumnRenamed("component", "cluster"), "doc", "left")
     own = materialize(own.withColumn("cluster", F.coalesce("cluster", "doc")), "clusters")
-    sizes = materialize(own.where("family is not null").groupBy("cluster").agg(F.count(F.lit(1)).alias("many"), _parts("n").alias("pieces")), "cluster-sizes")
-    large = sizes.where(F.col("many") >= BLOCK // 2)
+    large = materialize(own.groupBy("cluster").agg(F.count(F.lit(1)).alias("many"), _parts("n").alias("pieces")).where(F.col("many") >= BLOCK // 2), "cluster-sizes")
     own = join_dealt(own, large, "cluster", hot_keys(large, "cluster", "many", _total(large, "many")), ["doc"], "left")
     of_cluster = F.xxhash64(F.lit("cluster"), "cluster", F.pmod(F.xxhash64("doc"), F.col("pieces")))
     of_family = F.xxhash64(F.lit("family"), "family", F.pmod(F.xxhash64("cluster"), F.col("parts")))
-    group = F.when(F.col("pieces").isNotNull(), of_cluster).when(F.col("family").isNotNull(), of_family).otherwise(F.xxhash64(F.lit("alone"), "doc"))
-    return materialize(own.select("doc", "cluster", group.alias("group"), F.col("family").isNull().alias("alone")), "groups")
+    return materialize(own.select("doc", "cluster", F.when(F.col("pieces").isNotNull(), of_cluster).otherwise(of_family).alias("group")), "groups")
 
 
-def prefixes(rows: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(doc, n, tokens): each set's prefix, rarest tokens first. Copies within a window of a task appear once.
+def by_runs(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """work(table) for the rows of each value of the keys (whole numbers), which meet in one task; its result is a dict of
+    columns. Groups follow one another in sorted batches, so many small ones cost no more than their rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        held, last, out = [], None, {c: [] for c in names}
+
+        def done():
+            got = work(pa.Table.from_batches(held).combine_chunks())
+            for c in names:
+                out[c].extend(got[c])
+
+        def given():
+            batch = pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(names, types)], names)
+            for c in names:
+                out[c] = []
+            return batch
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(values[a])
+                if held and now != last:
+                    done()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+            yield given()
+        if held:
+            done()
+            yield given()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def shingled(rows: DataFrame, sets: DataFrame, placed: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
+    """(doc, n, block, prefix, tokens): each set's prefix, and of members of families the whole set too. The one time that
+    all texts move: to their documents' places.
 
     heavy: frequent tokens, rarest first; they come after all others in the order."""
     by_token = np.argsort(heavy, kind="stable")
@@ -186,59 +230,59 @@ def prefixes(rows: DataFrame, width: int, percent: int, heavy: np.ndarray) -> Da
         return np.concatenate([light, rest[: want - len(light)]])
 
     def run(batches):
-        held: dict[bytes, list] = {}
-        size = 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                n, first, whole = [], [], []
+                for block, value in zip(part.column(1).to_pylist(), part.column(2)):
+                    tokens = shingles(value.as_py(), width)
+                    n.append(len(tokens))
+                    first.append(prefix(tokens).tobytes())
+                    whole.append(None if block is None else tokens.tobytes())
+                columns = [part.column(0), pa.array(n, pa.int64()), part.column(1), pa.array(first, pa.binary()), pa.array(whole, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "block", "prefix", "tokens"])
 
-        def flush():
-            docs, n, tokens = zip(*held.values())
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["doc", "n", "tokens"])
+    places = sets.select("doc").distinct().join(placed.select("doc", "block"), "doc", "left")
+    texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc").join(places, "doc").select("doc", "block", "text")
+    return materialize(texts.mapInArrow(run, "doc long, n long, block long, prefix binary, tokens binary").where("n > 0"), "tokens")
 
-        for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = shingles(value.as_py(), width)
-                if key is None or not len(tokens):
-                    continue
-                sig = signature(tokens)
-                if sig in held:
-                    held[sig][0] = min(held[sig][0], key)
-                    continue
-                first = prefix(tokens)
-                held[sig] = [key, len(tokens), first.tobytes()]
-                size += len(first)
-                if size >= WINDOW:
-                    yield flush()
-                    held, size = {}, 0
-        if held:
-            yield flush()
 
-    return rows.mapInArrow(run, "doc long, n long, tokens binary")
+def ints(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy()
 
 
-def united(frame: pd.DataFrame) -> pd.DataFrame:
+def token_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column]
+
+
+def united(rows: pa.Table) -> dict:
     """The row of a group in the matrix: sizes of its members' sets, their cluster if they are of one, whether members of
     different clusters share a token of their prefixes, and the union of the prefixes."""
-    sets = [np.frombuffer(x, dtype=np.int64) for x in frame["tokens"]]
-    tokens = np.unique(np.concatenate(sets))
-    clusters, n = frame["cluster"].to_numpy(), frame["n"]
+    sets, clusters, n = token_sets(rows["prefix"]), ints(rows["cluster"]), ints(rows["n"])
+    every = np.concatenate(sets)
     several = bool((clusters != clusters[0]).any())
     home = False
     if several:
-        pairs = np.stack([np.concatenate(sets), np.repeat(clusters, [len(x) for x in sets])], axis=1)
-        pairs = np.unique(pairs, axis=0)
+        pairs = np.unique(np.stack([every.view(np.int64), np.repeat(clusters, [len(x) for x in sets])], axis=1), axis=0)
         home = bool((pairs[1:, 0] == pairs[:-1, 0]).any())
-    one = {"group": frame["group"].iloc[0], "low": n.min(), "high": n.max(), "members": frame["doc"].nunique(), "cluster": clusters.min(), "several": several, "home": home, "tokens": tokens.tobytes()}
-    return pd.DataFrame([one])
+    one = {"group": rows["group"][0].as_py(), "low": n.min(), "high": n.max(), "members": len(np.unique(ints(rows["doc"]))), "cluster": clusters.min(), "several": several, "home": home, "tokens": np.unique(every).tobytes()}
+    return {k: [v] for k, v in one.items()}
 
 
 UNITED = "group long, low long, high long, members long, cluster long, several boolean, home boolean, tokens binary"
 
 
-def group_rows(prefixed: DataFrame, groups: DataFrame) -> DataFrame:
-    """The matrix by groups; a group of one is not moved for it."""
-    placed = prefixed.join(groups, "doc")
-    alone = placed.where("alone").select("group", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(1).cast("long").alias("members"), "cluster", F.lit(False).alias("several"), F.lit(False).alias("home"), "tokens")
-    more = placed.where("not alone").select("group", "doc", "n", "cluster", "tokens").groupBy("group").applyInPandas(united, UNITED)
-    return materialize(alone.unionByName(more), "matrix")
+def alone_group():
+    return F.xxhash64(F.lit("alone"), "doc")
+
+
+def group_rows(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+    """The matrix by groups. A set without a family is a group of one, and is not moved for it."""
+    single = tokens.where("block is null").select(
+        alone_group().alias("group"), F.col("n").alias("low"), F.col("n").alias("high"), F.lit(1).cast("long").alias("members"), F.col("doc").alias("cluster"), F.lit(False).alias("several"), F.lit(False).alias("home"), F.col("prefix").alias("tokens"),
+    )
+    placed = tokens.where("block is not null").select("doc", "n", "prefix").join(groups, "doc").select("group", "doc", "n", "cluster", "prefix")
+    return materialize(single.unionByName(by_runs(placed, ["group"], united, UNITED)), "matrix")
 
 
 def by_token(matrix: DataFrame, buckets: int) -> DataFrame:
@@ -360,28 +404,29 @@ class Forest:
         return a != b
 
 
-def opened(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def opened(rows: pa.Table, percent: int) -> dict:
     """Edges (u, v) that connect what the links of an opened group's members (role 0) with its queries (role 1) connect,
     and, where `inside` says so, the links among the members."""
-    frame = frame.sort_values(["role", "doc"], kind="stable")
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]]
-    docs = frame["doc"].to_numpy()
+    rows = rows.sort_by([("role", "ascending"), ("doc", "ascending")])
+    sets, docs = token_sets(rows["tokens"]), ints(rows["doc"])
     sizes = np.array([len(x) for x in sets])
-    m = int((frame["role"] == 0).sum())
+    m = int((ints(rows["role"]) == 0).sum())
     if not m or len(docs) < 2:
-        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        return {"u": [], "v": []}
     flat = np.concatenate(sets[:m])
     member = np.repeat(np.arange(m), sizes[:m])
     union, token = np.unique(flat, return_inverse=True)
     order = np.argsort(token, kind="stable")
     holders, start = member[order], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(union)))])
     forest, left = Forest(len(docs)), m
-    for q in range(0 if frame["inside"].any() else m, len(docs)):
+    for q in range(0 if any(rows["inside"].to_pylist()) else m, len(docs)):
         if q < m and left == 1:
             continue  # all members are connected
         at = np.minimum(np.searchsorted(union, sets[q]), len(union) - 1)
         hit = at[union[at] == sets[q]]
         lengths = start[hit + 1] - start[hit]
+        if q < m and lengths.sum() == len(hit):
+            continue  # no other member has any of its tokens
         places = np.arange(lengths.sum()) + np.repeat(start[hit] - (np.cumsum(lengths) - lengths), lengths)
         overlap = np.bincount(holders[places], minlength=m)
         for k in np.flatnonzero(100 * overlap >= percent * (sizes[q] + sizes[:m] - overlap)):
@@ -389,83 +434,78 @@ def opened(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
                 left -= 1
     roots = np.array([forest.find(k) for k in range(len(docs))])
     linked = roots != np.arange(len(docs))
-    return pd.DataFrame({"u": docs[linked], "v": docs[roots[linked]]})
+    return {"u": docs[linked].tolist(), "v": docs[roots[linked]].tolist()}
 
 
-def whole_union(frame: pd.DataFrame) -> pd.DataFrame:
-    tokens = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in frame["tokens"]]))
-    return pd.DataFrame([{"group": frame["group"].iloc[0], "tokens": tokens.tobytes()}])
+def whole_union(rows: pa.Table) -> dict:
+    return {"group": [rows["group"][0].as_py()], "tokens": [np.unique(np.concatenate(token_sets(rows["tokens"]))).tobytes()]}
 
 
-def may_link(queries: pd.DataFrame, unions: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The queries that share enough tokens with the union of a group to be linked with one of its members."""
-    if unions.empty:
-        return queries.iloc[:0]
-    union = np.frombuffer(unions["tokens"].iloc[0], dtype=np.uint64)
+def may_link(rows: pa.Table, percent: int) -> dict:
+    """Of a group's queries (role 1), those that share enough tokens with its union (role 0) to be linked with a member."""
+    sets, roles = token_sets(rows["tokens"]), ints(rows["role"])
+    union = next((x for x, r in zip(sets, roles) if r == 0), np.zeros(1, dtype=np.uint64))
 
-    def enough(x):
-        tokens = np.frombuffer(x, dtype=np.uint64)
-        at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-        return int((union[at] == tokens).sum()) >= least_overlap(len(tokens), percent)
+    def enough(k):
+        at = np.minimum(np.searchsorted(union, sets[k]), len(union) - 1)
+        return int((union[at] == sets[k]).sum()) >= least_overlap(len(sets[k]), percent)
 
-    return queries[[enough(x) for x in queries["tokens"]]]
+    kept = rows.filter(pa.array([bool(r == 1 and enough(k)) for k, r in enumerate(roles)], pa.bool_()))
+    return {c: kept[c].to_pylist() for c in ("doc", "group", "chunk", "tokens")}
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted (doc and other columns) with each document's tokens, in place of its text."""
-    names = wanted.columns
-    at = len(names)
-    docs = wanted.groupBy("doc").agg(F.count(F.lit(1)).alias("many"))
-    placed = join_dealt(wanted, rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc"), "doc", hot_keys(docs, "doc", "many", wanted.count()), names)
+EDGES = "u long, v long"
 
-    def run(batches):
-        last, held = None, b""
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part, out = batch.slice(a, 512), []
-                for value in part.column(at):
-                    words = value.as_py()
-                    if words != last:
-                        last, held = words, shingles(words, width).tobytes()
-                    out.append(held)
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(out, pa.binary())], [*names, "tokens"])
 
-    kinds = ", ".join(f"{c} {k}" for c, k in wanted.dtypes)
-    return placed.select(*names, "text").mapInArrow(run, f"{kinds}, tokens binary")
+def links_within(tokens: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Edges of the links among the members of each block, and between them and their pivots."""
+    role = lambda r: [F.lit(r == 0).alias("inside"), F.lit(r).alias("role"), "tokens"]
+    held = tokens.where("block is not null")
+    pivots = placed.select(F.explode("pivots").alias("doc"), "block").distinct().join(placed.select("doc", "block"), ["doc", "block"], "left_anti")
+    pivots = materialize(pivots, "pivots")
+    busy = pivots.groupBy("doc").agg(F.count(F.lit(1)).alias("many"))
+    asking = join_dealt(pivots, held.select("doc", "tokens"), "doc", hot_keys(busy, "doc", "many", pivots.count()), ["block"])
+    rows = held.select("doc", "block", *role(0)).unionByName(asking.select("doc", "block", *role(1)))
+    return by_runs(rows, ["block"], lambda t: opened(t, percent), EDGES)
 
 
-EDGES = "u long, v long"
+def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc, group, tokens) of the wanted (doc, group) from their texts."""
 
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingles(v.as_py(), width).tobytes() for v in part.column(2)], pa.binary())], ["doc", "group", "tokens"])
 
-def links_within(rows: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges of the links among the members of each block, and between them and their pivots."""
-    role = lambda r: [F.lit(r == 0).alias("inside"), F.lit(r).alias("role")]
-    pivots = placed.select(F.explode("pivots").alias("doc"), "block").distinct().join(placed.select("doc", "block"), ["doc", "block"], "left_anti")
-    roles = materialize(placed.select("doc", "block", *role(0)).unionByName(pivots.select("doc", "block", *role(1))), "roles")
-    return sets_of(rows, roles, width).groupBy("block").applyInPandas(lambda f: opened(f, percent), EDGES)
+    placed = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc").join(wanted, "doc").select("doc", "group", "text")
+    return placed.mapInArrow(run, "doc long, group long, tokens binary")
 
 
-def links_between(rows: DataFrame, matrix: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def links_between(rows: DataFrame, tokens: DataFrame, matrix: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges of the links between the groups of each pair, and within groups of several clusters."""
     home = matrix.where("home").select("group").distinct()
     wanted = home.unionByName(pairs.select(F.col("query").alias("group"))).unionByName(pairs.select(F.col("target").alias("group"))).distinct()
-    tokens = materialize(sets_of(rows, groups.join(wanted, "group").select("doc", "group"), width), "sets")
+    wanted = materialize(wanted, "wanted")
+    members = tokens.where("block is not null").select("doc", "tokens").join(groups.join(wanted, "group").select("doc", "group"), "doc")
+    # Texts of the few sets without a family that some group may be linked with.
+    single = tokens.where("block is null").select("doc", alone_group().alias("group")).join(wanted, "group").select("doc", "group").distinct()
+    held = members.select("doc", "group", "tokens").unionByName(sets_of(rows, materialize(single, "single"), width))
+    held = materialize(held, "sets")
     chunks = pairs.groupBy("target").agg(F.ceil(F.sum("members") / CHUNK).cast("int").alias("chunks")).withColumnRenamed("target", "group")
     chunks = materialize(chunks, "chunks")
-    unions = tokens.join(chunks, "group").groupBy("group").applyInPandas(whole_union, "group long, tokens binary")
-    unions = materialize(unions, "unions")
-    each = unions.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", "chunk", "tokens")
+    unions = materialize(by_runs(held.join(chunks, "group").select("group", "tokens"), ["group"], whole_union, "group long, tokens binary"), "unions")
+    each = unions.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(F.lit(0).cast("long").alias("doc"), "group", "chunk", F.lit(0).alias("role"), "tokens")
     asking = pairs.join(chunks.withColumnRenamed("group", "target"), "target").select(F.col("query").alias("group"), "target", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"))
     busy = asking.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
-    asking = join_dealt(asking, tokens, "group", hot_keys(busy, "group", "many", pairs.count()), ["target"]).select("doc", F.col("target").alias("group"), "chunk", "tokens")
-    kind = "doc long, group long, chunk int, tokens binary"
-    asked = asking.groupBy("group", "chunk").cogroup(each.groupBy("group", "chunk")).applyInPandas(lambda a, b: may_link(a, b, percent), kind)
+    asking = join_dealt(asking, held, "group", hot_keys(busy, "group", "many", pairs.count()), ["target"]).select("doc", F.col("target").alias("group"), "chunk", F.lit(1).alias("role"), "tokens")
+    asked = by_runs(each.unionByName(asking), ["group", "chunk"], lambda t: may_link(t, percent), "doc long, group long, chunk int, tokens binary")
     asked = materialize(asked, "queries")
     open_ = asked.select("group", "chunk", F.lit(False).alias("inside")).unionByName(home.select("group", F.lit(0).alias("chunk"), F.lit(True).alias("inside")))
     open_ = open_.groupBy("group", "chunk").agg(F.max("inside").alias("inside"))
-    members = open_.join(tokens, "group").select("doc", "group", "chunk", "inside", F.lit(0).alias("role"), "tokens")
+    members = open_.join(held, "group").select("doc", "group", "chunk", "inside", F.lit(0).alias("role"), "tokens")
     queries = asked.select("doc", "group", "chunk", F.lit(False).alias("inside"), F.lit(1).alias("role"), "tokens")
-    return members.unionByName(queries).groupBy("group", "chunk").applyInPandas(lambda f: opened(f, percent), EDGES)
+    return by_runs(members.unionByName(queries), ["group", "chunk"], lambda t: opened(t, percent), EDGES)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
@@ -488,11 +528,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     copies, total = sets.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, int(total // 300_000) + 1)
     placed = families(sets)
-    near = components(links_within(rows, placed, width, percent))
-    groups = grouped(sets, placed, near)
-    matrix = group_rows(prefixes(rows, width, percent, heavy), groups)
+    tokens = shingled(rows, sets, placed, width, percent, heavy)
+    near = components(links_within(tokens, placed, percent))
+    groups = grouped(placed, tokens, near)
+    matrix = group_rows(tokens, groups)
     pairs = group_pairs(matrix, percent, buckets)
-    far = links_between(rows, matrix, groups, pairs, width, percent)
+    far = links_between(rows, tokens, matrix, groups, pairs, width, percent)
     found = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(far))
     classes = sets.select("sig", "doc", "copies").join(found.withColumnRenamed("node", "doc"), "doc", "left")
     classes = materialize(classes.select("sig", F.coalesce("component", "doc").alias("class"), "copies"), "classes")
