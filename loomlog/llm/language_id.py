@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -141,21 +141,23 @@ def fit_language_model(
     docs: DataFrame, model: str, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 1500, words_per_language: int = 40_000, rounds: int = 3
 ) -> LanguageModel:
     """Piece probabilities from about `docs_per_language` documents of each language that are not held out, of whose words
-    the `words_per_language` most frequent count; both bound what comes to the driver. Languages are the values of lang."""
-    ids, _ = stratified_ids(docs, lang, docs_per_language, key)
-    sample = labelled_texts(docs, ids, text, key)
-    words = sample.select(lang, F.explode(F.split(F.lower(F.translate(text, SPACE, "_")), r"\s+")).alias("word")).where("length(word) between 1 and 39")
-    counts = words.groupBy(lang, "word").count()
-    languages = sorted(r[0] for r in ids.select(lang).distinct().collect())
-    if not languages:
+    the `words_per_language` most frequent count; both bound what comes to the driver. Stretches without white space are
+    taken in words of at most 39 characters. Languages are the values of lang whose texts have a word."""
+    ids, classes = stratified_ids(docs, lang, docs_per_language, key)
+    if not classes:
         raise ValueError("no row with a language may be learned from")
+    words = F.regexp_extract_all(F.lower(F.translate(text, SPACE, "_")), F.lit(r"(?U)\S{1,39}"), F.lit(0))
+    counts = labelled_texts(docs, ids, text, key).select(F.col(lang).alias("lang"), F.explode(words).alias("word")).groupBy("lang", "word").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    top = counts.withColumn("place", place).where(F.col("place") <= words_per_language).select("lang", "word", "count").toPandas()
+    top = top.sort_values(["lang", "count", "word"], ascending=[True, False, True])
+    languages = sorted(top["lang"].unique().tolist()) or sorted(classes)
     lat = lattice(model)
     p = np.full((lat.size, len(languages)), 1.0 / lat.size)
-    for k, name in enumerate(languages):
-        top = counts.where(F.col(lang) == name).orderBy(F.desc("count"), "word").limit(words_per_language).toPandas()
-        got, weight = top["word"].tolist(), top["count"].to_numpy(dtype=float)
+    for k, (_, rows) in enumerate(top.groupby("lang", sort=True)):
+        got, weight = rows["word"].tolist(), rows["count"].to_numpy(dtype=float)
         column = p[:, k : k + 1].copy()
-        for _ in range(rounds if got else 0):
+        for _ in range(rounds):
             total = np.zeros((lat.size, 1))
             for at in range(0, len(got), 20_000):
                 total += lat.forward(got[at : at + 20_000], column, weight[at : at + 20_000])[1]
@@ -168,8 +170,9 @@ def fit_language_model(
 def identify(docs: DataFrame, fitted: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, lang_pred and score (0 to 1) of each whole text, from the text alone.
 
-    Null texts and texts without a letter give `und` and score 0. Rows may repeat; an empty table gives an empty result;
-    other columns are ignored. The model's size is fixed by the vocabulary and the languages.
+    Null texts and texts without a letter give `und` and score 0. Of equal posteriors, the first language in alphabetical
+    order has it. Texts of any length are summed whole, their words looked up in parts. Rows may repeat; an empty table
+    gives an empty result; other columns are ignored. The model's size is fixed by the vocabulary and the languages.
     """
 
     def run(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, materialize
 from .samples import labelled_texts, stratified_ids
 from .vocabulary import WordRows, runs_of_rows
 
@@ -27,6 +27,7 @@ _JUNK = re.compile(r"[\W_]+")
 _WORD = re.compile(r"\S+")
 BUCKETS = 1 << 14
 CLIP = 30.0
+TOGETHER = 1 << 22  # bytes of text scored at once: steps along the chains cost the same for one document as for many
 
 
 def clean(word: str) -> str:
@@ -122,26 +123,16 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.evidence(marginals, sizes) @ self.calibration, -CLIP, CLIP)))
 
 
-def toxic_words(texts: list[list[str]], toxic: list[int], alpha: float = 0.01) -> set[str]:
-    """Words that occur in toxic documents more often than chance, at a rate of at least ten to one."""
-    bad, all_docs = Counter(), Counter()
-    for words, label in zip(texts, toxic):
-        own = set(map(clean, words))
-        all_docs.update(own)
-        if label:
-            bad.update(own)
-    n_bad = sum(map(bool, toxic))
-    if not n_bad or n_bad == len(toxic):
+def toxic_words(counts: list[tuple[str, int, int]], n_bad: int, n_all: int, words_in_bad: int, alpha: float = 0.01) -> set[str]:
+    """Of (word, toxic documents with it, documents with it), those that toxic documents have more often than chance, at a
+    rate of at least ten to one; words_in_bad: how many words were looked at."""
+    if not 0 < n_bad < n_all:
         return set()
-    share = n_bad / len(toxic)
-    limit = math.log(alpha / max(1, len(bad)))
+    share, limit = n_bad / n_all, math.log(alpha / max(1, words_in_bad))
     found = set()
-    for word, k in bad.items():
-        n = all_docs[word]
-        if not word or k < 3:
-            continue
-        rate_bad, rate_good = (k + 0.5) / (n_bad + 1), (n - k + 0.5) / (len(toxic) - n_bad + 1)
-        if rate_bad < 10 * rate_good:
+    for word, k, n in counts:
+        rate_bad, rate_good = (k + 0.5) / (n_bad + 1), (n - k + 0.5) / (n_all - n_bad + 1)
+        if not word or k < 3 or rate_bad < 10 * rate_good:
             continue
         # Chernoff bound of the binomial tail: P(at least k of n) <= exp(-n * KL(k/n, share))
         q = k / n
@@ -151,6 +142,47 @@ def toxic_words(texts: list[list[str]], toxic: list[int], alpha: float = 0.01) -
     return found
 
 
+def windows_of(key, words: list[str], toxic: bool, bad: set[str], window: int) -> list[tuple[list[str], list[int]]]:
+    """Stretches of the words, with their labels, around toxic ones; of a clean document, one around a word that its key picks."""
+    cleaned = [clean(w) for w in words]
+    if toxic:
+        at = [t for t, w in enumerate(cleaned) if w in bad]  # none: toxic by its label, but nothing says which words
+    else:
+        at = [t for t in (zlib.crc32(str(key).encode()) % len(words),)] if words else []
+    out, last = [], -1
+    for t in at:
+        if t > last:
+            a, last = max(0, t - window), min(len(words), t + window + 1)
+            shown = [w if len(w) <= 64 else w[:32] + w[-32:] for w in words[a:last]]
+            out.append((shown, [int(toxic and w in bad) for w in cleaned[a:last]]))
+    return out
+
+
+def field_loss(weights: np.ndarray, pairs: np.ndarray, index: np.ndarray, y: np.ndarray, lengths: np.ndarray, inside: np.ndarray, penalty: float = 0.05) -> tuple[float, np.ndarray]:
+    """Negative log likelihood of the labels y of all windows (with half the penalty on squared weights), and its gradient
+    by the weights (the last but one is the bias, the last is always 0) and the scores of pairs of neighbouring labels."""
+    none = len(weights) - 1
+    score = np.where(inside, np.clip(weights[index].sum(axis=2) + weights[none - 1], -CLIP, CLIP), 0.0)
+    gain, change, both = np.exp(score), np.exp(pairs), inside[1:]
+    before, after = odds_forward_backward(gain, lengths, change)
+    odds = before * after
+    off = np.where(inside, odds / (1 + odds) - y, 0.0)
+    grad = np.bincount(index.ravel(), weights=np.repeat(off.ravel(), 3), minlength=none + 1)
+    grad[none - 1], grad[none] = off.sum(), 0
+    # Joint odds of neighbours, relative to (0, 0).
+    x = gain[1:] * after[1:]
+    joint = np.stack([np.full_like(x, change[0, 0]), change[0, 1] * x, change[1, 0] * before[:-1], change[1, 1] * before[:-1] * x])
+    joint = np.where(both, joint / joint.sum(axis=0), 0.0).sum(axis=(1, 2)).reshape(2, 2)
+    seen = np.array([[(both & (y[:-1] == a) & (y[1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
+    full = np.concatenate([grad + penalty * weights, (joint - seen + penalty * pairs).ravel()])
+    full[none] = 0
+    # log of the sum over labellings: state 0 all along, and each step's factor (c00 + c10 r) of the forward odds r.
+    t = np.arange(len(lengths))
+    norm = np.where(both, np.log(change[0, 0] + change[1, 0] * before[:-1]), 0.0).sum() + np.log1p(before[lengths - 1, t]).sum()
+    loss = norm - (score * y).sum() - (seen * pairs).sum() + penalty / 2 * ((weights**2).sum() + (pairs**2).sum())
+    return float(loss), full
+
+
 def train_field(windows: list[list[str]], labels: list[list[int]], known: dict[str, int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood (with a small penalty) by Adam; gradients from forward-backward over all windows at once."""
     order = sorted(range(len(windows)), key=lambda k: -len(windows[k]))
@@ -168,26 +200,8 @@ def train_field(windows: list[list[str]], labels: list[list[int]], known: dict[s
     weights, pairs = np.zeros(none + 1), np.zeros((2, 2))
     weights[none - 1] = -3.0
     m1, m2 = np.zeros(none + 5), np.zeros(none + 5)
-    seen = np.zeros((2, 2))
-    both = inside[1:]
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = (both & (y[:-1] == a) & (y[1:] == b)).sum()
     for step in range(1, rounds + 1):
-        gain = np.exp(np.clip(weights[index].sum(axis=2) + weights[none - 1], -CLIP, CLIP))
-        gain[~inside] = 1
-        change = np.exp(pairs)
-        before, after = odds_forward_backward(gain, lengths, change)
-        odds = before * after
-        off = np.where(inside, odds / (1 + odds) - y, 0.0)
-        grad = np.bincount(index.ravel(), weights=np.repeat(off.ravel(), 3), minlength=none + 1)
-        grad[none - 1], grad[none] = off.sum(), 0
-        # Joint odds of neighbours, relative to (0, 0).
-        x = gain[1:] * after[1:]
-        joint = np.stack([np.full_like(x, change[0, 0]), change[0, 1] * x, change[1, 0] * before[:-1], change[1, 1] * before[:-1] * x])
-        joint = np.where(both, joint / joint.sum(axis=0), 0.0).sum(axis=(1, 2)).reshape(2, 2)
-        full = np.concatenate([grad + 0.05 * weights, (joint - seen + 0.05 * pairs).ravel()])
-        full[none] = 0
+        _, full = field_loss(weights, pairs, index, y, lengths, inside)
         m1, m2 = 0.9 * m1 + 0.1 * full, 0.99 * m2 + 0.01 * full * full
         move = 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         weights -= move[: none + 1]
@@ -198,44 +212,59 @@ def train_field(windows: list[list[str]], labels: list[list[int]], known: dict[s
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", toxic_docs: int = 3000, other_docs: int = 6000, window: int = 12, max_windows: int = 6000, seed: int = 7
 ) -> ToxicityModel:
-    """Learn from about toxic_docs + other_docs labelled documents that are not held out; these numbers bound the sample.
-    Without both labels among them every score is the share of toxic ones (0 without any)."""
+    """Learn from about toxic_docs + other_docs labelled documents that are not held out; these numbers bound the sample,
+    and max_windows the windows of words that the field is trained on. The sample's texts stay on the executors: to the
+    driver come word counts, windows of words, and three numbers for each document. Without both labels among them every
+    score is the share of toxic ones (0 without any)."""
     ids, stands_for = stratified_ids(labels, label, {1: toxic_docs, 0: other_docs}, key)
-    rows = labelled_texts(docs, ids, text, key).select(key, text, label).orderBy(key).toPandas()
-    one: dict[str, str] = {}  # equal words share one object
-    texts, y = [[one.setdefault(w, w) for w in words_of(t)] for t in rows[text]], [int(v) for v in rows[label]]
-    if len(set(y)) < 2:
-        return ToxicityModel({}, np.zeros(2 * BUCKETS + 1), np.ones((2, 2)), np.zeros(3), float(np.mean(y)) if y else 0.0)
-    bad = toxic_words(texts, y)
-    rng = np.random.default_rng(seed)
-    windows, marks = [], []
-    cleaner = {w: clean(w) for w in one}
-    for words, label_ in zip(texts, y):
-        cleaned = [cleaner[w] for w in words]
-        at = [t for t, w in enumerate(cleaned) if w in bad] if label_ else []
-        if label_ and not at:
-            continue  # toxic by its label, but nothing says which words
-        if not at and words:
-            at = [int(rng.integers(len(words)))]
-        last = -1
-        for t in at:
-            if t <= last:
-                continue
-            a, b = max(0, t - window), min(len(words), t + window + 1)
-            last = b
-            windows.append(words[a:b])
-            marks.append([int(bool(label_) and w in bad) for w in cleaned[a:b]])
-    pick = rng.permutation(len(windows))[:max_windows]
-    windows, marks = [windows[k] for k in pick], [marks[k] for k in pick]
+    columns = [F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")]
+    sample = materialize(labelled_texts(docs, ids, text, key).select(*columns), "toxicity-sample")
+    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
+    n_bad, n_all = sizes.get(1, 0), sum(sizes.values())
+    if not 0 < n_bad < n_all:
+        return ToxicityModel({}, np.zeros(2 * BUCKETS + 1), np.ones((2, 2)), np.zeros(3), n_bad / n_all if n_all else 0.0)
+
+    def words_in(batches):
+        for batch in batches:
+            for part in runs_of_rows(batch, 1):
+                own = [sorted({clean(w) for w in words_of(t)}) for t in part.column(1).to_pylist()]
+                label_ = np.repeat(np.array(part.column(2).to_pylist()), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array([w for x in own for w in x], pa.string()), pa.array(label_, pa.int32())], ["word", "label"])
+
+    counts = sample.mapInArrow(words_in, "word string, label int").groupBy("word").agg(F.sum("label").cast("long").alias("bad"), F.count(F.lit(1)).alias("docs")).where("bad > 0")
+    counts = materialize(counts, "toxicity-words")
+    rate = (F.col("bad") + 0.5) / (n_bad + 1) >= 10 * (F.col("docs") - F.col("bad") + 0.5) / (n_all - n_bad + 1)
+    often = [tuple(r) for r in counts.where("bad >= 3").where(rate).orderBy("word").collect()]
+    bad = toxic_words(often, n_bad, n_all, counts.count())
+
+    def cut(batches):
+        for batch in batches:
+            for part in runs_of_rows(batch, 1):
+                for key_, t, label_ in zip(*(c.to_pylist() for c in part.columns)):
+                    got = windows_of(key_, words_of(t), bool(label_), bad, window)
+                    if got:
+                        order = [zlib.crc32(f"{seed} {key_} {k}".encode()) for k in range(len(got))]
+                        lists = [pa.array([x[k] for x in got], pa.list_(kind)) for k, kind in ((0, pa.string()), (1, pa.int32()))]
+                        yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array([key_] * len(got), pa.string()), *lists], ["order", "key", "words", "marks"])
+
+    picked = sample.mapInArrow(cut, "order long, key string, words array<string>, marks array<int>").orderBy("order", "key").limit(max_windows).collect()
+    windows, marks = [list(r.words) for r in picked], [list(r.marks) for r in picked]
     common = Counter(clean(w) for window_ in windows for w in window_)
     known = {w: i for i, w in enumerate(sorted({w for w, n in common.items() if n >= 3} | bad))}
     weights, change = train_field(windows, marks, known) if windows else (np.zeros(len(known) + 2 * BUCKETS + 1), np.ones((2, 2)))
     model = ToxicityModel(known, weights, change, np.zeros(3))
-    # Calibrate on the documents' labels; the sample's classes are weighted as the labelled rows have them.
-    table = model.worker()
-    parts = [model.evidence(*model.marginals(table, rows[text].tolist()[k : k + 500])) for k in range(0, len(y), 500)]
-    each = np.array([stands_for[v] for v in rows[label]], dtype=float)
-    model.calibration = calibrate(np.concatenate(parts), np.array(y, dtype=float), each / each.mean())
+
+    def evidence(batches):
+        table = model.worker()
+        for batch in batches:
+            for part in runs_of_rows(batch, 1):
+                x = model.evidence(*model.marginals(table, part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x[:, k]) for k in range(3))], ["key", "label", "x0", "x1", "x2"])
+
+    # Calibrated on the documents' labels, each class at the weight that its labelled rows have.
+    rows = sample.mapInArrow(evidence, "key string, label int, x0 double, x1 double, x2 double").toPandas().sort_values("key", kind="stable")
+    each = rows["label"].map(stands_for).to_numpy(dtype=float)
+    model.calibration = calibrate(rows[["x0", "x1", "x2"]].to_numpy(), rows["label"].to_numpy(dtype=float), each / each.mean())
     return model
 
 
@@ -251,14 +280,15 @@ def calibrate(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, span_threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, score, predicted (score >= threshold) and spans: [start, end) code points of words whose marginal is
-    at least span_threshold, with it. Null and empty texts have no words, get the score of no evidence and no spans.
-    Rows may repeat; an empty table gives an empty result; other columns are ignored."""
+    at least span_threshold, with it. Null and empty texts have no words, get the score of no evidence and no spans. Texts
+    of any length are one chain, scored whole; a worker then holds a few numbers for each word. Rows may repeat; an empty
+    table gives an empty result; other columns are ignored."""
 
     def run(batches):
         rows = model.worker()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
-            for part in runs_of_rows(batch, 1):
+            for part in runs_of_rows(batch, 1, TOGETHER):
                 texts = part.column(1).to_pylist()
                 marginals, sizes = model.marginals(rows, texts)
                 scores = model.scores(marginals, sizes)
@@ -280,13 +310,13 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, span_th
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns."""
+    """The rows of docs that score below threshold, with all their columns; for nulls, empty and long texts see score."""
     at = docs.columns.index(text)
 
     def run(batches):
         rows = model.worker()
         for batch in batches:
-            for part in runs_of_rows(batch, at):
+            for part in runs_of_rows(batch, at, TOGETHER):
                 scores = model.scores(*model.marginals(rows, part.column(at).to_pylist()))
                 yield part.filter(pa.array(scores < threshold, pa.bool_()))
 

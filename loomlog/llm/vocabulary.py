@@ -31,7 +31,7 @@ class WordRows:
     characters of them. Words of about `most` characters of text are held at once, however long a text is.
     """
 
-    def __init__(self, score, columns: int, split, limit: int = 1 << 17, most: int = MOST):
+    def __init__(self, score, columns: int, split, limit: int = 1 << 18, most: int = MOST):
         self.score, self.columns, self.split, self.limit, self.most = score, columns, split, limit, most
         self.reset()
 

@@ -1,5 +1,7 @@
 import itertools
 import os
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -7,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import is_held_out
-from loomlog.llm.language_id import Lattice, fit_language_model, identify
-from loomlog.llm.quality_ordinal import fit_quality, rate, train_ordinal
-from loomlog.llm.toxicity_crf import drop_toxic, fit_toxicity, odds_forward_backward, score, train_field
+from loomlog.llm.language_id import LanguageModel, Lattice, fit_language_model, identify
+from loomlog.llm.quality_ordinal import OrdinalModel, cells, features, fit_quality, loss, rate, train_ordinal
+from loomlog.llm.toxicity_crf import BUCKETS, ToxicityModel, drop_toxic, field_loss, fit_toxicity, odds_forward_backward, score, train_field
+from loomlog.llm.vocabulary import WordRows
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.01"
@@ -66,12 +69,114 @@ def test_field_learns_its_words():
     assert weights[0] > 0.5 and weights[3] > 0.5 and weights[1] < 0.5 and (change > 0).all()
 
 
+def test_field_gradient_by_finite_differences():
+    rng = np.random.default_rng(6)
+    lengths = np.array([5, 4, 2, 1])
+    inside = np.arange(5)[:, None] < lengths[None, :]
+    index, y = rng.integers(0, 6, (5, 4, 3)), rng.integers(0, 2, (5, 4)) * inside
+    index[~inside] = 7  # of eight weights, the last is the one that is always 0, the one before is the bias
+    weights, pairs = np.append(rng.normal(size=7), 0), rng.normal(size=(2, 2))
+    _, gradient = field_loss(weights, pairs, index, y, lengths, inside)
+    for k in range(12):
+        if k == 7:
+            continue
+        ends = []
+        for sign in (1, -1):
+            w, p = weights.copy(), pairs.copy()
+            if k < 8:
+                w[k] += sign * 1e-5
+            else:
+                p.flat[k - 8] += sign * 1e-5
+            ends.append(field_loss(w, p, index, y, lengths, inside)[0])
+        assert np.isclose((ends[0] - ends[1]) / 2e-5, gradient[k], rtol=1e-4, atol=1e-5)
+
+
 def test_ordinal_orders_four_grades():
     rng = np.random.default_rng(2)
     grade = rng.integers(0, 4, 400)
     texts = [["good"] * int(g) * 2 + ["bad"] * int(3 - g) * 2 + [f"w{rng.integers(50)}"] * 2 for g in grade]
-    weights, thresholds = train_ordinal(texts, grade, 4)
+    weights, thresholds = train_ordinal(map(cells, texts), grade, 4)
     assert (np.diff(thresholds) > 0).all() and np.count_nonzero(weights)
+    model = OrdinalModel([0, 1, 2, 3], weights, thresholds)
+    tails = model.tails(model.worker(), [" ".join(["good"] * 2 * g + ["bad"] * 2 * (3 - g) + ["w1"] * 2) for g in range(4)])
+    expected = tails.sum(axis=1)
+    assert (np.diff(expected) > 0.5).all() and np.abs(expected - np.arange(4)).max() < 0.5 and (np.diff(tails, axis=1) <= 0).all()
+
+
+def test_ordinal_gradient_by_finite_differences():
+    rng = np.random.default_rng(4)
+    n, used, classes = 12, 5, 4
+    row, col, val = rng.integers(0, n, 40), rng.integers(0, used, 40), rng.random(40)
+    grade, share = rng.integers(0, classes, n), rng.random(n)
+    theta = rng.normal(size=used + classes - 1)
+    value, gradient = loss(theta, row, col, val, grade, share, used, 0.1)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        slope = (loss(theta + step, row, col, val, grade, share, used, 0.1)[0] - loss(theta - step, row, col, val, grade, share, used, 0.1)[0]) / 2e-5
+        assert np.isclose(slope, gradient[k], rtol=1e-4, atol=1e-7)
+
+
+def test_cells_are_shares_of_the_words():
+    at, share = cells("the cat the".split())
+    want = Counter()
+    for w in "the cat the".split():
+        want.update({c: n / 3 for c, n in Counter(features(w)).items()})
+    assert dict(zip(at.tolist(), share.tolist())) == pytest.approx(dict(want))
+    assert len(cells([])[0]) == 0
+
+
+def test_language_score_is_the_tempered_sum(spark):
+    """A text's score from its words' forward sums, word by word; long texts in parts give the same."""
+    lat = Lattice(MODEL)
+    rng = np.random.default_rng(8)
+    model = LanguageModel(["a", "b", "c"], rng.random((lat.size, 3)) / 100, MODEL)
+    texts = ["the and of this", "Une  autre\tphrase", "x" * 60 + " the", ""]
+    names, scores = model.predict(model.worker(), texts)
+    for text, name, value in zip(texts[:3], names, scores):
+        words = text.lower().split()
+        total = sum(np.log(np.maximum(np.exp(lat.scores([w], model.p)[0]), 1e-300)) if len(w) < 40 else lat.scores([w], model.p)[0] for w in words)
+        weight = np.exp((total - total.max()) / (1 + len(words) / 20))
+        assert name == "abc"[int(total.argmax())] and np.isclose(value, weight.max() / weight.sum())
+    assert (names[3], scores[3]) == ("und", 0.0)
+    rows = model.worker()
+    rows.most = 20
+    assert model.predict(rows, texts)[0] == names and np.allclose(model.predict(rows, texts)[1], scores)
+
+
+def test_toxicity_score_and_spans_by_enumeration(spark):
+    """Spans and evidence of short texts, from all labellings of their words."""
+    words = {"bad": 0, "worse": 1, "fine": 2}
+    weights = np.zeros(len(words) + 2 * BUCKETS + 1)
+    weights[:3], weights[-1] = (4.0, 3.0, -1.0), -1.0
+    model = ToxicityModel(words, weights, np.array([[2.0, 0.5], [0.7, 1.5]]), np.array([-1.0, 0.8, 0.3]))
+    texts = ["It is BAD, worse!", "fine fine fine", "bad", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in score(docs, model).collect():
+        tokens = (texts[r.doc_id] or "").split()
+        gains = [float(model.emissions([w.lower()])[0, 0]) for w in tokens]
+        total, one = 0.0, np.zeros(len(tokens))
+        for path in itertools.product((0, 1), repeat=len(tokens)):
+            w = np.prod([g if s else 1 for g, s in zip(gains, path)]) * np.prod([model.change[a, b] for a, b in zip(path, path[1:])])
+            total += w
+            one += w * np.array(path)
+        marginal = one / total
+        none = np.log1p(-marginal).sum()
+        x = np.array([1, np.clip(np.log(np.maximum(-np.expm1(none), 1e-9)) - none, -10, 10) if tokens else -10, np.log1p(marginal[marginal > 0.05].sum())])
+        assert np.isclose(r.score, 1 / (1 + np.exp(-x @ model.calibration)))
+        at = [m.span() for m in re.finditer(r"\S+", texts[r.doc_id] or "")]
+        assert [(s.start, s.end) for s in r.spans] == [at[t] for t in np.flatnonzero(marginal >= 0.5)]
+        assert np.allclose([s.marginal for s in r.spans], marginal[marginal >= 0.5])
+
+
+def test_words_in_parts_give_the_same(rng):
+    texts = [" ".join(rng.choice(["ab", "c", "déf", "gh"]) for _ in range(rng.randint(0, 200))) for _ in range(20)] + ["x" * 500, "", None]
+    rows = WordRows(lambda words: np.array([[len(w), 1.0] for w in words]), 2, lambda t: t.split(), limit=3, most=30)
+    values, sizes = rows.values(texts)
+    sums, again = rows.sums(texts)
+    words = [(t or "").split() for t in texts]
+    assert sizes.tolist() == again.tolist() == [len(w) for w in words]
+    assert values[:, 0].tolist() == [len(w) for ws in words for w in ws] and sums[:, 0].tolist() == [sum(map(len, w)) for w in words]
 
 
 @tables
