@@ -6,6 +6,7 @@ the text, never before a final newline; \\d, \\w, \\b and case folding are Unico
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, SparkSession
@@ -125,7 +126,9 @@ def group_end(pattern: str, start: int) -> int:
 
 
 def lift_nots(pattern: str) -> tuple[str, str] | None:
-    """`^(?!a)(?!b)rest` as (`^rest`, `(?:a)|(?:b)`); None where there is no such run, or where it does not close."""
+    """`^(?!a)(?!b)rest` as (`^rest`, `(?:a)|(?:b)`); None where there is no such run, or where it does not close. A body's
+    leading `.*` goes: what is searched for anywhere in a line need not be looked for behind anything, and with it a
+    search would cost the square of a line's length."""
     if not pattern.startswith("^(?!"):
         return None
     at, bodies = 1, []
@@ -133,7 +136,7 @@ def lift_nots(pattern: str) -> tuple[str, str] | None:
         end = group_end(pattern, at)
         if end < 0:
             return None
-        bodies.append(pattern[at + 3 : end])
+        bodies.append(re.sub(r"^(?:\.\*\??(?![*+?{]))+", "", pattern[at + 3 : end]))
         at = end + 1
     return "^" + pattern[at:], "|".join(f"(?:{b})" for b in bodies)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +76,19 @@ def parse(line: Column, formats: Sequence[str | Pattern] = ()) -> Column:
     return F.coalesce(*[F.when(digit, t) if isinstance(f, str) else t for f, t in zip(formats, tried)])
 
 
+def parse_by(tag: Column, line: Column, formats: Mapping[str, Sequence[str | Pattern]]) -> Column:
+    """parse() by the formats of the line's tag (the pack or service it is from); other tags have the built-in formats.
+    Tags with the same formats share one pass."""
+    tags: dict[tuple, list[str]] = {}
+    for name, own in formats.items():
+        tags.setdefault(tuple(own), []).append(name)
+    out = parse(line)
+    for own, names in tags.items():
+        if own:
+            out = F.when(tag.isin(*names), parse(line, own)).otherwise(out)
+    return out
+
+
 def custom(regex: str) -> Pattern:
     pattern = translate(regex)
     missing = [g for g in ("y", "m", "d", "H", "M", "S") if pattern.number(g) is None]

@@ -59,15 +59,30 @@ def metric_label(metric: str, value_label: str | None = None) -> str:
 
 
 def aggregate(metric: str, value: Column) -> Column:
-    """Percentiles are nearest-rank. NaN is left out of extremes."""
+    """One value of a cell's points. NaN is left out of extremes. For percentiles see percentiles()."""
     if metric == "count":
         return F.count(F.lit(1)).cast("double")
     if metric in ("min", "max"):
         real = F.when(~F.isnan(value), value)
         return F.min(real) if metric == "min" else F.max(real)
-    if metric in ("sum", "avg"):
-        return F.sum(value) if metric == "sum" else F.avg(value)
-    return F.expr(f"percentile_disc({int(metric[1:]) / 100}) WITHIN GROUP (ORDER BY __value)")
+    return F.sum(value) if metric == "sum" else F.avg(value)
+
+
+def percentiles(good: DataFrame, cell: Sequence[str], percent: int) -> DataFrame:
+    """cell, value (nearest rank) and n of the points. Equal values are counted first, and counts are summed up in order by
+    a sort that may spill, so a cell of any number of points needs no buffer that holds them."""
+    counts = good.groupBy(*cell, "__value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*cell).orderBy("__value"))
+    counts = counts.withColumn("__upto", upto).join(counts.groupBy(*cell).agg(F.sum("n").alias("__all")), list(cell))
+    reached = F.when(F.col("__upto") >= F.ceil(F.lit(percent) * F.col("__all") / 100), F.col("__value"))
+    return counts.groupBy(*cell).agg(F.min(reached).alias("value"), F.sum("n").alias("n"))
+
+
+def cells_of(good: DataFrame, cell: Sequence[str], metric: str) -> DataFrame:
+    """cell, value, n."""
+    if metric[0] == "p":
+        return percentiles(good, cell, int(metric[1:]))
+    return good.groupBy(*cell).agg(aggregate(metric, F.col("__value")).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def points(hits: DataFrame, request: ChartRequest, fields: Sequence, names: Sequence[str], texts: DataFrame | None) -> DataFrame:
@@ -111,7 +126,8 @@ def points(hits: DataFrame, request: ChartRequest, fields: Sequence, names: Sequ
 
 
 def chart(hits: DataFrame, request: ChartRequest, fields: Sequence = (), names: Sequence[str] = (), texts: DataFrame | None = None) -> ChartData:
-    """Two jobs: one counts and finds the span (a single row), which settles the bucket; the other is the chart, lazily."""
+    """Two jobs at most: one counts and finds the span (a single row), which settles the bucket; another counts the groups
+    beyond the first ones. The chart itself is lazy."""
     if request.metric not in METRICS or request.mode not in ("timeline", "category"):
         raise ValueError("Unknown metric or mode")
     timeline = request.mode == "timeline"
@@ -131,10 +147,10 @@ def chart(hits: DataFrame, request: ChartRequest, fields: Sequence = (), names:
             raise ValueError(f"{n} buckets are too many; choose a larger bucket")
     top = max(1, min(request.top_n, MOST_SERIES))
     if timeline:
-        cells = good.groupBy("series", floor_to(F.col("__time"), bucket or 1).alias("bucket")).agg(aggregate(request.metric, F.col("__value")).alias("value"), F.count(F.lit(1)).alias("n"))
+        cells = cells_of(good.withColumn("bucket", floor_to(F.col("__time"), bucket or 1)), ("series", "bucket"), request.metric)
         totals = cells.groupBy("series").agg(F.sum("n").cast("double").alias("weight"))
     else:
-        cells = good.groupBy("series").agg(aggregate(request.metric, F.col("__value")).alias("value"))
+        cells = cells_of(good, ("series",), request.metric).drop("n")
         totals = cells.select("series", F.coalesce("value", F.lit(float("-inf"))).alias("weight"))
     if request.group_by == "matchedGroup":
         kept = [(n, k + 1) for k, n in enumerate(names[:MOST_SERIES])]
@@ -144,7 +160,8 @@ def chart(hits: DataFrame, request: ChartRequest, fields: Sequence = (), names:
         # Sorted and cut before they are numbered: the one task of the window sees `top` rows.
         first = totals.orderBy(F.desc("weight"), "series").limit(top)
         ranked = first.select("series", F.row_number().over(Window.orderBy(F.desc("weight"), F.asc("series"))).alias("series_rank"))
-        other = max(0, totals.count() - top)
+        # Without a grouping there is one series at most.
+        other = 0 if request.group_by == "none" else max(0, totals.count() - top)
     if not timeline:
         data = ranked.join(cells, "series", "left").select(F.col("series").alias("label"), "series", "series_rank", "value")
         if request.group_by == "matchedGroup" and request.metric == "count":

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import Pattern
-from ..functions.timestamps import parse
+from ..functions.timestamps import parse, parse_by
 
 #: Lines of a file that one task fills forward; a larger file is dealt over several tasks.
 CHUNK_LINES = 1_000_000
@@ -16,14 +16,20 @@ CHUNK_LINES = 1_000_000
 ENTRY_MAX_BYTES = 64 * 1024
 
 
-def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """file, value: whole files, plain or compressed (also zstd of several frames)."""
-    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """file, line_no, line. One row per file is held at a time: for files that fit in memory."""
-    return split_lines(read_files(spark, paths), key="file")
+    """file, line_no (from 1), line of text files, plain or compressed (a compressed file is read by one task, line by line).
+
+    A large plain file is read in splits by many tasks. Lines of a split are consecutive rows of its task, so a line's
+    number is that of its row, less the split's first, plus the lines of the file's earlier splits. Those two numbers, one
+    row per split, come from counting rows without their text; no line is shuffled."""
+    rows = spark.read.option("lineSep", "\n").text(list(paths))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row"), "value")
+    splits = rows.groupBy("file", "__split").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "__split", (before - F.col("__first") + 1).alias("__shift"))
+    line = F.rtrim(F.make_valid_utf8("value"), F.lit("\r"))
+    # One row for each split of at least spark.sql.files.openCostInBytes: at most a few million for a petabyte.
+    return rows.join(F.broadcast(splits), ["file", "__split"]).select("file", (F.col("__row") + F.col("__shift")).alias("line_no"), line.alias("line"))
 
 
 def split_lines(files: DataFrame, text: str = "value", key: str = "file_id") -> DataFrame:
@@ -50,10 +56,12 @@ def fill_forward(rows: DataFrame, value: Column, name: str, key: str = "file_id"
     return out.drop("__value", "__chunk", "__filled", "__carried")
 
 
-def to_entries(lines: DataFrame, formats: Sequence[str | Pattern] = (), key: str = "file_id", chunk: int = CHUNK_LINES) -> DataFrame:
+def to_entries(lines: DataFrame, formats: Sequence[str | Pattern] | Mapping[str, Sequence] = (), key: str = "file_id", chunk: int = CHUNK_LINES, tag: str = "pack_id") -> DataFrame:
     """lines with ts (of header lines), entry_line and entry_ts: the header each line belongs to; both are null in a
-    file's head block. This is what ingestion stores, as it depends on the timestamp formats only."""
-    stamped = lines.withColumn("ts", parse(F.col("line"), formats))
+    file's head block. This is what ingestion stores, as it depends on the timestamp formats only. A mapping gives the
+    formats of each pack, whose id lines have in the column `tag`."""
+    stamp = parse_by(F.col(tag), F.col("line"), formats) if isinstance(formats, Mapping) else parse(F.col("line"), formats)
+    stamped = lines.withColumn("ts", stamp)
     head = F.when(F.col("ts").isNotNull(), F.struct(F.col("line_no").alias("entry_line"), F.col("ts").alias("entry_ts")))
     return fill_forward(stamped, head, "__head", key, "line_no", chunk).select("*", "__head.entry_line", "__head.entry_ts").drop("__head")
 
@@ -61,21 +69,32 @@ def to_entries(lines: DataFrame, formats: Sequence[str | Pattern] = (), key: str
 def entry_text(entries: DataFrame, key: str = "file_id", limit: int = ENTRY_MAX_BYTES) -> DataFrame:
     """key, entry_line (null: head block), first_line, text: lines joined by newlines. Continuation lines are added while
     the text has fewer than `limit` bytes; the first line is never cut."""
+    # A line has a byte at least, so no line further than `limit` from its entry's first can be in: an entry without end
+    # (a file without headers is one) is cut before its lines meet in a task.
+    heads = entries.where("entry_line is null")
+    first = heads.groupBy(key).agg(F.min("line_no").alias("__first"))
+    near = entries.where(F.col("line_no") - F.col("entry_line") <= limit)
+    near = near.unionByName(heads.join(first, key).where(F.col("line_no") - F.col("__first") <= limit).drop("__first"))
     size = F.octet_length("line") + 1
     before = Window.partitionBy(key, "entry_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    kept = entries.withColumn("__before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("__before") <= limit)
+    kept = near.withColumn("__before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("__before") <= limit)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     return kept.groupBy(key, "entry_line").agg(F.min("line_no").alias("first_line"), joined.alias("text"))
 
 
-def around(lines: DataFrame, before: int, after: int, key: str = "file_id") -> DataFrame:
-    """lines with context_before and context_after: the physical lines around each, bounded by the file."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    return lines.select(
+def around(lines: DataFrame, before: int, after: int, key: str = "file_id", bucket: int = CHUNK_LINES) -> DataFrame:
+    """lines with context_before and context_after: the physical lines around each, bounded by the file. A file is cut in
+    buckets of lines; those near a bucket's edge are in the neighbouring one too, so no task gets a whole file."""
+    at = F.col("line_no")
+    bucket = max(bucket, before + after + 1)
+    reach = F.explode(F.sequence(F.floor((at - after) / bucket), F.floor((at + before) / bucket))).alias("__bucket")
+    w = Window.partitionBy(key, "__bucket").orderBy("line_no")
+    found = lines.select("*", reach).select(
         "*",
         (F.collect_list("line").over(w.rowsBetween(-before, -1)) if before else F.array().cast("array<string>")).alias("context_before"),
         (F.collect_list("line").over(w.rowsBetween(1, after)) if after else F.array().cast("array<string>")).alias("context_after"),
     )
+    return found.where(F.col("__bucket") == F.floor(at / bucket)).drop("__bucket")
 
 
 def raw_window(lines: DataFrame, offset: int, limit: int) -> DataFrame:

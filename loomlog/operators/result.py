@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import display, mask_names
 from .chart import ChartRequest, chart
-from .lines import around, entry_text
+from .lines import entry_text
 from .matching import Matcher
-from .search import DEFAULT_CAP, Field, Request, cap_of, capped, default_order, file_spans, hits_of, order_columns, pruned_files
+from .search import DEFAULT_CAP, Field, Request, cap_of, capped, default_order, hits_of, order_columns, pruned_files
 
 PAGE, PREVIEW, CLIPBOARD = 500, 100, 50_000
 
@@ -26,6 +27,7 @@ class Result:
     group_names: tuple[str, ...]
     order: tuple[tuple[str, bool], ...]
     parent: Result | None = None
+    all_hits: DataFrame | None = None  # before the cap, where there is one
 
     def sorted_hits(self) -> DataFrame:
         return self.hits.orderBy(*order_columns(self.order))
@@ -40,24 +42,27 @@ class Result:
         return replace(self, order=tuple(order if ascending else [(c, not up) for c, up in order]))
 
     def page(self, offset: int = 0, limit: int = PAGE, context: int = 2) -> DataFrame:
-        """Hits offset .. offset + limit with their entry's text and the lines around it; only those entries are read."""
+        """Hits offset .. offset + limit with their entry's text and the lines around it. A page is at most `limit` entries,
+        so they are sent to where the lines are: only lines of these entries, and those around them, move."""
         page = self.sorted_hits().offset(offset).limit(limit)
-        wanted = page.select("file_id", "entry_line").distinct()
-        same = lambda a, b: (a["file_id"] == b["file_id"]) & a["entry_line"].eqNullSafe(b["entry_line"])
-        of_files = self.entries.join(F.broadcast(wanted.select("file_id").distinct()), "file_id", "left_semi")  # at most `limit` files
-        texts = entry_text(of_files).withColumnRenamed("first_line", "__first")
-        ends = of_files.groupBy("file_id", "entry_line").agg(F.max("line_no").alias("__last")).withColumnsRenamed({"file_id": "__f", "entry_line": "__e"})
-        texts = texts.join(ends, (texts["file_id"] == ends["__f"]) & texts["entry_line"].eqNullSafe(ends["__e"])).drop("__f", "__e")
-        edges = around(of_files.select("file_id", "line_no", "line"), context, context)
-        start = edges.select(F.col("file_id").alias("__fs"), F.col("line_no").alias("__first_no"), "context_before")
-        end = edges.select(F.col("file_id").alias("__fe"), F.col("line_no").alias("__last_no"), "context_after")
-        full = page.join(texts, same(page, texts)).drop(texts["file_id"]).drop(texts["entry_line"])
-        full = full.join(start, (full["file_id"] == start["__fs"]) & (full["__first"] == start["__first_no"])).join(end, (F.col("file_id") == F.col("__fe")) & (F.col("__last") == F.col("__last_no")))
+        wanted = F.broadcast(page.select(F.col("file_id").alias("__f"), F.col("entry_line").alias("__e")).distinct())
+        own = self.entries.join(wanted, (F.col("file_id") == F.col("__f")) & F.col("entry_line").eqNullSafe(F.col("__e")), "left_semi")
+        texts = entry_text(own).select(F.col("file_id").alias("__tf"), F.col("entry_line").alias("__te"), "text")
+        ends = own.groupBy("file_id", "entry_line").agg(F.min("line_no").alias("__a"), F.max("line_no").alias("__b"))
+        ends = ends.select(F.col("file_id").alias("__f"), F.col("entry_line").alias("__e"), "__a", "__b")
+        n = F.col("line_no")
+        beside = n.between(F.col("__a") - context, F.col("__a") - 1) | n.between(F.col("__b") + 1, F.col("__b") + context)
+        near = self.entries.select("file_id", "line_no", "line").join(F.broadcast(ends), (F.col("file_id") == F.col("__f")) & beside)
+        lines = lambda where: F.transform(F.sort_array(F.collect_list(F.when(where, F.struct("line_no", "line")))), lambda x: x["line"])
+        near = near.groupBy("__f", "__e").agg(lines(n < F.col("__a")).alias("context_before"), lines(n > F.col("__b")).alias("context_after"))
+        same = lambda f, e: (F.col("file_id") == F.col(f)) & F.col("entry_line").eqNullSafe(F.col(e))
+        full = page.join(texts, same("__tf", "__te")).join(near, same("__f", "__e"), "left")
+        none = F.array().cast("array<string>")
         shown = [(display(F.col(f"`{f.key}`")) if f.kind == "number" else F.col(f"`{f.key}`")) for f in self.fields]
         values = F.create_map(*[x for f, v in zip(self.fields, shown) for x in (F.lit(f.key), v)]) if self.fields else F.create_map().cast("map<string,string>")
         return full.select(
-            "service_id", "file", "line_no", "ts", "text", "context_before", "context_after",
-            mask_names(F.col("matched_groups"), self.group_names).alias("groups"), F.map_filter(values, lambda k, v: v.isNotNull()).alias("fields"), *[F.col(c).alias(f"__{c}") for c, _ in self.order],
+            "service_id", "file", "line_no", "ts", "text", F.coalesce("context_before", none).alias("context_before"), F.coalesce("context_after", none).alias("context_after"),
+            mask_names(F.col("matched_groups"), self.group_names).alias("groups"), F.map_filter(values, lambda k, v: v.isNotNull()).alias("fields"), *[F.col(f"`{c}`").alias(f"__{c}") for c, _ in self.order],
         ).orderBy(*order_columns([(f"__{c}", up) for c, up in self.order])).drop(*[f"__{c}" for c, _ in self.order])
 
     def preview(self) -> DataFrame:
@@ -84,7 +89,7 @@ class Result:
         near = spans.join(marked, (F.col("__f") == marked["file_id"]) & (F.col("__k") == F.col("__m")) & (marked["line_no"] >= low) & (marked["line_no"] <= high))
         kept = near.groupBy("__f", "__l").agg(F.bool_or(F.col("__in") & ~F.col("__out")).alias("__in"), F.bool_or("__out").alias("__out")).where("__in and not __out")
         hits = self.hits.join(kept, (self.hits["file_id"] == kept["__f"]) & (self.hits["line_no"] == kept["__l"]), "left_anti" if invert else "left_semi")
-        return replace(self, hits=hits, parent=self)
+        return replace(self, hits=hits, parent=self, all_hits=None)
 
     def undo(self) -> Result:
         if self.parent is None:
@@ -95,7 +100,7 @@ class Result:
         """Hits whose matched groups are all switched off go; hits without groups stay."""
         off = sum(1 << k for k, n in enumerate(self.group_names[:32]) if n in set(names))
         mask = F.col("matched_groups")
-        return replace(self, hits=self.hits.where((mask == 0) | (mask.bitwiseAND(F.lit(~off)) != 0)))
+        return replace(self, hits=self.hits.where((mask == 0) | (mask.bitwiseAND(F.lit(~off)) != 0)), all_hits=None)
 
     def export(self, extract: Matcher | None = None, excluded: Sequence[str] = (), max_lines: int | None = None) -> DataFrame:
         """One `line` per hit in the result's order: the entry's text, or the isolated part where there is one."""
@@ -124,13 +129,26 @@ class Result:
         return [f.key for f, v in zip(self.fields, row) if v]
 
     def totals(self, request: Request) -> dict:
+        """files_scanned, lines_scanned, total_hits, truncated: one job. A result of as many hits as its cap is truncated
+        if one more was found."""
         files = pruned_files(self.files, request)
-        scanned = self.entries.join(files.select("file_id"), "file_id", "left_semi").count()
-        return {"files_scanned": files.count(), "lines_scanned": scanned, "total_hits": self.hits.count()}
+        scanned = self.entries.join(files.select("file_id"), "file_id", "left_semi")
+        every = self.hits if self.all_hits is None else self.all_hits
+        counts = {"files": files, "lines": scanned, "hits": self.hits, "all": every}
+        frames = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n") for k, df in counts.items()]
+        got = {r.k: r.n for r in reduce(DataFrame.unionByName, frames).collect()}
+        return {"files_scanned": got["files"], "lines_scanned": got["lines"], "total_hits": got["hits"], "truncated": got["all"] > got["hits"]}
 
 
 def search(entries: DataFrame, files: DataFrame, request: Request, fields: Sequence[Field] = (), max_hits: int = DEFAULT_CAP, spark=None) -> Result:
     """One lazily planned query over lines that ingestion has stored (see lines.to_entries)."""
     matcher = request.matcher(spark or entries.sparkSession)
-    hits = capped(hits_of(entries, files, request, fields, matcher), cap_of(max_hits))
-    return Result(hits, entries, files, tuple(fields), tuple(matcher.group_names), tuple(default_order()))
+    found, cap = hits_of(entries, files, request, fields, matcher), cap_of(max_hits)
+    return Result(capped(found, cap), entries, files, tuple(fields), tuple(matcher.group_names), tuple(default_order()), all_hits=found if cap is not None else None)
+
+
+def sorted_rows(rows: DataFrame, by: str, ascending: bool = True) -> DataFrame:
+    """Rows of a small table by one column, empty values last either way; texts without regard to case, then with it."""
+    text = dict(rows.dtypes)[by] == "string"
+    keys = ([F.lower(F.col(f"`{by}`"))] if text else []) + [F.col(f"`{by}`")]
+    return rows.orderBy(*[k.asc_nulls_last() if ascending else k.desc_nulls_last() for k in keys])

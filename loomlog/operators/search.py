@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import guid, number
@@ -27,6 +27,10 @@ class Field:
     pattern: Pattern
     gate: str | None = None
 
+    @property
+    def pack(self) -> str:
+        return self.key.partition(".")[0]
+
     def column(self, line: Column) -> Column:
         group = self.pattern.number("v") or 1
         text = F.nullif(F.regexp_extract(line, self.pattern.java, group), F.lit(""))
@@ -116,27 +120,43 @@ def head_times(files: DataFrame, spans: DataFrame) -> DataFrame:
     a millisecond before the own first header. A file without headers takes the last header of the newest earlier day.
     """
     f = files_of(files).join(spans, "file_id", "left").select("file_id", "service_id", "instance", "log_date", "first_ts", "last_ts")
-    other = f.select(*[F.col(c).alias(f"o_{c}") for c in f.columns])
-    same = (F.col("service_id") == F.col("o_service_id")) & F.col("instance").eqNullSafe(F.col("o_instance")) & (F.col("file_id") != F.col("o_file_id"))
-    usable = F.when(F.col("first_ts").isNotNull(), F.col("o_last_ts") <= F.col("first_ts")).otherwise(F.col("o_log_date") < F.col("log_date"))
-    pairs = f.join(other, same & usable, "left")
-    by_day = F.max(F.when(F.col("o_file_id").isNotNull(), F.struct("o_log_date", "o_last_ts")))["o_last_ts"]
-    out = pairs.groupBy("file_id").agg(F.max("first_ts").alias("first_ts"), F.max("o_last_ts").alias("before"), by_day.alias("earlier"))
-    fallback = F.col("first_ts") - F.expr("INTERVAL '0.001' SECOND")
-    return out.select("file_id", F.when(F.col("first_ts").isNotNull(), F.coalesce("before", fallback)).otherwise(F.col("earlier")).alias("head_ts"))
+    source = ["service_id", "instance"]
+    # Last and first headers of a source's files in one order; each file looks back at the last header before it. If that
+    # is its own, the one before counts.
+    ends = f.where("last_ts is not null").select(*source, "file_id", F.col("last_ts").alias("at"), F.lit(0).alias("asks"))
+    earlier = F.lag("at").over(Window.partitionBy(*source).orderBy("at", "file_id"))
+    ends = ends.withColumn("last", F.struct(F.col("at").alias("ts"), F.col("file_id").alias("file"), earlier.alias("earlier")))
+    asks = f.where("first_ts is not null").select(*source, "file_id", F.col("first_ts").alias("at"), F.lit(1).alias("asks"))
+    back = Window.partitionBy(*source).orderBy("at", "asks", "file_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(asks, allowMissingColumns=True).withColumn("last", F.last("last", True).over(back))
+    before = F.when(F.col("last.file") == F.col("file_id"), F.col("last.earlier")).otherwise(F.col("last.ts"))
+    fallback = F.col("at") - F.expr("INTERVAL '0.001' SECOND")
+    headed = both.where("asks = 1").select("file_id", F.coalesce(before, fallback).alias("head_ts"))
+    # Without headers: the newest earlier day's last header.
+    day = F.unix_date("log_date")
+    days = Window.partitionBy(*source).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+    newest = F.max(F.when(F.col("log_date").isNotNull(), F.struct("log_date", "last_ts"))).over(days)["last_ts"]
+    bare = f.withColumn("head_ts", F.when(F.col("log_date").isNotNull(), newest)).where("first_ts is null").select("file_id", "head_ts")
+    return headed.unionByName(bare)
 
 
 def hits_of(entries: DataFrame, files: DataFrame, request: Request, fields: Sequence[Field] = (), matcher: Matcher | None = None) -> DataFrame:
     """file_id, line_no, ts, matched_groups, one column per field key, service_id, file, file_ord: one row per hit.
 
-    entries: file_id, line_no, line, ts, entry_line, entry_ts. A hit is an entry with a matching line and no excluding one,
+    entries: file_id, line_no, line, ts, entry_line, entry_ts. files: file_id, and what else of FILE_DEFAULTS is known; with
+    first_ts and last_ts too (a manifest has them), head blocks are dated without reading entries again. With pack_id, a
+    field is taken from lines of its own pack only, so lines of a service whose pack is not loaded are searched but have
+    no fields; without it every field is looked for everywhere. A hit is an entry with a matching line and no excluding one,
     at its header; a head block is one hit at its first matching line. Fields come from matching lines only; the earliest
     line that has a field wins. Only lines that match or exclude are grouped, so the shuffle holds no other text.
     """
     matcher = matcher or request.matcher()
     chosen = pruned_files(files, request)
     line = F.col("line")
-    rows = entries.join(chosen.select("file_id", "log_date", "log_offset_minutes"), "file_id")
+    packed = "pack_id" in files.columns
+    extra = [F.col("pack_id").alias("__pack")] if packed else []
+    rows = entries.join(chosen.select("file_id", "log_date", "log_offset_minutes", *extra), "file_id")
+    taken = lambda f: F.when(F.col("__hit") & (F.col("__pack") == f.pack if packed else F.lit(True)), f.column(line))
     headed = F.col("entry_ts").isNotNull()
     if request.windowed:
         rows = rows.where(~headed | in_window(F.col("entry_ts"), F.col("log_offset_minutes"), request))
@@ -144,7 +164,7 @@ def hits_of(entries: DataFrame, files: DataFrame, request: Request, fields: Sequ
         rows = rows.where(~headed | F.col("log_date").isNotNull() | in_dates(F.to_date("entry_ts"), request))
     excluded = matcher.excludes(line)
     rows = rows.withColumn("__out", excluded).withColumn("__hit", ~F.col("__out") & matcher.is_match(line)).where("__out or __hit")
-    rows = rows.select("file_id", "line_no", "entry_line", "entry_ts", "__out", "__hit", F.when(F.col("__hit"), matcher.group_mask(line)).alias("__mask"), *[F.when(F.col("__hit"), f.column(line)).alias(f.key) for f in fields])
+    rows = rows.select("file_id", "line_no", "entry_line", "entry_ts", "__out", "__hit", F.when(F.col("__hit"), matcher.group_mask(line)).alias("__mask"), *[taken(f).alias(f.key) for f in fields])
     at = F.when(F.col("__hit"), F.col("line_no"))
     picked = [F.min_by(F.col(f"`{f.key}`"), F.when(F.col(f"`{f.key}`").isNotNull(), F.col("line_no"))).alias(f.key) for f in fields]
     grouped = rows.groupBy("file_id", "entry_line").agg(
@@ -152,7 +172,8 @@ def hits_of(entries: DataFrame, files: DataFrame, request: Request, fields: Sequ
     )
     grouped = grouped.where("not __out and __first is not null")
     keys = [F.col(f"`{f.key}`") for f in fields]
-    heads = grouped.where("entry_line is null").join(head_times(chosen, file_spans(entries)), "file_id", "left")
+    spans = chosen.select("file_id", "first_ts", "last_ts") if {"first_ts", "last_ts"} <= set(chosen.columns) else file_spans(entries)
+    heads = grouped.where("entry_line is null").join(head_times(chosen, spans), "file_id", "left")
     heads = heads.select("file_id", F.col("__first").alias("line_no"), F.col("entry_line"), F.col("head_ts").alias("ts"), "matched_groups", *keys)
     own = grouped.where("entry_line is not null").select("file_id", F.col("entry_line").alias("line_no"), "entry_line", "ts", "matched_groups", *keys)
     info = chosen.select("file_id", "service_id", "file", "file_ord", "log_date", "log_offset_minutes")
@@ -174,6 +195,26 @@ def order_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_first() for c, up in order]
 
 
-def capped(hits: DataFrame, cap: int | None) -> DataFrame:
-    """The first `cap` hits in scan order (file order, then line)."""
-    return hits if cap is None else hits.orderBy("file_ord", "line_no").limit(cap)
+def capped(hits: DataFrame, cap: int | None, block: int = 1 << 16) -> DataFrame:
+    """The first `cap` hits in scan order (file order, then line).
+
+    Hits are counted by blocks of lines; the counts, summed up in that order, say which blocks are in whole, and which one
+    is cut. So no task sorts more than a block's hits, whatever the cap."""
+    if cap is None:
+        return hits
+    at = F.floor(F.col("line_no") / block)
+    cells = hits.groupBy("file_ord", at.alias("__block")).agg(F.count(F.lit(1)).alias("n"))
+    files = cells.groupBy("file_ord").agg(F.sum("n").alias("n")).withColumn("__part", F.floor(F.col("file_ord") / 4096))
+    parts = files.groupBy("__part").agg(F.sum("n").alias("n"))
+    earlier = lambda *by: F.coalesce(F.sum("n").over((Window.partitionBy(*by[:-1]) if by[:-1] else Window).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__part", earlier("__part").alias("__a"))
+    files = files.select("__part", "file_ord", earlier("__part", "file_ord").alias("__b")).join(parts, "__part").select("file_ord", (F.col("__a") + F.col("__b")).alias("__before"))
+    cells = cells.select("file_ord", "__block", "n", earlier("file_ord", "__block").alias("__c")).join(files, "file_ord")
+    cells = cells.select("file_ord", "__block", "n", (F.col("__before") + F.col("__c")).alias("__before")).where(F.col("__before") < cap)
+    kept = hits.withColumn("__block", at).join(cells, ["file_ord", "__block"])
+    whole = F.col("__before") + F.col("n") <= cap
+    inside = kept.where(whole)
+    cut = kept.where(~whole).withColumn("__k", F.row_number().over(Window.partitionBy("file_ord", "__block").orderBy("line_no")))
+    cut = cut.where(F.col("__k") <= cap - F.col("__before"))
+    columns = [f"`{c}`" for c in hits.columns]
+    return inside.select(*columns).unionByName(cut.select(*columns))

@@ -7,6 +7,7 @@ lines whose user turns open entries, `pages` are status pages, `orders` and `lin
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from .plans.packs import Location
 from .plans.query_tree import Criterion, Group
 from .sources import catalog
 from .sources.discovery import scrape
+from .sources.sync import summary_of
 from .streaming.growing import day_segments, prefix_cut
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -129,6 +131,14 @@ def entry_texts(spark, sf_dir):
     return entry_text(turns(spark, sf_dir), limit=1 << 30)
 
 
+@query(TURNS + """
+    , b AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY file_id, entry_line ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+    SELECT file_id, entry_line, min(line_no) AS first_line, string_agg(line, chr(10) ORDER BY line_no) AS text FROM b WHERE coalesce(before, 0) <= 300 GROUP BY ALL
+""")
+def entry_texts_capped(spark, sf_dir):
+    return entry_text(turns(spark, sf_dir), limit=300)
+
+
 HITS = """
     , h AS (
         SELECT file_id, entry_line, min(line_no) FILTER (WHERE {hit} AND NOT {out}) AS first_line, max(entry_ts) AS ts
@@ -152,6 +162,37 @@ def entry_veto(spark, sf_dir):
     return dated(conversation_result(spark, sf_dir, Request("^(?!.*tion and)(?=(?s:.*)the)", True)))
 
 
+CONVERSATION_HEADS = """
+    , f AS (SELECT file_id, file_id % 5 AS service, min(ts) AS first_ts, max(ts) AS last_ts FROM l GROUP BY ALL),
+      a AS (SELECT f.file_id, f.first_ts, max(o.last_ts) AS before FROM f LEFT JOIN f AS o ON o.service = f.service AND o.file_id <> f.file_id AND o.last_ts <= f.first_ts GROUP BY ALL)
+"""
+
+
+@query(TURNS + CONVERSATION_HEADS + """
+    , h AS (SELECT file_id, min(line_no) AS line_no FROM e WHERE entry_line IS NULL AND contains(line, 'the') GROUP BY file_id)
+    SELECT file_id, line_no, coalesce(before, first_ts - INTERVAL 1 MILLISECOND) AS ts FROM h JOIN a USING (file_id)
+""")
+def head_block_hits(spark, sf_dir):
+    result = conversation_result(spark, sf_dir, Request("the", case_sensitive=True))
+    return result.hits.where("entry_line is null").select("file_id", "line_no", "ts")
+
+
+PACK_FIELDS = (Field("p0.article", "Article", "string", translate(r"(?<v>the\w+)")), Field("p1.article", "Article", "string", translate(r"(?<v>and\w+)")), Field("p2.article", "Article", "string", translate("(?<v>ing)")))
+
+
+@query(TURNS + """
+    , m AS (SELECT file_id, entry_line, line_no, nullif(regexp_extract(line, 'the\w+'), '') AS a, nullif(regexp_extract(line, 'and\w+'), '') AS b FROM e WHERE entry_line IS NOT NULL AND contains(line, 'tion'))
+    SELECT file_id, entry_line AS line_no, CASE WHEN file_id % 3 = 0 THEN arg_min(a, line_no) FILTER (WHERE a IS NOT NULL) END AS first, CASE WHEN file_id % 3 = 1 THEN arg_min(b, line_no) FILTER (WHERE b IS NOT NULL) END AS second,
+           CAST(NULL AS VARCHAR) AS third FROM m GROUP BY file_id, entry_line
+""")
+def fields_per_pack(spark, sf_dir):
+    """Each service's lines carry the fields of its own pack only; every third file's pack is not loaded."""
+    pack = F.element_at(F.array(F.lit("p0"), F.lit("p1"), F.lit("gone")), (F.col("file_id") % 3 + 1).cast("int"))
+    files = conversation_files(spark, sf_dir).withColumn("pack_id", pack)
+    hits = hits_of(turns(spark, sf_dir), files, Request("tion", case_sensitive=True), PACK_FIELDS).where("entry_line is not null")
+    return hits.select("file_id", "line_no", F.col("`p0.article`").alias("first"), F.col("`p1.article`").alias("second"), F.col("`p2.article`").alias("third"))
+
+
 @query(TURNS + HITS.format(hit="(contains(lower(line), 'ing the') AND contains(lower(line), 'and'))", out="false"))
 def entry_all_per_line(spark, sf_dir):
     return dated(conversation_result(spark, sf_dir, Request(tree=Group("all", [Criterion("ing the"), Criterion("and")]))))
@@ -435,6 +476,39 @@ def narrow_invert(spark, sf_dir):
     return narrowed(spark, sf_dir, invert=True)
 
 
+@query(TURNS + """
+    , s AS (SELECT file_id, entry_line FROM e WHERE entry_line IS NOT NULL GROUP BY ALL HAVING bool_or(contains(line, 'tion')) AND bool_or(contains(line, 'ing')) AND NOT bool_or(contains(line, 'the')))
+    SELECT file_id, entry_line AS line_no FROM s
+""")
+def narrow_stacked(spark, sf_dir):
+    result = conversation_result(spark, sf_dir, Request("tion", case_sensitive=True))
+    return result.narrow("ing", case_sensitive=True).narrow("the", case_sensitive=True, invert=True).hits.where("entry_line is not null").select("file_id", "line_no")
+
+
+@query(TURNS + """
+    , h AS (SELECT file_id, entry_line FROM e WHERE contains(line, 'tion') AND entry_line IS NOT NULL GROUP BY ALL),
+      t AS (SELECT file_id, entry_line, max(entry_ts) AS ts, string_agg(line, chr(10) ORDER BY line_no) AS text, min(line_no) AS a, max(line_no) AS b FROM e JOIN h USING (file_id, entry_line) GROUP BY ALL),
+      p AS (SELECT * FROM t ORDER BY ts DESC, file_id DESC, entry_line DESC LIMIT 40 OFFSET 15)
+    SELECT 'f' || file_id AS file, entry_line AS line_no, ts, text,
+           coalesce((SELECT string_agg(line, '|' ORDER BY line_no) FROM l WHERE l.file_id = p.file_id AND l.line_no BETWEEN p.a - 2 AND p.a - 1), '') AS before,
+           coalesce((SELECT string_agg(line, '|' ORDER BY line_no) FROM l WHERE l.file_id = p.file_id AND l.line_no BETWEEN p.b + 1 AND p.b + 2), '') AS after FROM p
+""")
+def result_page(spark, sf_dir):
+    result = conversation_result(spark, sf_dir, Request("tion", case_sensitive=True))
+    page = replace(result, hits=result.hits.where("entry_line is not null")).page(15, 40, 2)
+    return page.select("file", "line_no", "ts", "text", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
+
+
+@query(TURNS + """
+    SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS files_scanned, (SELECT count(*) FROM conversations) AS lines_scanned, n AS total_hits, false AS truncated
+    FROM (SELECT count(*) AS n FROM (SELECT DISTINCT file_id, entry_line FROM e WHERE contains(line, 'tion')))
+""")
+def search_totals(spark, sf_dir):
+    request = Request("tion", case_sensitive=True)
+    row = conversation_result(spark, sf_dir, request).totals(request)
+    return spark.range(1).select(*[F.lit(v).cast("long" if k != "truncated" else "boolean").alias(k) for k, v in row.items()])
+
+
 @query(TURNS + NARROW.format(not_="", before=1, after=2))
 def narrow_around(spark, sf_dir):
     return narrowed(spark, sf_dir, before=1, after=2)
@@ -512,6 +586,18 @@ def clock_offset(spark, sf_dir):
     return catalog.clock_offsets(order_manifest(spark, sf_dir))
 
 
+@query(MANIFEST + """
+    , d AS (SELECT service_id, CAST(trunc(epoch(last_ts - mtime) / 60) AS BIGINT) AS delta FROM m WHERE last_ts IS NOT NULL AND service_id IN ('c4', 'c7')),
+      l AS (SELECT service_id, list_sort(list(delta)) AS x FROM d WHERE abs(delta) <= 840 GROUP BY 1),
+      o AS (SELECT service_id, CAST(round(x[len(x) // 2 + 1] / 15.0) * 15 AS INTEGER) AS m FROM l)
+    SELECT (SELECT CASE WHEN min(m) = max(m) THEN min(m) END FROM o WHERE service_id = 'c4') AS alone, (SELECT CASE WHEN min(m) = max(m) THEN min(m) END FROM o) AS both
+""")
+def common_clock(spark, sf_dir):
+    offsets = catalog.clock_offsets(order_manifest(spark, sf_dir))
+    alone, both = (catalog.common_offset(offsets.where(F.col("service_id").isin(*ids))) for ids in (["c4"], ["c4", "c7"]))
+    return spark.range(1).select(F.lit(alone).cast("int").alias("alone"), F.lit(both).cast("int").alias("both"))
+
+
 @query(MANIFEST + "SELECT service_id, count(DISTINCT instance) AS n_instances FROM m GROUP BY 1 HAVING count(DISTINCT instance) > 1")
 def distinct_instances(spark, sf_dir):
     return catalog.instances(order_manifest(spark, sf_dir))
@@ -599,3 +685,60 @@ def files_for_range(spark, sf_dir):
     names = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.when(F.col("l_linenumber") > 1, "log-").otherwise("old-"), F.date_format("l_shipdate", "yyyy_MM_dd"), F.lit("_i"), "l_linenumber", F.lit(".log")).alias("name"))
     location = Location("core", "Core", "logs", translate(r"^log-(?<y>\d{4})_(?<m>\d{2})_(?<d>\d{2})_(?<instance>[a-z0-9]+)\.log$"), True)
     return catalog.files_for_range(names, location, dt.date(1997, 1, 1), dt.date(1997, 3, 31)).drop("name")
+
+
+SYNCED = """
+    WITH d AS (SELECT 'k' || o_orderkey AS key, 'c' || (o_custkey % 40) AS service_id, CASE WHEN o_custkey % 2 = 0 THEN 'i' || (o_orderkey % 3) END AS instance,
+                      CASE WHEN o_orderkey % 4 = 0 THEN 'current' WHEN o_orderkey % 4 = 1 THEN 'append' ELSE 'new' END AS decision, o_orderkey AS n FROM orders),
+         r AS (SELECT *, decision <> 'current' AND n % 9 <> 0 AS done, decision = 'append' AS grown, CASE WHEN n % 6 = 1 THEN 0 ELSE n END AS got FROM d)
+"""
+
+
+@query(SYNCED + """
+    SELECT service_id, count(*) AS listed, count(*) FILTER (WHERE done AND NOT grown) AS fetched, count(*) FILTER (WHERE done AND grown AND got > 0) AS appended,
+           count(*) FILTER (WHERE decision = 'current' OR (done AND grown AND got = 0)) AS current, count(*) FILTER (WHERE decision <> 'current' AND NOT done) AS failed,
+           CAST(coalesce(sum(got) FILTER (WHERE done), 0) AS BIGINT) AS bytes,
+           CASE WHEN bool_or(decision <> 'current' AND NOT done) THEN 'lost' WHEN count(DISTINCT instance) > 1 THEN 'several instances write here' END AS message FROM r GROUP BY service_id
+""")
+def sync_summary(spark, sf_dir):
+    """A sync's account: every ninth file that should be fetched fails, some live files have not grown."""
+    n = F.col("n")
+    decided = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("k"), "o_orderkey").alias("key"), F.concat(F.lit("c"), F.col("o_custkey") % 40).alias("service_id"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("i"), F.col("o_orderkey") % 3)).alias("instance"), F.col("o_orderkey").alias("n"),
+    )
+    decided = decided.withColumn("decision", F.when(n % 4 == 0, "current").when(n % 4 == 1, "append").otherwise("new"))
+    due = decided.where("decision <> 'current'")
+    ok = due.where(n % 9 != 0).select("key", F.when(F.col("decision") == "append", 100).otherwise(0).cast("long").alias("start"), F.when(n % 6 == 1, 0).otherwise(n).alias("got"))
+    return summary_of(decided.drop("n"), ok, due.where(n % 9 == 0).select("key", F.lit("lost").alias("error")))
+
+
+@query("""
+    SELECT 'x' || c_custkey AS service_id FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0
+""")
+def services_seeded(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    named = lambda df: df.select(F.concat(F.lit("x"), "c_custkey").alias("service_id"))
+    return catalog.seed_services(named(c.where(F.col("c_custkey") % 3 == 0)), named(c), named(c.where(F.col("c_custkey") % 5 == 0)))
+
+
+@query(EVENT_LINES + """
+    SELECT file_id, arg_min(ts, line_no) FILTER (WHERE ts IS NOT NULL) AS first_ts, arg_max(ts, line_no) FILTER (WHERE ts IS NOT NULL) AS last_ts FROM l GROUP BY file_id
+""")
+def stored_file_spans(spark, sf_dir):
+    return catalog.time_spans(event_lines(spark, sf_dir))
+
+
+@query("""
+    SELECT 'k' || o_orderkey AS key, c_name AS service_name FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE c_mktsegment = 'BUILDING' AND (contains(CAST(o_orderkey AS VARCHAR), '77') OR contains(c_name, '77'))
+""")
+def files_view_filter(spark, sf_dir):
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("k"), "o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("service_id"), F.col("o_orderkey").cast("string").alias("file"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("service_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("environment"))
+    return catalog.visible_files(files, known, "77", "BUILDING").select("key", "service_name")
+
+
+@query(f"SELECT event_id FROM ({ORDERED}) ORDER BY ts DESC NULLS FIRST, event_id DESC LIMIT 100")
+def preview_hits(spark, sf_dir):
+    hits = event_hits(spark, sf_dir).withColumn("ts", F.when(F.col("line_no") % 10 != 0, F.col("ts"))).withColumn("file_ord", F.col("file_id"))
+    return Result(hits, hits, hits, EVENT_FIELDS, (), tuple(default_order())).preview().select(F.col("line_no").alias("event_id"))

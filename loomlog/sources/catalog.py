@@ -153,3 +153,20 @@ def ingest(entries: DataFrame, path: str, by: Sequence[str] = ("service_id", "lo
     """Store dated, anchored lines once; searches then scan, filter and group them. Columns of `by` become folders, by which
     searches prune; entries has them (log_date null: undated)."""
     entries.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
+def visible_files(manifest: DataFrame, services: DataFrame, needle: str = "", environment: str | None = None, service_ids: Sequence[str] | None = None) -> DataFrame:
+    """manifest with service_name, for services of the environment (and of the selection) whose name, or the file's, holds
+    needle in any case. services: service_id, name, environment."""
+    chosen = services.select("service_id", F.col("name").alias("service_name"), "environment")
+    if environment is not None:
+        chosen = chosen.where(F.col("environment") == environment)
+    if service_ids is not None:
+        chosen = chosen.where(F.col("service_id").isin(*service_ids))
+    shown = manifest.join(chosen.drop("environment"), "service_id")
+    fits = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(needle.lower()))
+    return shown.where(fits(F.col("file")) | fits(F.col("service_name"))) if needle else shown
+
+
+def total_bytes(files: DataFrame) -> DataFrame:
+    return files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

@@ -136,8 +136,13 @@ def follow(spark, path: str, target: str, checkpoint: str, formats=(), **trigger
     spark.dataSource.register(GrowingFiles)
 
     def state_before(number: int) -> DataFrame:
-        found = [n for n in range(number - 1, max(-1, number - 50), -1) if _exists(spark, f"{target}/state/{n}")]
-        return spark.read.schema(STATE).parquet(f"{target}/state/{found[0]}") if found else spark.createDataFrame([], STATE)
+        """Of the newest earlier batch. Batches follow one another, so the one before has it; a gap is an error, as going on
+        from no state would store lines twice."""
+        if number == 0:
+            return spark.createDataFrame([], STATE)
+        if not _exists(spark, f"{target}/state/{number - 1}/_SUCCESS"):
+            raise RuntimeError(f"{target}/state/{number - 1} is missing; restore it, or start over with a new target and checkpoint")
+        return spark.read.schema(STATE).parquet(f"{target}/state/{number - 1}")
 
     def store(batch: DataFrame, number: int) -> None:
         batch = batch.persist()

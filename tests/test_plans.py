@@ -1,12 +1,16 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomlog.functions.highlight import highlight, highlighted
 from loomlog.operators.lines import split_lines
+from loomlog.operators.result import sorted_rows
 from loomlog.plans import config, dates
-from loomlog.sources import store
+from loomlog.plans.query_tree import Criterion, Group, colour, compile_tree, legend, parse, to_regex
+from loomlog.sources import catalog, store
 
 DAY = dt.date(2026, 7, 24)
 
@@ -75,3 +79,58 @@ def test_export_and_memory(spark, tmp_path):
     with store.cancellable(spark, "job"):
         assert "job" in spark.getTags()
     store.cancel(spark, "job")
+
+
+def test_files_view_sort_and_legend(spark):
+    files = spark.createDataFrame([("k1", "s1", "App.log", 5), ("k2", "s2", "b.txt", 7), ("k3", "s3", "c.txt", 9)], "key string, service_id string, file string, size long")
+    known = spark.createDataFrame([("s1", "Web", "test"), ("s2", "Backend", "test"), ("s3", "Web", "prod")], "service_id string, name string, environment string")
+    keys = lambda **how: {r.key for r in catalog.visible_files(files, known, **how).collect()}
+    assert keys() == {"k1", "k2", "k3"} and keys(environment="test") == {"k1", "k2"} and keys(needle="APP") == {"k1"} and keys(needle="web") == {"k1", "k3"}
+    assert keys(environment="test", service_ids=["s2", "s3"]) == {"k2"}
+    assert catalog.total_bytes(catalog.visible_files(files, known, environment="test")).first().bytes == 12
+    rows = spark.createDataFrame([("b", 2.0), ("A", None), (None, 10.0), ("a", 3.0)], "name string, n double")
+    assert [r.name for r in sorted_rows(rows, "name").collect()] == ["A", "a", "b", None] and [r.n for r in sorted_rows(rows, "n", False).collect()] == [10, 3, 2, None]
+    tree = Group("all", [Criterion("x"), Group("any", [Criterion("a", label="one"), Criterion("b", "notContains")]), Group("any", [Criterion("c", disabled=True)]), Group("all", [Group("any", [Criterion("d")])], label="Mine")])
+    assert legend(tree) == [{"label": "Set 1", "colour": 1, "names": ["one"]}, {"label": "Mine", "colour": 3, "names": ["g3"]}, {"label": "Set 4", "colour": 4, "names": ["g3"]}]
+    assert [colour(k) for k in (1, 8, 9)] == [1, 8, 1]
+
+
+SHAPES = [
+    (Group("all", []), ""),
+    (Group("all", [Criterion("a", "notContains")]), "^(?!.*a)"),
+    (Group("any", [Criterion("a.b")]), r"(?<g1>a\.b)"),
+    (Group("any", [Criterion("a"), Criterion("b", label="B b")]), "(?<g1>a)|(?<B_b>b)"),
+    (Group("all", [Criterion("a"), Criterion("b", "regex")]), "^(?=.*?(?<g1>a))(?=.*?(?<g2>b))"),
+    (Group("all", [Criterion("a"), Criterion("n", "notRegex")]), "^(?!.*n)(?=.*?(?<g1>a))"),
+    (Group("all", [Group("any", [Criterion("a"), Criterion("b")]), Criterion("c")]), "^(?:(?=.*a)|(?=.*b))(?=.*c)(?=(?:(?=.*a)|(?=.*b))(?=.*c)(?=.*?(?<g1>a)|)(?=.*?(?<g2>b)|)(?=.*?(?<g3>c)|)|)"),
+    (Group("any", [Group("all", [Criterion("a"), Criterion("b")]), Criterion("c")]), "^(?:(?=.*a)(?=.*b)|(?=.*c))(?=(?=.*a)(?=.*b)(?=.*?(?<g1>a)|)(?=.*?(?<g2>b)|)|)(?=.*?(?<g3>c)|)"),
+    (Group("any", [Criterion("a"), Criterion("b"), Criterion("n", "notContains")]), "^(?!.*n)(?:(?=.*a)|(?=.*b))(?=.*?(?<g1>a)|)(?=.*?(?<g2>b)|)"),
+]
+
+
+@pytest.mark.parametrize("tree, text", SHAPES)
+def test_shapes_of_saved_queries(tree, text):
+    assert to_regex(tree) == text and to_regex(parse(text)) == text
+
+
+def test_random_trees_as_text_and_as_columns_agree(spark):
+    """A tree's text, run as a pattern, and its Columns take the same lines and colour the same groups."""
+    rng = random.Random(3)
+
+    def tree(depth=0):
+        if depth == 3 or rng.random() < 0.4:
+            return Criterion(rng.choice("abcd"), rng.choice(["contains"] * 4 + ["notContains"]), disabled=rng.random() < 0.1)
+        return Group(rng.choice(["all", "any"]), [tree(depth + 1) for _ in range(rng.randint(0, 3))], disabled=rng.random() < 0.05)
+
+    texts = ["".join(c for k, c in enumerate("abcd") if n >> k & 1) for n in range(16)]
+    lines = spark.createDataFrame([(t,) for t in texts], "line string").coalesce(1)
+    for _ in range(25):
+        root = Group(rng.choice(["all", "any"]), [tree(1) for _ in range(rng.randint(1, 3))])
+        compiled, pattern = compile_tree(root, F.col("line"), True), re.compile(to_regex(root).replace("(?<g", "(?P<g"))
+        flags = F.array(*[f for _, f in compiled.flags]) if compiled.flags else F.array().cast("array<boolean>")
+        for r in lines.select("line", (compiled.line & ~compiled.veto).alias("ok"), flags.alias("flags")).collect():
+            m = pattern.search(r.line)
+            assert (m is not None) == r.ok
+            if m is not None and to_regex(root).startswith("^"):
+                assert [m[n] is not None for n, _ in compiled.flags] == list(r.flags)
+        assert parse(to_regex(root)) is None or to_regex(parse(to_regex(root))) == to_regex(root)
