@@ -9,7 +9,8 @@
    n - ceil(t n) + 1 rarest tokens of both, so each group's union of prefixes is stored, and a token's row has the groups
    in whose unions it is. Two groups that share no token there are never compared, nor are two of one cluster. The number
    of tokens shared bounds every overlap between members, since a linked pair's overlap lies in both prefixes, or beyond
-   the one that ends first; too few rule the pair of groups out before any set is moved.
+   the one that ends first; too few rule the pair of groups out, and then single members of the smaller one by their own
+   prefixes, before any set is moved.
 4. For the groups left, the union of the members' whole sets is stored. A query with fewer than ceil(t n) tokens in it is
    turned away; a group is opened for the queries that remain, whose overlap with each member is counted exactly.
 5. Links become components. What an opened group returns are at most as many edges as it has documents.
@@ -257,12 +258,13 @@ def token_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def united(rows: pa.Table) -> dict:
     """The row of a group in the matrix: sizes of its members' sets, their cluster if they are of one, whether members of
-    different clusters share a token of their prefixes, and the union of the prefixes."""
-    sets, clusters, n = token_sets(rows["prefix"]), ints(rows["cluster"]), ints(rows["n"])
+    different clusters share a token of their prefixes, and the union of the prefixes. Members of one block have been
+    compared already, so that of a group of one block needs no second look."""
+    sets, clusters, n, blocks = token_sets(rows["prefix"]), ints(rows["cluster"]), ints(rows["n"]), ints(rows["block"])
     every = np.concatenate(sets)
     several = bool((clusters != clusters[0]).any())
     home = False
-    if several:
+    if several and (blocks != blocks[0]).any():
         pairs = np.unique(np.stack([every.view(np.int64), np.repeat(clusters, [len(x) for x in sets])], axis=1), axis=0)
         home = bool((pairs[1:, 0] == pairs[:-1, 0]).any())
     one = {"group": rows["group"][0].as_py(), "low": n.min(), "high": n.max(), "members": len(np.unique(ints(rows["doc"]))), "cluster": clusters.min(), "several": several, "home": home, "tokens": np.unique(every).tobytes()}
@@ -281,7 +283,7 @@ def group_rows(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     single = tokens.where("block is null").select(
         alone_group().alias("group"), F.col("n").alias("low"), F.col("n").alias("high"), F.lit(1).cast("long").alias("members"), F.col("doc").alias("cluster"), F.lit(False).alias("several"), F.lit(False).alias("home"), F.col("prefix").alias("tokens"),
     )
-    placed = tokens.where("block is not null").select("doc", "n", "prefix").join(groups, "doc").select("group", "doc", "n", "cluster", "prefix")
+    placed = tokens.where("block is not null").select("doc", "n", "block", "prefix").join(groups, "doc").select("group", "doc", "n", "block", "cluster", "prefix")
     return materialize(single.unionByName(by_runs(placed, ["group"], united, UNITED)), "matrix")
 
 
@@ -470,40 +472,80 @@ def links_within(tokens: DataFrame, placed: DataFrame, percent: int) -> DataFram
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, group, tokens) of the wanted (doc, group) from their texts."""
+    """(doc, tokens) of the wanted docs from their texts."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingles(v.as_py(), width).tobytes() for v in part.column(2)], pa.binary())], ["doc", "group", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(v.as_py(), width).tobytes() for v in part.column(1)], pa.binary())], ["doc", "tokens"])
 
-    placed = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc").join(wanted, "doc").select("doc", "group", "text")
-    return placed.mapInArrow(run, "doc long, group long, tokens binary")
+    placed = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc").join(wanted, "doc").select("doc", "text")
+    return placed.mapInArrow(run, "doc long, tokens binary")
+
+
+def fewest(n: int, low: int, high: int, percent: int) -> int:
+    """fewest_shared for a set of n tokens and others of low to high."""
+
+    def at(n, largest):
+        m = max(n, min(largest, 100 * n // percent))
+        return -(-percent * (n + m) // (100 + percent)) - (percent * m + 99) // 100
+
+    return min(at(n, high), at(low, n))
+
+
+def screened(rows: pa.Table, percent: int) -> dict:
+    """Of a group's queries (role 1), those whose prefix shares enough tokens with the group's union of prefixes (role 0)."""
+    sets, roles, low, high = token_sets(rows["tokens"]), ints(rows["role"]), ints(rows["low"]), ints(rows["high"])
+    own = np.flatnonzero(roles == 0)
+    kept = np.zeros(len(sets), dtype=bool)
+    if len(own):
+        union, least, most = np.unique(np.concatenate([sets[k] for k in own])), int(low[own].min()), int(high[own].max())
+        for k in np.flatnonzero(roles == 1):
+            at = np.minimum(np.searchsorted(union, sets[k]), len(union) - 1)
+            kept[k] = int((union[at] == sets[k]).sum()) >= fewest(int(low[k]), least, most, percent)
+    return {c: ints(rows[c])[kept].tolist() for c in ("doc", "group")}
+
+
+def queries_of(tokens: DataFrame, matrix: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(doc, group): the documents of each pair's query group that the matrix does not rule out for the target group."""
+    chunks = pairs.groupBy("target").agg(F.ceil(F.sum("members") / CHUNK).cast("int").alias("chunks"))
+    chunks = materialize(chunks, "chunks")
+    single = tokens.where("block is null").select(alone_group().alias("group"), "doc", "n", "prefix")
+    members = single.unionByName(tokens.where("block is not null").select("doc", "n", "prefix").join(groups.select("doc", "group"), "doc"))
+    chunk = F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk")
+    asking = pairs.join(chunks, "target").select(F.col("query").alias("group"), "target", chunk)
+    busy = asking.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
+    asking = join_dealt(asking, members, "group", hot_keys(busy, "group", "many", pairs.count()), ["target"])
+    asking = asking.select("doc", F.col("target").alias("group"), "chunk", F.lit(1).alias("role"), F.col("n").alias("low"), F.col("n").alias("high"), F.col("prefix").alias("tokens"))
+    each = matrix.join(chunks.withColumnRenamed("target", "group"), "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    each = each.select(F.lit(0).cast("long").alias("doc"), "group", "chunk", F.lit(0).alias("role"), "low", "high", "tokens")
+    return materialize(by_runs(asking.unionByName(each), ["group", "chunk"], lambda t: screened(t, percent), "doc long, group long").distinct(), "screened")
 
 
 def links_between(rows: DataFrame, tokens: DataFrame, matrix: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges of the links between the groups of each pair, and within groups of several clusters."""
-    home = matrix.where("home").select("group").distinct()
-    wanted = home.unionByName(pairs.select(F.col("query").alias("group"))).unionByName(pairs.select(F.col("target").alias("group"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    members = tokens.where("block is not null").select("doc", "tokens").join(groups.join(wanted, "group").select("doc", "group"), "doc")
+    asking = queries_of(tokens, matrix, groups, pairs, percent)
+    home = materialize(matrix.where("home").select("group").distinct(), "home")
+    targets = home.unionByName(asking.select("group")).distinct()
+    single = tokens.where("block is null").select("doc", alone_group().alias("group"))
+    members = materialize(groups.select("doc", "group").unionByName(single).join(targets, "group").select("doc", "group").distinct(), "members")
+    need = materialize(members.select("doc").unionByName(asking.select("doc")).distinct(), "wanted")
+    held = tokens.where("block is not null").select("doc", "tokens").join(need, "doc")
     # Texts of the few sets without a family that some group may be linked with.
-    single = tokens.where("block is null").select("doc", alone_group().alias("group")).join(wanted, "group").select("doc", "group").distinct()
-    held = members.select("doc", "group", "tokens").unionByName(sets_of(rows, materialize(single, "single"), width))
+    held = held.unionByName(sets_of(rows, materialize(need.join(single.select("doc"), "doc", "left_semi"), "single"), width))
     held = materialize(held, "sets")
-    chunks = pairs.groupBy("target").agg(F.ceil(F.sum("members") / CHUNK).cast("int").alias("chunks")).withColumnRenamed("target", "group")
-    chunks = materialize(chunks, "chunks")
-    unions = materialize(by_runs(held.join(chunks, "group").select("group", "tokens"), ["group"], whole_union, "group long, tokens binary"), "unions")
+    chunks = materialize(asking.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "chunks")
+    placed = members.join(held, "doc")
+    unions = materialize(by_runs(placed.join(chunks, "group").select("group", "tokens"), ["group"], whole_union, "group long, tokens binary"), "unions")
     each = unions.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(F.lit(0).cast("long").alias("doc"), "group", "chunk", F.lit(0).alias("role"), "tokens")
-    asking = pairs.join(chunks.withColumnRenamed("group", "target"), "target").select(F.col("query").alias("group"), "target", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"))
-    busy = asking.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
-    asking = join_dealt(asking, held, "group", hot_keys(busy, "group", "many", pairs.count()), ["target"]).select("doc", F.col("target").alias("group"), "chunk", F.lit(1).alias("role"), "tokens")
+    chunk = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk")
+    asking = asking.join(chunks, "group").select("doc", "group", chunk).join(held, "doc").select("doc", "group", "chunk", F.lit(1).alias("role"), "tokens")
     asked = by_runs(each.unionByName(asking), ["group", "chunk"], lambda t: may_link(t, percent), "doc long, group long, chunk int, tokens binary")
     asked = materialize(asked, "queries")
     open_ = asked.select("group", "chunk", F.lit(False).alias("inside")).unionByName(home.select("group", F.lit(0).alias("chunk"), F.lit(True).alias("inside")))
     open_ = open_.groupBy("group", "chunk").agg(F.max("inside").alias("inside"))
-    members = open_.join(held, "group").select("doc", "group", "chunk", "inside", F.lit(0).alias("role"), "tokens")
+    members = open_.join(placed, "group").select("doc", "group", "chunk", "inside", F.lit(0).alias("role"), "tokens")
     queries = asked.select("doc", "group", "chunk", F.lit(False).alias("inside"), F.lit(1).alias("role"), "tokens")
     return by_runs(members.unionByName(queries), ["group", "chunk"], lambda t: opened(t, percent), EDGES)
 
