@@ -181,7 +181,7 @@ PACK_FIELDS = (Field("p0.article", "Article", "string", translate(r"(?<v>the\w+)
 
 
 @query(TURNS + """
-    , m AS (SELECT file_id, entry_line, line_no, nullif(regexp_extract(line, 'the\w+'), '') AS a, nullif(regexp_extract(line, 'and\w+'), '') AS b FROM e WHERE entry_line IS NOT NULL AND contains(line, 'tion'))
+    , m AS (SELECT file_id, entry_line, line_no, nullif(regexp_extract(line, 'the\\w+'), '') AS a, nullif(regexp_extract(line, 'and\\w+'), '') AS b FROM e WHERE entry_line IS NOT NULL AND contains(line, 'tion'))
     SELECT file_id, entry_line AS line_no, CASE WHEN file_id % 3 = 0 THEN arg_min(a, line_no) FILTER (WHERE a IS NOT NULL) END AS first, CASE WHEN file_id % 3 = 1 THEN arg_min(b, line_no) FILTER (WHERE b IS NOT NULL) END AS second,
            CAST(NULL AS VARCHAR) AS third FROM m GROUP BY file_id, entry_line
 """)
