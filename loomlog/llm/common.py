@@ -82,3 +82,10 @@ class Memo(dict):
                 self.clear()
             self[word] = value
         return value
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that operators have written to the shared folder. For when their results have been written: what is
+    still to be computed may read these tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomlog")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
