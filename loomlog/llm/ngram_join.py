@@ -9,10 +9,11 @@
    n - ceil(t n) + 1 rarest tokens of both, so each group's union of prefixes is stored, and a token's row has the groups
    in whose unions it is. Two groups that share no token there are never compared, nor are two of one cluster. The number
    of tokens shared bounds every overlap between members, since a linked pair's overlap lies in both prefixes, or beyond
-   the one that ends first; too few rule the pair of groups out, and then single members of the smaller one by their own
-   prefixes, before any set is moved.
-4. For the groups left, the union of the members' whole sets is stored. A query with fewer than ceil(t n) tokens in it is
-   turned away; a group is opened for the queries that remain, whose overlap with each member is counted exactly.
+   the one that ends first; too few rule the pair of groups out. The matrix also has each group's union of whole sets, as
+   16 bits a token. A member of the query group with fewer than ceil(t n) tokens in it is turned away. All that before any
+   whole set is moved.
+4. What is left is asked once more of the union of the members' whole sets, with all bits; a group is opened for the
+   queries that remain, whose overlap with each member is counted exactly.
 5. Links become components. What an opened group returns are at most as many edges as it has documents.
 
 Groups steer cost only; no link depends on them. The rarity order counts tokens over all documents, exactly enough to put
@@ -211,8 +212,8 @@ def by_runs(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
 
 
 def shingled(rows: DataFrame, sets: DataFrame, placed: DataFrame, width: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(doc, n, block, prefix, tokens): each set's prefix, and of members of families the whole set too. The one time that
-    all texts move: to their documents' places.
+    """(doc, n, block, prefix, prints, tokens): each set's prefix, 16 bits of each of its tokens, and of members of families
+    the whole set too. The one time that all texts move: to their documents' places.
 
     heavy: frequent tokens, rarest first; they come after all others in the order."""
     by_token = np.argsort(heavy, kind="stable")
@@ -234,18 +235,19 @@ def shingled(rows: DataFrame, sets: DataFrame, placed: DataFrame, width: int, pe
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                n, first, whole = [], [], []
+                n, first, prints, whole = [], [], [], []
                 for block, value in zip(part.column(1).to_pylist(), part.column(2)):
                     tokens = shingles(value.as_py(), width)
                     n.append(len(tokens))
                     first.append(prefix(tokens).tobytes())
+                    prints.append((tokens >> np.uint64(24)).astype(np.uint16).tobytes())
                     whole.append(None if block is None else tokens.tobytes())
-                columns = [part.column(0), pa.array(n, pa.int64()), part.column(1), pa.array(first, pa.binary()), pa.array(whole, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "block", "prefix", "tokens"])
+                columns = [part.column(0), pa.array(n, pa.int64()), part.column(1), *(pa.array(x, pa.binary()) for x in (first, prints, whole))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "block", "prefix", "prints", "tokens"])
 
     places = sets.select("doc").distinct().join(placed.select("doc", "block"), "doc", "left")
     texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc").join(places, "doc").select("doc", "block", "text")
-    return materialize(texts.mapInArrow(run, "doc long, n long, block long, prefix binary, tokens binary").where("n > 0"), "tokens")
+    return materialize(texts.mapInArrow(run, "doc long, n long, block long, prefix binary, prints binary, tokens binary").where("n > 0"), "tokens")
 
 
 def ints(column: pa.ChunkedArray) -> np.ndarray:
@@ -256,10 +258,14 @@ def token_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column]
 
 
+def print_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in column]
+
+
 def united(rows: pa.Table) -> dict:
     """The row of a group in the matrix: sizes of its members' sets, their cluster if they are of one, whether members of
-    different clusters share a token of their prefixes, and the union of the prefixes. Members of one block have been
-    compared already, so that of a group of one block needs no second look."""
+    different clusters share a token of their prefixes, and the unions of the prefixes and of the prints of whole sets.
+    Members of one block have been compared already, so that of a group of one block needs no second look."""
     sets, clusters, n, blocks = token_sets(rows["prefix"]), ints(rows["cluster"]), ints(rows["n"]), ints(rows["block"])
     every = np.concatenate(sets)
     several = bool((clusters != clusters[0]).any())
@@ -267,11 +273,11 @@ def united(rows: pa.Table) -> dict:
     if several and (blocks != blocks[0]).any():
         pairs = np.unique(np.stack([every.view(np.int64), np.repeat(clusters, [len(x) for x in sets])], axis=1), axis=0)
         home = bool((pairs[1:, 0] == pairs[:-1, 0]).any())
-    one = {"group": rows["group"][0].as_py(), "low": n.min(), "high": n.max(), "members": len(np.unique(ints(rows["doc"]))), "cluster": clusters.min(), "several": several, "home": home, "tokens": np.unique(every).tobytes()}
+    one = {"group": rows["group"][0].as_py(), "low": n.min(), "high": n.max(), "members": len(np.unique(ints(rows["doc"]))), "cluster": clusters.min(), "several": several, "home": home, "tokens": np.unique(every).tobytes(), "prints": np.unique(np.concatenate(print_sets(rows["prints"]))).tobytes()}
     return {k: [v] for k, v in one.items()}
 
 
-UNITED = "group long, low long, high long, members long, cluster long, several boolean, home boolean, tokens binary"
+UNITED = "group long, low long, high long, members long, cluster long, several boolean, home boolean, tokens binary, prints binary"
 
 
 def alone_group():
@@ -279,11 +285,11 @@ def alone_group():
 
 
 def group_rows(tokens: DataFrame, groups: DataFrame) -> DataFrame:
-    """The matrix by groups. A set without a family is a group of one, and is not moved for it."""
+    """The matrix by groups. A set without a family is a group of one, and is not moved for it; its prints are in tokens."""
     single = tokens.where("block is null").select(
-        alone_group().alias("group"), F.col("n").alias("low"), F.col("n").alias("high"), F.lit(1).cast("long").alias("members"), F.col("doc").alias("cluster"), F.lit(False).alias("several"), F.lit(False).alias("home"), F.col("prefix").alias("tokens"),
+        alone_group().alias("group"), F.col("n").alias("low"), F.col("n").alias("high"), F.lit(1).cast("long").alias("members"), F.col("doc").alias("cluster"), F.lit(False).alias("several"), F.lit(False).alias("home"), F.col("prefix").alias("tokens"), F.lit(None).cast("binary").alias("prints"),
     )
-    placed = tokens.where("block is not null").select("doc", "n", "block", "prefix").join(groups, "doc").select("group", "doc", "n", "block", "cluster", "prefix")
+    placed = tokens.where("block is not null").select("doc", "n", "block", "prefix", "prints").join(groups, "doc").select("group", "doc", "n", "block", "cluster", "prefix", "prints")
     return materialize(single.unionByName(by_runs(placed, ["group"], united, UNITED)), "matrix")
 
 
@@ -484,42 +490,35 @@ def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return placed.mapInArrow(run, "doc long, tokens binary")
 
 
-def fewest(n: int, low: int, high: int, percent: int) -> int:
-    """fewest_shared for a set of n tokens and others of low to high."""
-
-    def at(n, largest):
-        m = max(n, min(largest, 100 * n // percent))
-        return -(-percent * (n + m) // (100 + percent)) - (percent * m + 99) // 100
-
-    return min(at(n, high), at(low, n))
-
-
 def screened(rows: pa.Table, percent: int) -> dict:
-    """Of a group's queries (role 1), those whose prefix shares enough tokens with the group's union of prefixes (role 0)."""
-    sets, roles, low, high = token_sets(rows["tokens"]), ints(rows["role"]), ints(rows["low"]), ints(rows["high"])
-    own = np.flatnonzero(roles == 0)
-    kept = np.zeros(len(sets), dtype=bool)
-    if len(own):
-        union, least, most = np.unique(np.concatenate([sets[k] for k in own])), int(low[own].min()), int(high[own].max())
-        for k in np.flatnonzero(roles == 1):
-            at = np.minimum(np.searchsorted(union, sets[k]), len(union) - 1)
-            kept[k] = int((union[at] == sets[k]).sum()) >= fewest(int(low[k]), least, most, percent)
+    """Of a group's queries (role 1), those that can share enough tokens with its union (role 0) to be linked with a member.
+    Unions and queries are held as 16 bits a token: two tokens that share them count as one, so what is counted is never
+    less than the overlap, and not much more."""
+    roles, n, prints = ints(rows["role"]), ints(rows["n"]), print_sets(rows["prints"])
+    union = np.zeros(1 << 16, dtype=bool)
+    for k in np.flatnonzero(roles == 0):
+        union[prints[k]] = True
+    kept = [bool(r == 1 and int(union[prints[k]].sum()) >= least_overlap(int(n[k]), percent)) for k, r in enumerate(roles)]
     return {c: ints(rows[c])[kept].tolist() for c in ("doc", "group")}
 
 
 def queries_of(tokens: DataFrame, matrix: DataFrame, groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(doc, group): the documents of each pair's query group that the matrix does not rule out for the target group."""
-    chunks = pairs.groupBy("target").agg(F.ceil(F.sum("members") / CHUNK).cast("int").alias("chunks"))
+    """(doc, group): the documents of each pair's query group that the target group's stored union does not rule out."""
+    chunks = pairs.groupBy("target").agg(F.ceil(F.sum("members") / CHUNK).cast("int").alias("chunks")).withColumnRenamed("target", "group")
     chunks = materialize(chunks, "chunks")
-    single = tokens.where("block is null").select(alone_group().alias("group"), "doc", "n", "prefix")
-    members = single.unionByName(tokens.where("block is not null").select("doc", "n", "prefix").join(groups.select("doc", "group"), "doc"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    union = matrix.where("prints is not null").select("group", "prints")
+    single = tokens.where("block is null").select(alone_group().alias("group"), "doc", "n", "prints")
+    members = single.unionByName(tokens.where("block is not null").select("doc", "n", "prints").join(groups.select("doc", "group"), "doc"))
     chunk = F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk")
-    asking = pairs.join(chunks, "target").select(F.col("query").alias("group"), "target", chunk)
+    asking = pairs.join(chunks.withColumnRenamed("group", "target"), "target").select(F.col("query").alias("group"), "target", chunk, F.lit(1).alias("role"))
+    # A single set that is asked is its own union.
+    alone = chunks.join(union.select("group"), "group", "left_anti").select("group", F.col("group").alias("target"), every, F.lit(0).alias("role"))
+    asking = asking.unionByName(alone)
     busy = asking.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
     asking = join_dealt(asking, members, "group", hot_keys(busy, "group", "many", pairs.count()), ["target"])
-    asking = asking.select("doc", F.col("target").alias("group"), "chunk", F.lit(1).alias("role"), F.col("n").alias("low"), F.col("n").alias("high"), F.col("prefix").alias("tokens"))
-    each = matrix.join(chunks.withColumnRenamed("target", "group"), "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    each = each.select(F.lit(0).cast("long").alias("doc"), "group", "chunk", F.lit(0).alias("role"), "low", "high", "tokens")
+    asking = asking.select("doc", F.col("target").alias("group"), "chunk", "role", "n", "prints")
+    each = union.join(chunks, "group").select(F.lit(0).cast("long").alias("doc"), "group", every, F.lit(0).alias("role"), F.lit(0).cast("long").alias("n"), "prints")
     return materialize(by_runs(asking.unionByName(each), ["group", "chunk"], lambda t: screened(t, percent), "doc long, group long").distinct(), "screened")
 
 

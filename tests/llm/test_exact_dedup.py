@@ -1,8 +1,11 @@
 import hashlib
+import os
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomlog.llm import common
 from loomlog.llm.exact_dedup import deduplicate, exact_groups
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -41,3 +44,27 @@ def test_a_hot_group_over_many_partitions(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("Hot text")).otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("text")).repartition(16)
     rows = exact_groups(docs, salts=4).where("group_size > 100").distinct().collect()
     assert {(r.keep_id, r.group_size) for r in rows} == {(2999, 2000)} and len(rows) == 2000
+
+
+def test_tables_can_be_dropped(spark, odd_docs):
+    kept = common.materialize(odd_docs, "dropped")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.drop_tables(spark)
+    assert not os.path.exists(path)
+
+
+def test_a_folder_of_our_own_is_for_single_machines():
+    class Conf(dict):
+        get = dict.get
+
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    Session.conf = Conf({"spark.master": "local[2]"})
+    assert common.shared_dir(Session()) == Session.conf["spark.checkpoint.dir"]
