@@ -23,6 +23,8 @@ HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that have 24 characters
 # A whole run of the alphabet of URLs or else of base64, or what of the former precedes other characters; runs of more than
 # 4,096 characters are taken in stretches of so many.
 CANDIDATE = r"[A-Za-z0-9_-]{20,4096}+(?![+/])|[A-Za-z0-9+/]{20,4096}+={0,2}|[A-Za-z0-9_-]{20,4096}+"
+# Texts without a run of 20 candidate characters, which one look at each run's beginning tells, are searched no further.
+GATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"
 MASK = "\u0001"  # stands for the characters of base spans where candidates are looked for
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -232,9 +234,9 @@ def scan(docs: DataFrame, alpha: float = 0.01, least_bits: int = 80, text: str =
     """
     rows = docs.select(docs[key].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     t = F.col("text")
-    rest = F.when(t.rlike(CANDIDATE), without_base(t)).otherwise(F.lit(""))
+    rest = F.when(t.rlike(GATE), without_base(t)).otherwise(F.lit(""))
     tested = F.transform(F.regexp_extract_all("rest", F.lit(CANDIDATE), F.lit(0)), battery)
-    candidates = rows.where(t.rlike(CANDIDATE)).select(rest.alias("rest")).where(F.col("rest").rlike(CANDIDATE))
+    candidates = rows.where(t.rlike(GATE)).select(without_base(t).alias("rest")).where(F.col("rest").rlike(CANDIDATE))
     cuts = thresholds(candidates.select(F.explode(tested).alias("t")).select("t.n", "t.p"), alpha)
     base = F.sort_array(F.concat(spans(t, ASSIGN, "assign", 6, 2), spans(t, ACCESS, "access", 20), spans(t, HEX, "hex")))
     rows = rows.select("doc_id", base.alias("base"), let(rest, lambda r: spans(r, CANDIDATE, "random")).alias("candidates"))
