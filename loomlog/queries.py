@@ -477,12 +477,12 @@ def narrow_invert(spark, sf_dir):
 
 
 @query(TURNS + """
-    , s AS (SELECT file_id, entry_line FROM e WHERE entry_line IS NOT NULL GROUP BY ALL HAVING bool_or(contains(line, 'tion')) AND bool_or(contains(line, 'ing')) AND NOT bool_or(contains(line, 'the')))
+    , s AS (SELECT file_id, entry_line FROM e WHERE entry_line IS NOT NULL GROUP BY ALL HAVING bool_or(contains(line, 'tion')) AND bool_or(contains(line, 'ing')) AND NOT bool_or(contains(line, 'erst')))
     SELECT file_id, entry_line AS line_no FROM s
 """)
 def narrow_stacked(spark, sf_dir):
     result = conversation_result(spark, sf_dir, Request("tion", case_sensitive=True))
-    return result.narrow("ing", case_sensitive=True).narrow("the", case_sensitive=True, invert=True).hits.where("entry_line is not null").select("file_id", "line_no")
+    return result.narrow("ing", case_sensitive=True).narrow("erst", case_sensitive=True, invert=True).hits.where("entry_line is not null").select("file_id", "line_no")
 
 
 @query(TURNS + """
