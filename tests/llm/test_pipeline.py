@@ -32,3 +32,22 @@ def test_pipeline_equals_plain_stages(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {i: sp.encode(t) for i, t in rows.items()}
+
+
+def test_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, blank, repeated and very long texts, clashing columns, no labels of a second class; and no documents at all."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(4)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "ONE two  three four five six"), (2, None)], "item_id long, text string")
+    for name, docs, want in (("odd", odd_docs, {1, 2, 3, 5, 7, 9, 10}), ("none", no_docs, set())):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            now = run(spark, now, folder)
+            assert now.schema == docs.schema, stage
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert {r.doc_id for r in rows} == want and len(rows) == len(want)
