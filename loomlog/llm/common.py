@@ -24,10 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below the folder of this application."""
+    return f"{shared_dir(spark)}/loomlog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomlog/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,7 +89,7 @@ class Memo(dict):
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete all tables that operators have written to the shared folder. For when their results have been written: what is
-    still to be computed may read these tables."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomlog")
+    """Delete the tables that operators of this application have written to the shared folder; other jobs keep theirs. For
+    when results have been written: what is still to be computed may read these tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomlog/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

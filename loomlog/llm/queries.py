@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import UPPER, documents
+from .common import UPPER, documents, shared_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,7 +79,15 @@ def op10_toxicity(spark, sf_dir):
     return score(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op6_ngram_join, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity)}
+def op11_token_shards(spark, sf_dir):
+    from .token_shards import read_documents, write_shards
+
+    path = shared_path(spark, "token-shards")
+    write_shards(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), path)
+    return read_documents(spark, path, content=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op6_ngram_join, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity, op11_token_shards)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
