@@ -87,7 +87,13 @@ def op11_token_shards(spark, sf_dir):
     return read_documents(spark, path, content=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op6_ngram_join, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity, op11_token_shards)}
+def op13_collocations(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op6_ngram_join, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity, op11_token_shards, op13_collocations)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
@@ -107,4 +113,19 @@ ORACLE_SQL = {
              r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node WHERE r.root < e.v)
         SELECT node AS doc_id, coalesce(max(size), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node
     """,
+    "op13_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+             s AS (SELECT lang, words, m, unnest(generate_series(1, len(words) - m + 1)) AS i FROM w, generate_series(1, 5) AS x(m) WHERE len(words) >= m),
+             f AS (SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM s GROUP BY ALL),
+             t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+             c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND a >= 100),
+             h AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.lang = c.lang AND b.m > c.m AND 100 * b.a >= 100 * c.a AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+             k AS (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM h),
+             q AS (SELECT k.lang, k.phrase, k.k, k.a, x.a AS l, y.a AS r, n, ((1000::HUGEINT * k.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+                   FROM k JOIN t ON t.lang = k.lang JOIN f AS x ON x.lang = k.lang AND x.phrase = array_to_string(k.words[1:k], ' ') JOIN f AS y ON y.lang = k.lang AND y.phrase = array_to_string(k.words[k + 1:], ' ')),
+             o AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM q),
+             z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o WHERE nth = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+    """,
 }

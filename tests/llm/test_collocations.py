@@ -1,0 +1,92 @@
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from loomlog.llm.collocations import SuffixAutomaton, collocations, phrase_counts
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def plain_counts(rows):
+    """Occurrences of every phrase of 1 to 5 words, and of all words."""
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang or "und"] += len(words)
+            f.update((lang or "und", tuple(words[i : i + m])) for m in range(1, 6) for i in range(len(words) - m + 1))
+    return f, n
+
+
+def plain(rows, least, top, subsumed=100):
+    f, n = plain_counts(rows)
+    known = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    found = defaultdict(list)
+    for (lang, words), a in known.items():
+        inside = lambda longer: any(longer[i : i + len(words)] == words for i in range(len(longer) - len(words) + 1))
+        if any(g == lang and len(x) > len(words) and 100 * b >= subsumed * a and inside(x) for (g, x), b in known.items()):
+            continue
+        cuts = [(1000 * a * n[lang] // (f[lang, words[:k]] * f[lang, words[k:]]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        found[lang].append((-score, -a, " ".join(words).encode(), f[lang, words[:k]], f[lang, words[k:]]))
+    return sorted((lang, rank, p.decode(), -a, l, r, n[lang], -s) for lang, x in found.items() for rank, (s, a, p, l, r) in enumerate(sorted(x)[:top], 1))
+
+
+@pytest.mark.parametrize("alphabet, size", [(1, 30), (2, 200), (5, 300), (40, 300)])
+def test_states_are_the_classes_of_equal_ends(rng, alphabet, size):
+    words = np.array([rng.randint(0, alphabet) for _ in range(size)], dtype=np.int64)
+    words[0] = 0
+    depth, ends = 4, defaultdict(set)
+    for i in range(size):
+        for m in range(1, depth + 1):
+            w = tuple(words[i - m + 1 : i + 1].tolist()) if i - m + 1 >= 0 else (0,)
+            if 0 in w:
+                break
+            ends[w].add(i)
+    automaton = SuffixAutomaton(words, depth)
+    assert {tuple(words[e - m + 1 : e + 1].tolist()): n for m, at, count in automaton.phrases() for e, n in zip(at.tolist(), count.tolist())} == {w: len(x) for w, x in ends.items()}
+    classes = defaultdict(set)
+    for w, x in ends.items():
+        classes[frozenset(x)].add(w)
+    states = automaton.states()
+    held = [{tuple(words[e - m + 1 : e + 1].tolist()) for m in range(short, long + 1)} for long, short, e, _, _ in states]
+    assert sorted(map(sorted, held)) == sorted(map(sorted, classes.values()))
+    for phrases, (long, short, e, n, link) in zip(held, states):
+        assert n == len(ends[max(phrases, key=len)])
+        assert (link < 0) == (short == 1) and (link < 0 or min(phrases, key=len)[1:] in held[link] and states[link][3] > n)
+
+
+@pytest.mark.parametrize("shard_words, bits", [(50, 15), (1 << 22, 20)])
+def test_operator_equals_counting(spark, rng, shard_words, bits):
+    vocabulary = [*"abcd", "the", "of", "The", "é", "É", "x\xa0y", "\t", "  ", ",", ". ", "\r\n", "z" * 40]
+    rows = [(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de", None, "und"])) for _ in range(300)]
+    rows += [(None, "en"), ("", None), ("new york city " * 30, "en"), ("in spite of the rain; " * 20, "fr"), ("only here", "xx"), (" \t ", "yy")] + [("a b c d the", "en")] * 20
+    docs = spark.createDataFrame([(k, *r, 1, "p") for k, r in enumerate(rows)], "doc_id long, text string, lang string, n long, phrase string").repartition(3)
+    for least, top in ((3, 1000), (12, 5)):
+        got = collocations(docs, least=least, top=top, shard_words=shard_words, filter_bits=bits)
+        assert sorted(map(tuple, got.collect())) == plain(rows, least, top)
+    f, n = plain_counts(rows)
+    counts = {(r.lang, r.phrase): r.n for r in phrase_counts(docs, 5, shard_words=shard_words, filter_bits=bits).collect()}
+    assert counts == {**{(g, " ".join(w)): a for (g, w), a in f.items() if a >= 5}, **{(g, ""): a for g, a in n.items()}}
+
+
+def test_looser_subsumption(spark):
+    rows = [("new york city", "en")] * 8 + [("new york", "en")] * 2 + [("york city", "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for share in (100, 80, 50):
+        assert sorted(map(tuple, collocations(docs, least=2, subsumed=share).collect())) == plain(rows, 2, 2000, share)
+
+
+def test_odd_tables(spark, odd_docs, no_docs):
+    rows = [(r.text, r.lang) for r in odd_docs.collect()]
+    assert sorted(map(tuple, collocations(odd_docs, least=2).collect())) == plain(rows, 2, 2000)
+    assert collocations(no_docs).count() == 0
+
+
+def test_products_beyond_64_bits(spark):
+    """1000 * a * n passes 2**63 where a * n passes 2**53; the expression is tried on such counts by themselves."""
+    a, n, left, right = 90_000_000_000, 400_000_000_000_000, 120_000_000_000, 95_000_000_000
+    got = spark.sql(f"SELECT (CAST(1000 AS DECIMAL(4,0)) * CAST({a}L AS DECIMAL(17,0)) * CAST({n}L AS DECIMAL(17,0))) div (CAST({left}L AS DECIMAL(18,0)) * CAST({right}L AS DECIMAL(18,0)))").first()[0]
+    assert got == 1000 * a * n // (left * right)
