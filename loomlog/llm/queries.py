@@ -87,13 +87,19 @@ def op11_token_shards(spark, sf_dir):
     return read_documents(spark, path, content=False)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    from .conversation_repair import damaged, repair
+
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), present="here")
+
+
 def op13_collocations(spark, sf_dir):
     from .collocations import collocations
 
     return collocations(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op6_ngram_join, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity, op11_token_shards, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_sentencepiece, op4_secrets, op5_quality, op6_ngram_join, op7_token_counts, op8_decontamination, op9_language_id, op10_toxicity, op11_token_shards, op12_conversation_repair, op13_collocations)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
