@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.values import display, mask_names
 from .chart import ChartRequest, chart
 from .lines import entry_text
 from .matching import Matcher
-from .search import DEFAULT_CAP, Field, Request, cap_of, capped, default_order, hits_of, order_columns, pruned_files
+from ..sources.store import counted, is_cancelled, shared_path
+from .search import DEFAULT_CAP, Field, Request, cap_of, capped, default_order, hits_of, order_columns, pruned_files, scanned
 
 PAGE, PREVIEW, CLIPBOARD = 500, 100, 50_000
 
@@ -27,7 +28,16 @@ class Result:
     group_names: tuple[str, ...]
     order: tuple[tuple[str, bool], ...]
     parent: Result | None = None
-    all_hits: DataFrame | None = None  # before the cap, where there is one
+    seen: dict | None = None  # totals that the search itself has counted
+    complete: bool = True  # false: it was stopped, and these are the hits of the files that were through
+    most: int | None = None  # the hits are no more than that
+
+    def own_entries(self) -> DataFrame:
+        """The lines of entries that are hits; no other line moves. Capped hits are sent to where the lines are, as they
+        are at most some 50 MB of numbers."""
+        keys = self.hits.select(F.col("file_id").alias("__f"), F.col("entry_line").alias("__e")).distinct()
+        keys = F.broadcast(keys) if self.most is not None and self.most <= DEFAULT_CAP else keys
+        return self.entries.join(keys, (F.col("file_id") == F.col("__f")) & F.col("entry_line").eqNullSafe(F.col("__e")), "left_semi")
 
     def sorted_hits(self) -> DataFrame:
         return self.hits.orderBy(*order_columns(self.order))
@@ -76,11 +86,12 @@ class Result:
         if max(before, after) > 1000 or min(before, after) < 0:
             raise ValueError("At most 1000 lines around an entry")
         m = Matcher(query, is_regex, case_sensitive, tree)
-        e, line = self.entries, F.col("line")
-        spans = e.groupBy("file_id", "entry_line").agg(F.min("line_no").alias("__a"), F.max("line_no").alias("__b"))
+        line = F.col("line")
+        spans = self.own_entries().groupBy("file_id", "entry_line").agg(F.min("line_no").alias("__a"), F.max("line_no").alias("__b"))
         anchors = self.hits.select("file_id", "line_no", "entry_line").withColumnsRenamed({"file_id": "__f", "line_no": "__l", "entry_line": "__e"})
         spans = anchors.join(spans, (F.col("__f") == spans["file_id"]) & F.col("__e").eqNullSafe(spans["entry_line"])).select("__f", "__l", F.coalesce("__e", "__a").alias("__a"), "__b")
-        marked = e.select("file_id", "line_no", m.excludes(line).alias("__out"), m.is_match(line).alias("__in")).where("__out or __in")
+        files = self.hits.select("file_id").distinct()
+        marked = self.entries.join(files, "file_id", "left_semi").select("file_id", "line_no", m.excludes(line).alias("__out"), m.is_match(line).alias("__in")).where("__out or __in")
         # A bucket of lines on both sides keeps the range join an equi-join: a span meets only the buckets it covers.
         step = 2048
         low, high = F.col("__a") - before, F.col("__b") + after
@@ -89,7 +100,7 @@ class Result:
         near = spans.join(marked, (F.col("__f") == marked["file_id"]) & (F.col("__k") == F.col("__m")) & (marked["line_no"] >= low) & (marked["line_no"] <= high))
         kept = near.groupBy("__f", "__l").agg(F.bool_or(F.col("__in") & ~F.col("__out")).alias("__in"), F.bool_or("__out").alias("__out")).where("__in and not __out")
         hits = self.hits.join(kept, (self.hits["file_id"] == kept["__f"]) & (self.hits["line_no"] == kept["__l"]), "left_anti" if invert else "left_semi")
-        return replace(self, hits=hits, parent=self, all_hits=None)
+        return replace(self, hits=hits, parent=self, seen=None)
 
     def undo(self) -> Result:
         if self.parent is None:
@@ -100,12 +111,12 @@ class Result:
         """Hits whose matched groups are all switched off go; hits without groups stay."""
         off = sum(1 << k for k, n in enumerate(self.group_names[:32]) if n in set(names))
         mask = F.col("matched_groups")
-        return replace(self, hits=self.hits.where((mask == 0) | (mask.bitwiseAND(F.lit(~off)) != 0)), all_hits=None)
+        return replace(self, hits=self.hits.where((mask == 0) | (mask.bitwiseAND(F.lit(~off)) != 0)), seen=None)
 
     def export(self, extract: Matcher | None = None, excluded: Sequence[str] = (), max_lines: int | None = None) -> DataFrame:
         """One `line` per hit in the result's order: the entry's text, or the isolated part where there is one."""
         shown = self.without_groups(excluded) if excluded else self
-        texts = entry_text(self.entries).select(F.col("file_id").alias("__f"), F.col("entry_line").alias("__e"), "text")
+        texts = entry_text(shown.own_entries()).select(F.col("file_id").alias("__f"), F.col("entry_line").alias("__e"), "text")
         rows = shown.hits.join(texts, (F.col("file_id") == F.col("__f")) & F.col("entry_line").eqNullSafe(F.col("__e")))
         value = F.col("text") if extract is None else extract.isolated(F.col("text"), excluded)
         rows = rows.withColumn("line", value).where("line is not null").orderBy(*order_columns(self.order)).select("line")
@@ -118,7 +129,7 @@ class Result:
     def chart(self, request: ChartRequest):
         texts = None
         if request.needs_text:
-            texts = entry_text(self.entries).select("file_id", "entry_line", "text")
+            texts = entry_text(self.own_entries()).select("file_id", "entry_line", "text")
         return chart(self.hits, request, self.fields, self.group_names, texts)
 
     def populated_columns(self) -> list[str]:
@@ -129,22 +140,73 @@ class Result:
         return [f.key for f, v in zip(self.fields, row) if v]
 
     def totals(self, request: Request) -> dict:
-        """files_scanned, lines_scanned, total_hits, truncated: one job. A result of as many hits as its cap is truncated
-        if one more was found."""
+        """files_scanned, lines_scanned, total_hits, truncated: what the search counted while it ran, else by one job. A result
+        of as many hits as its cap is truncated if one more was found."""
+        if self.seen is not None:
+            return self.seen
         files = pruned_files(self.files, request)
-        scanned = self.entries.join(files.select("file_id"), "file_id", "left_semi")
-        every = self.hits if self.all_hits is None else self.all_hits
-        counts = {"files": files, "lines": scanned, "hits": self.hits, "all": every}
+        counts = {"files": files, "lines": self.entries.join(files.select("file_id"), "file_id", "left_semi"), "hits": self.hits}
         frames = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "n") for k, df in counts.items()]
         got = {r.k: r.n for r in reduce(DataFrame.unionByName, frames).collect()}
-        return {"files_scanned": got["files"], "lines_scanned": got["lines"], "total_hits": got["hits"], "truncated": got["all"] > got["hits"]}
-
-
-def search(entries: DataFrame, files: DataFrame, request: Request, fields: Sequence[Field] = (), max_hits: int = DEFAULT_CAP, spark=None) -> Result:
-    """One lazily planned query over lines that ingestion has stored (see lines.to_entries)."""
-    matcher = request.matcher(spark or entries.sparkSession)
-    found, cap = hits_of(entries, files, request, fields, matcher), cap_of(max_hits)
-    return Result(capped(found, cap), entries, files, tuple(fields), tuple(matcher.group_names), tuple(default_order()), all_hits=found if cap is not None else None)
+        return {"files_scanned": got["files"], "lines_scanned": got["lines"], "total_hits": got["hits"], "truncated": False}
+
+
+#: Shares of the files, in their order, after which a search looks at what it has found.
+STAGES = (1 / 64, 1 / 16, 1 / 4)
+#: Fewer files than that are one stage.
+STAGED_FILES = 64
+
+
+def search(
+    entries: DataFrame, files: DataFrame, request: Request, fields: Sequence[Field] = (), max_hits: int = DEFAULT_CAP, spark=None,
+    progress: Callable[[dict], None] | None = None, stop: Callable[[], bool] | None = None,
+) -> Result:
+    """Search lines that ingestion has stored (see lines.to_entries).
+
+    Files are searched in stages in their order, a growing share of them each, and the hits of a stage are written, once, to
+    the shared folder. Once the cap is reached no other stage begins, so a search that finds much reads little. After each
+    stage progress gets {"files", "lines", "hits", "stage", "stages"}, counted by the stage's own job. If stop() says so
+    before a stage, or the jobs are cancelled (see store.cancellable), the result has the hits of the stages that were
+    through and is not complete. Without a cap, progress and stop it is planned as one query, which runs when it is used.
+
+    For head blocks, files should have first_ts and last_ts, as a manifest has; else all lines are read for them."""
+    spark = spark or entries.sparkSession
+    matcher, cap = request.matcher(spark), cap_of(max_hits)
+    result = lambda hits, **x: Result(hits, scanned(entries, request), files, tuple(fields), tuple(matcher.group_names), tuple(default_order()), most=cap, **x)
+    if cap is None and progress is None and stop is None:
+        return result(hits_of(entries, files, request, fields, matcher))
+    row = pruned_files(files, request).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("file_ord", list(STAGES), 10_000).alias("at")).first()
+    edges = [None, *(sorted(set(row["at"])) if row["n"] > STAGED_FILES else []), None]
+    folder, done, complete, kind = shared_path(spark, "hits"), {"files": 0, "lines": 0, "hits": 0}, True, None
+    order = F.col("file_ord")
+    for k, (after, upto) in enumerate(zip(edges, edges[1:])):
+        if stop is not None and stop():
+            complete = False
+            break
+        part = (order > after if after is not None else F.lit(True)) & (order <= upto if upto is not None else F.lit(True))
+        lines, found = Observation(), Observation()
+        hits = hits_of(entries, files, request, fields, matcher, part, lines).observe(found, F.count(F.lit(1)).alias("hits"))
+        kind = hits.schema
+        try:
+            with counted(spark):
+                hits.write.parquet(f"{folder}/stage-{k}")
+        except Exception as e:
+            if not is_cancelled(e):
+                raise
+            complete = False
+            break
+        n = row["n"] if len(edges) == 2 else pruned_files(files, request).where(part).count()
+        done = {"files": done["files"] + n, "lines": done["lines"] + lines.get["lines"], "hits": done["hits"] + found.get["hits"], "stage": k + 1, "stages": len(edges) - 1}
+        if progress is not None:
+            progress(done)
+        if cap is not None and done["hits"] > cap:
+            break
+    written = [f"{folder}/stage-{k}" for k in range(done.get("stage", 0))]
+    kind = kind or hits_of(entries, files, request, fields, matcher).schema
+    hits = spark.read.schema(kind).parquet(*written) if written else spark.createDataFrame([], kind)
+    truncated = cap is not None and done["hits"] > cap
+    totals = {"files_scanned": done["files"], "lines_scanned": done["lines"], "total_hits": min(done["hits"], cap or done["hits"]), "truncated": truncated}
+    return result(capped(hits, cap) if truncated else hits, seen=totals, complete=complete)
 
 
 def sorted_rows(rows: DataFrame, by: str, ascending: bool = True) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import guid, number
@@ -14,6 +15,8 @@ from ..functions.regexes import Pattern
 from .matching import Matcher
 
 DEFAULT_CAP, LEAST_CAP = 2_000_000, 100_000
+#: No log clock is further from UTC; a store's folders are chosen by day before services' clocks are known.
+FARTHEST_CLOCK = dt.timedelta(hours=24)
 FILE_DEFAULTS = {"service_id": "string", "file": "string", "log_date": "date", "instance": "string", "log_offset_minutes": "int", "file_ord": "long"}
 
 
@@ -68,7 +71,8 @@ def files_of(files: DataFrame) -> DataFrame:
     """files with every column that search reads; absent ones are null, and file_ord follows file_id."""
     for name, kind in FILE_DEFAULTS.items():
         if name not in files.columns:
-            files = files.withColumn(name, (F.col("file_id") if name == "file_ord" else F.lit(None)).cast(kind))
+            ordinal = F.col("file_id") if dict(files.dtypes)["file_id"] != "string" else F.xxhash64("file_id")
+            files = files.withColumn(name, (ordinal if name == "file_ord" else F.lit(None)).cast(kind))
     return files
 
 
@@ -107,6 +111,20 @@ def pruned_files(files: DataFrame, request: Request) -> DataFrame:
     return files.where(F.col("log_date").isNull() | keep)
 
 
+def scanned(entries: DataFrame, request: Request) -> DataFrame:
+    """entries without what the request's services and days rule out, by the columns that a store has as folders (see
+    catalog.ingest), so that other folders are not read. Which files of a folder count is decided by pruned_files."""
+    if request.service_ids is not None and "service_id" in entries.columns:
+        entries = entries.where(F.col("service_id").isin(*request.service_ids))
+    if "log_date" not in entries.columns:
+        return entries
+    first = (request.time_from - FARTHEST_CLOCK).date() if request.time_from is not None else request.date_from
+    last = (request.time_to + FARTHEST_CLOCK).date() if request.time_to is not None else request.date_to
+    for bound, keep in ((first, F.col("log_date") >= F.lit(first)), (last, F.col("log_date") <= F.lit(last))):
+        entries = entries.where(F.col("log_date").isNull() | keep) if bound is not None else entries
+    return entries
+
+
 def file_spans(entries: DataFrame) -> DataFrame:
     """file_id, first_ts, last_ts: a file's first and last header."""
     head = F.when(F.col("ts").isNotNull(), F.col("line_no"))
@@ -119,7 +137,7 @@ def head_times(files: DataFrame, spans: DataFrame) -> DataFrame:
     The latest last header, not after the own first one, of another file of the same service and instance; without one,
     a millisecond before the own first header. A file without headers takes the last header of the newest earlier day.
     """
-    f = files_of(files).join(spans, "file_id", "left").select("file_id", "service_id", "instance", "log_date", "first_ts", "last_ts")
+    f = files_of(files).select("file_id", "service_id", "instance", "log_date").join(spans, "file_id", "left")
     source = ["service_id", "instance"]
     # Last and first headers of a source's files in one order; each file looks back at the last header before it. If that
     # is its own, the one before counts.
@@ -140,28 +158,42 @@ def head_times(files: DataFrame, spans: DataFrame) -> DataFrame:
     return headed.unionByName(bare)
 
 
-def hits_of(entries: DataFrame, files: DataFrame, request: Request, fields: Sequence[Field] = (), matcher: Matcher | None = None) -> DataFrame:
-    """file_id, line_no, ts, matched_groups, one column per field key, service_id, file, file_ord: one row per hit.
+def hits_of(
+    entries: DataFrame, files: DataFrame, request: Request, fields: Sequence[Field] = (), matcher: Matcher | None = None, part: Column | None = None, seen: Observation | None = None
+) -> DataFrame:
+    """file_id, line_no, entry_line, ts, matched_groups, one column per field key, service_id, file, file_ord: one row per hit.
 
-    entries: file_id, line_no, line, ts, entry_line, entry_ts. files: file_id, and what else of FILE_DEFAULTS is known; with
-    first_ts and last_ts too (a manifest has them), head blocks are dated without reading entries again. With pack_id, a
+    entries: file_id, line_no, line, ts, entry_line, entry_ts, and service_id and log_date where a store has them as folders:
+    then only the folders of the files that are searched are read. files: file_id, and what else of FILE_DEFAULTS is known;
+    with first_ts and last_ts too (a manifest has them), head blocks are dated without reading entries again. With pack_id, a
     field is taken from lines of its own pack only, so lines of a service whose pack is not loaded are searched but have
     no fields; without it every field is looked for everywhere. A hit is an entry with a matching line and no excluding one,
     at its header; a head block is one hit at its first matching line. Fields come from matching lines only; the earliest
     line that has a field wins. Only lines that match or exclude are grouped, so the shuffle holds no other text.
+
+    part: a condition on files; others are not searched, but head blocks are dated by them too. seen counts the lines.
     """
     matcher = matcher or request.matcher()
-    chosen = pruned_files(files, request)
+    known = pruned_files(files, request)
+    chosen = known if part is None else known.where(part)
     line = F.col("line")
     packed = "pack_id" in files.columns
     extra = [F.col("pack_id").alias("__pack")] if packed else []
-    rows = entries.join(chosen.select("file_id", "log_date", "log_offset_minutes", *extra), "file_id")
+    asked = chosen.select(F.col("file_id").alias("__file"), F.col("service_id").alias("__service"), F.col("log_date").alias("__day"), F.col("log_offset_minutes").alias("__offset"), *extra)
+    # Equal folders too, not only equal files: that is what lets the scan read the chosen files' folders only.
+    same = [F.col("file_id") == F.col("__file")]
+    same += [F.col("service_id") == F.col("__service")] if {"service_id"} <= {*entries.columns} & {*files.columns} else []
+    day = lambda c: F.coalesce(c, F.to_date(F.lit("0001-01-01")))  # noqa: E731  Spark prunes by equality, not by its null-safe kind
+    same += [day("log_date") == day("__day")] if {"log_date"} <= {*entries.columns} & {*files.columns} else []
+    rows = scanned(entries, request).join(asked, reduce(Column.__and__, same))
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("lines"))
     taken = lambda f: F.when(F.col("__hit") & (F.col("__pack") == f.pack if packed else F.lit(True)), f.column(line))
     headed = F.col("entry_ts").isNotNull()
     if request.windowed:
-        rows = rows.where(~headed | in_window(F.col("entry_ts"), F.col("log_offset_minutes"), request))
+        rows = rows.where(~headed | in_window(F.col("entry_ts"), F.col("__offset"), request))
     else:
-        rows = rows.where(~headed | F.col("log_date").isNotNull() | in_dates(F.to_date("entry_ts"), request))
+        rows = rows.where(~headed | F.col("__day").isNotNull() | in_dates(F.to_date("entry_ts"), request))
     excluded = matcher.excludes(line)
     rows = rows.withColumn("__out", excluded).withColumn("__hit", ~F.col("__out") & matcher.is_match(line)).where("__out or __hit")
     rows = rows.select("file_id", "line_no", "entry_line", "entry_ts", "__out", "__hit", F.when(F.col("__hit"), matcher.group_mask(line)).alias("__mask"), *[taken(f).alias(f.key) for f in fields])
@@ -171,18 +203,16 @@ def hits_of(entries: DataFrame, files: DataFrame, request: Request, fields: Sequ
         F.bool_or("__out").alias("__out"), F.min(at).alias("__first"), F.max("entry_ts").alias("ts"), F.coalesce(F.bit_or("__mask"), F.lit(0).cast("long")).alias("matched_groups"), *picked
     )
     grouped = grouped.where("not __out and __first is not null")
-    keys = [F.col(f"`{f.key}`") for f in fields]
-    spans = chosen.select("file_id", "first_ts", "last_ts") if {"first_ts", "last_ts"} <= set(chosen.columns) else file_spans(entries)
-    heads = grouped.where("entry_line is null").join(head_times(chosen, spans), "file_id", "left")
-    heads = heads.select("file_id", F.col("__first").alias("line_no"), F.col("entry_line"), F.col("head_ts").alias("ts"), "matched_groups", *keys)
-    own = grouped.where("entry_line is not null").select("file_id", F.col("entry_line").alias("line_no"), "entry_line", "ts", "matched_groups", *keys)
-    info = chosen.select("file_id", "service_id", "file", "file_ord", "log_date", "log_offset_minutes")
-    heads = heads.join(info, "file_id")
+    spans = known.select("file_id", "first_ts", "last_ts") if {"first_ts", "last_ts"} <= set(known.columns) else file_spans(scanned(entries, request))
+    info = chosen.select("file_id", "service_id", "file", "file_ord", "log_date", "log_offset_minutes").join(head_times(known, spans), "file_id", "left")
+    found = grouped.join(info, "file_id")
+    head = F.col("entry_line").isNull()
+    found = found.select("file_id", F.coalesce("entry_line", "__first").alias("line_no"), "entry_line", F.when(head, F.col("head_ts")).otherwise(F.col("ts")).alias("ts"), "matched_groups", *[F.col(f"`{f.key}`") for f in fields], "service_id", "file", "file_ord", "log_date", "log_offset_minutes")
     if request.windowed:
-        heads = heads.where(in_window(F.col("ts"), F.col("log_offset_minutes"), request))
+        within = in_window(F.col("ts"), F.col("log_offset_minutes"), request)
     else:
-        heads = heads.where(F.col("log_date").isNotNull() | (F.col("ts").isNotNull() & in_dates(F.to_date("ts"), request)) | F.lit(request.date_from is None and request.date_to is None))
-    return own.join(info, "file_id").unionByName(heads).drop("log_date", "log_offset_minutes")
+        within = F.col("log_date").isNotNull() | (F.col("ts").isNotNull() & in_dates(F.to_date("ts"), request)) | F.lit(request.date_from is None and request.date_to is None)
+    return found.where(~head | within).drop("log_date", "log_offset_minutes")
 
 
 def default_order() -> list[tuple[str, bool]]:
@@ -195,26 +225,37 @@ def order_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(f"`{c}`").asc_nulls_last() if up else F.col(f"`{c}`").desc_nulls_first() for c, up in order]
 
 
-def capped(hits: DataFrame, cap: int | None, block: int = 1 << 16) -> DataFrame:
-    """The first `cap` hits in scan order (file order, then line).
-
-    Hits are counted by blocks of lines; the counts, summed up in that order, say which blocks are in whole, and which one
-    is cut. So no task sorts more than a block's hits, whatever the cap."""
-    if cap is None:
+def nth_least(rows: DataFrame, column: str, n: int, some: int = 10_000) -> tuple[int, int]:
+    """The n-th least value (from 1) of a column of integers without nulls, and how many rows have a lesser one; rows has n
+    at least. Rows are counted between 63 quantiles, and looked into where the n-th lies, until there are few; the driver
+    gets 64 counts at a time, and no task more than its own rows."""
+    below, c = 0, F.col(column)
+    while True:
+        marks = sorted(set(rows.agg(F.percentile_approx(c, [k / 64 for k in range(1, 64)], 1000)).first()[0]))
+        at = reduce(lambda x, k: F.when(c <= marks[k], k).otherwise(x), reversed(range(len(marks))), F.lit(len(marks)))
+        counts = dict(rows.groupBy(at.alias("at")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"))).collect())
+        for k in sorted(counts):
+            if below + counts[k].n >= n:
+                break
+            below += counts[k].n
+        inside = counts[k]
+        if inside.low == inside.high:
+            return inside.low, below
+        rows = rows.where(c.between(inside.low, inside.high))
+        if inside.n <= some:
+            values = sorted(r[0] for r in rows.select(c).collect())
+            value = values[n - below - 1]
+            return value, below + values.index(value)
+
+
+def capped(hits: DataFrame, cap: int | None) -> DataFrame:
+    """The first `cap` (1 or more) hits in scan order (file order, then line): those up to the cap-th one, which is found by
+    counting. Files of one ordinal count as one. Runs jobs on hits, so they should be written ones."""
+    if cap is None or hits.count() <= cap:
         return hits
-    at = F.floor(F.col("line_no") / block)
-    cells = hits.groupBy("file_ord", at.alias("__block")).agg(F.count(F.lit(1)).alias("n"))
-    files = cells.groupBy("file_ord").agg(F.sum("n").alias("n")).withColumn("__part", F.floor(F.col("file_ord") / 4096))
-    parts = files.groupBy("__part").agg(F.sum("n").alias("n"))
-    earlier = lambda *by: F.coalesce(F.sum("n").over((Window.partitionBy(*by[:-1]) if by[:-1] else Window).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("__part", earlier("__part").alias("__a"))
-    files = files.select("__part", "file_ord", earlier("__part", "file_ord").alias("__b")).join(parts, "__part").select("file_ord", (F.col("__a") + F.col("__b")).alias("__before"))
-    cells = cells.select("file_ord", "__block", "n", earlier("file_ord", "__block").alias("__c")).join(files, "file_ord")
-    cells = cells.select("file_ord", "__block", "n", (F.col("__before") + F.col("__c")).alias("__before")).where(F.col("__before") < cap)
-    kept = hits.withColumn("__block", at).join(cells, ["file_ord", "__block"])
-    whole = F.col("__before") + F.col("n") <= cap
-    inside = kept.where(whole)
-    cut = kept.where(~whole).withColumn("__k", F.row_number().over(Window.partitionBy("file_ord", "__block").orderBy("line_no")))
-    cut = cut.where(F.col("__k") <= cap - F.col("__before"))
-    columns = [f"`{c}`" for c in hits.columns]
-    return inside.select(*columns).unionByName(cut.select(*columns))
+    found, n, left = {}, cap, hits
+    for key in ("file_ord", "line_no"):
+        found[key], below = nth_least(left, key, n)
+        left, n = left.where(F.col(key) == found[key]), n - below
+    order, line = F.col("file_ord"), F.col("line_no")
+    return hits.where((order < found["file_ord"]) | ((order == found["file_ord"]) & (line <= found["line_no"])))

@@ -17,11 +17,12 @@ from .functions.regexes import translate
 from .operators.chart import ChartRequest, chart
 from .operators.lines import around, entry_text, fill_forward, raw_search, split_lines
 from .operators.matching import Matcher
-from .operators.result import Result
+from .operators.result import Result, search
 from .operators.search import Field, Request, capped, default_order, head_times, hits_of, in_window, order_columns, pruned_files
 from .plans.packs import Location
 from .plans.query_tree import Criterion, Group
 from .sources import catalog
+from .sources.store import shared_path
 from .sources.discovery import scrape
 from .sources.sync import summary_of
 from .streaming.growing import day_segments, prefix_cut
@@ -162,6 +163,29 @@ def entry_veto(spark, sf_dir):
     return dated(conversation_result(spark, sf_dir, Request("^(?!.*tion and)(?=(?s:.*)the)", True)))
 
 
+STORED = TURNS.replace("FROM conversations", "FROM conversations WHERE conv_id % 5 IN (1, 3) AND conv_id % 7 BETWEEN 2 AND 4")
+
+
+def stored_result(spark, sf_dir) -> Result:
+    """Two services and three days of a store of five services and seven days, written by ingestion and searched."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("file_id") % 7).cast("int"))
+    files = conversation_files(spark, sf_dir).withColumn("log_date", day)
+    path = shared_path(spark, "store")
+    catalog.ingest(turns(spark, sf_dir).join(files.select("file_id", "service_id", "log_date"), "file_id"), path)
+    request = Request("tion the", service_ids=("s1", "s3"), date_from=dt.date(2024, 1, 3), date_to=dt.date(2024, 1, 5))
+    return search(catalog.stored_entries(spark, path), files, request)
+
+
+@query(STORED + HITS.format(hit="contains(lower(line), 'tion the')", out="false"))
+def stored_search(spark, sf_dir):
+    return dated(stored_result(spark, sf_dir))
+
+
+@query(STORED + ", h AS (SELECT file_id, entry_line FROM e WHERE contains(lower(line), 'tion the') GROUP BY ALL) SELECT string_agg(line, chr(10) ORDER BY line_no) AS line FROM e JOIN h ON h.file_id = e.file_id AND h.entry_line IS NOT DISTINCT FROM e.entry_line GROUP BY e.file_id, e.entry_line")
+def stored_export(spark, sf_dir):
+    return stored_result(spark, sf_dir).export()
+
+
 CONVERSATION_HEADS = """
     , f AS (SELECT file_id, file_id % 5 AS service, min(ts) AS first_ts, max(ts) AS last_ts FROM l GROUP BY ALL),
       a AS (SELECT f.file_id, f.first_ts, max(o.last_ts) AS before FROM f LEFT JOIN f AS o ON o.service = f.service AND o.file_id <> f.file_id AND o.last_ts <= f.first_ts GROUP BY ALL)

@@ -155,6 +155,14 @@ def ingest(entries: DataFrame, path: str, by: Sequence[str] = ("service_id", "lo
     entries.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
+def stored_entries(spark: SparkSession, path: str, by: Sequence[str] = ("service_id", "log_date")) -> DataFrame:
+    """What ingest has stored. Folder names are read as what they were: a service called 007 stays a text."""
+    kinds = {"service_id": "string", "log_date": "date"}
+    found = spark.read.parquet(path).schema
+    names = ", ".join(f"`{f.name}` {kinds.get(f.name, 'string') if f.name in by else f.dataType.simpleString()}" for f in found)
+    return spark.read.schema(names).parquet(path)
+
+
 def visible_files(manifest: DataFrame, services: DataFrame, needle: str = "", environment: str | None = None, service_ids: Sequence[str] | None = None) -> DataFrame:
     """manifest with service_name, for services of the environment (and of the selection) whose name, or the file's, holds
     needle in any case. services: service_id, name, environment."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -13,6 +15,18 @@ from ..plans.config import service_id
 from .catalog import MANIFEST
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which driver and executors share. Where that is unset on a
+    single machine it becomes a folder of its own; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="loomlog-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/loomlog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def save_manifest(manifest: DataFrame, path: str, version: int) -> None:
     """A manifest is a folder per version; a version without its _SUCCESS file does not count, so a save is whole or nothing."""
     manifest.write.mode("overwrite").parquet(f"{path}/version={version}")
@@ -78,11 +92,31 @@ class MemoryTier:
 def cancellable(spark: SparkSession, tag: str):
     """Jobs inside can be stopped from another thread by cancel(spark, tag)."""
     spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
+        spark.sparkContext.removeJobTag(tag)
         spark.removeTag(tag)
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
-    spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def is_cancelled(error: Exception) -> bool:
+    """Whether a job ended because it was cancelled, rather than by a fault."""
+    return "SPARK_JOB_CANCELLED" in str(error) or "cancelled" in str(error).lower()
+
+
+@contextmanager
+def counted(spark: SparkSession):
+    """Observed counts inside are kept also where nothing is found: else Spark drops the plan below an empty step, and the
+    counts with it."""
+    key, rule = "spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, f"{before},{rule}" if before else rule)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
