@@ -3,33 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import Pattern
 from ..functions.timestamps import parse, parse_by
+from ..sources.ranges import listed, zstd_lines
 
 #: Lines of a file that one task fills forward; a larger file is dealt over several tasks.
 CHUNK_LINES = 1_000_000
+#: Files whose splits' counts are sent to all tasks, some 100 bytes for each.
+MOST_SENT = 200_000
 #: An entry's text stops growing here, as bytes of continuation lines.
 ENTRY_MAX_BYTES = 64 * 1024
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """file, line_no (from 1), line of text files, plain or compressed (a compressed file is read by one task, line by line).
+    """file, line_no (from 1), line of text files, plain or compressed. zstd files are read by runs of frames (see
+    sources.ranges); a file of another compression is one task, which reads it line by line.
 
     A large plain file is read in splits by many tasks. Lines of a split are consecutive rows of its task, so a line's
     number is that of its row, less the split's first, plus the lines of the file's earlier splits. Those two numbers, one
-    row per split, come from counting rows without their text; no line is shuffled."""
-    rows = spark.read.option("lineSep", "\n").text(list(paths))
+    row per split, come from counting rows without their text; no line is shuffled for them, unless there are more files
+    than MOST_SENT: then lines meet them by file."""
+    known = listed(spark, paths)
+    framed = [f for f in known if f.endswith((".zst", ".zstd"))]
+    plain = [f for f in known if not f.endswith((".zst", ".zstd"))]
+    if not framed:
+        return _plain_lines(spark, list(paths), len(plain))
+    lines = zstd_lines(spark, framed)
+    return lines.unionByName(_plain_lines(spark, [unquote(f) if f.startswith("file:") else f for f in plain], len(plain))) if plain else lines
+
+
+def _plain_lines(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
+    rows = spark.read.option("lineSep", "\n").text(paths)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row"), "value")
     splits = rows.groupBy("file", "__split").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("file", "__split", (before - F.col("__first") + 1).alias("__shift"))
     line = F.rtrim(F.make_valid_utf8("value"), F.lit("\r"))
-    # One row for each split of at least spark.sql.files.openCostInBytes: at most a few million for a petabyte.
-    return rows.join(F.broadcast(splits), ["file", "__split"]).select("file", (F.col("__row") + F.col("__shift")).alias("line_no"), line.alias("line"))
+    # One row for each file and, of larger ones, for each spark.sql.files.maxPartitionBytes.
+    splits = F.broadcast(splits) if n <= MOST_SENT else splits.hint("merge")
+    return rows.join(splits, ["file", "__split"]).select("file", (F.col("__row") + F.col("__shift")).alias("line_no"), line.alias("line"))
 
 
 def split_lines(files: DataFrame, text: str = "value", key: str = "file_id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,6 +20,7 @@ from ..functions.timestamps import parse_by
 from ..plans.packs import Pack, Registry
 from . import catalog, store
 from .http_vfs import AccessDenied, fetch, list_folder
+from .ranges import fetch_ranges
 
 LISTED = "name string, path string, size long, mtime timestamp"
 FETCHED = "key string, start long, content binary, error string"
@@ -50,11 +51,8 @@ class LocalFolder:
         return catalog.listing(spark, f"{root.rstrip('/')}/{folder.strip('/')}".rstrip("/"))
 
     def fetch(self, spark: SparkSession, wanted: DataFrame, tokens: dict[str, str]) -> DataFrame:
-        """wanted: key, path, start. What lies beyond `start`, which is nothing where the file has not grown."""
-        paths = [r.path for r in wanted.select("path").collect()]
-        held = spark.read.format("binaryFile").load(paths).select("path", "content") if paths else spark.createDataFrame([], "path string, content binary")
-        rest = F.expr("substring(content, CAST(start AS INT) + 1)")
-        return wanted.join(held, "path").select("key", "start", rest.alias("content"), F.lit(None).cast("string").alias("error"))
+        """wanted: key, path, start, size. What lies beyond `start`, which is nothing where the file has not grown."""
+        return fetch_ranges(wanted)
 
 
 class HttpFolder:
@@ -166,26 +164,29 @@ def sync(spark: SparkSession, services: Sequence[dict], registry: Registry, fold
     ranged = F.col("decision").isin("append", "probe")
     missing = decided.where("decision <> 'current'").withColumn("start", F.when(ranged, F.col("have")).otherwise(0).cast("long"))
     tokens = {s["id"]: token(False) for s in services if token is not None and s["id"] in listed and listed[s["id"]].error is None and transport_of(registry.get(s["pack_id"])).needs_token}
-    chunks, attempt = None, 0
+    chunks, lost, attempt = None, None, 0
     while attempt < FILE_ATTEMPTS and not missing.isEmpty():
         for kind, transport in TRANSPORTS.items():
             some = missing.where(F.col("transport") == kind)
             if some.isEmpty():
                 continue
             path = f"{plan}/fetched-{attempt}-{kind}"
-            got = transport.fetch(spark, some.select("key", "service_id", "path", "start"), tokens)
+            got = transport.fetch(spark, some.select("key", "service_id", "path", "start", "size"), tokens)
             got.write.mode("overwrite").option("compression", "zstd").parquet(path)
             got = spark.read.schema(FETCHED).parquet(path)
-            chunks = got if chunks is None else chunks.unionByName(got)
-        done = chunks.where("error is null").select("key")
-        missing = missing.join(done, "key", "left_anti")
+            # A file counts as fetched if all its parts are.
+            failed = got.where("error is not null").select("key", "error")
+            whole = got.join(failed.select("key"), "key", "left_anti")
+            chunks = whole if chunks is None else chunks.unionByName(whole)
+            lost = failed if lost is None else lost.unionByName(failed)
+        missing = missing.join(chunks.select("key"), "key", "left_anti")
         attempt += 1
     if chunks is not None:
         _store(spark, folder, version + 1, decided, chunks, manifest, registry, services)
-        ok = chunks.where("error is null").select("key", F.octet_length("content").alias("got"), "start")
-        failed = chunks.where("error is not null").groupBy("key").agg(F.max("error").alias("error"))
+        ok = chunks.groupBy("key").agg(F.sum(F.octet_length("content")).alias("got"), F.min("start").alias("start"))
+        failed = lost.groupBy("key").agg(F.max("error").alias("error"))
     else:
-        ok, failed = (spark.createDataFrame([], s) for s in ("key string, got int, start long", "key string, error string"))
+        ok, failed = (spark.createDataFrame([], s) for s in ("key string, got long, start long", "key string, error string"))
     summary = summary_of(decided, ok, failed)
     empty = [(s["id"], 0, 0, 0, 0, 0, 0, "no file matched") for s in services if listed[s["id"]].error is None]
     none = spark.createDataFrame(empty, SUMMARY).join(summary.select("service_id"), "service_id", "left_anti")
@@ -218,7 +219,7 @@ def _listed(spark, registry: Registry, service: dict, token, date_from, date_to)
 def _store(spark, folder: str, number: int, decided: DataFrame, chunks: DataFrame, manifest: DataFrame, registry: Registry, services: Sequence[dict]) -> None:
     """Write the run's chunks, then the manifest that counts them in."""
     versions = manifest.select("key", F.col("size").alias("__have"))
-    new = chunks.where("error is null").join(decided.select("key", "service_id", "file", "log_date", "instance", "mtime"), "key").join(versions, "key", "left")
+    new = chunks.join(decided.select("key", "service_id", "file", "log_date", "instance", "mtime"), "key").join(versions, "key", "left")
     # A server without ranges sends the whole file: that replaces what is stored, as a first chunk does.
     new = new.withColumn("fresh", F.col("start") == 0)
     path = f"{folder}/chunks/run={number}"
@@ -233,9 +234,9 @@ def _store(spark, folder: str, number: int, decided: DataFrame, chunks: DataFram
 
 def spans_of(chunks: DataFrame, formats: dict[str, list]) -> DataFrame:
     """key, first_ts, last_ts of the chunks' headers, dated by the formats of each service's pack."""
-    lines = chunks.select("service_id", "key", F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("at", "line"))
+    lines = chunks.select("service_id", "key", "start", F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("at", "line"))
     ts = parse_by(F.col("service_id"), F.rtrim("line", F.lit("\r")), formats)
-    rows = lines.select("key", "at", ts.alias("ts")).where("ts is not null")
+    rows = lines.select("key", F.struct("start", "at").alias("at"), ts.alias("ts")).where("ts is not null")
     return rows.groupBy("key").agg(F.min_by("ts", "at").alias("first_ts"), F.max_by("ts", "at").alias("last_ts"))
 
 
@@ -248,13 +249,18 @@ def stored_files(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.groupBy("key", "service_id").agg(joined.alias("content")).select("key", "service_id", F.col("content").cast("string").alias("value"))
 
 
-def export_file(spark: SparkSession, folder: str, key: str) -> bytes:
-    """The bytes of one stored file, as they were fetched."""
-    chunks = spark.read.parquet(f"{folder}/chunks").where(F.col("key") == key).orderBy("version").select("fresh", "start", "content").collect()
-    if not chunks:
+def file_parts(spark: SparkSession, folder: str, key: str) -> Iterator[bytes]:
+    """The bytes of one stored file, as they were fetched, a chunk at a time."""
+    chunks = spark.read.parquet(f"{folder}/chunks").where(F.col("key") == key)
+    whole = chunks.where("fresh").agg(F.max("version")).first()[0]
+    if whole is None:
         raise ValueError(f"{key} is not stored")
-    last = max(k for k, c in enumerate(chunks) if c.fresh)
-    return b"".join(bytes(c.content) for c in chunks[last:])
+    for (content,) in chunks.where(F.col("version") >= whole).orderBy("version", "start").select("content").toLocalIterator():
+        yield bytes(content)
+
+
+def export_file(spark: SparkSession, folder: str, key: str) -> bytes:
+    return b"".join(file_parts(spark, folder, key))
 
 
 def delete_file(spark: SparkSession, folder: str, key: str) -> None:
