@@ -40,7 +40,7 @@ def test_frames_are_read_as_the_plain_file(spark, tmp_path, most, run_bytes, end
     rows = lambda df: sorted((r.file.removesuffix(".zst"), r.line_no, r.line) for r in df.collect())
     plain = rows(read_lines(spark, [str(tmp_path / "*.log")]))
     packed = read_lines(spark, [str(tmp_path / "*.zst")])
-    assert rows(packed) == plain and len(plain) >= 75
+    assert rows(packed) == plain and len(plain) >= 70
     names = [x for x in packed.select("file").distinct().toPandas().file]
     assert rows(zstd_lines(spark, names, run_bytes)) == plain
     assert rows(read_lines(spark, [str(tmp_path / "0 x.log.zst"), str(tmp_path / "1 x.log")])) == [r for r in plain if "/2" not in r[0].replace("%20x", "")[-7:]]
