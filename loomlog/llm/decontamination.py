@@ -5,6 +5,10 @@ An item of m characters that occurs with at most k edits keeps at least m - q +
 diagonals that begin every k + 1 and so overlap by half: one of them holds all the kept q-grams. Bands that reach the
 bound are verified by banded alignment. Documents and items are compared in lower case, each run of white space as one
 space. Hits of a batch of documents come from array arithmetic on rolling hashes.
+
+Where both an item and a document repeat themselves, each place of the one hits many of the other, and pairs of places are
+not listed. There each place counts once for an item: where as many places as the lemma asks for lie no further apart
+than an occurrence can reach, the diagonals of all of them are one wide band.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .vocabulary import runs_of_rows
 _WORD = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
+MOST_PAIRS = 1 << 19  # pairs of places that are listed at once
 
 
 def normalise(text: str | None) -> str:
@@ -103,24 +108,37 @@ class GramTable:
         self.hashes, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.items = np.repeat(np.array(items, dtype=np.int64), sizes)[order]
         self.places = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])[order]
+        # Each item's distinct grams, by their number in hashes: those of items[k] from bounds[k] on.
+        gram = np.repeat(np.arange(len(self.hashes)), self.count)
+        both = np.unique(np.stack([self.items, gram], axis=1), axis=0)
+        self.own, self.bounds = np.unique(both[:, 0], return_index=True)
+        self.bounds, self.own_grams = np.append(self.bounds, len(both)), both[:, 1]
         self.filter = np.zeros(1 << _BITS, dtype=bool)
         self.filter[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def found(self, big: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, item and place in the item of every q-gram of big that an item has."""
-        none = np.zeros(0, dtype=np.int64)
+    def matched(self, big: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of big whose q-gram an item has, and the number of that gram."""
         h = rolling(big, self.q)
         place = np.flatnonzero(self.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if not len(place):
-            return none, none, none
         at = np.minimum(np.searchsorted(self.hashes, h[place]), len(self.hashes) - 1)
         real = self.hashes[at] == h[place]
-        place, at = place[real], at[real]
+        return place[real], at[real]
+
+    def pairs(self, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, item and place in the item of every occurrence of those grams in an item."""
         count = self.count[at]
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         entry = np.repeat(self.first[at], count) + within
         return np.repeat(place, count), self.items[entry], self.places[entry]
 
+    def items_of(self, at: np.ndarray, need: np.ndarray):
+        """The items of which at least need[item] of some grams are, each with whether a gram is one of its own."""
+        often = np.bincount(at, minlength=len(self.hashes))
+        for k in np.flatnonzero(np.add.reduceat(often[self.own_grams], self.bounds[:-1]) >= need[self.own]):
+            held = np.zeros(len(self.hashes), dtype=bool)
+            held[self.own_grams[self.bounds[k] : self.bounds[k + 1]]] = True
+            yield int(self.own[k]), held[at]
+
 
 @dataclass
 class BenchmarkIndex:
@@ -141,25 +159,97 @@ class BenchmarkIndex:
         self.whole_words = (sizes < self.q) & (self.budget == 0)
         self.tables = [GramTable(self.texts, np.flatnonzero(grams == g).tolist(), int(g)) for g in np.unique(grams) if g > 0]
 
-    def hits(self, texts: list[str]) -> dict[int, list[tuple[int, int, int, int]]]:
-        """Document -> (item, edits, start, end) in its normalised text."""
+    def hits(self, texts: list[str], every: bool = True) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Document -> (item, edits, start, end) in its normalised text; unless every, where text and item repeat themselves
+        only the first."""
         big = codes(("\0" * self.q).join(texts))  # no q-gram of an item crosses from one document to the next
         starts = np.concatenate([[0], np.cumsum([len(t) + self.q for t in texts])[:-1]]).astype(np.int64)
         found: dict[int, list] = {}
         for table in self.tables:
-            place, item, spot = table.found(big)
-            if not len(place):
-                continue
+            place, at = table.matched(big)
             doc = np.searchsorted(starts, place, side="right") - 1
-            diagonal = place - starts[doc] - spot
-            band = diagonal // (self.budget[item] + 1)
-            key = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(spot, 2)], axis=1)
-            key = np.unique(key, axis=0)  # each q-gram of the item counts once in a band
-            groups, sizes = np.unique(key[:, :3], axis=0, return_counts=True)
-            for d, i, b in groups[sizes >= self.need[groups[:, 1]]].tolist():
-                self._verify(texts[d], i, b, found.setdefault(d, []))
+            pairs = np.bincount(doc, weights=table.count[at], minlength=len(texts)).astype(np.int64)
+            repeats = pairs > 2 * np.array([len(t) for t in texts]) + 1000
+            # The others, so many documents at a time that their pairs are about MOST_PAIRS.
+            part = np.cumsum(np.where(repeats, 0, pairs)) // MOST_PAIRS
+            for p in np.unique(part[pairs > 0]):
+                some = (part[doc] == p) & ~repeats[doc]
+                self._in_bands(table, texts, starts, place[some], at[some], found)
+            for d in np.flatnonzero(repeats):
+                own = slice(*np.searchsorted(doc, [d, d + 1]))
+                for i, held in table.items_of(at[own], self.need):
+                    self._in_wide_bands(texts[d], i, table.q, (place[own] - starts[d])[held], found.setdefault(int(d), []), every)
+                    if found[int(d)] and not every:
+                        break
         return {d: x for d, x in found.items() if x}
 
+    def _in_bands(self, table: GramTable, texts: list[str], starts: np.ndarray, place: np.ndarray, at: np.ndarray, found: dict) -> None:
+        if not len(place):
+            return
+        place, item, spot = table.pairs(place, at)
+        doc = np.searchsorted(starts, place, side="right") - 1
+        diagonal = place - starts[doc] - spot
+        band = diagonal // (self.budget[item] + 1)
+        key = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(spot, 2)], axis=1)
+        key = np.unique(key, axis=0)  # each q-gram of the item counts once in a band
+        groups, sizes = np.unique(key[:, :3], axis=0, return_counts=True)
+        for d, i, b in groups[sizes >= self.need[groups[:, 1]]].tolist():
+            self._verify(texts[d], i, b, found.setdefault(d, []))
+
+    def _in_wide_bands(self, text: str, i: int, q: int, places: np.ndarray, hits: list, every: bool) -> None:
+        """Add to hits the occurrences of item i, none over another, among places of its grams: from the first place of
+        enough of them, the item may have begun as far before as it is long. Like windows are verified once."""
+        k, m, need = int(self.budget[i]), len(self.texts[i]), int(self.need[i])
+        last = places[need - 1 :]
+        begin = places[: len(last)][last - places[: len(last)] <= m - q + k]
+        free, n, known = 0, 0, {}
+        while n < len(begin):
+            at = int(begin[n])
+            first = len(hits)
+            self._verify_wide(text, i, max(free, at - (m - q)) - k, at + k, hits, known)
+            if len(hits) > first:
+                if not every:
+                    return
+                free = max(x[3] for x in hits[first:])
+                while self.texts[i] == text[free : free + m] and not self.whole_words[i]:
+                    hits.append((i, 0, free, free + m))
+                    free += m
+                n = int(np.searchsorted(begin, free))
+            else:
+                n = int(np.searchsorted(begin, at + max(1, m - q)))
+                # What begins between the two is within the next window, which reaches back as far.
+                n = n if n < len(begin) or at == begin[-1] else len(begin) - 1
+
+    def _verify_wide(self, text: str, i: int, lowest: int, highest: int, hits: list, known: dict) -> None:
+        k, item = int(self.budget[i]), self.texts[i]
+        if highest < lowest:
+            return
+        low, high = max(0, lowest), min(len(text), highest + len(item) + 1)
+        window = (text[low:high], lowest - low, text[low - 1 : low], text[high : high + 1])
+        if window not in known:
+            if len(known) >= 16:
+                known.clear()
+            known[window] = self._best(*window[:2], highest - low, i, *window[2:])
+        if known[window] is not None:
+            edits, a, e = known[window]
+            self._verify_wide(text, i, lowest, low + a - len(item), hits, known)  # one more, before it
+            hits.append((i, edits, low + a, low + e))
+
+    def _best(self, text: str, lowest: int, highest: int, i: int, before: str, behind: str) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the item in a stretch of text."""
+        k, item = int(self.budget[i]), self.texts[i]
+        at = text.find(item)
+        while at >= 0:
+            ends = (text[at - 1 : at] if at else before, text[at + len(item) : at + len(item) + 1] or behind)
+            if not (self.whole_words[i] and any(c.isalnum() for c in ends)):
+                return 0, at, at + len(item)
+            at = text.find(item, at + 1)
+        if k:
+            edits, a, e = banded_distance(codes(item), codes(text), lowest, highest, k)
+            if edits <= k:
+                return edits, a, e
+        return None
+
     def _verify(self, text: str, i: int, b: int, hits: list) -> None:
         """Add to hits what the band b of item i holds, if it is within the budget. Bands of an item come in order."""
         k, item = int(self.budget[i]), self.texts[i]
@@ -226,7 +316,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     the part is an item of its own. Items and documents that are null or blank match nothing; items with a null id are
     looked for too; an item that repeats with its id is one. The benchmark is taken in blocks of about block_chars
     characters, one after another, each with a pass over the documents; no document is shuffled. Texts of any length are
-    taken whole; time is proportional to their length and to the hits. An empty benchmark leaves every document clean;
+    taken whole; time is proportional to their length and to the hits, and where item and text repeat themselves to the
+    product of text length and item length at most; of an item's leaks there, none lies over another. An empty benchmark leaves every document clean;
     rows may repeat; other columns are ignored.
     """
     items, blocks = _blocks(benchmark, item, item_text, block_chars)
@@ -261,7 +352,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         known = BenchmarkIndex([i for i, _ in block], [t for _, t in block], q, max_error)
         for batch in batches:
             for part in runs_of_rows(batch, at):
-                hit = known.hits([normalise(t) for t in part.column(at).to_pylist()])
+                hit = known.hits([normalise(t) for t in part.column(at).to_pylist()], every=False)
                 yield part.filter(pa.array([d not in hit for d in range(part.num_rows)], pa.bool_()))
 
     return _per_block(docs, items, blocks, run, docs.schema)

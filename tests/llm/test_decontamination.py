@@ -103,3 +103,38 @@ def test_operator(spark, odd_docs, no_docs):
     kept = drop_contaminated(odd_docs, bench)
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {None, 0, 1, 2, 3, 4, 5, 10}
     assert find_leaks(no_docs, bench).count() == 0 and drop_contaminated(odd_docs, bench.limit(0)).count() == odd_docs.count()
+
+
+def test_repetitive_texts(rng):
+    """Items and texts of few characters and short periods, against the plain distance."""
+    units = ["-", "=-", "ab", "aab", "- = ", "abcabd", "--x"]
+    items = [normalise((u * 60)[:n]) for u in units for n in (13, 40, 61)] + [normalise("-" * 30 + "".join(rng.choice("ab-") for _ in range(30)))]
+    items = [t for t in items if len(t) >= 12]
+    index = BenchmarkIndex(list(range(len(items))), items)
+    docs = []
+    for _ in range(250):
+        body = "".join((rng.choice(units) * 60)[: rng.randint(1, 90)] for _ in range(rng.randint(1, 4)))
+        docs.append(normalise(rng.choice(["", "head "]) + edit(rng, body, rng.randint(0, 3)) + rng.choice(["", " tail"])))
+    docs += ["-" * 500, "=-" * 300, "aab" * 200, "- = " * 150]
+    hits = index.hits(docs)
+    for d, text in enumerate(docs):
+        assert {x[0] for x in hits.get(d, [])} == {i for i, item in enumerate(items) if plain_distance(item, text) <= index.budget[i]}, text
+        for i, edits, a, e in hits.get(d, []):
+            assert plain_distance(items[i], text[a:e]) <= edits <= index.budget[i]
+    alone = index.hits(["-" * 500])[0]
+    assert [x[2:] for x in alone if items[x[0]] == "-" * 40] == [(a, a + 40) for a in range(0, 480, 40)]
+
+
+def test_long_repetitive_texts_cost_little():
+    import tracemalloc
+
+    items = ["-" * 1000, "=" * 450 + "".join(chr(97 + k % 23) for k in range(550)), "ab" * 500]
+    index = BenchmarkIndex([0, 1, 2], items)
+    near = "-" * 990 + " "
+    for text, want, every in (("-" * 1_000_000, {0}, True), ("=" * 1_000_000, set(), True), ("ab" * 500_000, {2}, True), (near, {0}, True), (near * 20, {0}, True), (near * 1000, {0}, False)):
+        tracemalloc.start()
+        began = time.perf_counter()
+        found = {x[0] for x in index.hits([text], every).get(0, [])}
+        took, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == want and took < 30 and most < 300e6, (text[:5], len(text), found, took, most)
