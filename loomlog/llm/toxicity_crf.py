@@ -310,7 +310,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, span_th
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns; for nulls, empty and long texts see score."""
+    """The rows of docs that score below threshold, with all their columns; for nulls, empty and long texts see score. A model
+    that was not given both labels cannot tell documents apart, and all stay."""
+    if model.base is not None:
+        return docs
     at = docs.columns.index(text)
 
     def run(batches):

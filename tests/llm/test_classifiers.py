@@ -227,3 +227,11 @@ def test_scores_do_not_depend_on_the_classes_limits(spark):
     grades = labels.select("doc_id", (1 - F.col("toxic")).alias("grade"))
     tails = [rate(docs.limit(2), fit_quality(docs, grades, docs_per_grade=n)).orderBy("doc_id").collect()[1].tail_probability for n in (6000, 150)]
     assert abs(tails[1] - tails[0]) < 0.07
+
+
+def test_labels_of_one_class_reject_nothing(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(30)], "doc_id long, text string")
+    for toxic in (0, 1):
+        model = fit_toxicity(docs, spark.createDataFrame([(k, toxic) for k in range(30)], "doc_id long, toxic int"))
+        assert model.base == toxic and drop_toxic(docs, model).count() == 30
+        assert {r.score for r in score(docs, model).collect()} == {float(toxic)}
