@@ -32,8 +32,8 @@ def save_manifest(manifest: DataFrame, path: str, version: int) -> None:
     manifest.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """The newest whole version, and its number; without one an empty manifest and 0."""
+def load_manifest(spark: SparkSession, path: str, below: int | None = None) -> tuple[DataFrame, int]:
+    """The newest whole version (before `below`), and its number; without one an empty manifest and 0."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     versions = []
@@ -42,6 +42,7 @@ def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
             name = s.getPath().getName()
             if name.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
                 versions.append(int(name[8:]))
+    versions = [v for v in versions if below is None or v < below]
     if not versions:
         return spark.createDataFrame([], MANIFEST), 0
     return spark.read.schema(MANIFEST).parquet(f"{path}/version={max(versions)}"), max(versions)

@@ -3,13 +3,20 @@
 The source's offset holds, for each file, how many bytes were consumed and the last bytes before that place. If those are
 still there, what follows is new; if not (the file was rotated), the file is read from its start, and lines not later than
 the last stored one are dropped from its beginning.
+
+What is stored of a file is its segments, one for each day, and the manifest has a row for each (key path#day). Each batch
+merges its rows into the version before its own, so a batch that runs again changes nothing. Once a file's last segment
+has been deleted, the file is new again: it is read from its start, and nothing is cut.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
-from collections.abc import Iterator
+import uuid
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +24,15 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..functions.timestamps import parse
 from ..operators.lines import fill_forward, split_lines
+from ..sources.catalog import MANIFEST
+from ..sources.store import load_manifest, merge_manifest, save_manifest, shared_path
 
 TAIL = 2048
 
 
 class Slice(InputPartition):
-    def __init__(self, path: str, start: int, end: int, fresh: bool):
-        self.path, self.start, self.end, self.fresh = path, start, end, fresh
+    def __init__(self, path: str, start: int, end: int, fresh: bool, again: bool, mtime: float):
+        self.path, self.start, self.end, self.fresh, self.again, self.mtime = path, start, end, fresh, again, mtime
 
 
 def _tail(path: str, end: int) -> str:
@@ -48,47 +57,52 @@ def _whole_lines(path: str, start: int, size: int) -> int:
 
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options):
-        self.pattern = options["path"]
+        self.pattern, self.marks = options["path"], options.get("forgotten", "")
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
     def latestOffset(self) -> dict:
-        files = {}
+        files, lives = {}, Counter()
+        for name in glob.glob(f"{self.marks}/*.json") if self.marks else ():
+            with open(name, encoding="utf-8") as f:
+                lives.update(json.load(f))
         for path in sorted(glob.glob(self.pattern)):
             end = _whole_lines(path, 0, os.path.getsize(path))
-            files[path] = {"size": end, "tail": _tail(path, end)}
+            files[path] = {"size": end, "tail": _tail(path, end), "life": lives[path], "mtime": os.path.getmtime(path)}
         return {"files": files}
 
     def partitions(self, start: dict, end: dict):
         out = []
         for path, now in end["files"].items():
             before = start["files"].get(path)
-            grown = before is not None and now["size"] >= before["size"] and _tail(path, before["size"]) == before["tail"]
+            again = before is not None and before.get("life", 0) != now.get("life", 0)
+            grown = before is not None and not again and now["size"] >= before["size"] and _tail(path, before["size"]) == before["tail"]
             begin = before["size"] if grown else 0
             if now["size"] > begin:
-                out.append(Slice(path, begin, now["size"], not grown))
+                out.append(Slice(path, begin, now["size"], not grown, again, now.get("mtime", 0.0)))
         return out
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
             f.seek(partition.start)
-            yield partition.path, partition.start, partition.fresh, f.read(partition.end - partition.start)
+            yield partition.path, partition.start, partition.fresh, partition.again, partition.mtime, f.read(partition.end - partition.start)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class GrowingFiles(DataSource):
-    """spark.readStream.format("growing_files").option("path", "/mount/*.log"): path, start, fresh, content of what was added,
-    one task per file. The folder must be mounted on the driver and the executors."""
+    """spark.readStream.format("growing_files").option("path", "/mount/*.log"): path, start, fresh, again, mtime, content of
+    what was added, one task per file. fresh: read from its start; again: as it has been forgotten (option "forgotten": a folder
+    of marks, see forget). The folders must be mounted on the driver, that of the files on the executors too."""
 
     @classmethod
     def name(cls) -> str:
         return "growing_files"
 
     def schema(self) -> str:
-        return "path string, start long, fresh boolean, content binary"
+        return "path string, start long, fresh boolean, again boolean, mtime double, content binary"
 
     def streamReader(self, schema):
         return GrowingReader(self.options)
@@ -115,50 +129,121 @@ def segment_batch(batch: DataFrame, state: DataFrame, formats=()) -> DataFrame:
     known = batch.join(state.select("path", "last_ts", "last_day"), "path", "left")
     text = known.withColumn("value", F.col("content").cast("string"))
     lines = split_lines(text, key="path").withColumn("ts", parse(F.col("line"), formats))
-    seeds = known.select("path", F.when(F.col("fresh"), F.col("last_ts")).alias("cut"), F.when(~F.col("fresh"), F.col("last_day")).alias("seed"))
+    stored = ~F.col("again")
+    seeds = known.select("path", F.when(F.col("fresh") & stored, F.col("last_ts")).alias("cut"), F.when(~F.col("fresh"), F.col("last_day")).alias("seed"))
     kept = prefix_cut(lines.join(seeds, "path"), "cut", "path")
     return day_segments(kept, "seed", "path").drop("cut", "seed")
 
 
-def advanced(state: DataFrame, segments: DataFrame) -> DataFrame:
-    """The state after a batch; last_ts never moves back."""
+def advanced(state: DataFrame, segments: DataFrame, again: DataFrame, number: int) -> DataFrame:
+    """The state after a batch; last_ts never moves back, but for a file that is read again, which begins with this batch."""
     seen = segments.groupBy("path").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no"))).alias("n_ts"), F.max("log_date").alias("n_day"))
-    out = state.join(seen, "path", "full")
-    return out.select("path", F.greatest("last_ts", "n_ts").alias("last_ts"), F.greatest("last_day", "n_day").alias("last_day"))
+    out = state.join(again.select("path"), "path", "left_anti").join(seen, "path", "full")
+    return out.select("path", F.greatest("last_ts", "n_ts").alias("last_ts"), F.greatest("last_day", "n_day").alias("last_day"), F.coalesce("since", F.lit(number).cast("long")).alias("since"))
 
 
-STATE = "path string, last_ts timestamp_ntz, last_day date"
+STATE = "path string, last_ts timestamp_ntz, last_day date, since long"
 
 
-def follow(spark, path: str, target: str, checkpoint: str, formats=(), **trigger):
-    """Start a stream from growing files into `target`/segments (by log_date). A batch writes to a folder of its own number,
-    so one that runs again after a failure replaces itself; `target`/state/<number> holds the state after it."""
-    spark.dataSource.register(GrowingFiles)
+def segment_key(path, day):
+    """path#day; lines of a file without any timestamp have no day."""
+    return F.concat(path, F.lit("#"), F.coalesce(day.cast("string"), F.lit("")))
 
-    def state_before(number: int) -> DataFrame:
-        """Of the newest earlier batch. Batches follow one another, so the one before has it; a gap is an error, as going on
-        from no state would store lines twice."""
-        if number == 0:
-            return spark.createDataFrame([], STATE)
-        if not _exists(spark, f"{target}/state/{number - 1}/_SUCCESS"):
-            raise RuntimeError(f"{target}/state/{number - 1} is missing; restore it, or start over with a new target and checkpoint")
-        return spark.read.schema(STATE).parquet(f"{target}/state/{number - 1}")
 
-    def store(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            state = state_before(number)
-            segments = segment_batch(batch, state, formats)
-            segments.write.mode("overwrite").partitionBy("log_date").option("compression", "zstd").parquet(f"{target}/segments/batch={number}")
-            written = spark.read.schema(segments.schema).parquet(f"{target}/segments/batch={number}")
-            advanced(state, written).write.mode("overwrite").parquet(f"{target}/state/{number}")
-        finally:
-            batch.unpersist()
-
-    stream = spark.readStream.format("growing_files").option("path", path).load()
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def segment_rows(segments: DataFrame, times: DataFrame, service_id: str) -> DataFrame:
+    """Manifest rows of a batch's segments: key path#day, bytes, first and last header. times: path, mtime."""
+    head = F.when(F.col("ts").isNotNull(), F.col("line_no"))
+    rows = segments.groupBy("path", "log_date").agg(F.sum(F.octet_length("line") + 1).cast("long").alias("size"), F.min_by("ts", head).alias("first_ts"), F.max_by("ts", head).alias("last_ts")).join(times, "path")
+    return rows.select(
+        segment_key(F.col("path"), F.col("log_date")).alias("key"), F.lit(service_id).alias("service_id"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "log_date", F.lit(None).cast("string").alias("instance"),
+        "size", F.timestamp_micros((F.col("mtime") * 1_000_000).cast("long")).alias("mtime"), "first_ts", "last_ts",
+    )
+
+
+def _path_of(key):
+    return F.regexp_extract(key, r"(?s)^(.*)#[^#]*$", 1)
 
 
 def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def state_before(spark, target: str, number: int) -> DataFrame:
+    """The state after the batch before; for the first one, what migrate left. Batches follow one another, so the one before
+    has it; a gap is an error, as going on from no state would store lines twice."""
+    if _exists(spark, f"{target}/state/{number - 1}/_SUCCESS"):
+        return spark.read.schema(STATE).parquet(f"{target}/state/{number - 1}")
+    if number > 0:
+        raise RuntimeError(f"{target}/state/{number - 1} is missing; restore it, or start over with a new target and checkpoint")
+    return spark.createDataFrame([], STATE)
+
+
+def store_batch(spark, batch: DataFrame, number: int, target: str, formats=(), service_id: str = "") -> None:
+    """A batch's segments, the state after it and the manifest with it, each in a place of its number: running it again
+    replaces them by the same. Batches save even versions of the manifest, from 2 on; odd ones are deletions between them."""
+    batch = batch.persist()
+    try:
+        state = state_before(spark, target, number)
+        segments = segment_batch(batch, state, formats)
+        segments.write.mode("overwrite").partitionBy("log_date").option("compression", "zstd").parquet(f"{target}/segments/batch={number}")
+        written = spark.read.schema(segments.schema).parquet(f"{target}/segments/batch={number}")
+        again = batch.where("again").select("path")
+        advanced(state, written, again, number).write.mode("overwrite").parquet(f"{target}/state/{number}")
+        version = 2 * (number + 1)
+        manifest, _ = load_manifest(spark, f"{target}/manifest", below=version)
+        kept = manifest.withColumn("path", _path_of("key")).join(again, "path", "left_anti").drop("path")
+        rows = segment_rows(written, batch.select("path", "mtime"), service_id)
+        save_manifest(merge_manifest(kept, rows.select(*kept.columns), append=True), f"{target}/manifest", version)
+    finally:
+        batch.unpersist()
+
+
+def follow(spark, path: str, target: str, checkpoint: str, formats=(), service_id: str = "", **trigger):
+    """Start a stream from growing files into `target`/segments (by batch and log_date), with `target`/state and
+    `target`/manifest after each batch."""
+    spark.dataSource.register(GrowingFiles)
+    stream = spark.readStream.format("growing_files").option("path", path).option("forgotten", f"{target}/forgotten").load()
+    store = lambda batch, number: store_batch(spark, batch, number, target, formats, service_id)
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stored_segments(spark, target: str) -> DataFrame:
+    """path, log_date, batch, line_no, line, ts of the segments that the manifest has, in their files' present life."""
+    manifest, version = load_manifest(spark, f"{target}/manifest")
+    number = version // 2 - 1
+    state = spark.read.schema(STATE).parquet(f"{target}/state/{number}").select("path", "since")
+    rows = spark.read.schema("path string, line_no long, line string, ts timestamp_ntz, batch long, log_date date").parquet(f"{target}/segments")
+    lives = rows.where(F.col("batch") <= number).join(state, "path").where(F.col("batch") >= F.col("since"))
+    return lives.join(manifest.select("key"), segment_key(F.col("path"), F.col("log_date")) == F.col("key"), "left_semi").drop("since")
+
+
+def forget(spark, target: str, keys: Sequence[str]) -> None:
+    """Delete segments by their keys (path#day). A file that has none left is forgotten: a mark tells the stream to read it from
+    its start as if it were new. To be called between batches, with target mounted on the driver."""
+    manifest, version = load_manifest(spark, f"{target}/manifest")
+    gone = spark.createDataFrame([(k,) for k in keys], "key string")
+    kept = manifest.join(gone, "key", "left_anti")
+    paths = lambda df: df.select(_path_of("key").alias("path")).distinct()
+    over = [r.path for r in paths(manifest.join(gone, "key", "left_semi")).join(paths(kept), "path", "left_anti").collect()]
+    later = version if version % 2 else version + 1
+    if later == version:  # a folder cannot be read and replaced at once
+        held = shared_path(spark, "manifest")
+        kept.write.parquet(held)
+        kept = spark.read.schema(MANIFEST).parquet(held)
+    save_manifest(kept, f"{target}/manifest", later)
+    if over:
+        os.makedirs(f"{target}/forgotten", exist_ok=True)
+        name = f"{target}/forgotten/{uuid.uuid4().hex}"
+        with open(f"{name}.tmp", "w", encoding="utf-8") as f:
+            json.dump(over, f)
+        os.replace(f"{name}.tmp", f"{name}.json")
+
+
+def migrate(spark, files: DataFrame, target: str, formats=(), service_id: str = "") -> None:
+    """Once, before a stream's first batch: files that were stored whole become segments. files: path, value (their text),
+    mtime in seconds. The stream then reads each file from its start and stores only what is later than what it had."""
+    if _exists(spark, f"{target}/state/0/_SUCCESS"):
+        raise RuntimeError("the stream has begun; what it follows cannot be migrated any more")
+    whole = files.select("path", F.lit(0).cast("long").alias("start"), F.lit(True).alias("fresh"), F.lit(True).alias("again"), F.col("mtime").cast("double").alias("mtime"), F.col("value").cast("binary").alias("content"))
+    store_batch(spark, whole, -1, target, formats, service_id)
