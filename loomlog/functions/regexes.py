@@ -125,6 +125,69 @@ def group_end(pattern: str, start: int) -> int:
     return -1
 
 
+def _named(java: str, number: int) -> tuple[int, int]:
+    """Where the named group of this number stands in a translated pattern: its parenthesis and the closing one."""
+    at, opening = 0, f"(?<g{number}>"
+    for text, inside in tokens(java):
+        if not inside and text == "(" and java.startswith(opening, at):
+            return at, group_end(java, at)
+        at += len(text)
+    raise ValueError(f"no group {number}")
+
+
+def never_empty(pattern: Pattern, number: int) -> bool:
+    """Whether a named group plainly takes a character at least whenever it takes part: it begins with one that is not
+    optional and has no alternatives. (False says nothing.)"""
+    start, end = _named(pattern.java, number)
+    parts = [*tokens(pattern.java[start + len(f"(?<g{number}>") : end])]
+    if not parts or any(text == "|" and not inside for text, inside in parts):
+        return False
+    first = parts[0][0]
+    after = 1
+    if first == "[":
+        while after < len(parts) and parts[after][1]:
+            after += 1
+    elif first in "(^$.*+?{" and first != "." or re.match(r"\\[bBAzZGQEk1-9]", first):
+        return False
+    return after >= len(parts) or parts[after][0] not in ("*", "?", "{")
+
+
+def participation(pattern: Pattern, number: int) -> tuple[str, str, int, int]:
+    """How to see whether a named group took part in a match, be it with no character: (pattern for lines, pattern for the
+    empty line, group, group). Matches are the same; where the group took part, one of the two groups has a character.
+
+    A group without content behind the named one takes part when that does, and only then a reference to it succeeds. So
+    the whole, made atomic that it finds nothing else, is followed by that reference and, if it succeeds, by a look at
+    the next or else the previous character, which is what can be told from nothing. An empty line has neither."""
+    java = pattern.java
+    start, end = _named(java, number)
+    inner = start + len(f"(?<g{number}>")
+    flags = java[: java.index(")") + 1]
+    capturing = lambda at: java[at + 1] != "?" or java.startswith("(?<", at) and java[at + 3] not in "=!"
+    out, at, opened, parts = [], 0, 0, [*tokens(java)]
+    places = [0]
+    for text, _ in parts:
+        places.append(places[-1] + len(text))
+    opened = sum(1 for (text, inside), at in zip(parts, places) if not inside and text == "(" and at < end and capturing(at))
+    k = 0
+    while k < len(parts):
+        (text, inside), at = parts[k], places[k]
+        out.append("(?:" if at == inner else "")
+        if at == end:
+            out.append(")(?<mark>)")
+        if not inside and re.fullmatch(r"\\[1-9]", text):
+            digits = text[1:]
+            while k + 1 < len(parts) and parts[k + 1][0].isdigit() and int(digits + parts[k + 1][0]) <= pattern.groups:
+                k += 1
+                digits += parts[k][0]
+            out.append(f"(?:\\{int(digits) + (int(digits) > opened)})")
+        else:
+            out.append(text)
+        k += 1
+    marked = f"{flags}(?>{''.join(out)[len(flags) :]})"
+    return f"{marked}(?:\\k<mark>(?:(?=([\\s\\S]))|(?<=([\\s\\S]))))?", f"{marked}\\k<mark>", pattern.groups + 2, pattern.groups + 3
+
+
 def lift_nots(pattern: str) -> tuple[str, str] | None:
     """`^(?!a)(?!b)rest` as (`^rest`, `(?:a)|(?:b)`); None where there is no such run, or where it does not close. A body's
     leading `.*` goes: what is searched for anywhere in a line need not be looked for behind anything, and with it a

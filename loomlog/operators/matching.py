@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.regexes import Pattern, check, escape, lift_nots, translate
+from ..functions.regexes import Pattern, check, escape, lift_nots, never_empty, participation, translate
 from ..functions.values import mask
 from ..plans.query_tree import compile_tree
 
@@ -72,13 +72,20 @@ class Matcher:
         return [n for n, _ in self.pattern.names] if self.pattern is not None and self.is_regex else []
 
     def group_mask(self, line: Column) -> Column:
-        """Bits of the named groups that took part, non-empty, in some match on the line."""
+        """Bits of the named groups that took part in some match on the line, be it with no character."""
         if self.tree is not None:
             return mask([flag for _, flag in compile_tree(self.tree, line, self.case_sensitive).flags])
         if not self.group_names:
             return F.lit(0).cast("long")
-        found = lambda k: F.slice(F.regexp_extract_all(line, F.lit(self.pattern.java), F.lit(k)), 1, MATCHES_PER_LINE)
-        return mask([F.exists(found(k), lambda v: v != "") for _, k in self.pattern.names])
+
+        def took_part(number: int) -> Column:
+            found = lambda java, k: F.exists(F.slice(F.regexp_extract_all(line, F.lit(java), F.lit(k)), 1, MATCHES_PER_LINE), lambda v: v != "")
+            if never_empty(self.pattern, number):
+                return found(self.pattern.java, number)
+            java, alone, ahead, behind = participation(self.pattern, number)
+            return found(java, ahead) | found(java, behind) | ((line == "") & line.rlike(alone))
+
+        return mask([took_part(number) for _, number in self.pattern.names])
 
     def isolated(self, text: Column, excluded: Sequence[str] = ()) -> Column:
         """The matched part of an entry's first line that yields one: its named groups that took part, joined by spaces,
