@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .repeats import guarded
+
 CASE_FLAGS = {True: "(?dU)", False: "(?idU)"}
 
 
@@ -94,7 +96,7 @@ def translate(pattern: str, case_sensitive: bool = True) -> Pattern:
         else:
             out.append(text)
         i += 1
-    return Pattern(CASE_FLAGS[case_sensitive] + "".join(out), tuple(names), groups, pattern)
+    return Pattern(guarded(CASE_FLAGS[case_sensitive] + "".join(out)), tuple(names), groups, pattern)
 
 
 def check(spark: SparkSession, pattern: Pattern) -> Pattern:
