@@ -38,6 +38,8 @@ MALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "Господин", "Κύρι
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Mme", "Madame", "Госпожа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
 NAME = r"(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.? \p{Lu}\p{Ll}{1,63}+(?: \p{Lu}\p{Ll}{1,63}+)?"
+# A word that may be one of a name's, wherever the document has it.
+WORD = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,63}+(?![\p{L}\p{N}])"
 KINDS = {"email": EMAIL, "ip": IPV4, "card": CARD, "phone": PHONE, "name": NAME}
 # An entity begins where no letter or digit precedes; nothing is tried elsewhere.
 ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
@@ -56,6 +58,7 @@ ENDINGS = {
     "greek": {"any": "λ", "male": "ς", "female": "ννα", "sur": "ρτης"},
 }
 MAX_DRAWS = 16  # after so many draws, what has a fixed format gets the free values of its format in order
+SEP = "\u0001"
 FORMAT = ["kind", "head", "body", "tail"]
 BLOCK = 4096
 SENT = 100_000  # so many entries of later draws at most are sent to every executor; for more, texts with entities are shuffled
@@ -66,39 +69,64 @@ def kind_of(entity: Column) -> Column:
     return out.when(entity.rlike("^[+(0-9]"), "phone").otherwise("name")
 
 
-def parts_of(entity: Column, known: Column | None = None) -> Column:
+def parts_of(entity: Column, kinds: Column | None = None) -> Column:
     """array<struct<kind, canon>> of what gets a surrogate of its own: the entity itself, or each word of a name. A word
     that stands alone after its title is a surname; the first of two is a given name of the title's gender. After a title of
-    no gender, a given name has the gender that known (the parts of the document's titled names) has for it, or else none
-    ("given:any"). A telephone number's country code stands apart, as "+1 4155550123"; its surrogate keeps it. A word
-    without a title is what known has it as, a surname before a given name."""
+    no gender, a given name has the gender that kinds has for it (those of the word asked_of the entity among the document's
+    titled names), or else none ("given:any"). A telephone number's country code stands apart, as "+1 4155550123"; its
+    surrogate keeps it. A word without a title is what kinds has it as, a surname before a given name."""
     plain = F.struct(kind_of(entity).alias("kind"), F.when(entity.contains("@"), F.lower(entity)).otherwise(F.regexp_replace(entity, r"[^0-9.]|(?<![0-9])\.|\.(?![0-9])", "")).alias("canon"))
     digits = F.regexp_replace(entity, "[^0-9]", "")
     digits = F.struct(kind_of(entity).alias("kind"), F.when(entity.startswith("+"), F.concat(F.lit("+"), F.regexp_replace(digits, f"^({COUNTRY}|)", "$1 "))).otherwise(digits).alias("canon"))
 
     def name(words: Column) -> Column:
         title = F.rtrim(F.element_at(words, 1), F.lit("."))
-        gender = F.when(title.isin(*FEMALE), "female").when(title.isin(*MALE), "male").otherwise("any")
-        given = F.struct(F.concat(F.lit("given:"), gender).alias("kind"), F.lower(F.element_at(words, 2)).alias("canon"))
-        if known is not None:  # "any" comes first in the order of kinds, so the largest is one with a gender, if there is one
-            same = F.filter(known, lambda p: p["kind"].startswith("given:") & (p["canon"] == F.lower(F.element_at(words, 2))))
-            given = F.when(title.isin(*NEUTRAL), F.array_max(same)).otherwise(given)
+        gender = F.when(title.isin(*FEMALE), "given:female").when(title.isin(*MALE), "given:male")
+        if kinds is not None:
+            gender = F.coalesce(gender, F.array_max(F.filter(kinds, lambda k: k.startswith("given:"))))
+        given = F.struct(F.coalesce(gender, F.lit("given:any")).alias("kind"), F.lower(F.element_at(words, 2)).alias("canon"))
         last = F.struct(F.lit("surname").alias("kind"), F.lower(F.element_at(words, -1)).alias("canon"))
         return F.when(F.size(words) > 2, F.array(given, last)).otherwise(F.array(last))
 
     kind = kind_of(entity)
     titled = let(F.split(entity, " "), name)
-    if known is not None:
-        titled = F.when(entity.contains(" "), titled).otherwise(F.array(F.array_max(F.filter(known, lambda p: p["canon"] == F.lower(entity)))))
+    if kinds is not None:
+        titled = F.when(entity.contains(" "), titled).otherwise(F.array(F.struct(F.array_max(kinds).alias("kind"), F.lower(entity).alias("canon"))))
     return F.when(kind == "name", titled).when(kind.isin("card", "phone"), F.array(digits)).otherwise(F.array(plain))
 
 
-def names_of(found: Column) -> tuple[Column, Column]:
-    """Parts of the titled names among the entities found, and the pattern that finds those names' words besides ANY."""
-    names = F.filter(found, lambda e: kind_of(e) == "name")
-    words = F.array_distinct(F.flatten(F.transform(names, lambda e: F.slice(F.split(e, " "), 2, 2))))
-    bare = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    return F.array_distinct(F.flatten(F.transform(names, lambda e: parts_of(e)))), F.when(F.size(names) > 0, bare).otherwise(ANY)
+def names_of(found: Column) -> Column:
+    """Words of the titled names among the entities found, each with what it is, in order: what kinds_of looks them up in."""
+    parts = F.flatten(F.transform(F.filter(found, lambda e: kind_of(e) == "name"), lambda e: parts_of(e)))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.concat(p["canon"], F.lit(SEP), p["kind"]))))
+
+
+def kinds_of(names: Column, canon: Column) -> Column:
+    """What a word is among names, in order: found by halving, so a text's names cost hardly more for being many."""
+    sought = F.concat(canon, F.lit(SEP))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        right = F.struct((middle + 1).alias("low"), acc["high"].alias("high"))
+        left = F.struct(acc["low"].alias("low"), middle.alias("high"))
+        return F.when(acc["low"] >= acc["high"], acc).when(F.get(names, middle) < sought, right).otherwise(left)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(names) + 1)).cast("int"))
+    first = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(names).alias("high")), halve, lambda acc: acc["low"])
+    near = F.slice(names, first + 1, F.lit(4))  # there are four kinds of words
+    return F.transform(F.filter(near, lambda n: n.startswith(sought)), lambda n: F.substring_index(n, SEP, -1))
+
+
+def is_bare(entity: Column) -> Column:
+    """A word that no title precedes."""
+    return (kind_of(entity) == "name") & ~entity.contains(" ")
+
+
+def asked_of(entity: Column) -> Column:
+    """The word of an entity that the document's titled names decide about: one without a title, or the given name after a
+    title of no gender; null where they decide nothing."""
+    neutral = entity.rlike(r"^(?:" + "|".join(NEUTRAL) + r")\.? \S+ \S")
+    return F.when(is_bare(entity), F.lower(entity)).when(neutral, F.lower(F.element_at(F.split(entity, " "), 2)))
 
 
 def script_of(text: Column) -> Column:
@@ -203,7 +231,7 @@ def cased(template: Column, content: Column) -> Column:
     return let(F.length(content) - F.length(template), over)
 
 
-def rewritten(key: str, entity: Column, known: Column, again: Column | None) -> Column:
+def rewritten(key: str, entity: Column, kinds: Column, again: Column | None) -> Column:
     """An entity's mention with its surrogate, in the mention's own format; again has surrogates that are no first draws."""
 
     def settled(p: Column) -> Column:
@@ -217,7 +245,7 @@ def rewritten(key: str, entity: Column, known: Column, again: Column | None) ->
         name = F.concat(F.regexp_extract(entity, r"^(?:\S+ )?", 0), F.array_join(F.transform(made, lambda m: F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))), " "))
         return F.when(kind == "email", cased(entity, first)).when(kind == "ip", first).when(kind == "card", poured(entity, first)).when(kind == "phone", phone).otherwise(name)
 
-    return let(F.transform(parts_of(entity, known), settled), fill)
+    return let(F.transform(parts_of(entity, kinds), settled), fill)
 
 
 def base_of(c: Column, letters: Column) -> Column:
@@ -348,16 +376,22 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_key: str = "
             rows = found.unionByName(rows.where(~has), allowMissingColumns=True)
         lookups = F.coalesce("again", F.create_map().cast("map<string,string>"))
     t = F.col("text")
-    known, pattern = names_of(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    rows = rows.withColumn("known", F.when(t.rlike(ANY), F.struct(known.alias("parts"), pattern.alias("pattern"))))
-    known, pattern = F.col("known.parts"), F.col("known.pattern")
-    gaps, found = F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0))
-    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, lambda e: rewritten(key, e, known, lookups)), lambda g, e: F.concat(g, e)), ""), F.element_at(gaps, -1))
+    rows = rows.withColumn("names", F.when(t.rlike(ANY), names_of(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))))
+    # Only where a document has titled names are its other words looked up.
+    pattern = F.when(F.size("names") > 0, ANY + "|" + WORD).otherwise(ANY)
+    unasked = F.array().cast("array<string>")
+    asked = lambda e: let(asked_of(e), lambda word: F.when(word.isNotNull(), kinds_of(F.col("names"), word)).otherwise(unasked))
+    seen = F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), lambda e: F.struct(e.alias("entity"), asked(e).alias("kinds")))
+    seen = F.transform(seen, lambda m: F.struct(m["entity"].alias("entity"), m["kinds"].alias("kinds"), (~is_bare(m["entity"]) | (F.size(m["kinds"]) > 0)).alias("real")))
+    rows = rows.withColumn("seen", F.when(F.col("names").isNotNull(), seen))
+    seen, gaps = F.col("seen"), F.split(t, pattern, -1)
+    written = F.transform(seen, lambda m: F.when(m["real"], rewritten(key, m["entity"], m["kinds"], lookups)).otherwise(m["entity"]))
+    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(seen)), written, lambda g, e: F.concat(g, e)), ""), F.element_at(gaps, -1))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    gap_sizes = F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(found))
-    ends = running(F.zip_with(gap_sizes, found, lambda g, e: (g + F.length(e)).cast("bigint")))
-    span = lambda e, end: F.struct(kind_of(e).alias("kind"), (end - F.length(e)).cast("int").alias("start"), end.cast("int").alias("end"))
-    placed = F.zip_with(found, ends, span)
-    has = F.col("known").isNotNull()
+    gap_sizes = F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(seen))
+    ends = running(F.zip_with(gap_sizes, seen, lambda g, m: (g + F.length(m["entity"])).cast("bigint")))
+    span = lambda m, end: F.when(m["real"], F.struct(kind_of(m["entity"]).alias("kind"), (end - F.length(m["entity"])).cast("int").alias("start"), end.cast("int").alias("end")))
+    placed = F.filter(F.zip_with(seen, ends, span), lambda p: p.isNotNull())
+    has = F.col("names").isNotNull()
     rows = rows.select("doc_id", F.when(has, new).otherwise(t).alias("text"), F.when(has, placed).otherwise(none).alias("entities"))
     return rows.select("doc_id", "text", "entities", F.size("entities").cast("long").alias("n_entities"))

@@ -129,6 +129,24 @@ def test_hostile_texts(spark):
     assert out[6].n_entities == 50_000 and "x@y.com" not in out[6].text and time.perf_counter() - begin < 240
 
 
+def test_many_names_of_one_text(spark):
+    """Time grows with the names of a text, not with their square."""
+
+    def seconds(n):
+        words = ["".join(chr(97 + (k // 26**i) % 26) for i in range(4)) for k in range(n)]
+        text = " ".join(f"Mr B{w} Z{w}" for w in words) + " " + " ".join(f"B{w} Q{w}" for w in reversed(words))
+        begin = time.perf_counter()
+        row = pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key").first()
+        mentions, bare = row.text.split(" ")[: 3 * n], row.text.split(" ")[3 * n :]
+        assert row.n_entities == 2 * n and bare[1::2] == [f"Q{w}" for w in reversed(words)] and bare[::2] == mentions[1::3][::-1]
+        assert len(set(mentions[1::3])) == n
+        return time.perf_counter() - begin
+
+    seconds(100)
+    few, many = seconds(4_000), seconds(16_000)
+    assert many < 8 * few + 20
+
+
 def test_titles_without_gender(spark):
     texts = ["Dr Anna Smith wrote. Mrs Anna Smith agreed, Anna left.", "Dr Anna Smith alone.", "Prof Anna Jones and Mr Anna Brown."]
     new = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "key").collect()]
