@@ -68,14 +68,27 @@ def aggregate(metric: str, value: Column) -> Column:
     return F.sum(value) if metric == "sum" else F.avg(value)
 
 
+def value_range(value: Column) -> Column:
+    """A number that never falls as value grows, 256 of them for each doubling: a cell has some thousand ranges, however many
+    its points are. NaN sorts last and shares the last range with infinity."""
+    size = F.floor((F.log2(F.abs(value)) + 1075) * 256)
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("bigint"))
+
+
 def percentiles(good: DataFrame, cell: Sequence[str], percent: int) -> DataFrame:
-    """cell, value (nearest rank) and n of the points. Equal values are counted first, and counts are summed up in order by
-    a sort that may spill, so a cell of any number of points needs no buffer that holds them."""
-    counts = good.groupBy(*cell, "__value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*cell).orderBy("__value"))
-    counts = counts.withColumn("__upto", upto).join(counts.groupBy(*cell).agg(F.sum("n").alias("__all")), list(cell))
-    reached = F.when(F.col("__upto") >= F.ceil(F.lit(percent) * F.col("__all") / 100), F.col("__value"))
-    return counts.groupBy(*cell).agg(F.min(reached).alias("value"), F.sum("n").alias("n"))
+    """cell, value (nearest rank) and n of the points. Equal values are counted first. The counts of a cell's value ranges,
+    summed up in order, tell the range that holds the rank; only the values of that range are sorted. So no task sees all
+    values of a cell, and the counts are shuffled once for both steps."""
+    counts = good.groupBy(*cell, value_range(F.col("__value")).alias("__range"), "__value").agg(F.count(F.lit(1)).alias("n"))
+    ranges = counts.groupBy(*cell, "__range").agg(F.sum("n").alias("n"))
+    in_order = Window.partitionBy(*cell).orderBy("__range")
+    ranges = ranges.withColumn("__upto", F.sum("n").over(in_order)).withColumn("__all", F.sum("n").over(Window.partitionBy(*cell)))
+    rank, before = F.ceil(F.lit(percent) * F.col("__all") / 100), F.col("__upto") - F.col("n")
+    picked = ranges.where((F.col("__upto") >= rank) & (before < rank)).select(*cell, "__range", (rank - before).alias("__rank"), "__all")
+    upto = F.sum("n").over(Window.partitionBy(*cell, "__range").orderBy("__value"))
+    inside = counts.join(picked, [*cell, "__range"]).withColumn("__upto", upto)
+    reached = F.when(F.col("__upto") >= F.col("__rank"), F.col("__value"))
+    return inside.groupBy(*cell, "__range").agg(F.min(reached).alias("value"), F.first("__all").alias("n")).drop("__range")
 
 
 def cells_of(good: DataFrame, cell: Sequence[str], metric: str) -> DataFrame:
@@ -148,10 +161,12 @@ def chart(hits: DataFrame, request: ChartRequest, fields: Sequence = (), names:
     top = max(1, min(request.top_n, MOST_SERIES))
     if timeline:
         cells = cells_of(good.withColumn("bucket", floor_to(F.col("__time"), bucket or 1)), ("series", "bucket"), request.metric)
-        totals = cells.groupBy("series").agg(F.sum("n").cast("double").alias("weight"))
+        # Points are counted without the values: the sorting of percentiles is not planned a second time for the ranking.
+        sized = good.select("series", F.lit(1).alias("n")) if request.metric[0] == "p" else cells
+        totals = sized.groupBy("series").agg(F.sum("n").cast("double").alias("weight"))
     else:
         cells = cells_of(good, ("series",), request.metric).drop("n")
-        totals = cells.select("series", F.coalesce("value", F.lit(float("-inf"))).alias("weight"))
+        totals = cells.withColumn("weight", F.coalesce("value", F.lit(float("-inf"))))
     if request.group_by == "matchedGroup":
         kept = [(n, k + 1) for k, n in enumerate(names[:MOST_SERIES])]
         ranked = hits.sparkSession.createDataFrame(kept or [("", 0)], "series string, series_rank int").where("series <> ''")
@@ -159,11 +174,12 @@ def chart(hits: DataFrame, request: ChartRequest, fields: Sequence = (), names:
     else:
         # Sorted and cut before they are numbered: the one task of the window sees `top` rows.
         first = totals.orderBy(F.desc("weight"), "series").limit(top)
-        ranked = first.select("series", F.row_number().over(Window.orderBy(F.desc("weight"), F.asc("series"))).alias("series_rank"))
+        ranked = first.withColumn("series_rank", F.row_number().over(Window.orderBy(F.desc("weight"), F.asc("series")))).drop("weight")
         # Without a grouping there is one series at most.
-        other = 0 if request.group_by == "none" else max(0, totals.count() - top)
+        other = 0 if request.group_by == "none" else max(0, good.select("series").distinct().count() - top)
     if not timeline:
-        data = ranked.join(cells, "series", "left").select(F.col("series").alias("label"), "series", "series_rank", "value")
+        with_value = ranked.join(cells, "series", "left") if request.group_by == "matchedGroup" else ranked
+        data = with_value.select(F.col("series").alias("label"), "series", "series_rank", "value")
         if request.group_by == "matchedGroup" and request.metric == "count":
             data = data.fillna(0.0, ["value"])
     elif bucket is None:

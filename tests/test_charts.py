@@ -1,9 +1,12 @@
 import datetime as dt
+import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomlog.functions.regexes import translate
-from loomlog.operators.chart import ChartRequest, auto_bucket, chart, metric_label
+from loomlog.operators.chart import ChartRequest, auto_bucket, chart, metric_label, percentiles, value_range
 from loomlog.operators.search import Field
 
 FIELDS = (Field("p.kind", "Kind", "string", translate("(x)")), Field("p.ms", "Duration", "number", translate("(x)")))
@@ -38,6 +41,26 @@ def test_percentiles_are_nearest_rank(spark, metric, n, expected):
     assert values(chart(hits(spark, rows), ChartRequest("category", metric=metric, value_field="p.ms"), FIELDS)) == [expected]
 
 
+def test_percentiles_of_any_values(spark):
+    """Against sorting: values of both signs and of all sizes, ties, zeros, infinities and NaN."""
+    rng = random.Random(5)
+    draws = [lambda: rng.gauss(0, 1), lambda: rng.choice((-1, 1)) * 10 ** rng.uniform(-300, 300), lambda: float(rng.randint(-3, 3)), lambda: 1e6 + rng.random(), lambda: rng.choice((0.0, 5e-324, -5e-324, math.inf, -math.inf, math.nan, 1.7e308))]
+    held = {(f"s{k}", b): [draw() for _ in range(rng.choice((1, 2, 40, 300)))] for k, draw in enumerate(draws) for b in range(3)}
+    rows = spark.createDataFrame([(s, b, v) for (s, b), values in held.items() for v in values], "series string, bucket long, __value double")
+    last = lambda v: (math.isnan(v), v if not math.isnan(v) else 0.0)
+    for percent in (50, 95, 99):
+        got = {(r.series, r.bucket): (r.value, r.n) for r in percentiles(rows, ("series", "bucket"), percent).collect()}
+        want = {c: (sorted(values, key=last)[-(-percent * len(values) // 100) - 1], len(values)) for c, values in held.items()}
+        assert {c: repr(v) for c, v in got.items()} == {c: repr(v) for c, v in want.items()}
+    assert percentiles(rows.limit(0), ("series",), 50).count() == 0
+
+
+def test_ranges_of_values_keep_their_order(spark):
+    values = sorted({s * m * 2.0**e for s in (-1, 1) for m in (1.0, 1.0000001, 1.5, 1.9999999) for e in range(-1060, 1020, 13)} | {0.0, 5e-324, -5e-324, math.inf, -math.inf})
+    ranges = [r.r for r in spark.createDataFrame(list(enumerate(values)), "k int, v double").select("k", value_range(F.col("v")).alias("r")).orderBy("k").collect()]
+    assert ranges == sorted(ranges) and len(set(ranges)) > 600
+
+
 def test_top_series_and_the_rest(spark):
     rows = [(at(1), k, v, 0) for k, v in (("Fast", 10.0), ("Slow", 900.0), ("Medium", 500.0))]
     data = chart(hits(spark, rows), ChartRequest("category", group_by="field", group_field="p.kind", metric="max", value_field="p.ms", top_n=2), FIELDS)
