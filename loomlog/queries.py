@@ -610,6 +610,19 @@ def clock_offset(spark, sf_dir):
     return catalog.clock_offsets(order_manifest(spark, sf_dir))
 
 
+@query(MANIFEST + """
+    , g AS (SELECT service_id, log_date, last_ts, mtime, max(log_date) OVER (PARTITION BY service_id, size % 20) AS newest FROM m),
+      d AS (SELECT service_id, CAST(trunc(epoch(last_ts - mtime) / 60) AS BIGINT) AS delta FROM g WHERE log_date = newest AND last_ts IS NOT NULL),
+      l AS (SELECT service_id, list_sort(list(delta)) AS x FROM d WHERE abs(delta) <= 840 GROUP BY 1)
+    SELECT service_id, CAST(round(x[len(x) // 2 + 1] / 15.0) * 15 AS INTEGER) AS offset_minutes FROM l
+""")
+def clock_offset_of_segments(spark, sf_dir):
+    """Twenty growing files for each service, a segment for each day: the newest one counts."""
+    m = order_manifest(spark, sf_dir)
+    key = F.concat(F.lit("f"), (F.col("size") % 20).cast("string"), F.lit("#"), F.col("log_date").cast("string"))
+    return catalog.clock_offsets(m.withColumn("key", key))
+
+
 @query(MANIFEST + """
     , d AS (SELECT service_id, CAST(trunc(epoch(last_ts - mtime) / 60) AS BIGINT) AS delta FROM m WHERE last_ts IS NOT NULL AND service_id IN ('c4', 'c7')),
       l AS (SELECT service_id, list_sort(list(delta)) AS x FROM d WHERE abs(delta) <= 840 GROUP BY 1),

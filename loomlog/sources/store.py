@@ -69,24 +69,59 @@ def forget_service(environment: str, name: str, manifest: DataFrame) -> DataFram
 
 
 class MemoryTier:
-    """DataFrames kept in executors' memory by version (files, sizes and times), the least recently used ones dropped.
-    Executors spill what does not fit, so the limit counts tables, not bytes."""
+    """DataFrames kept in executors' memory by version (files, sizes and times) while their bytes, as Spark has stored them,
+    are within the limit; the least recently used ones go first. Those that a pass has pinned stay until it ends, whatever
+    their size; what a pass has loaded and does not fit afterwards goes then."""
 
-    def __init__(self, limit: int = 8):
-        self.limit, self.held = limit, {}
+    def __init__(self, limit_bytes: int):
+        self.limit, self.held, self.pins = limit_bytes, {}, {}
+
+    @staticmethod
+    def stored_bytes(df: DataFrame) -> int:
+        """The size of a persisted table whose rows have been stored, else Spark's estimate for its plan."""
+        return int(str(df._jdf.queryExecution().withCachedData().stats().sizeInBytes()))
 
     def get(self, version: tuple, make) -> DataFrame:
+        """The table of the version; if it is not held, it is made and stored at once, as its size is needed."""
         if version in self.held:
             self.held[version] = self.held.pop(version)
         else:
-            self.held[version] = make().persist(StorageLevel.MEMORY_AND_DISK)
-            while len(self.held) > self.limit:
-                self.held.pop(next(iter(self.held))).unpersist()
-        return self.held[version]
+            made = make().persist(StorageLevel.MEMORY_AND_DISK)
+            made.count()
+            self.held[version] = (made, self.stored_bytes(made))
+            self._shrink()
+        return self.held[version][0] if version in self.held else made
+
+    @contextmanager
+    def pinned(self, *versions: tuple):
+        """Versions that a pass uses are not dropped inside, by whomever."""
+        for v in versions:
+            self.pins[v] = self.pins.get(v, 0) + 1
+        try:
+            yield self
+        finally:
+            for v in versions:
+                self.pins[v] -= 1
+                if not self.pins[v]:
+                    del self.pins[v]
+            self._shrink()
+
+    def set_limit(self, limit_bytes: int) -> None:
+        self.limit = limit_bytes
+        self._shrink()
+
+    def stats(self) -> dict:
+        return {"tables": len(self.held), "bytes": sum(size for _, size in self.held.values()), "limit": self.limit, "pinned": len(self.pins.keys() & self.held.keys())}
+
+    def _shrink(self) -> None:
+        loose = [v for v in self.held if v not in self.pins]
+        while loose and self.stats()["bytes"] > self.limit:
+            self.held.pop(loose.pop(0))[0].unpersist()
 
     def clear(self) -> None:
-        while self.held:
-            self.held.popitem()[1].unpersist()
+        """Drop everything that is not pinned."""
+        for v in [v for v in self.held if v not in self.pins]:
+            self.held.pop(v)[0].unpersist()
 
 
 @contextmanager

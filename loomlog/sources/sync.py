@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import parse_by
+from ..operators.lines import MOST_SENT
 from ..plans.packs import Pack, Registry
 from . import catalog, store
 from .http_vfs import AccessDenied, fetch, list_folder
@@ -240,13 +241,48 @@ def spans_of(chunks: DataFrame, formats: dict[str, list]) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by("ts", "at").alias("first_ts"), F.max_by("ts", "at").alias("last_ts"))
 
 
-def stored_files(spark: SparkSession, folder: str) -> DataFrame:
-    """key, service_id, value: the text of every stored file, its chunks since the last whole one joined in order."""
+def current_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of each stored file since it was last fetched whole."""
     chunks = spark.read.parquet(f"{folder}/chunks")
-    whole = F.max(F.when(F.col("fresh"), F.col("version"))).over(Window.partitionBy("key"))
-    chunks = chunks.withColumn("__whole", whole).where(F.col("version") >= F.col("__whole"))
+    whole = chunks.where("fresh").groupBy("key").agg(F.max("version").alias("__whole"))
+    return chunks.join(whole, "key").where(F.col("version") >= F.col("__whole")).drop("__whole")
+
+
+def stored_files(spark: SparkSession, folder: str) -> DataFrame:
+    """key, service_id, value: the text of every stored file, its chunks joined in order, one row for each; for files of any
+    size see stored_lines."""
     joined = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", F.hex("content").alias("hex")))), lambda c: c["hex"]), ""))
-    return chunks.groupBy("key", "service_id").agg(joined.alias("content")).select("key", "service_id", F.col("content").cast("string").alias("value"))
+    return current_chunks(spark, folder).groupBy("key", "service_id").agg(joined.alias("content")).select("key", "service_id", F.col("content").cast("string").alias("value"))
+
+
+def stored_lines(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
+    """key, service_id, line_no (from 1), line of every stored file, or of those in `keys` (key). As split_lines of the whole
+    text, but chunks are split where they lie: a line's number is its place in the chunk and the lines that end in earlier
+    chunks, one row per chunk. Only the first and last piece of a chunk are shuffled, so that lines across a border, and
+    characters too, are put together."""
+    chunks = current_chunks(spark, folder)
+    if keys is not None:
+        chunks = chunks.join(keys.select("key").distinct(), "key", "left_semi")
+    chunks = chunks.where(F.octet_length("content") > 0).select("key", "service_id", "start", F.col("content").cast("string").alias("text"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    place = store.shared_path(spark, "chunk-lines")
+    chunks.select("key", "start", ends.cast("long").alias("ends")).write.parquet(place)
+    counts = spark.read.schema("key string, start long, ends long").parquet(place)
+    earlier = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.withColumn("before", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
+    numbered = F.broadcast(numbered) if counts.count() <= MOST_SENT else numbered.hint("merge")
+    rows = chunks.join(numbered, ["key", "start"])
+    parts = F.split(F.make_valid_utf8("text"), "\n")
+    inner = rows.where("ends >= 2").select("key", "service_id", "before", F.posexplode(F.slice(parts, F.lit(2), F.size(parts) - 2)).alias("at", "line"))
+    inner = inner.select("key", "service_id", (F.col("before") + F.col("at") + 2).alias("line_no"), "line")
+    piece = lambda no, n, last: F.struct(no.alias("line_no"), F.lit(last).alias("last"), F.hex(F.substring_index("text", "\n", n)).alias("hex"))
+    first, final = piece(F.col("before") + 1, 1, False), piece(F.col("before") + F.col("ends") + 1, -1, True)
+    edges = rows.select("key", "service_id", "start", F.explode(F.when(F.col("ends") > 0, F.array(first, final)).otherwise(F.array(first))).alias("e"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "e.hex"))), lambda x: x["hex"]), "")
+    edges = edges.groupBy("key", "service_id", F.col("e.line_no").alias("line_no")).agg(joined.alias("hex"), F.bool_and("e.last").alias("open"))
+    # What follows a file's last line end is a line only if there is something.
+    edges = edges.where("not open or hex <> ''").select("key", "service_id", "line_no", F.make_valid_utf8(F.unhex("hex").cast("string")).alias("line"))
+    return inner.unionByName(edges).withColumn("line", F.rtrim("line", F.lit("\r")))
 
 
 def file_parts(spark: SparkSession, folder: str, key: str) -> Iterator[bytes]:
@@ -277,10 +313,9 @@ def sync_and_export(spark: SparkSession, services: Sequence[dict], registry: Reg
     ids = [s["id"] for s in services]
     files = manifest.where(F.col("service_id").isin(*ids)).select(F.col("key").alias("file_id"), "service_id", "file", "log_date")
     exported = files.where(F.col("log_date").isNull() | F.col("log_date").between(F.lit(date_from), F.lit(date_to)))
-    from ..operators.lines import split_lines
-
-    held = stored_files(spark, folder).select(F.col("key").alias("file_id"), "value") if not exported.isEmpty() else spark.createDataFrame([], "file_id string, value string")
-    store.export_range(split_lines(held), files, target, date_from, date_to)
+    if not exported.isEmpty():
+        lines = stored_lines(spark, folder, exported.select(F.col("file_id").alias("key")))
+        store.export_range(lines.select(F.col("key").alias("file_id"), "line_no", "line"), files, target, date_from, date_to)
     n = exported.groupBy("service_id").agg(F.count(F.lit(1)).alias("exported"))
     nothing = F.when(F.coalesce("exported", F.lit(0)) == 0, F.coalesce("message", F.lit("no stored file of the range"))).otherwise(F.col("message"))
     return summary.join(n, "service_id", "left").withColumn("message", nothing).withColumn("exported", F.coalesce("exported", F.lit(0))).orderBy("service_id")

@@ -58,6 +58,7 @@ def _whole_lines(path: str, start: int, size: int) -> int:
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options):
         self.pattern, self.marks = options["path"], options.get("forgotten", "")
+        self.seen = {}  # path: (size and time as listed, its last whole line's end, the bytes before it)
 
     def initialOffset(self) -> dict:
         return {"files": {}}
@@ -68,16 +69,34 @@ class GrowingReader(DataSourceStreamReader):
             with open(name, encoding="utf-8") as f:
                 lives.update(json.load(f))
         for path in sorted(glob.glob(self.pattern)):
-            end = _whole_lines(path, 0, os.path.getsize(path))
-            files[path] = {"size": end, "tail": _tail(path, end), "life": lives[path], "mtime": os.path.getmtime(path)}
+            try:
+                end, tail, mtime = self.look(path)
+            except FileNotFoundError:  # since it was listed
+                continue
+            files[path] = {"size": end, "tail": tail, "life": lives[path], "mtime": mtime}
+        self.seen = {path: self.seen[path] for path in files}
         return {"files": files}
 
+    def look(self, path: str) -> tuple[int, str, float]:
+        """Only files whose size or time has changed are opened; those that rest cost a listing."""
+        now = os.stat(path)
+        state = (now.st_size, now.st_mtime_ns, now.st_ino)
+        held = self.seen.get(path)
+        if held is None or held[0] != state:
+            end = _whole_lines(path, 0, now.st_size)
+            held = self.seen[path] = (state, end, _tail(path, end))
+        return held[1], held[2], now.st_mtime
+
     def partitions(self, start: dict, end: dict):
         out = []
         for path, now in end["files"].items():
             before = start["files"].get(path)
             again = before is not None and before.get("life", 0) != now.get("life", 0)
-            grown = before is not None and not again and now["size"] >= before["size"] and _tail(path, before["size"]) == before["tail"]
+            grown = before is not None and not again and now["size"] >= before["size"]
+            if grown and now["size"] == before["size"]:
+                grown = now["tail"] == before["tail"]
+            elif grown:
+                grown = _tail(path, before["size"]) == before["tail"]
             begin = before["size"] if grown else 0
             if now["size"] > begin:
                 out.append(Slice(path, begin, now["size"], not grown, again, now.get("mtime", 0.0)))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.sources import catalog, store
+from loomlog.streaming import growing
 from loomlog.streaming.growing import follow, forget, migrate, store_batch, stored_segments
 
 
@@ -56,6 +57,25 @@ def test_batches_merge_into_the_manifest(spark, place):
     assert catalog.status(rows).first().files == 3
 
 
+def test_files_that_rest_are_not_opened_again(tmp_path, monkeypatch):
+    looked = []
+    ends = growing._whole_lines
+    monkeypatch.setattr(growing, "_whole_lines", lambda path, *more: looked.append(path.rsplit("/", 1)[1]) or ends(path, *more))
+    one, two = tmp_path / "a.log", tmp_path / "b.log"
+    one.write_bytes(b"x\ny\nhalf")
+    two.write_bytes(b"z\n")
+    reader = growing.GrowingReader({"path": str(tmp_path / "*.log")})
+    first = reader.latestOffset()
+    assert [f["size"] for f in first["files"].values()] == [4, 2] and reader.latestOffset() == first and looked == ["a.log", "b.log"]
+    assert [(p.start, p.end, p.fresh) for p in reader.partitions({"files": {}}, first)] == [(0, 4, True), (0, 2, True)] and not reader.partitions(first, first)
+    one.write_bytes(b"x\ny\nhalf a line\n")
+    two.write_bytes(b"Z\n")  # as long as before, with other bytes
+    second = reader.latestOffset()
+    assert looked[2:] == ["a.log", "b.log"] and [(p.start, p.end, p.fresh) for p in reader.partitions(first, second)] == [(4, 16, False), (0, 2, True)]
+    two.unlink()
+    assert list(reader.latestOffset()["files"]) == [str(one)] and looked[4:] == []
+
+
 def test_a_file_without_segments_is_new_again(spark, place):
     place.log.write_bytes(DAY1 + DAY2)
     place.run()

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.functions.highlight import highlight, highlighted
-from loomlog.operators.lines import split_lines
+from loomlog.operators.lines import raw_search, split_lines
 from loomlog.operators.result import sorted_rows
 from loomlog.plans import config, dates
+from loomlog.plans.packs import Location, Pack
 from loomlog.plans.query_tree import Criterion, Group, colour, compile_tree, legend, parse, to_regex
 from loomlog.sources import catalog, store
 
@@ -64,18 +65,54 @@ def test_manifest_versions(spark, tmp_path):
     assert {r.key: r.size for r in store.merge_manifest(held, more).collect()} == {"a": 5, "b": 1}
 
 
-def test_export_and_memory(spark, tmp_path):
+def test_memory_tier_counts_bytes_and_keeps_pinned_tables(spark):
+    table = lambda k: lambda: spark.range(20_000).select((F.col("id") * 7919 + k).alias("a"))
+    probe = store.MemoryTier(1 << 30)
+    probe.get(("p", 1), table(1))
+    one = probe.stats()["bytes"]
+    assert 20_000 < one < 2_000_000 and probe.stats()["tables"] == 1
+    probe.clear()
+    assert probe.stats()["bytes"] == 0
+    tier = store.MemoryTier(int(one * 2.5))
+    first, second = tier.get(("a", 1), table(1)), tier.get(("a", 2), table(2))
+    assert tier.get(("a", 1), lambda: None) is first and first.storageLevel.useMemory and second.storageLevel.useMemory
+    tier.get(("a", 3), table(3))
+    assert list(tier.held) == [("a", 1), ("a", 3)] and not second.storageLevel.useMemory
+    with tier.pinned(("a", 1), ("a", 4)), tier.pinned(("a", 1)):
+        tier.get(("a", 4), table(4))
+        tier.set_limit(1)
+        assert set(tier.held) == {("a", 1), ("a", 4)} and tier.stats()["pinned"] == 2 and first.storageLevel.useMemory
+        tier.clear()
+        assert first.storageLevel.useMemory
+    assert not tier.held and not tier.pins and not first.storageLevel.useMemory
+    alone = tier.get(("a", 5), table(5))
+    assert not tier.held and not alone.storageLevel.useMemory and alone.count() == 20_000
+
+
+def test_lossy_text_and_raw_search(spark):
+    rows = split_lines(spark.createDataFrame([(1, bytearray(b"ok\n\xffbad\xc3\n" + b"x" * 600 + b" end"))], "file_id long, value binary").withColumn("value", F.col("value").cast("string")))
+    assert [r.line for r in rows.orderBy("line_no").collect()] == ["ok", "\ufffdbad\ufffd", "x" * 600 + " end"]
+    total, first = raw_search(rows, F.col("line").contains("end"))
+    assert total.first().total == 1 and [(r.line_no, r.line) for r in first.collect()] == [(3, "x" * 500)]
+    assert raw_search(rows, None)[0].first().total == 0
+
+
+def test_order_of_stored_files_and_location_by_folder(spark):
+    rows = [("k1", "s", "b.txt", None), ("k2", "s", "b.txt", DAY), ("k3", "s", "a.txt", DAY), ("k4", "s", "z.txt", dt.date(2026, 7, 25)), ("k5", "s", "a.txt", None)]
+    held = spark.createDataFrame(rows, "key string, service_id string, file string, log_date date")
+    assert [r.key for r in catalog.stored_files(held).collect()] == ["k4", "k3", "k2", "k5", "k1"]
+    places = [Location(name, name, folder, None, True) for name, folder in (("Application", "LogFiles/App"), ("http", "/LogFiles/http/"))]
+    pack = Pack({"id": "p"}, places, [], [])
+    assert pack.location_by_dir("/logfiles/APP/").id == "Application" and pack.location_by_dir("LogFiles/http").id == "http"
+    assert pack.location_by_dir("LogFiles") is None
+
+
+def test_export_and_stopping(spark, tmp_path):
     lines = split_lines(spark.createDataFrame([(1, "a\nb\nc"), (2, "x"), (3, "u")], "file_id long, value string"))
     files = spark.createDataFrame([(1, "s", "one", DAY), (2, "s", "two", dt.date(2026, 1, 1)), (3, "s", "three", None)], "file_id long, service_id string, file string, log_date date")
     store.export_range(lines, files, str(tmp_path / "out"), DAY, DAY)
     assert [r.value for r in spark.read.text(str(tmp_path / "out/service=s/file=one")).collect()] == ["a", "b", "c"]
     assert sorted(p.name for p in (tmp_path / "out/service=s").iterdir()) == ["file=one", "file=three"]
-    tier = store.MemoryTier(1)
-    first = tier.get(("a", 1), lambda: spark.range(3))
-    assert tier.get(("a", 1), lambda: None) is first and first.storageLevel.useMemory
-    tier.get(("a", 2), lambda: spark.range(4))
-    assert not first.storageLevel.useMemory
-    tier.clear()
     with store.cancellable(spark, "job"):
         assert "job" in spark.getTags()
     store.cancel(spark, "job")

@@ -1,9 +1,11 @@
 import datetime as dt
 import http.server
 import json
+import random
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomlog.operators.lines import split_lines, to_entries
 from loomlog.operators.search import Request
@@ -131,6 +133,28 @@ def test_sync_over_http_and_a_folder(spark, tmp_path, endpoint):
     assert [r.value for r in exported] == ["2026-07-23T12:00:00Z new"]
 
 
+def test_stored_lines_equal_those_of_the_whole_text(spark, tmp_path, monkeypatch):
+    """Chunks that end anywhere: within lines, within characters, at line ends, and lines over several chunks."""
+    rng = random.Random(3)
+    parts = ["\n", "\n", "\r\n", "a", "é", "😀", "word ", "\n\n", "x" * 40]
+    texts = {f"k{k}": "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))).encode() for k in range(60)} | {"end": b"a\n", "two": b"a\n\n", "bad": b"\xff\n\xc3", "one": b"no end"}
+    rows = []
+    for key, content in texts.items():
+        cuts = sorted({0, len(content), *(rng.randint(0, len(content)) for _ in range(rng.randint(0, 6)))})
+        rows.append(("s", key, 1, True, 0, b"an older version\n"))
+        rows += [("s", key, 2 + (a > 0), a == 0, a, content[a:b]) for a, b in zip(cuts, cuts[1:] or [0])]
+    folder = str(tmp_path / "store")
+    spark.createDataFrame(rows, "service_id string, key string, version long, fresh boolean, start long, content binary").repartition(5).write.parquet(f"{folder}/chunks")
+    whole = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()], "key string, content binary").select("key", F.col("content").cast("string").alias("value"))
+    want = {(r.key, r.line_no): r.line for r in split_lines(whole, key="key").collect()}
+    for most in (sync.MOST_SENT, 0):
+        monkeypatch.setattr(sync, "MOST_SENT", most)
+        got = sync.stored_lines(spark, folder).collect()
+        assert len(got) == len(want) and {(r.key, r.line_no): r.line for r in got} == want
+    some = sync.stored_lines(spark, folder, spark.createDataFrame([("two",), ("two",), ("none",)], "key string"))
+    assert sorted((r.line_no, r.line) for r in some.collect()) == [(1, "a"), (2, "")]
+
+
 def test_fields_and_formats_are_those_of_the_service_pack(spark):
     field = lambda key: {"key": key, "regex": r"took (\d+)", "type": "number"}
     stamp = {"regex": r"^(?<H>\d+)h(?<M>\d+) (?<S>\d+) (?<d>\d+)\.(?<m>\d+)\.(?<y>\d+)"}
