@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from loomlog.llm import quality_ordinal
 from loomlog.llm.common import is_held_out
 from loomlog.llm.language_id import LanguageModel, Lattice, fit_language_model, identify
 from loomlog.llm.quality_ordinal import OrdinalModel, cells, features, fit_quality, loss, rate, train_ordinal
@@ -217,6 +218,27 @@ def test_quality_held_out(spark, odd_docs, no_docs):
     assert {r.expected_grade for r in rate(odd_docs, one).collect()} == {1.0}
 
 
+def test_ratings_equal_the_plain_cumulative_link(spark):
+    """expected grade and tails from the chances of the single grades, one word after another."""
+    draws = np.random.default_rng(7)
+    model = OrdinalModel([0, 1, 3], draws.normal(size=quality_ordinal.BUCKETS), np.array([-0.6, 0.8]))
+    words = ["the", "Thing", "THING", "x1", "2024", "é", "long-winded", "ünter", "a" * 50]
+    texts = [None, "", " \n", *(" ".join(draws.choice(words, size=draws.integers(1, 60))) for _ in range(60)), "the Thing " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for at_least, least in ((None, 1), (1, 1), (3, 3), (0, 0)):
+        rows = rate(docs, model, at_least=at_least, select_from=0.4).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            held = (texts[r.doc_id] or "").split()
+            total = sum(model.weights[c] * n for w, n in Counter(held).items() for c in features(w))
+            link = total / len(held) if held else 0.0
+            upto = [1 / (1 + np.exp(link - t)) for t in model.thresholds]  # P(grade <= k)
+            chances = dict(zip(model.grades, (upto[0], upto[1] - upto[0], 1 - upto[1])))
+            assert abs(r.expected_grade - sum(g * p for g, p in chances.items())) < 1e-9
+            tail = sum(p for g, p in chances.items() if g >= least)
+            assert abs(r.tail_probability - tail) < 1e-9 and r.selected == (r.tail_probability >= 0.4) and r.held_out == is_held_out(r.doc_id)
+
+
 def test_scores_do_not_depend_on_the_classes_limits(spark):
     """Three in ten rows with the same word are toxic: that is the score, also where few other rows are taken."""
     rows = [(k, "some odd words here" if k % 10 else "some vile words here") for k in range(3000)]

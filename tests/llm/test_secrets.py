@@ -116,3 +116,78 @@ def test_long_texts_with_many_matches(spark):
     rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert (rows[0].n_assign, rows[0].n_access, rows[0].n_hex) == (30_000, 1, 1) and rows[0].base_sha256 == brute(texts[0])[0][3]
     assert not rows[1].found and time.perf_counter() - begin < 60
+
+
+def plain_scan(texts, alpha=0.01, least_bits=80):
+    """Reported spans of all documents, the plain way: base spans masked, candidates tested one by one, one cut a class."""
+
+    def tail(z):
+        t = 1 / (1 + 0.2316419 * abs(z))
+        poly = sum(c * t ** (k + 1) for k, c in enumerate((0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)))
+        upper = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+        return upper if z >= 0 else 1 - upper
+
+    def inferred(s):
+        both = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+        lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+        order = [(digits + "abcdef", 4, False), (digits + "ABCDEF", 4, False), (upper + "234567", 5, True), (lower + "234567", 5, True), (lower + digits, 5, True)]
+        order += [(upper + lower + digits + more, 6, False) for more in ("", "+/", "-_")]
+        return next(((a, bits) for a, bits, mixed in order if set(s) <= set(a) and (both or not mixed)), (None, 0))
+
+    def p_value(s, a):
+        n, x = len(s), [a.index(c) for c in s]
+        df = len(a) - 1
+        chi2 = max(sum((s.count(c) - n / len(a)) ** 2 / (n / len(a)) for c in a), 0)
+        p = [tail(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+        high = [v >= len(a) / 2 for v in x]
+        mean = 2 * sum(high) * (n - sum(high)) / n + 1
+        variance = (mean - 1) * (mean - 2) / (n - 1)
+        runs = 1 + sum(u != v for u, v in zip(high, high[1:]))
+        p.append(min(1, 2 * tail(abs(runs - mean) / math.sqrt(variance))) if variance > 0 else 0.5 ** (n - 1))
+        average = sum(x) / n
+        spread = sum((v - average) ** 2 for v in x)
+        r = sum((u - average) * (v - average) for u, v in zip(x, x[1:])) / spread if spread else 0
+        p.append(min(1, 2 * tail(abs(r + 1 / n) * math.sqrt(n))) if spread else 0.0)
+        return min(1, 3 * min(p))
+
+    tested, out = [], []
+    for k, t in enumerate(texts):
+        base = [s.split(":") for s in brute(t)[1].split(",") if s]
+        out.append([(int(a), int(b), kind) for kind, a, b in base])
+        hidden = list(t)
+        for a, b, _ in out[k]:
+            hidden[a:b] = "\x01" * (b - a)
+        for m in re.finditer(r"[A-Za-z0-9_-]{20,4096}+(?![+/])|[A-Za-z0-9+/]{20,4096}+={0,2}|[A-Za-z0-9_-]{20,4096}+", "".join(hidden)):
+            s = m[0].rstrip("=")
+            a, bits = inferred(s)
+            if a:
+                tested.append((k, m.start(), m.end(), max(c for c in (20, 24, 32, 40, 64, 128) if c <= len(s)), bits * len(s), p_value(s, a)))
+    cuts = {}
+    for low in {x[3] for x in tested}:
+        p = [x[5] for x in tested if x[3] == low]
+        edges = [math.exp(-c / 2) for c in range(61)]
+        cuts[low] = max((e for e in edges if any(v <= e for v in p) and len(p) * e / sum(v <= e for v in p) <= alpha), default=0.0)
+    for k, start, end, low, bits, p in tested:
+        if p > cuts[low] and bits >= least_bits:
+            out[k].append((start, end, "random"))
+    return [",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(x)) for x in out], [(x[0], x[5]) for x in tested]
+
+
+def test_reported_spans_equal_the_plain_scan(spark, rng):
+    """Whole documents with planted keys of every encoding and length, words run together, paths, and base spans beside them."""
+    draw = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = [digits + "ABCDEF", upper + "234567", lower + "234567", lower + digits, upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_"]
+    texts, planted = [], {}
+    for k in range(160):
+        parts = ["the thing is here", "/usr/share/some-folder/with_long_names/of-things", "andtheheingtionouredtheandofshallbethe", "=" * 25, "a" * 30, "ab12" * 9, f"token = {draw(12, lower + digits)}", draw(30, digits + "abcdef"), "20240101-20240102-20240103"]
+        words = [rng.choice(parts) for _ in range(rng.randint(0, 6))]
+        if k % 2:
+            planted[k] = draw(rng.choice((22, 27, 36, 48, 80, 140)), alphabets[k % len(alphabets)]) + "=" * (k % 3)
+            words.insert(rng.randint(0, len(words)), planted[k])
+        texts.append(rng.choice((" ", "\n", ", ", "; ")).join(words))
+    want, tested = plain_scan(texts)
+    got = {r.doc_id: r.spans for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+    reported = {k for k, spans in enumerate(want) if "random" in spans}
+    assert len(reported & planted.keys()) >= 0.85 * len(planted) and len(tested) > 2 * len(planted)
