@@ -20,7 +20,7 @@ from ..functions.timestamps import parse_by
 from ..operators.lines import MOST_SENT
 from ..plans.packs import Pack, Registry
 from . import catalog, store
-from .http_vfs import AccessDenied, fetch, list_folder
+from .http_vfs import AccessDenied, fetch_parts, list_folder
 from .ranges import fetch_ranges
 
 LISTED = "name string, path string, size long, mtime timestamp"
@@ -68,14 +68,15 @@ class HttpFolder:
         return spark.createDataFrame(rows, LISTED)
 
     def fetch(self, spark: SparkSession, wanted: DataFrame, tokens: dict[str, str]) -> DataFrame:
-        """A broken connection is taken up where it broke; a file that fails has its error and no content."""
+        """Rows of a bounded part of a file each. A broken connection is taken up where it broke; a file that fails has a row
+        with its error, and parts that came before do not count."""
 
         def run(frames):
             for frame in frames:
                 for row in frame.itertuples():
                     try:
-                        start, content = fetch(row.path, tokens.get(row.service_id), int(row.start))
-                        yield pd.DataFrame({"key": [row.key], "start": [start], "content": [content], "error": [None]})
+                        for start, content in fetch_parts(row.path, tokens.get(row.service_id), int(row.start)):
+                            yield pd.DataFrame({"key": [row.key], "start": [start], "content": [content], "error": [None]})
                     except Exception as e:  # whatever the network does to one file
                         yield pd.DataFrame({"key": [row.key], "start": [row.start], "content": [None], "error": [f"{type(e).__name__}: {e}"]})
 

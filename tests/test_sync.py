@@ -13,7 +13,7 @@ from loomlog.operators.result import search
 from loomlog.plans import services
 from loomlog.plans.config import Config
 from loomlog.plans.packs import Registry
-from loomlog.sources import store, sync
+from loomlog.sources import http_vfs, store, sync
 
 TODAY = dt.date(2026, 7, 24)
 DATED = {"id": "core", "dir": "logs", "file": r"^log-(?<y>\d{4})-(?<m>\d{2})-(?<d>\d{2})(?:_(?<instance>\w+))?\.log$"}
@@ -133,6 +133,57 @@ def test_sync_over_http_and_a_folder(spark, tmp_path, endpoint):
     assert [r.value for r in exported] == ["2026-07-23T12:00:00Z new"]
 
 
+class Breaking(http.server.BaseHTTPRequestHandler):
+    """A file whose connections break after `lasts` bytes, from a server with or without ranges."""
+
+    content, lasts, ranges, asked = b"", 0, True, []
+
+    def do_GET(self):
+        cls = type(self)
+        start = int(self.headers.get("Range", "bytes=0-")[6:-1])
+        cls.asked.append(start)
+        body = cls.content[start:] if cls.ranges else cls.content
+        self.send_response(206 if start and cls.ranges else 200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body[: cls.lasts] if cls.lasts else body)
+        self.close_connection = True
+
+    def log_message(self, *a):
+        pass
+
+
+def test_http_files_come_in_parts(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Breaking)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, mb = f"http://127.0.0.1:{server.server_port}/f", 1 << 20
+    rng = random.Random(4)
+    Breaking.content = b"".join(rng.randbytes(rng.randint(1, 3000)).replace(b"\n", b" ") + b"\n" for _ in range(4000)) + b"no end"
+    size = len(Breaking.content)
+    get = lambda start=0: list(http_vfs.fetch_parts(url, None, start, lambda s: None, part_bytes=mb))
+    for ranges, lasts, start in ((True, 0, 0), (True, 0, 1234), (True, size // 2 + 1, 0), (True, size // 2 + 1, 77), (False, 0, 0), (False, 0, 1234)):
+        Breaking.ranges, Breaking.lasts, Breaking.asked = ranges, lasts, []
+        parts = get(start)
+        begin = start if ranges else 0
+        assert len(parts) >= 3 and parts[0][0] == begin and b"".join(p for _, p in parts) == Breaking.content[begin:]
+        assert all(a + len(p) == b for (a, p), (b, _) in zip(parts, parts[1:])) and all(p.endswith(b"\n") and len(p) <= 2 * mb for _, p in parts[:-1])
+        assert len(Breaking.asked) == (2 if lasts else 1)
+    # Without ranges, after parts have been given: the second answer's beginning is skipped.
+    Breaking.ranges, Breaking.lasts = False, 3 * mb
+    taken = http_vfs.fetch_parts(url, None, 0, lambda s: setattr(Breaking, "lasts", 0), part_bytes=mb)
+    parts = list(taken)
+    assert b"".join(p for _, p in parts) == Breaking.content and [a for a, _ in parts] == sorted({a for a, _ in parts})
+    Breaking.lasts = mb // 2
+    with pytest.raises(RuntimeError, match="3 attempts"):
+        get()
+    # A line of several parts' length is cut; a file's end gives one empty part.
+    Breaking.ranges, Breaking.lasts, Breaking.content = True, 0, b"x" * (9 * mb)
+    assert [len(p) for _, p in get()] == [4 * mb, 4 * mb, mb] and get(0)[0][0] == 0
+    Breaking.content = b""
+    assert get() == [(0, b"")]
+    server.shutdown()
+
+
 def test_stored_lines_equal_those_of_the_whole_text(spark, tmp_path, monkeypatch):
     """Chunks that end anywhere: within lines, within characters, at line ends, and lines over several chunks."""
     rng = random.Random(3)
