@@ -51,6 +51,14 @@ class Result:
         order = keys + [x for x in self.order if x[0] not in known[by]]
         return replace(self, order=tuple(order if ascending else [(c, not up) for c, up in order]))
 
+    def named(self, services: DataFrame) -> Result:
+        """With service_name, the name that services (service_id, name) has for it; without one, the id. A service listed twice
+        has the least of its names, so hits stay as many as they are."""
+        names = services.groupBy(F.col("service_id").alias("__id")).agg(F.min(F.nullif(F.trim("name"), F.lit(""))).alias("__name"))
+        hits = self.hits.drop("service_name")
+        shown = F.coalesce("__name", "service_id").alias("service_name")
+        return replace(self, hits=hits.join(names, F.col("service_id") == F.col("__id"), "left").select(*[F.col(f"`{c}`") for c in hits.columns], shown))
+
     def page(self, offset: int = 0, limit: int = PAGE, context: int = 2) -> DataFrame:
         """Hits offset .. offset + limit with their entry's text and the lines around it. A page is at most `limit` entries,
         so they are sent to where the lines are: only lines of these entries, and those around them, move."""

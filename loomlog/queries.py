@@ -373,6 +373,19 @@ def chart_by_type_topn(spark, sf_dir):
     return chart_rows(chart(event_hits(spark, sf_dir), ChartRequest(bucket="sixHours", group_by="field", group_field="app.type", top_n=3), EVENT_FIELDS))
 
 
+NAMED = "FROM (SELECT * FROM events LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = user_id)"
+
+
+@query(RANKED.replace("FROM events", NAMED).format(key="coalesce(c_name, CAST(user_id AS VARCHAR))", top=6, size=21600, metric="CAST(count(*) AS DOUBLE)", filled="coalesce(v, 0.0)"))
+def chart_by_service_name(spark, sf_dir):
+    """Some services have a display name, the others go by their id."""
+    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    services = c.select(F.col("c_custkey").cast("string").alias("service_id"), F.col("c_name").alias("name"))
+    hits = event_hits(spark, sf_dir)
+    named = Result(hits, hits, hits, EVENT_FIELDS, (), tuple(default_order())).named(services)
+    return chart_rows(named.chart(ChartRequest(bucket="sixHours", group_by="service", top_n=6)))
+
+
 @query(RANKED.format(key="CAST(user_id AS VARCHAR)", top=5, size=3600, metric="max(value)", filled="v"))
 def chart_gap_fill(spark, sf_dir):
     return chart_rows(chart(event_hits(spark, sf_dir), ChartRequest(bucket="hour", group_by="service", metric="max", value_field="app.value", top_n=5), EVENT_FIELDS))

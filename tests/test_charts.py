@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.regexes import translate
 from loomlog.operators.chart import ChartRequest, auto_bucket, chart, metric_label, percentiles, value_range
-from loomlog.operators.search import Field
+from loomlog.operators.result import Result
+from loomlog.operators.search import Field, default_order
 
 FIELDS = (Field("p.kind", "Kind", "string", translate("(x)")), Field("p.ms", "Duration", "number", translate("(x)")))
 SCHEMA = "file_id long, entry_line long, ts timestamp_ntz, `p.kind` string, `p.ms` double, service_id string, file string, matched_groups long"
@@ -76,6 +77,15 @@ def test_custom_pattern_over_entries(spark):
     assert {r.series: r.value for r in data.data.collect()} == {"/orders": 150, "/users": 40} and data.skipped_no_key == 1
 
 
+def test_services_are_shown_by_name(spark):
+    rows = hits(spark, [(at(1), None, None, 0)] * 3).withColumn("service_id", F.concat(F.lit("s"), F.col("entry_line")))
+    services = spark.createDataFrame([("s0", "Web"), ("s0", "Web"), ("s1", " "), ("s9", "Other")], "service_id string, name string")
+    named = Result(rows, rows, rows, FIELDS, (), tuple(default_order())).named(services)
+    assert {r.service_id: r.service_name for r in named.hits.collect()} == {"s0": "Web", "s1": "s1", "s2": "s2"} and named.hits.count() == 3
+    assert {r.series for r in named.chart(ChartRequest("category", group_by="service")).data.collect()} == {"Web", "s1", "s2"}
+    assert named.named(services).hits.columns == named.hits.columns
+
+
 def test_every_matched_group_is_a_series(spark):
     data = chart(hits(spark, [(at(1), None, None, 2), (at(1), None, None, 1), (at(1), None, None, 3)]), ChartRequest(bucket="hour", group_by="matchedGroup"), FIELDS, ["err", "warn", "silent"])
     assert values(data) == [2, 2, 0] and data.charted == 3
