@@ -2,10 +2,12 @@
 
 1. Documents with one and the same set are one from here on (a signature of the whole set).
 2. Similar sets are put into groups: sets that share one of three min-hashes, and sets those share one with, form a
-   family, and families are cut into blocks of bounded size. Groups steer cost only; no link depends on them.
+   family. A family is first compared in neighbourhoods of bounded size, which have a few members in common, and what that
+   links is a cluster: its members are not compared again, so N near copies cost N. Then families are cut into blocks of
+   bounded size, large clusters apart. Groups steer cost only; no link depends on them.
 3. The matrix has a row for every token and group in whose members' prefixes it occurs. A set of n tokens can only be
    linked with one that shares a token of the n - ceil(t n) + 1 rarest of both, so groups that share none with a query
-   are never opened, and every other pair of query and group is.
+   are never opened, and every other pair of query and group with members of other clusters is.
    The tokens that a query's prefix shares with those of a group bound the overlap further: a linked pair's overlap lies in
    both prefixes, or beyond the one that ends first, so too few shared tokens rule a group out before it is opened.
 4. An opened group knows the union of its members' tokens. A query with fewer than t n tokens in the union is linked with
@@ -32,8 +34,11 @@ _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 HEAVY = 1 << 17  # most tokens whose frequency is kept for the order
 WINDOW = 1_000_000  # tokens that a task holds before it passes them on
 BLOCK = 256
-PART = 2_000_000  # tokens of a family's sets whose prefixes are compared in one task
+NEAR = 64  # members of a neighbourhood
+COMMON = 4  # members that the neighbourhoods of a family, or of one min-hash in it, have in common
+FEW = 16
 CHUNK = 512
+WANTED_BITS = 27  # of the filter that says which documents' texts move
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -125,21 +130,48 @@ def frequent_tokens(counts: DataFrame) -> np.ndarray:
     return rows["token"].to_numpy(dtype=np.int64).view(np.uint64).copy()
 
 
-def grouped(sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """(doc, n, label, block, family, parts): families by shared min-hashes, blocks of about BLOCK members of a family, and
-    into how many parts the family's tokens are cut where its members are compared."""
-    label = sets.select("doc", "n", F.array("m1", "m2", "m3").alias("m"), F.least("m1", "m2", "m3").alias("label"))
+def families(sets: DataFrame, rounds: int = 2) -> DataFrame:
+    """(doc, n, m1, label): sets that share min-hashes, or share them with such sets, have one label."""
+    label = sets.select("doc", F.least("m1", "m2", "m3").alias("label"))
     values = sets.select("doc", F.explode(F.array("m1", "m2", "m3")).alias("value"))
-    labels = label.select("doc", "label")
     for _ in range(rounds):
-        held = values.join(labels, "doc")
-        least = held.groupBy("value").agg(F.min("label").alias("least"))
-        labels = values.join(least, "value").groupBy("doc").agg(F.min("least").alias("label"))
-    labels = materialize(labels, "labels")
-    labels = sets.select("doc", "n").join(labels, "doc")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("family"), F.ceil(F.sum("n") / PART).cast("long").alias("parts"))
+        least = values.join(label, "doc").groupBy("value").agg(F.min("label").alias("least"))
+        label = values.join(least, "value").groupBy("doc").agg(F.min("least").alias("label"))
+    return sets.select("doc", "n", "m1").join(label, "doc")
+
+
+def neighbourhoods(labels: DataFrame) -> DataFrame:
+    """(doc, block): about NEAR members of a family a block, by their first min-hash. Where more have the same, they are cut
+    into several; COMMON of them, and COMMON of the family, are in each, so that clusters meet across blocks."""
+    counted = lambda *by: labels.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    family = counted("label").where("size > 1").withColumnRenamed("size", "family")
+    alike = counted("label", "m1").where(F.col("size") > NEAR).withColumnRenamed("size", "alike")
+    parts = lambda size: F.ceil(F.col(size) / NEAR).cast("long")
+    dealt = labels.join(family, "label").join(alike, ["label", "m1"], "left").withColumn("block", F.when(F.col("alike").isNull(), F.xxhash64("label", F.pmod(F.xxhash64("m1"), parts("family")))).otherwise(F.xxhash64("label", "m1", F.pmod(F.xxhash64("doc"), parts("alike")))))
+    dealt = materialize(dealt.select("doc", "label", F.when(F.col("alike").isNotNull(), F.col("m1")).alias("m1"), "block"), "neighbourhoods")
+    kind = F.pmod(F.xxhash64(F.lit(1), "doc"), F.lit(COMMON)).alias("kind")
+    first = F.min_by("doc", F.xxhash64(F.lit(2), "doc")).alias("doc")
+    blocks = dealt.select("label", "m1", "block").distinct()
+    of_family = blocks.join(dealt.groupBy("label", kind).agg(first), "label")
+    of_alike = blocks.join(dealt.where("m1 is not null").groupBy("label", "m1", kind).agg(first), ["label", "m1"])
+    return dealt.select("doc", "block").unionByName(of_family.select("doc", "block")).unionByName(of_alike.select("doc", "block")).distinct()
+
+
+def grouped(labels: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(doc, n, cluster, block, family): blocks of about BLOCK members of a family, or of a cluster of more; clusters are
+    named by their smallest member, and family is the count of what the block is cut from.
+
+    Members of a block have sizes within a tenth. So the tokens that a query must share with one follow from its own size
+    and theirs, and a chance token or two in common open no group, except at the ends of what sizes allow."""
+    named = labels.select("doc", "n", "label").join(clusters.withColumnRenamed("node", "doc"), "doc", "left")
+    named = named.select("doc", "n", "label", F.coalesce("component", "doc").alias("cluster"))
+    large = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select("cluster", F.col("cluster").alias("own"))
+    named = named.join(large, "cluster", "left")
+    like = F.floor(F.log(F.col("n")) / F.log(F.lit(1.1)))
+    named = materialize(named.select("doc", "n", "cluster", F.when(F.col("own").isNull(), F.xxhash64(F.lit(0), "label", like)).otherwise(F.xxhash64(F.lit(1), "own", like)).alias("whole")), "clusters")
+    sizes = named.groupBy("whole").agg(F.count(F.lit(1)).alias("family"))
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("family") / BLOCK).cast("long"))
-    return labels.join(sizes, "label").select("doc", "n", "label", F.xxhash64("label", part).alias("block"), "family", "parts")
+    return named.join(sizes, "whole").select("doc", "n", "cluster", F.xxhash64("whole", part).alias("block"), "family")
 
 
 def prefix_postings(docs: DataFrame, width: int, percent: int, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -225,38 +257,70 @@ def shared_tokens(frame: pd.DataFrame) -> pd.DataFrame:
 NO_PAIRS = {"query": np.zeros(0, np.int64), "block": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64)}
 
 
-def candidates(frame: pd.DataFrame, percent: int, inside: bool) -> pd.DataFrame:
-    """(query, block, shared): how many of the frame's tokens a document's prefix shares with those of others in a group,
-    where sizes allow a link; between members of one family (its own block among the groups), or between families.
+def distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of equally long columns, and how often each occurs."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    fresh = np.ones(len(order), dtype=bool)
+    if len(order):
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(fresh)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
 
-    Of two blocks, the one of the larger family is opened, so many small queries meet one large group in one place."""
+
+def candidates(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(query, block, shared): how many of the frame's tokens a document's prefix shares with those of members of other
+    clusters in a group, where sizes allow a link; in its own block, or between blocks.
+
+    Of two blocks, the one of the larger family is opened, so many small queries meet one large group in one place. Tokens
+    of up to FEW documents are taken all at once, pair by pair; others one by one, document by group."""
     frame = frame.sort_values("token", kind="stable")
-    token, doc, n, label, block, family = (frame[c].to_numpy() for c in ("token", "doc", "n", "label", "block", "family"))
+    token, doc, n, cluster, block, family = (frame[c].to_numpy() for c in ("token", "doc", "n", "cluster", "block", "family"))
     cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-    queries, targets = [], []
-    for a, b in zip(cuts, cuts[1:]):
-        if b - a < 2 or (not inside and (label[a:b] == label[a]).all()):
+    few = np.repeat(np.diff(cuts) <= FEW, np.diff(cuts))
+    found = []  # (query, block, token)
+
+    def add(rows, groups):
+        found.append((doc[rows], groups, token[rows]))
+
+    for lag in range(1, FEW):
+        x = np.flatnonzero((token[lag:] == token[:-lag]) & few[lag:])
+        y = x + lag
+        fits = (cluster[x] != cluster[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[fits], y[fits]
+        home = block[x] == block[y]
+        asks = (family[y] > family[x]) | ((family[y] == family[x]) & (block[y] > block[x]))
+        for rows, others in ((x[home], y[home]), (y[home], x[home]), (x[~home & asks], y[~home & asks]), (y[~home & ~asks], x[~home & ~asks])):
+            add(rows, block[others])
+    for k in np.flatnonzero(np.diff(cuts) > FEW):
+        a, b = cuts[k], cuts[k + 1]
+        if (cluster[a:b] == cluster[a]).all():
             continue
-        groups, first, inverse, members = np.unique(block[a:b], return_index=True, return_inverse=True, return_counts=True)
-        low, high = np.full(len(groups), np.iinfo(np.int64).max), np.zeros(len(groups), dtype=np.int64)
+        groups, first, inverse = np.unique(block[a:b], return_index=True, return_inverse=True)
+        ends = np.iinfo(np.int64)
+        low, high, least, most = (np.full(len(groups), x) for x in (ends.max, ends.min, ends.max, ends.min))
         np.minimum.at(low, inverse, n[a:b])
         np.maximum.at(high, inverse, n[a:b])
-        size, names = family[a:b][first], label[a:b][first]
-        for s in range(a, b, 4096):
-            e = min(b, s + 4096)
-            q, qf, qb, ql = n[s:e, None], family[s:e, None], block[s:e, None], label[s:e, None]
-            if inside:
-                ok = (groups > qb) | ((groups == qb) & (members > 1))
-            else:
-                ok = (names != ql) & ((size > qf) | ((size == qf) & (groups > qb)))
+        np.minimum.at(least, inverse, cluster[a:b])
+        np.maximum.at(most, inverse, cluster[a:b])
+        size = family[a:b][first]
+        asking = a + np.arange(b - a)
+        top = size == size.max()
+        if least[top].min() == most[top].max():  # the largest is one cluster: it is asked, and asks no other
+            asking = asking[~top[inverse]]
+        for s in range(0, len(asking), 4096):
+            at = asking[s : s + 4096]
+            q, qf, qb, qc = n[at, None], family[at, None], block[at, None], cluster[at, None]
+            ok = (groups == qb) | (size > qf) | ((size == qf) & (groups > qb))
+            ok &= (least != qc) | (most != qc)
             ok &= (100 * high >= percent * q) & (percent * low <= 100 * q)
             i, j = np.nonzero(ok)
-            queries.append(doc[s:e][i])
-            targets.append(groups[j])
-    if not queries:
+            add(at[i], groups[j])
+    if not sum(len(x[0]) for x in found):
         return pd.DataFrame(NO_PAIRS)
-    pairs, shared = np.unique(np.stack([np.concatenate(queries), np.concatenate(targets)], axis=1), axis=0, return_counts=True)
-    return pd.DataFrame({"query": pairs[:, 0], "block": pairs[:, 1], "shared": shared.astype(np.int64)})
+    (query, group, _), _ = distinct(*[np.concatenate(x) for x in zip(*found)])
+    (query, group), shared = distinct(query, group)
+    return pd.DataFrame({"query": query, "block": group, "shared": shared.astype(np.int64)})
 
 
 def fewest_shared(n, low, high, percent: int):
@@ -322,6 +386,48 @@ def opened(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"u": docs[linked], "v": docs[roots[linked]]})
 
 
+def wanted_filter(docs: DataFrame) -> bytes:
+    """A bitmap of 2**WANTED_BITS bits, one set for each doc of docs; others may share it."""
+    at = F.expr(f"xxhash64(doc) & {(1 << WANTED_BITS) - 1}") + 1  # Spark's bitmaps count from 1
+    maps = docs.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = bytearray(1 << WANTED_BITS >> 3)
+    for bucket, held in maps.toLocalIterator():  # at most 2**WANTED_BITS / 32768 rows of 4 KB
+        out[(bucket - 1) * 4096 : bucket * 4096] = held
+    return bytes(out)
+
+
+def links(rows: DataFrame, roles: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) of the groups opened by roles (doc, block, chunk, role): the moves of whole texts.
+
+    Texts that no role asks for are left out by a bitmap first. Merged at every size, so that what a run needs follows from
+    its input."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted_filter(roles))
+    mask = np.int64((1 << WANTED_BITS) - 1)
+
+    def some(batches):
+        bits = np.frombuffer(sent.value, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy() & mask
+            found = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(found)) for k in range(2)], ["doc", "text"])
+
+    def tokens_of(batches):
+        last, held = None, b""
+        for batch in batches:
+            out = []
+            for value in batch.column(4):
+                words = value.as_py()
+                if words != last:
+                    last, held = words, shingles(words, width).tobytes()
+                out.append(held)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(out, pa.binary())], ["doc", "block", "chunk", "role", "tokens"])
+
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text", F.xxhash64("doc_id")).mapInArrow(some, "doc long, text string")
+    placed = texts.hint("merge").join(roles, "doc").select("doc", "block", "chunk", "role", "text")
+    placed = placed.mapInArrow(tokens_of, "doc long, block long, chunk int, role int, tokens binary")
+    return placed.groupBy("block", "chunk").applyInPandas(lambda f: opened(f, percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set) and component_id (smallest id reachable by links).
 
@@ -339,15 +445,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     heavy = frequent_tokens(stats.where("token is not null"))
     total = sets.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, int(total // 300_000) + 1)
-    groups = materialize(grouped(sets), "groups")
+    labels = materialize(families(sets), "labels")
+    near = materialize(neighbourhoods(labels).select("doc", "block", F.lit(0).alias("chunk"), F.lit(0).alias("role")), "roles")
+    clusters = materialize(components(links(rows, near, width, percent)), "components")
+    groups = materialize(grouped(labels, clusters), "groups")
     shared = prefix_postings(rows, width, percent, heavy, buckets).groupBy("bucket").applyInPandas(shared_tokens, "token long, doc long")
-    # Both ways of grouping read the one written matrix: by family and part of its tokens, and by tokens.
-    matrix = materialize(shared.join(groups, "doc"), "matrix")
-    part = F.pmod(F.xxhash64("token"), F.col("parts"))
-    kind = "query long, block long, shared long"
-    within = matrix.where("family > 1").withColumn("part", part).groupBy("label", "part").applyInPandas(lambda f: candidates(f, percent, True), kind)
-    across = matrix.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda f: candidates(f, percent, False), kind)
-    pairs = within.unionByName(across).groupBy("query", "block").agg(F.sum("shared").alias("shared"))
+    matrix = shared.join(groups, "doc").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
+    pairs = matrix.groupBy("bucket").applyInPandas(lambda f: candidates(f, percent), "query long, block long, shared long")
+    pairs = pairs.groupBy("query", "block").agg(F.sum("shared").alias("shared"))
     sizes = groups.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     own_group = groups.groupBy(F.col("doc").alias("query")).agg(F.max("n").alias("n"), F.max("block").alias("own"))
     pairs = pairs.join(own_group, "query").join(sizes, "block").where(F.col("shared") >= fewest_shared(F.col("n"), F.col("low"), F.col("high"), percent))
@@ -359,23 +464,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     alone = pairs.where("home").join(chunks, "block", "left_anti").select(F.col("query").alias("doc"), "block", F.lit(0).alias("chunk"), F.lit(0).alias("role"))
     queries = pairs.where("not home").join(chunks, "block").select(F.col("query").alias("doc"), "block", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
     roles = materialize(whole.unionByName(alone).unionByName(queries), "roles")
-
-    def tokens_of(batches):
-        last, held = None, b""
-        for batch in batches:
-            out = []
-            for value in batch.column(4):
-                words = value.as_py()
-                if words != last:
-                    last, held = words, shingles(words, width).tobytes()
-                out.append(held)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(out, pa.binary())], ["doc", "block", "chunk", "role", "tokens"])
-
-    # The one move of whole texts. Merged at every size, so that what a run needs follows from its input.
-    placed = rows.withColumnRenamed("doc_id", "doc").hint("merge").join(roles, "doc").select("doc", "block", "chunk", "role", "text")
-    placed = placed.mapInArrow(tokens_of, "doc long, block long, chunk int, role int, tokens binary")
-    edges = placed.groupBy("block", "chunk").applyInPandas(lambda f: opened(f, percent), "u long, v long")
-    found = components(edges)
+    known = clusters.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    found = components(links(rows, roles, width, percent).unionByName(known))
     classes = sets.select("sig", "doc").join(found, sets["doc"] == found["node"], "left").select("sig", F.coalesce("component", "doc").alias("class"))
     out = own.select("doc_id", "n", "sig").join(classes, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

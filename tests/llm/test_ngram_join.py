@@ -97,3 +97,52 @@ def test_bound_on_shared_tokens_never_loses_a_link(spark):
         cases.append((int(n), int(m), len(cut(a) & cut(b))))
     rows = spark.createDataFrame(cases, "n long, m long, shared long").withColumn("least", ngram_join.fewest_shared(F.col("n"), F.col("m"), F.col("m"), 75))
     assert rows.where("shared < least").count() == 0
+
+
+def test_near_copies_of_one_text_cost_in_proportion(spark, rng, monkeypatch):
+    """The sets that move for N near copies are a few times N, not N * N / BLOCK."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "NEAR", 8)
+    moved, materialize = [], ngram_join.materialize
+
+    def counted(df, name="table"):
+        out = materialize(df, name)
+        if name == "roles":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(300):
+        at = rng.randrange(120)
+        rows.append((i, " ".join(base[:at] + [f"own{i}"] + base[at + 1 :])))
+    got = {r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0} and 300 <= sum(moved) <= 1200
+
+
+def test_blocks_hold_sets_of_like_sizes(spark):
+    """A wide range of sizes lets one chance token open a block; within a tenth, the bound follows from the sizes."""
+    labels = spark.range(1, 400).selectExpr("id AS doc", "id AS n", "id AS m1", "1L AS label")
+    nodes = spark.createDataFrame([(k, 7) for k in range(7, 20)], "node long, component long")
+    blocks = ngram_join.grouped(labels, nodes).groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    assert blocks.where("high > 1.1 * low + 1").count() == 0 and blocks.count() < 80
+
+
+def test_tokens_of_few_and_of_many_documents_agree(monkeypatch):
+    """Taken pair by pair or document by group, every pair of different clusters whose sizes fit is met from one side."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    rows = {(int(t), int(d)) for t, d in zip(rng.integers(0, 40, 700), rng.integers(0, 90, 700))}
+    n, cluster, block = rng.integers(10, 60, 90), rng.integers(0, 30, 90), rng.integers(0, 12, 90)
+    family = np.bincount(block, minlength=12)[block]
+    frame = pd.DataFrame([(t, d, n[d], cluster[d], block[d], family[d]) for t, d in sorted(rows)], columns=["token", "doc", "n", "cluster", "block", "family"])
+    for few in (2, 16, 64):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        met = {(q, b): s for q, b, s in ngram_join.candidates(frame, 75).itertuples(index=False)}
+        for x in range(90):
+            for y in range(x):
+                both = len({t for t, d in rows if d == x} & {t for t, d in rows if d == y})
+                if both and cluster[x] != cluster[y] and 100 * min(n[x], n[y]) >= 75 * max(n[x], n[y]):
+                    assert max(met.get((x, block[y]), 0), met.get((y, block[x]), 0)) >= both
