@@ -2,9 +2,10 @@
 
 SentencePiece merges, again and again, the adjacent pair whose union is the best piece, leftmost first. The same ids come
 out of a left-to-right search: a piece sequence is the merge result exactly when every two neighbours are compatible, that
-is, when merging their joined text gives the two back. The search takes the longest piece at each place (all matches of a
-text from one Aho-Corasick pass), falls back to shorter ones where neighbours are incompatible, and marks places from
-which no way leads on in a bit field, so each (place, piece) is tried once.
+is, when merging their joined text gives the two back. The search takes the longest piece at each place (one Aho-Corasick
+pass gives those of the way without detours, further ones give those of other places as they are needed), falls back to
+shorter ones where neighbours are incompatible, and marks places from which no way leads on in a bit field, so each (place,
+piece) is tried once.
 
 A text is cut, before the search, at places that no piece spans; what is between recurs, and each worker keeps it.
 """
@@ -72,7 +73,7 @@ class BacktrackingEncoder:
             self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.unit = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.memo = Memo(self._unit, 1 << 17)
+        self.memo = Memo(self._unit, 1 << 18)
 
     def merge(self, text: str) -> list[int]:
         """The plain way: merge the best adjacent pair until none is left. For pieces, pairs of pieces and tests."""
@@ -110,15 +111,13 @@ class BacktrackingEncoder:
         if whole is not None:
             return [whole]
         n = len(text)
-        longest, reach = [-1] * n, [0] * n
-        for end, (size, i) in self.automaton.iter(text):
-            start = end + 1 - size
-            if size > reach[start]:
-                reach[start], longest[start] = size, i
+        iter_long, longest = self.automaton.iter_long, {}  # place -> longest piece there, -1: none
+        for end, (size, i) in iter_long(text):
+            longest[end + 1 - size] = i
         open_places = bytearray(b"\x01") * (n + 1)
         lengths, shorter, pair_ok = self.lengths, self.shorter, self.pair_ok
         found: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, longest.get(0, -1)
         while at < n:
             last = found[-1] if found else -1
             while token >= 0:
@@ -130,7 +129,10 @@ class BacktrackingEncoder:
                     if ok:
                         found.append(token)
                         at = end
-                        token = longest[at] if at < n else -1
+                        token = longest.get(at) if at < n else -1
+                        if token is None:
+                            end, (size, i) = next(iter_long(text, at), (n, (0, -1)))
+                            token = longest[at] = i if end + 1 - size == at else -1
                         break
                 token = shorter[token]
             else:
@@ -154,9 +156,9 @@ class BacktrackingEncoder:
             out += self.search(unit[start:])
         return out
 
-    def _unit(self, unit: str) -> tuple[str, int, bytes]:
+    def _unit(self, unit: str) -> tuple[str, bytes]:
         ids = self.encode_unit(unit)
-        return ",".join(map(str, ids)), len(ids), b"".join(map(self.outputs.__getitem__, ids))
+        return ",".join(map(str, ids)), b"".join(map(self.outputs.__getitem__, ids))
 
     def units(self, text: str | None) -> list[str]:
         return self.unit.findall(self.prefix + text.replace(" ", SPACE)) if text else []
@@ -166,8 +168,12 @@ class BacktrackingEncoder:
 
     def encode_decode(self, text: str | None) -> tuple[str, int, str]:
         """The ids as decimal numbers joined by commas, their count, and the text they decode to."""
-        got = list(map(self.memo.__getitem__, self.units(text)))
-        return ",".join([s for s, _, _ in got]), sum([n for _, n, _ in got]), self._text(b"".join([d for _, _, d in got]))
+        units = self.units(text)
+        if not units:
+            return "", 0, ""
+        ids, data = zip(*map(self.memo.__getitem__, units))
+        joined = ",".join(ids)
+        return joined, joined.count(",") + 1, self._text(b"".join(data))
 
     def _text(self, data: bytes) -> str:
         if self.prefix and data.startswith(b" "):

@@ -53,3 +53,21 @@ def test_operators_on_odd_tables(odd_docs, no_docs):
         n = len(library.encode(s.text or "", add_special_tokens=False).ids)
         assert tuple(r) == (s.doc_id, len((s.text or "").encode()), n, n > 3)
     assert encode(no_docs, MODEL).count() == 0 == count_tokens(no_docs, WORDS).count()
+
+
+def test_sentencepiece_words_of_a_large_text_are_searched_once(monkeypatch):
+    """150,000 distinct words, twice: what was found for a word is kept, and is what the library gives."""
+    import public_tokenizers
+    import sentencepiece
+
+    from loomlog.llm.sentencepiece_bpe import BacktrackingEncoder
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    enc, library = BacktrackingEncoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    searched, search = [], enc.encode_unit
+    monkeypatch.setattr(enc, "encode_unit", lambda unit: searched.append(1) or search(unit))
+    text = " ".join(f"{'tionanerth'[k % 7 :]}{k:x}" for k in range(150_000))
+    ids, n, decoded = enc.encode_decode(f"{text} {text}")
+    assert len(searched) <= 150_000 and decoded == f"{text} {text}"
+    expected = library.encode(f"{text} {text}")
+    assert n == len(expected) and ids == ",".join(map(str, expected))
