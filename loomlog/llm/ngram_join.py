@@ -38,7 +38,7 @@ NEAR = 64  # members of a neighbourhood
 COMMON = 4  # members that the neighbourhoods of a family, or of one min-hash in it, have in common
 FEW = 16
 CHUNK = 512
-WANTED_BITS = 27  # of the filter that says which documents' texts move
+WANTED_BITS = 24  # of the filter that says which documents' texts move
 
 
 def mix(h: np.ndarray) -> np.ndarray:
