@@ -1,18 +1,22 @@
-"""Phrases that occur together more often than their parts suggest, from suffix automata of shards.
-
-A shard is a bounded stretch of the corpus as word numbers. Its generalised suffix automaton, to a bounded depth, has one
-state for all the phrases that end at the same places: they are suffixes of one another, occur equally often, and the
-state's link leads to the longest suffix that occurs elsewhere too. The automaton is built by sorting, one length after
-another, which gives the states, links and counts of end places that adding word by word gives. Shards' counts meet in one
-distributed sum; what is rare everywhere is left out before by a filter of fixed size that lets no frequent phrase go.
+"""Phrases that occur together more often than their parts suggest, from suffix automata.
+
+A shard is a bounded stretch of the corpus as word numbers. Each of its places gives the longest phrase that ends there;
+what is rare everywhere is left out before by a filter of fixed size that lets no frequent phrase go. Equal ones are counted
+in one distributed sum and dealt by their last two words, so that all the phrases with the same end meet in one task. Their
+generalised suffix automaton, to a bounded depth, has one state for all the phrases that end at the same places: they are
+suffixes of one another, occur equally often, and the state's link leads to the longest suffix that occurs elsewhere too. The
+automaton is built by sorting, one length after another, which gives the states, links and counts of end places that adding
+word by word gives. These counts are of the whole corpus, so rare phrases end there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,27 +40,35 @@ class Level:
 
 
 class SuffixAutomaton:
-    """Of the phrases of up to `depth` words within the stretches of words between borders (0)."""
+    """Of the phrases of up to `depth` words within the stretches of words between borders (0). Where `ends` are given, of
+    those that end there, as often as `times` tells."""
 
-    def __init__(self, words: np.ndarray, depth: int):
+    def __init__(self, words: np.ndarray, depth: int, ends: np.ndarray | None = None, times: np.ndarray | None = None):
         self.words, self.levels = words, []
-        ends = np.flatnonzero(words)
-        kinds, first, at, count = np.unique(words[ends], return_index=True, return_inverse=True, return_counts=True)
-        self.levels.append(Level(ends[first], count, np.full(len(kinds), -1), np.zeros(len(kinds), dtype=bool)))
+        ends = np.flatnonzero(words) if ends is None else ends
+        times = np.ones(len(ends), dtype=np.int64) if times is None else times
+        kinds, first, at = np.unique(words[ends], return_index=True, return_inverse=True)
+        self.levels.append(Level(ends[first], self._sums(at, times, len(kinds)), np.full(len(kinds), -1), np.zeros(len(kinds), dtype=bool)))
         for m in range(2, depth + 1):
             # A phrase of m words is one of m - 1 words, by number, with a word before it.
             fits = ends >= m - 1
-            ends, at = ends[fits], at[fits]
+            ends, at, times = ends[fits], at[fits], times[fits]
             before = words[ends - (m - 1)]
             real = before > 0
-            ends, at, before = ends[real], at[real], before[real]
+            ends, at, times, before = ends[real], at[real], times[real], before[real]
             key = at.astype(np.int64) << 32 | before
             shorter = self.levels[-1]
-            kinds, first, at, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            suffix = kinds >> 32
+            kinds, first, at = np.unique(key, return_index=True, return_inverse=True)
+            suffix, count = kinds >> 32, self._sums(at, times, len(kinds))
             # Equally often means at the same places, as every place of the longer is one of the shorter.
             self.levels.append(Level(ends[first], count, suffix, count == shorter.count[suffix]))
 
+    @staticmethod
+    def _sums(at: np.ndarray, times: np.ndarray, kinds: int) -> np.ndarray:
+        out = np.zeros(kinds, dtype=np.int64)
+        np.add.at(out, at, times)
+        return out
+
     def phrases(self, shortest: int = 1):
         """(length, end, count) arrays of all distinct phrases from `shortest` words on, a length at a time."""
         for m, level in enumerate(self.levels, 1):
@@ -186,43 +198,110 @@ def _hash_counts(shard: Shard):
         yield pa.RecordBatch.from_arrays([pa.array(pair_hash(h[p >> 32], h[p & 0xFFFFFFFF]).view(np.int64)), pa.array(n[k : k + (1 << 18)])], ["hash", "n"])
 
 
-def _phrase_counts(shard: Shard, known: Filter, most_words: int):
-    """lang, words, phrase, n of the shard's phrases that the filter leaves, and each language's count of words as the
-    phrase of no words."""
+def _longest_phrases(shard: Shard, known: Filter, most_words: int):
+    """lang, words, phrase, n: for each place of the shard the longest phrase of 2 to most_words words that ends there and
+    that the filter leaves (n is 1; Spark counts equal ones), the counts of words that it leaves, and each language's count of
+    words as the phrase of no words."""
     langs, totals = list(shard.totals), list(shard.totals.values())
     yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([0] * len(langs), pa.int32()), pa.array([""] * len(langs)), pa.array(totals, pa.int64())], ["lang", "words", "phrase", "n"])
     w, h = shard.stream(), shard.hashes()
     often = known.has(h)
     often[0] = False
-    counts = np.bincount(w, minlength=len(h))
+    counts, name = np.bincount(w, minlength=len(h)), _Names(pa.array(shard.known, pa.large_string()), pa.array(shard.langs, pa.string()))
     at = np.flatnonzero(often)
-    yield _rows(shard, 1, [shard.known[k - 1] for k in at.tolist()], at, counts[at])
+    yield from name.rows(at, 1, np.arange(len(at)), counts[at])
     # Words stay where they are part of a pair that may be frequent; a border comes between two that are none together.
     a, b = w[:-1], w[1:]
     near = np.zeros(len(a), dtype=bool)
     both = np.flatnonzero((a > 0) & (b > 0) & often[a] & often[b])
     near[both] = known.has(pair_hash(h[a[both]], h[b[both]]))
-    inside = np.zeros(len(w), dtype=bool)
-    inside[:-1] |= near
-    inside[1:] |= near
-    kept = np.flatnonzero(inside)
-    if not len(kept):
-        return
-    opens = np.concatenate([[True], ~near[kept[1:] - 1]])  # no pair with the word before
-    shift = np.cumsum(opens)
-    words = np.zeros(len(kept) + int(shift[-1]), dtype=np.int64)
-    words[np.arange(len(kept)) + shift] = w[kept]
-    for m, ends, n in SuffixAutomaton(words, most_words).phrases(2):
+    ends = np.flatnonzero(near) + 1
+    place = np.arange(len(w))
+    pairs = place - np.maximum.accumulate(np.where(np.concatenate([[False], near]), 0, place))  # one after another, up to here
+    length = np.minimum(pairs[ends] + 1, most_words)
+    for m in range(2, most_words + 1):
+        e = ends[length == m]
+        yield from name.rows(w, m, e, np.ones(len(e), dtype=np.int64))
+
+
+class _Names:
+    """Phrases of word numbers as rows of lang, words, phrase, n; about `most` bytes of them at once. words and langs are by
+    number, from 1 on."""
+
+    def __init__(self, words: pa.Array, langs: pa.Array, most: int = 1 << 23):
+        self.words, self.langs, self.most = words, langs, most
+        self.size = np.concatenate([[0], pc.binary_length(self.words).to_numpy(zero_copy_only=False)])
+
+    def rows(self, words: np.ndarray, m: int, ends: np.ndarray, n: np.ndarray):
         for k in range(0, len(ends), 1 << 16):
             e = ends[k : k + (1 << 16)]
-            table = np.stack([words[e - j] for j in range(m - 1, -1, -1)], axis=1)
-            name = shard.known
-            yield _rows(shard, m, [" ".join([name[i - 1] for i in row]) for row in table.tolist()], table[:, 0], n[k : k + (1 << 16)])
+            full = np.cumsum(sum(self.size[words[e - j]] for j in range(m))) // self.most
+            cuts = [0, *(np.flatnonzero(np.diff(full)) + 1).tolist(), len(e)]
+            for first, last in zip(cuts, cuts[1:]):
+                x = e[first:last]
+                parts = [self.words.take(pa.array(words[x - j] - 1)) for j in range(m - 1, -1, -1)]
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([self.langs.take(pa.array(words[x] - 1)), pa.array(np.full(len(x), m, dtype=np.int32)), phrase, pa.array(n[k + first : k + last])], ["lang", "words", "phrase", "n"])
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 26) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of about `rows` rows and no more than about `size` bytes of batches that come by their first two columns, and
+    whether all rows of their keys are in them. Only keys of more rows or bytes are parted."""
+    held, parted, batches = None, False, iter(batches)
+    while True:
+        batch = next(batches, None)
+        if batch is not None:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+        while held is not None and held.num_rows:
+            most = min(rows, max(1, held.num_rows * size // max(held.nbytes, 1)))
+            if batch is not None and held.num_rows <= most:
+                break
+            new = pc.or_(*(pc.not_equal(held.column(c).slice(1), held.column(c).slice(0, held.num_rows - 1)) for c in (0, 1)))
+            starts = np.flatnonzero(new.to_numpy()) + 1
+            if parted:  # the rest of a parted key, by itself
+                cut = int(starts[0]) if len(starts) else held.num_rows
+                goes_on = not len(starts) and batch is not None
+            elif batch is None and held.num_rows <= most:
+                cut, goes_on = held.num_rows, False
+            else:
+                fit = starts[starts <= most]
+                cut = int(fit[-1]) if len(fit) else int(starts[0]) if len(starts) else held.num_rows
+                goes_on = not len(starts) and batch is not None
+            yield held.slice(0, cut), not (parted or goes_on)
+            held, parted = held.slice(cut), goes_on
+        if batch is None:
+            return
+
+
+def _suffix_counts(rows: DataFrame, least: int, most_words: int, shard_words: int) -> DataFrame:
+    """lang, words, phrase, n of the suffixes, from 2 words on, of the phrases in rows, which occur n times each; single words
+    and totals as they are. All that end in the same two words are in one task; what is rare there goes no further."""
 
-
-def _rows(shard: Shard, m: int, phrases: list[str], first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    langs = [shard.langs[k - 1] for k in first.tolist()]
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([m] * len(langs), pa.int32()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "words", "phrase", "n"])
+    def run(batches):
+        for table, whole in _whole_keys(batches, max(1, shard_words // most_words)):
+            few = pc.less(table.column("words"), 2)
+            yield from table.filter(few).drop_columns("tail").to_batches()
+            table = table.filter(pc.invert(few))
+            if not table.num_rows:
+                continue
+            texts, langs = table.column("phrase").cast(pa.large_string()).combine_chunks(), table.column("lang").combine_chunks().dictionary_encode()
+            parts = pc.split_pattern(texts, " ")
+            lengths, coded = pc.list_value_length(parts).to_numpy(), parts.flatten().dictionary_encode()
+            # Each language has its own numbers.
+            known = len(coded.dictionary)
+            kinds, number = np.unique(np.repeat(langs.indices.to_numpy().astype(np.int64), lengths) * known + coded.indices.to_numpy(), return_inverse=True)
+            name = _Names(coded.dictionary.take(pa.array(kinds % known)), langs.dictionary.take(pa.array(kinds // known)))
+            words = np.zeros(1 + len(number) + len(lengths), dtype=np.int64)
+            words[np.arange(1, len(number) + 1) + np.repeat(np.arange(len(lengths)), lengths)] = number + 1
+            ends = np.cumsum(lengths.astype(np.int64) + 1) - 1
+            for m, e, n in SuffixAutomaton(words, most_words, ends, table.column("n").to_numpy()).phrases(2):
+                keep = n >= least if whole else np.ones(len(n), dtype=bool)
+                yield from name.rows(words, m, e[keep], n[keep])
+
+    tail = F.call_function("substring_index", F.col("phrase"), F.lit(" "), F.lit(-2))
+    dealt = rows.select("lang", tail.alias("tail"), "words", "phrase", "n").repartition("lang", "tail").sortWithinPartitions("lang", "tail")
+    return dealt.mapInArrow(run, "lang string, words int, phrase string, n long")
 
 
 def _prepared(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -247,15 +326,19 @@ def phrase_counts(docs: DataFrame, least: int = 100, most_words: int = 5, text:
     least `least` times in its language, and as words = 0 the language's count of words.
 
     Two passes over the texts. The first counts hashes of words and of pairs; those of at least `least` set bits of a filter
-    of 2**filter_bits bits, the only thing that is broadcast. The second counts phrases as strings, but only such as consist
-    of pairs in the filter. A hash or bit that a rare phrase shares with another costs time and changes nothing. For corpora
-    with more frequent pairs than the filter has bits, raise filter_bits. A text without a border is one piece, however long;
-    longer texts than a shard are cut at borders."""
+    of 2**filter_bits bits, the only thing that is broadcast. The second gives the longest phrase that ends at a place, as a
+    string, but only such as consist of pairs in the filter: one row at most for each word, and one for each word of a shard
+    by itself. Spark sums equal ones; automata of what has the same end give the counts of all phrases. A hash or bit that a
+    rare phrase shares with another costs time and changes nothing. For corpora with more frequent pairs than the filter has
+    bits, raise filter_bits. A text without a border is one piece, however long; longer texts than a shard are cut at borders.
+    Two last words with more phrases than an automaton holds are counted by several, whose counts are summed."""
     rows = _prepared(docs, text, lang)
     sent = docs.sparkSession.sparkContext.broadcast(frequent_filter(rows, least, shard_words, filter_bits))
-    found = lambda shard: _phrase_counts(shard, Filter(sent.value, filter_bits), most_words)
-    counts = _shards(rows, shard_words, found, "lang string, words int, phrase string, n long")
-    return counts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+    found = lambda shard: _longest_phrases(shard, Filter(sent.value, filter_bits), most_words)
+    sums = lambda df: df.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    longest = sums(_shards(rows, shard_words, found, "lang string, words int, phrase string, n long"))
+    counts = sums(_suffix_counts(longest.where((F.col("n") >= least) | (F.col("words") != 1)), least, most_words, shard_words))
+    return counts.where((F.col("n") >= least) | (F.col("words") == 0))
 
 
 def _cut(phrase: Column, k: Column, words: Column) -> tuple[Column, Column]:

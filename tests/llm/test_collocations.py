@@ -2,8 +2,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from loomlog.llm import collocations as module
 from loomlog.llm.collocations import SuffixAutomaton, collocations, phrase_counts
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -90,3 +92,64 @@ def test_products_beyond_64_bits(spark):
     a, n, left, right = 90_000_000_000, 400_000_000_000_000, 120_000_000_000, 95_000_000_000
     got = spark.sql(f"SELECT (CAST(1000 AS DECIMAL(4,0)) * CAST({a}L AS DECIMAL(17,0)) * CAST({n}L AS DECIMAL(17,0))) div (CAST({left}L AS DECIMAL(18,0)) * CAST({right}L AS DECIMAL(18,0)))").first()[0]
     assert got == 1000 * a * n // (left * right)
+
+
+def test_rows_are_in_proportion_to_the_words(spark, rng, monkeypatch):
+    """One row at most for each word and one for each kind of word, however many phrases of frequent pairs there are."""
+    made, shards = [], module._shards
+    monkeypatch.setattr(module, "_shards", lambda *a: made.append(shards(*a)) or made[-1])
+    rows = [(" ".join(rng.choice("abcdefghij") for _ in range(500)), "en") for _ in range(6)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(1)
+    counts = {r.phrase: r.n for r in phrase_counts(docs, 4, filter_bits=20).collect()}
+    phrases = [df for df in made if "phrase" in df.columns]
+    assert len(phrases) == 1 and phrases[0].where("words > 1").count() <= 3000 and phrases[0].where("words = 1").count() == 10
+    assert counts == {**{" ".join(w): a for (_, w), a in plain_counts(rows)[0].items() if a >= 4}, "": 3000}
+
+
+@pytest.mark.parametrize("shard_words", [50, 1 << 22])
+def test_rare_phrases_end_in_their_task(spark, rng, monkeypatch, shard_words):
+    """What the automata give is frequent, but for the keys that one automaton does not hold; these are summed."""
+    made, counted = [], module._suffix_counts
+    monkeypatch.setattr(module, "_suffix_counts", lambda *a: made.append(counted(*a)) or made[-1])
+    rows = [(" ".join(rng.choice("abcde") for _ in range(500)), rng.choice(["en", "de"])) for _ in range(6)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    counts = {(r.lang, r.phrase): r.n for r in phrase_counts(docs, 12, shard_words=shard_words, filter_bits=20).collect()}
+    f, n = plain_counts(rows)
+    assert counts == {**{(g, " ".join(w)): a for (g, w), a in f.items() if a >= 12}, **{(g, ""): a for g, a in n.items()}}
+    assert made[0].count() == len(counts) if shard_words > 50 else made[0].count() > len(counts)
+
+
+def test_automaton_of_given_ends(rng):
+    words = np.array([0] + [rng.randint(0, 3) for _ in range(200)], dtype=np.int64)
+    ends = np.array([i for i in np.flatnonzero(words) if rng.random() < 0.5])
+    times = np.array([rng.choice([1, 7, 2**60]) for _ in ends], dtype=np.int64)
+    times[np.cumsum(times == 2**60) > 4] = 1
+    want = defaultdict(int)
+    for i, t in zip(ends.tolist(), times.tolist()):
+        for m in range(1, 5):
+            w = tuple(words[max(i - m + 1, 0) : i + 1].tolist())
+            if 0 in w or len(w) < m:
+                break
+            want[w] += t
+    got = {tuple(words[e - m + 1 : e + 1].tolist()): n for m, at, count in SuffixAutomaton(words, 4, ends, times).phrases() for e, n in zip(at.tolist(), count.tolist())}
+    assert got == want
+
+
+@pytest.mark.parametrize("size", [1 << 26, 300])
+def test_tables_of_whole_keys(rng, size):
+    for _ in range(30):
+        keys = sorted((rng.choice("xy"), rng.choice("abcdef")) for _ in range(rng.randint(0, 120)))
+        rows, at, batches = [(*k, i) for i, k in enumerate(keys)], 0, []
+        while at < len(rows):
+            part = rows[at : at + rng.randint(1, 30)]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part)], ["a", "b", "i"]))
+            at += len(part)
+        got = [([tuple(r.values()) for r in t.to_pylist()], whole) for t, whole in module._whole_keys(batches, 10, size)]
+        assert [r for t, _ in got for r in t] == rows
+        places = defaultdict(set)
+        for k, (t, _) in enumerate(got):
+            for r in t:
+                places[r[:2]].add(k)
+        for t, whole in got:
+            assert not whole or all(len(places[r[:2]]) == 1 for r in t)
+            assert whole or len({r[:2] for r in t}) == 1
